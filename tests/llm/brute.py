@@ -92,3 +92,49 @@ def op9(docs):
         spans = [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(sum(found, []))]
         out[d["doc_id"]] = (*map(len, found), sha(",".join(spans)), spans)
     return out
+
+
+def token_ids(docs, path, end_id):
+    """doc_id -> ids as little-endian bytes, by the library over whole texts."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path).encode_batch([d["text"] or "" for d in docs], add_special_tokens=False)
+    return {d["doc_id"]: np.array([*f.ids, end_id], dtype="<u4") for d, f in zip(docs, found)}
+
+
+def op10(docs, path):
+    import zlib
+
+    ids, start, out = token_ids(docs, path, 2), 0, {}
+    for k in sorted(ids):
+        out[k] = (start, len(ids[k]), zlib.crc32(ids[k].tobytes()))
+        start += len(ids[k])
+    return out
+
+
+def check_op5(docs, pieces, path, context=1024):
+    """Problems of a packing: pieces are rows with the contract's columns."""
+    import zlib
+
+    ids, bad = token_ids(docs, path, 0), []
+    covered, used = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        own = ids[p["doc_id"]]
+        if zlib.crc32(own[p["start"] : p["start"] + p["length"]].tobytes()) != p["ids_crc32"] or p["doc_tokens"] != len(own):
+            bad.append(("ids", p))
+        covered[p["doc_id"]].append((p["start"], p["length"]))
+        used[p["sequence_id"]].append((p["offset"], p["length"]))
+    for name, spans, whole in [("doc", covered, lambda k, n: n == len(ids[k])), ("sequence", used, lambda k, n: n <= context)]:
+        for k, s in spans.items():
+            at = 0
+            for begin, n in sorted(s):
+                if begin != at or n < 1:
+                    bad.append((name, k))
+                at = begin + n
+            if not whole(k, at):
+                bad.append((name, k, at))
+    if set(covered) != set(ids):
+        bad.append("documents")
+    lengths = [sum(n for _, n in s) for s in used.values()]
+    return bad, sum(0 if n & (n - 1) == 0 else context - n for n in lengths) / max(1, sum(lengths))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prismflow.llm.exact_dedup import exact_dedup
 from prismflow.llm.mixing import mix_sources
+from prismflow.llm.near_dedup import near_groups
 from prismflow.llm.packing import pack_documents, with_crc
 from prismflow.llm.secret_scan import secret_scan
 from prismflow.llm.token_counts import corpus_token_counts
@@ -33,6 +34,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc(pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -61,8 +61,8 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that the texts of each take about CHUNK_BYTES; a longer text stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that the texts of each take about `most` bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,7 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         ends = np.frombuffer(sizes.buffers()[1], dtype=np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
         start = 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK_BYTES, side="right")) - 1)
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -114,13 +114,17 @@ def rolled(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out, w = np.zeros(n, dtype=np.uint64), mix(words, seed)
-    step = np.uint64(0xD6E8FEB86659FD93)
+    power, base, m = mix(words, seed), 0xD6E8FEB86659FD93, 1  # of runs of m words
+    out, done = np.zeros(len(words), dtype=np.uint64), 0
     with np.errstate(over="ignore"):
-        for k in range(width):
-            out *= step
-            out += w[k : k + n]
-    return mix(out, seed + 1)
+        while True:  # a run of 2m words is two of m words: as many steps as width has bits
+            if width & m:
+                out = out[: len(words) - done - m + 1] * np.uint64(pow(base, m, 2**64)) + power[done : len(words) - m + 1]
+                done += m
+            if 2 * m > width:
+                return mix(out[:n], seed + 1)
+            power = power[:-m] * np.uint64(pow(base, m, 2**64)) + power[m:]
+            m *= 2
 
 
 def bitmap_of(df: DataFrame, key: Column, bits: int) -> np.ndarray:

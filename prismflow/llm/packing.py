@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismflow.llm.common import slices
-from prismflow.llm.tokens import encoder
+from prismflow.llm.tokens import TOKEN_BYTES, encoder
 
 CONTEXT = 1024
 TIERS = (1024, 512, 256, 128)
@@ -134,8 +134,8 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...], pool: int, step: int
             sequence, group = sequence + len(windows), group + max(steps) + 1
 
         total = 0
-        for part in slices(batches):
-            ids, lengths = encode(part.column("text").to_pylist(), end_id)
+        for part in slices(batches, most=TOKEN_BYTES):
+            ids, lengths = encode(part.column("text"), end_id)
             held.append((part.column("doc_id").to_pylist(), ids, lengths))
             total += len(ids)
             if total >= pool:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismflow.llm.common import scratch_path, slices
-from prismflow.llm.tokens import encoder
+from prismflow.llm.tokens import TOKEN_BYTES, encoder
 
 LEDGER = "doc_id long, version string, source string, lang string, n_tokens long, batch long, live boolean"
 DELTAS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -32,8 +32,8 @@ def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for part in slices(batches):
-            _, counts = encode(part.column("text").to_pylist())
+        for part in slices(batches, most=TOKEN_BYTES):
+            _, counts = encode(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("lang"), pa.array(counts.astype(np.int64))], names=["doc_id", "source", "lang", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text")

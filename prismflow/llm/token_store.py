@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from prismflow.llm import simple8b
 from prismflow.llm.common import scratch_path, slices
-from prismflow.llm.tokens import encoder
+from prismflow.llm.tokens import TOKEN_BYTES, encoder
 
 SEGMENT = "part int, segment int, before long, n_ids long, first_id long, doc_ids array<long>, lengths array<long>, coded binary"
 
@@ -31,8 +31,8 @@ SEGMENT = "part int, segment int, before long, n_ids long, first_id long, doc_id
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        for segment, docs in enumerate(slices(batches)):
-            ids, lengths = encode(docs.column("text").to_pylist(), end_id)
+        for segment, docs in enumerate(slices(batches, most=TOKEN_BYTES)):
+            ids, lengths = encode(docs.column("text"), end_id)
             doc_ids = docs.column("doc_id").to_pylist()
             row = (part, segment, before, len(ids), doc_ids[0], doc_ids, lengths.tolist(), simple8b.encode(ids))
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space that a pre-token of the byte-level pattern does not begin with: white space or the end follows.
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
+_ODD_SPACE = r" ([\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+
+
+_NOTHING, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+#: Text encoded at once; more at once means fewer distinct pieces to look up.
+TOKEN_BYTES = 12_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,77 +31,90 @@ class Encoder:
 
     In such a tokenizer a single space before a visible character always begins a pre-token, so the ids
     of a text are those of its pieces cut there. Each distinct piece is encoded once by the library and
-    kept; the store is emptied at a fixed size. Texts where a space is followed by white space or by the
+    kept; at a fixed size half of the store is dropped. Texts where a space is followed by white space or by the
     end are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self._forget()
-
-    def _forget(self) -> None:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        size = self.tokenizer.get_vocab_size()
+        self.begins = np.zeros(size, dtype=bool)  # tokens that begin with a space
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.codes: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int32), np.zeros(1 << 14, dtype=np.int32)
         self.n = 0
 
-    def _store(self, pieces: list[str]) -> None:
-        """Encode pieces and give them the next codes."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        total, n = int(sizes.sum()), len(found)
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Give the next codes to pieces of these ids."""
+        total, n = len(ids), len(sizes)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + n > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=total)
+        self.flat[self.used : self.used + total] = ids
         self.starts[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.n : self.n + n] = sizes
         self.used, self.n = self.used + total, self.n + n
 
-    def __call__(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: list[str]) -> None:
+        """Encode words that follow a space, many in one text: each begins at a token that begins with a space."""
+        for k in range(0, len(words), 500):
+            text = " " + " ".join(words[k : k + 500])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            firsts = np.flatnonzero(self.begins[ids])
+            self._append(ids, np.diff(firsts, append=len(ids)))
+
+    def _whole(self, texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self._append(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes)
+
+    def _shrink(self) -> None:
+        """Keep the half of the pieces that came first: common ones come early."""
+        n = self.n // 2
+        self.codes = dict(islice(self.codes.items(), n))
+        self.n, self.used = n, int(self.starts[n])
+
+    def __call__(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (null: empty), each with end_id after it; and their numbers."""
         if self.n > self.most:
-            self._forget()
-        heads, words = [], []
-        for t in texts:
-            if not t or _ODD_SPACE.search(t):
-                heads.append(t or "")
-                words.append([])
-            else:
-                first, *rest = t.split(" ")
-                heads.append(first)
-                words.append(rest)
-        fresh = list(set().union(*words).difference(self.codes)) if words else []
-        self.codes.update(zip(fresh, range(self.n, self.n + len(fresh))))
-        self._store([f" {w}" for w in fresh])
+            self._shrink()
+        texts = texts.fill_null("").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        # one more piece after each text stands for its end; it and the first piece get codes of their own
+        pieces = pc.split_pattern(pc.binary_join_element_wise(pc.if_else(odd, "", texts), _NOTHING, _SPACE), " ")
+        offsets = pieces.offsets.to_numpy()
+        last = offsets[1:] - offsets[0] - 1
+        firsts = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if len(last) else last
+        values = pieces.flatten()
+        words = values.dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        known = np.fromiter(map(self.codes.get, distinct, repeat(-1)), dtype=np.int32, count=len(distinct))
+        # first pieces may begin with white space; they are encoded below, not as words
+        new = [k for k in np.flatnonzero(known < 0).tolist() if distinct[k] and not distinct[k][0].isspace()]
+        fresh, first_new = [distinct[k] for k in new], self.n
+        self._words(fresh)
+        known[new] = np.arange(first_new, self.n)
+        self.codes.update(zip(fresh, range(first_new, self.n)))
         kept, kept_used = self.n, self.used
-        self._store(heads)
-        per_text = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        codes = np.empty(int(per_text.sum()), dtype=np.int64)
-        firsts = np.cumsum(per_text) - per_text
-        is_word = np.ones(len(codes), dtype=bool)
-        is_word[firsts] = False
-        codes[firsts] = kept + np.arange(len(words))
-        codes[is_word] = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=len(codes) - len(words))
+        self._whole(pc.if_else(odd, texts, values.take(pa.array(firsts))).to_pylist())
+        end = 0 if end_id is None else 1
+        self._append(np.full(end, end_id or 0, dtype=np.uint32), np.array([end]))
+        codes = known[words.indices.to_numpy()]
+        codes[firsts], codes[last] = kept + np.arange(len(last)), self.n - 1
         sizes = self.sizes[codes]
-        ends = np.cumsum(per_text)
-        running = np.concatenate([[0], np.cumsum(sizes)])
-        counts = running[ends] - running[ends - per_text]
-        source = np.repeat(self.starts[codes] - running[:-1], sizes)
-        ids = self.flat[source + np.arange(len(source))]
-        self.n, self.used = kept, kept_used  # heads are not kept
-        if end_id is None:
-            return ids, counts
-        out = np.full(len(ids) + len(counts), end_id, dtype=np.uint32)
-        last = np.cumsum(counts + 1) - 1
-        at = np.ones(len(out), dtype=bool)
-        at[last] = False
-        out[at] = ids
-        return out, counts + 1
+        running = np.cumsum(sizes, dtype=np.int32)
+        source = np.repeat(self.starts[codes] - (running - sizes), sizes)
+        source += np.arange(len(source), dtype=np.int32)
+        self.n, self.used = kept, kept_used  # heads and the end are not kept
+        return self.flat[source], np.diff(running[last], prepend=0).astype(np.int64)
 
 
 @lru_cache(maxsize=2)

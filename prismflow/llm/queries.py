@@ -12,6 +12,7 @@ from prismflow.llm.mixing import mix_sources
 from prismflow.llm.near_dedup import near_groups
 from prismflow.llm.packing import pack_documents, with_crc
 from prismflow.llm.secret_scan import secret_scan
+from prismflow.llm.substring_dedup import substring_dedup, with_digest
 from prismflow.llm.token_counts import corpus_token_counts
 from prismflow.llm.token_store import store_and_read
 from prismflow.llm.tokens import tokenizer_path
@@ -26,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digest(substring_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 

@@ -18,13 +18,10 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits that each value needs."""
-    need, rest = np.zeros(len(ids), dtype=np.uint8), ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1 << step)
-        need[big] += step
-        rest[big] >>= np.uint64(step)
-    return need + (rest > 0).astype(np.uint8)
+    """Bits that each value needs; the high half of a value counts where it has one."""
+    high = ids >> np.uint64(32)
+    need = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)
+    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, need).astype(np.uint8) if high.any() else need
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -38,13 +35,18 @@ def encode(ids: np.ndarray) -> bytes:
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     need = np.full((blocks, BLOCK), 255, dtype=np.uint8)  # 255: beyond the end, fits nowhere
     need.reshape(-1)[:n] = _widths(ids)
-    best = np.full((blocks, BLOCK), 15, dtype=np.uint8)
+    # a run that fits is longer than any other that fits: how many selectors fit gives the best one
+    fits = np.zeros((blocks, BLOCK), dtype=np.uint8)
     most, width = need, 1
-    for selector in range(14, -1, -1):  # growing runs: the largest that fits stays
+    for selector in range(14, -1, -1):
         count = int(COUNTS[selector])
         most = np.maximum(most[:, : BLOCK - count + 1], most[:, count - width : BLOCK - width + 1])
+        ok = most <= BITS[selector]
+        if not ok.any():
+            break
+        fits[:, : BLOCK - count + 1] += ok
         width = count
-        best[:, : BLOCK - count + 1][most <= BITS[selector]] = selector
+    best = 15 - fits
     sizes = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
     at, steps = np.zeros(blocks, dtype=np.int64), []
     rows = np.arange(blocks)

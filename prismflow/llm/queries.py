@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismflow.llm.exact_dedup import exact_dedup
+from prismflow.llm.language_id import identify_corpus
 from prismflow.llm.mixing import mix_sources
 from prismflow.llm.near_dedup import near_groups
 from prismflow.llm.packing import pack_documents, with_crc
@@ -35,6 +36,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_corpus(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc(pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path()))
 

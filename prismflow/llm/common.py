@@ -16,7 +16,7 @@ WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows' text taken together in one numpy step; bounds a Python worker's memory.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_500_000
 
 
 def text_or_empty(column: str = "text") -> Column:

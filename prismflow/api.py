@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismflow.config import MahalanobisConfig, PreprocessConfig, SpeConfig
+from prismflow.functions.lineage import cut
 from prismflow.operators import flatten as fl
 from prismflow.operators.pca import PcaModel, fit_pca, transform_pca
 from prismflow.operators.preprocess import preprocess
@@ -42,8 +43,7 @@ def preprocess_and_flatten(spark: SparkSession, paths, **settings) -> Flattened:
     config = PreprocessConfig(**settings)
     frame = load(spark, paths, config)
     sources = frame.select("source").distinct()
-    done = preprocess(frame, config)
-    facts, features = fl.flatten(done)
+    facts, features = fl.flatten(cut(preprocess(frame, config)))
     facts, features = fl.prune_sparse(facts, features, sources, config.max_null_ratio)
     facts, features = _renumbered(facts, features)
     if config.materialize_once:

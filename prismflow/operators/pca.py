@@ -20,6 +20,7 @@ from prismflow.operators import stats
 #: Largest order of the matrix that is solved on the driver (8 bytes * order ** 2).
 MAX_ORDER = 4000
 _NEAR_ZERO = 1e-12
+_FENCES = {"lower": "outlier_lower_bounds", "upper": "outlier_upper_bounds", "p1": "winsor_lower_bounds", "p99": "winsor_upper_bounds"}
 
 
 def resolve_used_components(ratios: np.ndarray, selector) -> int:
@@ -52,6 +53,7 @@ class PcaModel:
     fills: np.ndarray | None = None
     centroids: np.ndarray | None = None
     outlier: str | None = None
+    iqr_multiplier: float = 1.5
     fences: dict[str, np.ndarray] = field(default_factory=dict)
     scaling: str = "none"
     centers: np.ndarray | None = None
@@ -140,13 +142,18 @@ class PcaModel:
     # -- JSON -----------------------------------------------------------------------------------
     def to_payload(self) -> dict:
         """Nested plain values, in the layout of transform payloads."""
+        n = len(self.columns)
         by = lambda x: None if x is None else {c: float(v) for c, v in zip(self.columns, x)}
         return {
             "columns": list(self.columns),
             "n_component": self.n_component,
-            "impute_model": {"strategy": self.impute, "fill_values": by(self.fills) or {}, "kmeans_n_clusters": None if self.centroids is None else len(self.centroids), "kmeans_centroids": [] if self.centroids is None else [by(c) for c in self.centroids]},
-            "outlier_model": {"strategy": self.outlier, **{k: by(v) for k, v in self.fences.items()}},
-            "scaling_model": {"strategy": self.scaling, "centers": by(self.centers) or {}, "scales": by(self.scales) or {}},
+            # the key names of transform payloads are fixed values
+            "impute_model": {
+                "impute_strategy": self.impute, "impute_values": by(self.fills) or {}, "impute_kmeans_n_clusters": None if self.centroids is None else len(self.centroids),
+                "impute_kmeans_centroids": [] if self.centroids is None else [by(c) for c in self.centroids],
+            },
+            "outlier_model": {"outlier_strategy": self.outlier, "iqr_multiplier": self.iqr_multiplier} | {name: by(self.fences.get(k)) or {} for k, name in _FENCES.items()},
+            "scaling_model": {"strategy": self.scaling, "centers": by(np.zeros(n) if self.centers is None else self.centers), "scales": by(np.ones(n) if self.scales is None else self.scales)},
             "pca_column_names": self.score_columns,
             "pca": {
                 "components": self.components.tolist(), "mean": self.mean.tolist(), "explained_variance": self.explained_variance.tolist(),
@@ -167,11 +174,11 @@ class PcaModel:
         arrays = {k: np.array(pca[k], dtype=float) for k in ("components", "mean", "explained_variance", "explained_variance_ratio", "singular_values")}
         if arrays["components"].shape != (data["n_component"], len(columns)) or len(arrays["mean"]) != len(columns):
             raise ValueError("components, mean and columns have different shapes")
-        fences = {k: arrange(v) for k, v in outlier.items() if k != "strategy" and isinstance(v, dict) and v}
-        centroids = impute["kmeans_centroids"]
+        fences = {k: arrange(outlier[name]) for k, name in _FENCES.items() if outlier[name]}
+        centroids = impute["impute_kmeans_centroids"]
         return cls(
-            columns=list(columns), **arrays, n_samples=pca["n_samples"], noise_variance=pca["noise_variance"], impute=impute["strategy"], fills=arrange(impute["fill_values"]),
-            centroids=np.array([arrange(c) for c in centroids]) if centroids else None, outlier=outlier["strategy"], fences=fences, scaling=scaling["strategy"],
+            columns=list(columns), **arrays, n_samples=pca["n_samples"], noise_variance=pca["noise_variance"], impute=impute["impute_strategy"], fills=arrange(impute["impute_values"]),
+            centroids=np.array([arrange(c) for c in centroids]) if centroids else None, outlier=outlier["outlier_strategy"], iqr_multiplier=outlier["iqr_multiplier"], fences=fences, scaling=scaling["strategy"],
             centers=arrange(scaling["centers"]), scales=arrange(scaling["scales"]), whiten=pca["whiten"],
         )
 
@@ -271,7 +278,7 @@ def fit_pca(
         raise ValueError("kmeans_n_clusters needs impute='kmeans'")
     spark, n = facts.sparkSession, len(features)
     sources, table = facts.select("source").distinct(), spark.range(1, n + 1).withColumnRenamed("id", "feature_id")
-    state: dict = {"columns": features, "impute": impute, "outlier": outlier, "scaling": scaling}
+    state: dict = {"columns": features, "impute": impute, "outlier": outlier, "iqr_multiplier": iqr_multiplier, "scaling": scaling}
     now = stats.clean(facts)
     if impute == "drop":
         now = stats.drop_missing(now, n)

@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismflow.config import PreprocessConfig
+from prismflow.functions.lineage import cut
 from prismflow.functions.quantiles import missing
 from prismflow.functions.transforms import intensity
 
 ROW = ("source", "row_index", "Time", "Step", "Sequence")
-#: Neighbour tables of at most so many rows are broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def filter_steps(frame: DataFrame, steps) -> DataFrame:
@@ -83,25 +82,31 @@ def smooth_time(frame: DataFrame, window: float | None, keep: DataFrame | None =
 
 
 def smooth_wavelength(frame: DataFrame, window: float | None) -> DataFrame:
-    """Each value becomes the mean over wavelengths of its row at most `window` apart."""
+    """Each value becomes the mean over wavelengths of its row at most `window` apart.
+
+    A row's wavelengths, as many as its file has columns, are averaged as one array.
+    """
     if window is None:
         return frame
-    waves = frame.select("wavelength").distinct()
-    near = waves.withColumn("cell", F.floor(F.col("wavelength") / window))
-    left = near.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).withColumnRenamed("wavelength", "target")
-    pairs = left.join(near, "cell").filter(F.abs(F.col("wavelength") - F.col("target")) <= window).select("target", "wavelength")
-    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-    values = frame.select("source", "row_index", "wavelength", "value")
-    means = values.join(pairs, "wavelength").groupBy("source", "row_index", F.col("target").alias("wavelength")).agg(F.avg("value").alias("value"))
-    return frame.drop("value").join(means, ["source", "row_index", "wavelength"])
+    meta = [c for c in frame.columns if c not in ("wavelength", "value")]
+    rows = frame.groupBy(*meta).agg(F.collect_list(F.struct("wavelength", "value")).alias("row"))
+
+    def mean(point):
+        near = F.filter("row", lambda x: (F.abs(x.wavelength - point.wavelength) <= window) & x.value.isNotNull())
+        total = F.aggregate(near, F.lit(0.0), lambda s, x: s + x.value)
+        return F.struct(point.wavelength.alias("wavelength"), F.try_divide(total, F.size(near).cast("double")).alias("value"))
+
+    return rows.withColumn("x", F.explode(F.transform("row", mean))).select(*meta, "x.wavelength", "x.value")
 
 
 def _divided(frame: DataFrame, keys: list[str], inside, what: str, check: bool) -> DataFrame:
-    means = frame.groupBy(*keys).agg(F.avg(F.when(inside, F.col("value"))).alias("reference"))
-    wrong = missing("reference") | (F.col("reference") == 0) | (F.abs("reference") == float("inf"))
-    if check and means.filter(wrong).limit(1).count():
-        raise ValueError(f"{what}: a reference mean is absent, 0 or not finite")
-    return frame.join(means, keys).withColumn("value", F.try_divide("value", "reference")).drop("reference")
+    reference = F.avg(F.when(inside, F.col("value")))
+    if check:
+        means = frame.groupBy(*keys).agg(reference.alias("reference"))
+        wrong = missing("reference") | (F.col("reference") == 0) | (F.abs("reference") == float("inf"))
+        if means.filter(wrong).limit(1).count():
+            raise ValueError(f"{what}: a reference mean is absent, 0 or not finite")
+    return frame.withColumn("value", F.try_divide(F.col("value"), reference.over(Window.partitionBy(*keys))))
 
 
 def normalize_time(frame: DataFrame, bounds: tuple[float, float] | None, check: bool = True) -> DataFrame:
@@ -145,11 +150,10 @@ def transform_intensity(frame: DataFrame, kind: str = "none", scale: float = 1.0
 
 def preprocess(frame: DataFrame, config: PreprocessConfig) -> DataFrame:
     """All stages in their fixed order, on a table that load() checked and filtered by step and wavelength."""
-    frame = edge_trim(step_times(frame), config.edge_trim)
-    if config.t_smoothing_window or config.t_normalization_range or config.w_smoothing_window:
-        frame = frame.cache()  # several of the next stages read it twice
+    frame = cut(edge_trim(step_times(frame), config.edge_trim))  # read for the times, the windows and the values
     times = frame.select("Time").distinct()
-    frame = smooth_time(frame, config.t_smoothing_window)
+    if config.t_smoothing_window is not None:
+        frame = cut(smooth_time(frame, config.t_smoothing_window))
     frame = smooth_wavelength(frame, config.w_smoothing_window)
     frame = normalize_time(frame, config.t_normalization_range)
     frame = normalize_wavelength(frame, config.w_normalization_range)

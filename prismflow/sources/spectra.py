@@ -6,6 +6,7 @@ in one scan; the long table has a row per (source, row_index, wavelength).
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections import Counter
 from collections.abc import Iterable
@@ -71,7 +72,7 @@ def scan(spark: SparkSession, paths: list[Path]) -> tuple[DataFrame, list[str]]:
             raise ValueError(f"{p}: its wavelengths differ from those of {paths[0]}")
         waves = own
     names = spark.createDataFrame([(p.as_uri(), p.as_posix()) for p in paths], "uri string, source string")
-    rows = spark.read.parquet(*[p.as_uri() for p in paths])
+    rows = spark.read.parquet(*["file://" + re.sub(r"([][{}*?\\])", r"\\\1", p.as_posix()) for p in paths])  # names are no patterns
     # Spark writes file:/x where as_uri() has file:///x
     uri = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///")
     rows = rows.select("*", uri.alias("uri"), F.col("_metadata.row_index").alias("row_index"))

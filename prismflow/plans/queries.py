@@ -185,15 +185,16 @@ def null_prune(spark, sf_dir):
     return fl.prune_sparse(*_flattened(spark, sf_dir), 0.1)[0].select("source", "feature_id", "value")
 
 
-@query(f"""WITH {_FLAT} SELECT source, "Step", "Sequence", "StepTime", wavelength, value AS intensity FROM facts JOIN features USING (feature_id) WHERE feature_id <= 40""")
+@query(f"""WITH {_FLAT} SELECT s.source, "Step", "Sequence", "StepTime", wavelength, value AS intensity
+FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id WHERE f.feature_id <= 40""")
 def unflatten_long(spark, sf_dir):
     facts, features, sources = _flattened(spark, sf_dir)
     wide = fl.to_wide(facts.filter("feature_id <= 40"), features.filter("feature_id <= 40"), sources)
     return fl.flatten_to_long(wide)
 
 
-@query(f"""WITH {_FLAT} SELECT source, "Step", "Sequence", "StepTime", max(value) FILTER (wavelength = 401) AS w401, max(value) FILTER (wavelength = 402) AS w402
-FROM facts JOIN features USING (feature_id) WHERE wavelength <= 402 GROUP BY ALL""")
+@query(f"""WITH {_FLAT} SELECT s.source, "Step", "Sequence", "StepTime", max(value) FILTER (wavelength = 401) AS w401, max(value) FILTER (wavelength = 402) AS w402
+FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id WHERE wavelength <= 402 GROUP BY ALL""")
 def unflatten_wide(spark, sf_dir):
     facts, features, sources = _flattened(spark, sf_dir)
     few = features.filter("wavelength <= 402")

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -34,7 +35,7 @@ def test_query(spark, duck, name):
 
 
 def tidy_rows(df):
-    rows = [tuple(None if v is None or v != v else v for v in row) for row in df.itertuples(index=False)]
+    rows = [tuple(None if pd.isna(v) else v for v in row) for row in df.itertuples(index=False)]
     return sorted(rows, key=lambda row: tuple((v is None, 0 if v is None else v) for v in row))
 
 

@@ -12,7 +12,7 @@ from prismflow.llm.language_id import identify_corpus
 from prismflow.llm.mixing import mix_sources
 from prismflow.llm.near_dedup import near_groups
 from prismflow.llm.packing import pack_documents, with_crc
-from prismflow.llm.secret_scan import secret_scan
+from prismflow.llm.secret_scan import BASE_RULES, MORE_RULES, secret_scan
 from prismflow.llm.substring_dedup import substring_dedup, with_digest
 from prismflow.llm.token_counts import corpus_token_counts
 from prismflow.llm.token_store import store_and_read
@@ -71,6 +71,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: The white-space and word rules as DuckDB regular expressions.
 _WS = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _matches(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """SQL for the spans of one rule: matches and the gaps before them, with running sums of their lengths."""
+    p = pattern.replace("'", "''")
+    return f"""
+        SELECT doc_id, {place} AS place, '{kind}' AS kind, stop - n AS start, stop, t FROM (
+            SELECT doc_id, n, t, sum(g + n) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (
+                SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, len(unnest(m)) AS n, len(unnest(q)) AS t, len(unnest(gaps[1:len(m)])) AS g FROM (
+                    SELECT doc_id, regexp_extract_all(x, '{p}') AS m, regexp_extract_all(x, '{p}', {group}) AS q, regexp_split_to_array(x, '{p}') AS gaps
+                    FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)) WHERE len(m) > 0))
+        WHERE t >= {least}"""
+
+
+_SPANS = " UNION ALL ".join(_matches(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(BASE_RULES + MORE_RULES))
 
 _ORACLES = {
     "op1_exact_dedup": rf"""
@@ -78,6 +95,16 @@ _ORACLES = {
         SELECT DISTINCT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(x) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY x)""",
+    "op2_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM dup),
+        lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+        words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op3_exact_top_k": """
         WITH x AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS v FROM embeddings
@@ -87,6 +114,24 @@ _ORACLES = {
             FROM x q JOIN x c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op6_near_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+        c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op9_secret_scan": f"""
+        WITH f AS ({_SPANS}),
+        named AS (SELECT doc_id, place, CAST(start AS BIGINT) AS start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM f),
+        g AS (SELECT doc_id, count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS b, count(*) FILTER (place = 2) AS c,
+                     string_agg(span, ',' ORDER BY start, place) FILTER (place < 3) AS base, string_agg(span, ',' ORDER BY start, place) AS every FROM named GROUP BY 1)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+        FROM (SELECT doc_id FROM documents) LEFT JOIN g USING (doc_id)""",
     "op7_mix_sources": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

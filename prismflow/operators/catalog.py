@@ -43,6 +43,22 @@ def catalog_list(files: DataFrame, segments: DataFrame, metadata: DataFrame, key
     return files.join(counts, key, "left").join(metadata, key, "left")
 
 
+def catalog_diff(old: DataFrame, new: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """key and state of every entry on either side: new, changed, gone or same, by the identity columns."""
+    a = old.select(key, F.struct(*identity).alias("was"))
+    b = new.select(key, F.struct(*identity).alias("now"))
+    state = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("was") == F.col("now"), "same").otherwise("changed")
+    return a.join(b, key, "full").select(key, state.alias("state"))
+
+
+def segment_rows(timed: DataFrame, step: int, sequence: int) -> DataFrame:
+    """Rows of one (Step, Sequence) in StepTime order; ValueError where there is none."""
+    rows = timed.filter((F.col("Step") == step) & (F.col("Sequence") == sequence))
+    if not rows.limit(1).count():
+        raise ValueError(f"no rows of step {step}, sequence {sequence}")
+    return rows.orderBy("StepTime")
+
+
 class Catalog:
     """files, segments, file_metadata and runs in a folder."""
 
@@ -132,6 +148,12 @@ class Catalog:
         first = F.min(F.struct("created_at", "config_json")).alias("f")
         return log.groupBy("run_id").agg(state, first, F.max("kind").alias("kind")).select("run_id", "kind", "f.created_at", "s.status", "f.config_json", "s.error").orderBy(F.desc("created_at"))
 
+    def find_run(self, kind: str, config: dict) -> str | None:
+        """A succeeded run of the same kind and settings, the newest, or None."""
+        same = self.runs().filter((F.col("kind") == kind) & (F.col("config_json") == json.dumps(config)) & (F.col("status") == "succeeded"))
+        row = same.orderBy(F.desc("created_at")).first()
+        return row["run_id"] if row else None
+
     def fail_interrupted(self) -> int:
         """Runs that were left running are failed; their number."""
         left = [r["run_id"] for r in self.runs().filter(F.col("status").isin("running", "queued")).collect()]

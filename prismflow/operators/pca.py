@@ -392,6 +392,12 @@ def q_contribution(model: PcaModel, prepared: DataFrame, selector=0.9) -> DataFr
     return z.select("source", "feature_id", (gap * gap).alias("contribution"))
 
 
+def q_consistent(contributions: DataFrame, scores: DataFrame, q_column: str, tolerance: float = 0.01) -> DataFrame:
+    """source and whether its contributions sum to its Q within a relative tolerance."""
+    sums = contributions.groupBy("source").agg(F.sum("contribution").alias("s"))
+    return sums.join(scores.select("source", F.col(q_column).alias("q")), "source").select("source", (F.abs(F.col("s") - F.col("q")) <= tolerance * F.abs("q")).alias("consistent"))
+
+
 def residual(model: PcaModel, prepared: DataFrame, selector=0.9) -> DataFrame:
     """source, feature_id, value: prepared minus reconstructed, in the original scale."""
     k = resolve_used_components(model.explained_variance_ratio, selector)

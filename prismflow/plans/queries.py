@@ -516,3 +516,94 @@ def heatmap_bin(spark, sf_dir):
 @query(f"""WITH {SPECTRA}, r AS (SELECT source, "Time", wavelength, value, row_number() OVER (PARTITION BY source, "Time" ORDER BY abs(wavelength - 403.5), wavelength) AS k FROM spectra) SELECT source, "Time", wavelength, value FROM r WHERE k = 1""")
 def nearest_trend(spark, sf_dir):
     return tables.nearest_row(spectra(spark, sf_dir).select("source", "Time", "wavelength", "value"), ["source", "Time"], "wavelength", 403.5)
+
+
+@query(f"""WITH {SPECTRA} SELECT source, "Time", max(value) FILTER (wavelength = 401) AS w401, max(value) FILTER (wavelength = 403) AS w403 FROM spectra GROUP BY ALL""")
+def pivot_first(spark, sf_dir):
+    return tables.pivot_first(spectra(spark, sf_dir), ["source", "Time"], "wavelength", "value", [401.0, 403.0]).toDF("source", "Time", "w401", "w403")
+
+
+@query("""SELECT DISTINCT event_type AS value FROM events WHERE event_type IS NOT NULL""")
+def category_options(spark, sf_dir):
+    return tables.options(table(spark, sf_dir, "events"), "event_type")
+
+
+_DAY = "epoch_us(o_orderdate)"
+
+
+@query(f"""WITH e AS (SELECT min({_DAY}) AS lo, CAST(ceil((max({_DAY}) - min({_DAY}) + 1) / 20.0) AS BIGINT) AS w FROM orders)
+SELECT ({_DAY} - lo) // w AS bin, CAST(lo + ({_DAY} - lo) // w * w AS DOUBLE) AS lower, CAST(lo + ({_DAY} - lo) // w * w + w AS DOUBLE) AS upper, count(*) AS count FROM orders, e GROUP BY ALL""")
+def histogram_time(spark, sf_dir):
+    return tables.time_histogram(table(spark, sf_dir, "orders"), "o_orderdate")
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY k NULLS LAST, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER)) AS BIGINT) AS place, k2 AS doc_id FROM (SELECT source, CASE WHEN max(doc_id) % 2 = 0 THEN max(n_chars) END AS k, max(doc_id) AS k2 FROM documents GROUP BY source)""")
+def control_chart_order(spark, sf_dir):
+    one = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n"))
+    chart = tables.control_chart_order(one.withColumn("k", F.when(F.col("doc_id") % 2 == 0, F.col("n"))), "k", "source")
+    return chart.select("place", "doc_id")
+
+
+@query(f"""WITH {TIMED} SELECT {_LONG}, "StepTime", value FROM timed WHERE "Step" = 1 AND "Sequence" = 2""")
+def segment_rows(spark, sf_dir):
+    from prismflow.operators.catalog import segment_rows as rows
+
+    return rows(pp.step_times(spectra(spark, sf_dir)), 1, 2).select(*LONG, "StepTime", "value")
+
+
+@query("""WITH a AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 11 <> 0)
+SELECT c_custkey, CASE WHEN a.c_acctbal IS NULL THEN 'new' WHEN b.c_acctbal IS NULL THEN 'gone' WHEN a.c_acctbal = b.c_acctbal THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b USING (c_custkey)""")
+def catalog_diff(spark, sf_dir):
+    from prismflow.operators.catalog import catalog_diff as diff
+
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    new = rows.filter("c_custkey % 11 <> 0").withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0))
+    return diff(rows.filter("c_custkey % 7 <> 0"), new, "c_custkey", ["c_acctbal"])
+
+
+# with two components the F quantile has a closed form, so SQL can state the limit
+_T2_LIMIT = "2 * 101.0 * 99 / (100 * 98) * (98 / 2.0) * (power(0.01, -2.0 / 98) - 1)"
+
+
+@query(f"""WITH {_MODEL} SELECT source, round(sum(score * score / v), 6) AS mahalanobis_sq, round({_T2_LIMIT}, 6) AS mahalanobis_ucl, sum(score * score / v) > {_T2_LIMIT} AS mahalanobis_exceeds_ucl
+FROM scores JOIN lam USING (component) WHERE component <= 2 GROUP BY source""")
+def monitor_t2(spark, sf_dir):
+    from prismflow.config import MahalanobisConfig
+    from prismflow.operators.pca import transform_pca
+
+    config = MahalanobisConfig(2)
+    out = transform_pca(_literal_model(), embedding_facts(spark, sf_dir), mahalanobis=config)
+    return out.select("source", *[_r(c) for c in config.columns[:2]], config.columns[2])
+
+
+@query(f"""WITH {_MODEL}, q AS (SELECT source, sum((z - zhat) ** 2) AS q FROM z JOIN back USING (source, feature_id) GROUP BY source) SELECT source, true AS consistent FROM q""")
+def q_consistency(spark, sf_dir):
+    from prismflow.config import SpeConfig
+    from prismflow.operators.pca import q_consistent, transform_pca
+
+    model, facts = _literal_model(), embedding_facts(spark, sf_dir)
+    scored = transform_pca(model, facts, spe=SpeConfig(3))
+    return q_consistent(q_contribution(model, prepare(model, facts), 3), scored, "spe")
+
+
+@query(f"""WITH {FACTS}, m AS (SELECT CAST(f AS BIGINT) AS feature_id FROM range(3, 12) t(f)) SELECT s.source, m.feature_id, value FROM (SELECT DISTINCT source FROM facts) s CROSS JOIN m LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = m.feature_id""")
+def align_features(spark, sf_dir):
+    facts = embedding_facts(spark, sf_dir)
+    model = spark.range(3, 12).select(F.col("id").alias("feature_id"), F.lit(None).cast("double").alias("fill"))
+    return stats.fill_missing(facts, model, facts.select("source").distinct())
+
+
+@query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY event_type""")
+def event_props(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"))
+
+
+@query(f"""WITH {TIMED}, g AS (SELECT source, "Step", "Sequence", count(DISTINCT row_index) AS n FROM timed GROUP BY ALL), m AS (SELECT "Step", "Sequence", max(n) AS n FROM g GROUP BY ALL)
+SELECT CAST(sum(ceil(n / 2)) * 4 * 10 * 80 AS BIGINT) AS bytes FROM m""")
+def fit_size(spark, sf_dir):
+    from prismflow.operators.catalog import segment_summary
+    from prismflow.plans.runs import fit_bytes
+
+    segments = segment_summary(pp.step_times(spectra(spark, sf_dir)))
+    return spark.createDataFrame([(fit_bytes(segments, 10, 7, 2, 2),)], "bytes long")

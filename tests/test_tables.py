@@ -131,3 +131,28 @@ def test_runs(spark, files, tmp_path):
     c.update(files)
     states = [r["state"] for r in monitoring(scores.limit(11), c.listing()).collect()]
     assert len(states) == 12 and states.count("unscored") == 1
+
+
+def test_state_from_parameters(frame):
+    state = tables.parse_state({"q": "alpha", "sort": "-count", "page": "2", "size": "1", "min.count": "1", "max.score": "2", "in.group": "a,b", "text.note": "f", "null.when": "1"}, frame.schema)
+    assert state == TableState(search="alpha", text={"note": "f"}, values={"group": ["a", "b"]}, lower={"count": 1}, upper={"score": 2.0}, only_null=["when"], sort="count", descending=True, page=2, page_size=1)
+    for bad in ({"x": "1"}, {"min.none": "1"}, {"sort": "none"}):
+        with pytest.raises(ValueError):
+            tables.parse_state(bad, frame.schema)
+
+
+def test_small_views(spark, frame):
+    assert [r["value"] for r in tables.options(frame, "group").collect()] == ["a", "b"]
+    chart = tables.control_chart_order(frame, "count", "key").orderBy("place").collect()
+    assert [r["key"] for r in chart] == ["k3", "k4", "k1", "k2"]
+    assert [tables.cell_text(v) for v in (None, 1.23456789, datetime(2026, 1, 2, 3, 4, 5), 7, "x")] == ["", "1.23457", "2026-01-02 03:04:05", "7", "x"]
+    assert sum(r["count"] for r in tables.time_histogram(frame, "when").collect()) == 3
+    wide = tables.pivot_first(frame, ["count"], "group", "score", ["a", "b"])
+    assert wide.columns == ["count", "a", "b"] and wide.filter("a = 0.5").count() == 1
+
+
+def test_find_run(spark, tmp_path):
+    c = Catalog(spark, tmp_path)
+    assert c.find_run("fit", {"a": 1}) is None
+    run = c.log_run("fit", "succeeded", {"a": 1})
+    assert c.find_run("fit", {"a": 1}) == run and c.find_run("fit", {"a": 2}) is None

@@ -37,8 +37,8 @@ BANDS, ROWS = 48, 6
 PERMS = BANDS * ROWS
 #: Minima compared at once, and the chance at which a true pair may be left.
 BATCH, MISS = 48, 1e-9
-#: Members of a block in step c, and bits of the bitmap of candidates' ids.
-GROUP, BITS = 128, 23
+#: Members and bytes of sets of a block in step c, and bits of the bitmap of candidates' ids.
+GROUP, GROUP_BYTES, BITS = 128, 8 << 20, 23
 
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 2**31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -252,17 +252,18 @@ def _mixed(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _blocks(mixed: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of blocks (bucket, left, right) that together compare all members across components; right is null for a block with itself."""
-    sizes = mixed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    facts = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
-    facts = facts.filter("n > 2").select("bucket", F.col("top.component").alias("major"), F.col("top.n").alias("n_major"), (F.col("n") - F.col("top.n")).alias("n_minor"))
+    sizes = mixed.join(sigs.select("id", "n_shingles"), "id").groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    facts = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("top"))
+    # blocks by members and by the bytes of their sets
+    blocks = lambda n, s: F.greatest(F.ceil(n / GROUP), F.ceil(s * 8 / GROUP_BYTES)).cast("int")
+    minors, majors = blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")), blocks(F.col("top.n"), F.col("top.s"))
+    facts = facts.filter("n > 2").select("bucket", F.col("top.component").alias("major"), minors.alias("minors"), majors.alias("majors"))
     rows = mixed.join(facts, "bucket")
-    blocks = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
     minor = F.col("component") != F.col("major")
     place = lambda n: F.pmod(F.xxhash64("id", "bucket"), n).cast("int")
     # blocks of smaller components come first, 0 to minors - 1, those of the largest after them
-    rows = rows.withColumn("minors", blocks("n_minor")).withColumn("majors", blocks("n_major"))
     rows = rows.withColumn("block", F.when(minor, place(F.col("minors"))).otherwise(F.col("minors") + place(F.col("majors"))))
-    full = rows.select("bucket", "block", "minors", "majors", "id", "component").join(sigs, "id").join(sets, "id")
+    full = rows.select("bucket", "block", "minors", "majors", "id", "component").join(sigs.select("id", "sig"), "id").join(sets, "id")
     packed = full.groupBy("bucket", "block", "minors", "majors").agg(F.collect_list(F.struct("id", "component", "sig", "items")).alias("left"))
     packed = materialize(packed, "blocks")
     first = packed.filter("block < minors")
@@ -285,7 +286,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     members = materialize(banded.join(shared, "bucket"), "buckets")
     active = members.select("id").distinct()
     bitmap = spark.sparkContext.broadcast(bitmap_of(active, F.col("id"), BITS))
-    sigs = materialize(full.select(F.col("doc_id").alias("id"), "sig").join(active, "id", "left_semi"), "active")
+    sigs = materialize(full.select(F.col("doc_id").alias("id"), "sig", "n_shingles").join(active, "id", "left_semi"), "active")
     sets = materialize(texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets_of(width, bitmap), "id long, items binary").join(active, "id", "left_semi"), "sets")
     verifier = _Verifier(sigs, sets, percent)
     nearest = members.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).filter("a <> b")

@@ -249,7 +249,9 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, batches: int = 2, id_co
     index = FingerprintIndex(docs.sparkSession, width)
     for k in range(batches):
         index.add(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    return remove_repeats(rows, index.repeated(), width)
+    out = remove_repeats(rows, index.repeated(), width)
+    index.drop()  # repeats are found and stored by now
+    return out
 
 
 def with_digest(kept: DataFrame) -> DataFrame:

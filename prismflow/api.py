@@ -44,10 +44,10 @@ def preprocess_and_flatten(spark: SparkSession, paths, **settings) -> Flattened:
     frame = load(spark, paths, config)
     sources = frame.select("source").distinct()
     facts, features = fl.flatten(cut(preprocess(frame, config)))
-    facts, features = fl.prune_sparse(facts, features, sources, config.max_null_ratio)
-    facts, features = _renumbered(facts, features)
     if config.materialize_once:
         facts, features = facts.cache(), features.cache()
+    if config.max_null_ratio < 1:  # the bound is inclusive: 1 drops nothing
+        facts, features = _renumbered(*fl.prune_sparse(facts, features, sources, config.max_null_ratio))
     return Flattened(facts, features, sources)
 
 

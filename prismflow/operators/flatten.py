@@ -18,9 +18,13 @@ MAX_WIDE = 5000
 
 
 def last_of_duplicates(frame: DataFrame) -> DataFrame:
-    """One value per (source, coordinates): of several rows the last in (Time, row_index) order."""
-    last = F.max_by("value", F.struct("Time", "row_index")).alias("value")
-    return frame.groupBy("source", *AXES).agg(last)
+    """One value per (source, coordinates): of several rows the last in (Time, row_index) order.
+
+    Rows are chosen among time points, of which there are far fewer than values.
+    """
+    points = frame.select("source", "row_index", "Time", "Step", "Sequence", "StepTime").distinct()
+    last = points.groupBy("source", "Step", "Sequence", "StepTime").agg(F.max_by("row_index", F.struct("Time", "row_index")).alias("row_index"))
+    return frame.join(last.select("source", "row_index"), ["source", "row_index"], "left_semi").select("source", *AXES, "value")
 
 
 def feature_grid(frame: DataFrame) -> DataFrame:
@@ -28,19 +32,30 @@ def feature_grid(frame: DataFrame) -> DataFrame:
     return frame.select("Step", "Sequence", "StepTime").distinct()
 
 
+def _axes(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The grid's points with place and number of them, and the wavelengths with place: axes, not data."""
+    grid = feature_grid(frame).withColumn("place", F.row_number().over(Window.orderBy("Step", "Sequence", "StepTime"))).withColumn("points", F.count(F.lit(1)).over(Window.partitionBy()))
+    waves = frame.select("wavelength").distinct().withColumn("band", F.row_number().over(Window.orderBy("wavelength")))
+    return grid, waves
+
+
+def _feature_id():
+    # places in (wavelength, Step, Sequence, StepTime) order
+    return ((F.col("band") - 1).cast("long") * F.col("points") + F.col("place")).alias("feature_id")
+
+
 def feature_table(frame: DataFrame) -> DataFrame:
     """feature_id (from 1, in axis order) and coordinates of all features: the grid times the wavelengths."""
-    grid, waves = feature_grid(frame), frame.select("wavelength").distinct()
-    # the grid of axes, not rows against rows
-    every = grid.join(waves, F.lit(True))
-    return every.select(F.row_number().over(Window.orderBy(*AXES)).cast("long").alias("feature_id"), *AXES)
+    grid, waves = _axes(frame)
+    return grid.join(waves, F.lit(True)).select(_feature_id(), *AXES)
 
 
 def flatten(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts (source, feature_id, value; NaN becomes null) and the feature table of a preprocessed long table."""
-    features = feature_table(frame)
+    grid, waves = _axes(frame)
     rows = last_of_duplicates(frame).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    return rows.join(features, list(AXES)).select("source", "feature_id", "value"), features
+    facts = rows.join(grid, ["Step", "Sequence", "StepTime"]).join(waves, "wavelength").select("source", _feature_id(), "value")
+    return facts, feature_table(frame)
 
 
 def null_ratios(facts: DataFrame, features: DataFrame, sources: DataFrame) -> DataFrame:

@@ -150,7 +150,9 @@ def transform_intensity(frame: DataFrame, kind: str = "none", scale: float = 1.0
 
 def preprocess(frame: DataFrame, config: PreprocessConfig) -> DataFrame:
     """All stages in their fixed order, on a table that load() checked and filtered by step and wavelength."""
-    frame = cut(edge_trim(step_times(frame), config.edge_trim))  # read for the times, the windows and the values
+    frame = edge_trim(step_times(frame), config.edge_trim)
+    if config.t_smoothing_window is not None or config.t_normalization_range or config.w_normalization_range or config.t_downsampling_stride > 1:
+        frame = cut(frame)  # read for the times, the windows, the checks and the values
     times = frame.select("Time").distinct()
     if config.t_smoothing_window is not None:
         frame = cut(smooth_time(frame, config.t_smoothing_window))

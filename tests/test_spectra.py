@@ -201,3 +201,24 @@ def test_unflatten_round_trip(spark, paths):
         fl.flatten_to_long(data.wide(), "Step")
     with pytest.raises(ValueError):
         data.wide(limit=3)
+
+
+def test_scan_reads_what_is_asked_for(spark, paths):
+    from prismflow.sources.spectra import load
+
+    frame = load(spark, paths, PreprocessConfig(target_steps=[1, 2], wavelength_range=(401, 403)))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    read = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert read and all("400.0nm" not in line and "405.0nm" not in line for line in read)
+    assert any("In(Step, [1,2])" in line for line in read)
+
+
+def test_segment_rows(spark, paths):
+    from prismflow.operators.catalog import segment_rows
+    from prismflow.operators.preprocess import step_times
+    from prismflow.sources.spectra import load
+
+    timed = step_times(load(spark, paths[:1]))
+    assert [r["StepTime"] for r in segment_rows(timed, 2, 1).filter("wavelength = 400").collect()] == [0.0, 1.0, 2.0]
+    with pytest.raises(ValueError):
+        segment_rows(timed, 9, 9)

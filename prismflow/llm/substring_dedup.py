@@ -35,7 +35,6 @@ from pyspark.sql.window import Window
 from prismflow.llm.common import WordHashes, bitmap_of, hashed_words, hit, materialize, mix, rolled, scratch_path, slices
 
 WIDTH, GRAM = 35, 8
-BUCKETS = 64
 #: Bits of the bitmaps: repeated anchors (16 MB), documents that lose words (1 MB).
 ANCHOR_BITS, DOC_BITS = 27, 23
 _PLACE = np.uint64((1 << 28) - 1)
@@ -78,15 +77,20 @@ def _anchors(width: int):
 
 
 class FingerprintIndex:
-    """Immutable runs of anchors, sorted by anchor in BUCKETS buckets; a run is a table over a shared folder."""
+    """Immutable runs of anchors, bucketed and sorted by anchor; a run is a table over a shared folder.
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH):
+    There are as many buckets as shuffle partitions, so that what a shuffle by anchor dealt out is a bucket
+    each and goes to one file without another shuffle.
+    """
+
+    def __init__(self, spark: SparkSession, width: int = WIDTH, buckets: int | None = None):
         self.spark, self.width, self.runs = spark, width, []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame) -> str:
         name = f"prismflow_run_{uuid.uuid4().hex}"
         path = scratch_path(self.spark, "run")
-        rows.repartition(BUCKETS, "anchor").write.bucketBy(BUCKETS, "anchor").sortBy("anchor").option("path", path).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).saveAsTable(name)
         return name
 
     def add(self, batch: DataFrame) -> DataFrame:

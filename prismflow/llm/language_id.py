@@ -75,11 +75,21 @@ class TextModel:
 
 
 def train_text_model(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextModel:
-    """The model of a bounded sample: the per_language rows of least hashed id in each language."""
+    """The model of a bounded sample: in each language the per_language rows of least hashed id, among a share of them that is twice as large."""
     rows = labelled.select(F.xxhash64(id_col).alias("draw"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
-    sample = rows.select("lang", "draw", "id").withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
-    sample = rows.join(F.broadcast(sample), ["lang", "draw", "id"], "left_semi")  # at most per_language * MOST_LANGUAGES rows
+    totals = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labelled languages")
+    # first by a share that leaves about twice as many, so that no language is gathered to be ranked
+    share = F.lit(0.0)
+    for r in totals:
+        share = F.when(F.col("lang") == r["lang"], 2.0 * per_language / r["count"]).otherwise(share)
+    part = F.hash("draw").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) / 2.0**32
+    few = rows.select("lang", "draw", "id", part.alias("part")).filter(F.col("part") < share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("part", "draw", "id"))
+    sample = few.withColumn("place", place).filter(F.col("place") <= per_language).select("lang", "draw", "id")
+    sample = rows.join(F.broadcast(sample), ["lang", "draw", "id"], "left_semi")  # at most per_language * MOST_LANGUAGES keys
+    sample = sample.dropDuplicates(["lang", "draw", "id"])  # rows that repeat an id count once
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -91,8 +101,6 @@ def train_text_model(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_c
 
     found = sample.select("lang", "text").mapInArrow(counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} labelled languages; at most {MOST_LANGUAGES} are possible")
     table = np.full((len(languages) + 1, SLOTS + 1), 0.5)
     table[[languages.index(x) for x in found["lang"]], found["slot"]] += found["n"]
     table[-1] = 1.0

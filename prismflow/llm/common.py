@@ -55,6 +55,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; it does when the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; results read from it must be saved before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismflow.llm.common import WordHashes, bitmap_of, hashed_words, hit, materialize, mix, rolled, slices
+from prismflow.llm.common import WordHashes, bitmap_of, hashed_words, hit, materialize, mix, release_shuffles, rolled, slices
 from prismflow.llm.components import components
 
 BANDS, ROWS = 48, 6
@@ -284,6 +284,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     banded = sigs.mapInArrow(_banded, "bucket long, id long")
     shared = banded.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("bucket", "first")
     members = materialize(banded.join(shared, "bucket"), "buckets")
+    release_shuffles(spark)  # the bands of all classes were shuffled; the buckets that hold several are few
     active = members.select("id").distinct()
     bitmap = spark.sparkContext.broadcast(bitmap_of(active, F.col("id"), BITS))
     sigs = materialize(full.select(F.col("doc_id").alias("id"), "sig", "n_shingles").join(active, "id", "left_semi"), "active")

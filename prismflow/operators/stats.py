@@ -5,11 +5,18 @@ Missing is null or NaN. Fitted state is a small table keyed by feature_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismflow.functions.quantiles import missing, nearest_quantile
 
+#: Sources of a block and features of a run, whose dense matrix (8 bytes a cell) gram() multiplies in a task; at most about.
+GRAM_SOURCES, GRAM_FEATURES = 256, 1024
+
 
 def clean(facts: DataFrame) -> DataFrame:
     """NaN as null."""
@@ -108,9 +115,46 @@ def covariance(facts: DataFrame) -> DataFrame:
 
 
 def gram(facts: DataFrame) -> DataFrame:
-    """Upper triangle (a <= b) of inner products of centered sources."""
+    """Upper triangle (a <= b) of inner products of centered sources.
+
+    Blocks of sources are multiplied by blocks of sources, over runs of features, as dense matrices in tasks:
+    a task holds two blocks, and no feature's rows meet in one key.
+    """
+    facts = facts.filter("source is not null")
     means = facts.groupBy("feature_id").agg(F.avg("value").alias("m"))
     centered = facts.join(means, "feature_id").select("source", "feature_id", (F.col("value") - F.col("m")).alias("c"))
-    left = centered.select("feature_id", F.col("source").alias("a"), F.col("c").alias("x"))
-    right = centered.select("feature_id", F.col("source").alias("b"), F.col("c").alias("y"))
-    return left.join(right, "feature_id").filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("product"))
+    sizes = facts.agg(F.count_distinct("source").alias("sources"), F.count_distinct(F.floor(F.col("feature_id") / GRAM_FEATURES)).alias("runs")).first()
+    blocks = max(1, -(-sizes["sources"] // GRAM_SOURCES))
+    kind = facts.schema["source"].dataType.simpleString()
+    cells = centered.withColumn("block", F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")).withColumn("run", F.floor(F.col("feature_id") / GRAM_FEATURES).cast("long"))
+    packed = cells.groupBy("block", "run").applyInArrow(_dense_block, f"block int, run long, sources array<{kind}>, matrix binary")
+    partner = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    left = packed.select("run", F.col("block").alias("i"), partner, F.col("sources").alias("a"), F.col("matrix").alias("x")).filter("other >= i").withColumnRenamed("other", "j")
+    right = packed.select("run", F.col("block").alias("j"), partner, F.col("sources").alias("b"), F.col("matrix").alias("y")).filter("other <= j").withColumnRenamed("other", "i")
+    pairs = left.join(right, ["run", "i", "j"]).mapInArrow(_block_products, f"p {kind}, q {kind}, product double")
+    products = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "product")
+    return products if sizes["runs"] <= 1 else products.groupBy("a", "b").agg(F.sum("product").alias("product"))
+
+
+def _dense_block(cells: pa.Table) -> pa.Table:
+    """One row: the block's sources, and their values in the run's features as a dense matrix."""
+    sources = cells.column("source").combine_chunks().dictionary_encode()
+    at = cells.column("feature_id").to_numpy() % GRAM_FEATURES
+    matrix = np.zeros((len(sources.dictionary), int(at.max()) + 1))
+    np.add.at(matrix, (sources.indices.to_numpy(), at), np.nan_to_num(cells.column("c").to_numpy().astype(float), nan=0.0))
+    names = pa.ListArray.from_arrays(pa.array([0, len(sources.dictionary)], pa.int32()), sources.dictionary)
+    columns = {"block": cells.column("block")[:1], "run": cells.column("run")[:1], "sources": names, "matrix": pa.array([matrix.tobytes()], pa.binary())}
+    return pa.table(columns)
+
+
+def _block_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inner products of each source of one block with each of the other; of a block with itself, each pair once."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            a, b = batch.column("a")[k].values, batch.column("b")[k].values
+            x, y = (np.frombuffer(batch.column(c)[k].as_py()).reshape(len(n), -1) for c, n in (("x", a), ("y", b)))
+            width = min(x.shape[1], y.shape[1])  # features beyond it are 0 in one of the two
+            products = x[:, :width] @ y[:, :width].T
+            one = batch.column("i")[k] == batch.column("j")[k]
+            row, column = np.triu_indices(len(a)) if one else np.indices(products.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(row)), b.take(pa.array(column)), pa.array(products[row, column])], names=["p", "q", "product"])

@@ -128,16 +128,20 @@ def _scored(model):
     return run
 
 
-KEYS = ["kind", "id", "declared", "suffix", "host", "domain"]
+KEYS = ["kind", "id", "digest", "declared", "suffix", "host", "domain"]
 
 
-def evidence(rows: DataFrame, kind: str, row_id: Column, text: Column, declared: Column, address: Column) -> DataFrame:
-    """Rows in the shape that identify() takes; address is a URL, a host or any name of an origin."""
+def evidence(rows: DataFrame, kind: str, row_id: Column, text: Column, declared: Column, address: Column, digest: Column | None = None) -> DataFrame:
+    """Rows in the shape that identify() takes; address is a URL, a host or any name of an origin.
+
+    A digest, if given, tells rows of one id apart in what identify() returns.
+    """
+    digest = F.lit(None).cast("binary") if digest is None else digest
     host = F.lower(F.regexp_extract(F.coalesce(address, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    known = rows.select(F.lit(kind).alias("kind"), row_id.cast("long").alias("id"), text.alias("text"), F.lower(F.trim(F.coalesce(declared, F.lit("")))).alias("d"), host.alias("host"))
+    known = rows.select(F.lit(kind).alias("kind"), row_id.cast("long").alias("id"), text.alias("text"), digest.alias("digest"), F.lower(F.trim(F.coalesce(declared, F.lit("")))).alias("d"), host.alias("host"))
     short = lambda c: F.when(c == "", "none").when(F.length(c) <= 3, c).otherwise("other")
     return known.select(
-        "kind", "id", "text",
+        "kind", "id", "text", "digest",
         short(F.regexp_extract("d", "^([a-z]*)", 1)).alias("declared"),
         F.when(F.instr("host", ".") > 0, short(F.regexp_extract("host", r"\.([a-z]+)$", 1))).otherwise("none").alias("suffix"),
         "host", F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1).alias("domain"),
@@ -165,11 +169,11 @@ def _plus(a: Column, b: Column) -> Column:
 
 
 def identify(rows: DataFrame, model: TextModel, accept: float = ACCEPT, strength: float = STRENGTH) -> DataFrame:
-    """One row per row of evidence(): kind, id, text_language, language, posterior, kept."""
+    """One row per row of evidence(): kind, id, digest, text_language, language, posterior, kept."""
     names = [*model.languages, "und"]
     n = len(names)
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = "kind string, id long, declared string, suffix string, host string, domain string, text_log array<double>"
+    schema = "kind string, id long, digest binary, declared string, suffix string, host string, domain string, text_log array<double>"
     scored = rows.mapInArrow(_scored(shared), schema)
     post = _softmax(F.col("text_log"))
     best = F.array_position(F.col("post"), F.array_max("post")).cast("int") - 1
@@ -198,13 +202,19 @@ def identify(rows: DataFrame, model: TextModel, accept: float = ACCEPT, strength
     logs = _plus(_plus(F.col("text_log"), F.transform("p", lambda x: F.log(x))), _plus(F.col("declared_log"), F.col("suffix_log")))
     fused = prior.withColumn("logs", logs).withColumn("post", _softmax(F.col("logs")))
     named = lambda c: F.get(F.array(*[F.lit(x) for x in names]), F.array_position(c, F.array_max(c)).cast("int") - 1)
-    out = fused.select("kind", "id", named(F.col("text_log")).alias("text_language"), named(F.col("post")).alias("language"), F.round(F.array_max("post"), 6).alias("posterior"))
+    out = fused.select("kind", "id", "digest", named(F.col("text_log")).alias("text_language"), named(F.col("post")).alias("language"), F.round(F.array_max("post"), 6).alias("posterior"))
     return out.withColumn("kept", (F.col("language") != "und") & (F.col("posterior") >= accept))
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
+def document_evidence(docs: DataFrame, digest: Column | None = None) -> DataFrame:
     """Documents as evidence: lang is what they declare, source is their host."""
-    return evidence(docs, "document", F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"))
+    return evidence(docs, "document", F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"), digest)
+
+
+def _row_digest() -> Column:
+    """128 bits of all that a document is judged by: its text, declared language and origin, nulls apart from empty text."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("null")) for c in ("lang", "source", "text")]
+    return F.unhex(F.md5(F.concat(*parts)))
 
 
 def identify_corpus(docs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -217,7 +227,10 @@ def identify_corpus(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, whose language is settled; a document is looked up by its id and text."""
-    found = identify(document_evidence(docs), train_text_model(docs))
-    gone = found.filter("not kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents, all columns, whose language is settled; a document is looked up by its id and a digest of its text and evidence.
+
+    Rows alike in these have the same evidence, so they have one verdict.
+    """
+    found = identify(document_evidence(docs, _row_digest()), train_text_model(docs))
+    gone = found.filter("not kept").select(F.col("id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (_row_digest() == F.col("__digest")), "left_anti")

@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy and odd rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +42,17 @@ def test_odd_rows(spark, docs, none):
 def test_addresses(spark, url, host, domain, suffix):
     row = evidence(spark.createDataFrame([(1, url)], "id long, url string"), "p", F.col("id"), F.lit(""), F.lit("EN-us"), F.col("url")).first()
     assert (row["host"], row["domain"], row["suffix"], row["declared"]) == (host, domain, suffix, "en")
+
+
+def test_a_rejected_text_takes_no_other_of_its_id(spark):
+    words = {"en": "the water that they thought this", "fr": "les eaux que nous pensions cela"}
+    rows = [(k, f"{words[g]} {words[g]}", g, "s") for k, g in enumerate(["en", "fr"] * 40)]
+    r = random.Random(1)
+    junk = "".join(r.choice("qxzjkvwbpg") for _ in range(4000))  # no language
+    odd = [(None, f"{words['en']} again", "en", "s"), (None, junk, None, None), (7, junk, None, None), (None, f"{words['fr']} again", "fr", "s")]
+    docs = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string, source string")
+    model = train_text_model(docs)
+    verdicts = identify(evidence(docs, "d", F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source")), model)
+    kept = keep_identified(docs).collect()
+    assert verdicts.filter("not kept").count() == 2
+    assert sorted(map(str, kept)) == sorted(map(str, docs.filter(F.length("text") < 4000).collect()))

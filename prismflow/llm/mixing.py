@@ -16,7 +16,7 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismflow.llm.common import materialize, word_count
@@ -58,9 +58,9 @@ def _small(plan: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words), whole (repetitions)."""
+    """One row per document: doc_id, source, size, source_size, target, taken (words), whole (repetitions), row_key."""
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), drawn.alias("draw")), "sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), drawn.alias("draw"), _row_key(id_col, text_col, source_col).alias("row_key")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = water_fill(cycled_weights(totals, weights), epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target")) / F.col("source_size"))).otherwise(0)
@@ -71,12 +71,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     here = sized.join(_small(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     head = F.substring("draw", 1, 6)
     inside = here.filter(head == F.col("cut"))
-    line = Window.partitionBy("source").orderBy("draw", "doc_id")  # documents of one in 16.7 million buckets
+    line = Window.partitionBy("source").orderBy("draw", "doc_id", "row_key")  # documents of one in 16.7 million buckets
     partial = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))))
     inside = inside.withColumn("extra", partial)
     outside = here.filter(head != F.col("cut")).withColumn("extra", F.when(head < F.col("cut"), F.col("size")).otherwise(0))
     both = outside.unionByName(inside)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "whole")
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "whole", "row_key")
 
 
 def _narrowed(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -97,13 +97,25 @@ def _narrowed(sized: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    """128 bits of a row's id, source and text, nulls apart from empty values."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("null")) for c in (F.col(x).cast("string") for x in (id_col, source_col, text_col))]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
+def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows that the mix takes, with the input's columns: whole repetitions, then the cut one, if any.
 
-    A document's id is unique here; the cut repetition has the document's first words, white space kept.
+    A row is looked up by its key. Rows of one key are alike but for what they take (all, a part or nothing
+    of a last repetition, as the cut may lie among them), and it is theirs by turns, so that each row meets
+    one count. The cut repetition has the document's first words, white space kept.
     """
-    take = mixed.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = docs.join(take, F.col(id_col).eqNullSafe(F.col("__id")))
+    counts = mixed.groupBy("row_key", "size", "taken").agg(F.count(F.lit(1)).alias("n")).groupBy("row_key", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "n"))).alias("turns"))
+    upto = F.expr("transform(turns, (x, i) -> struct(x.taken AS taken, aggregate(slice(turns, 1, i + 1), 0L, (s, y) -> s + y.n) AS upto))")
+    take = counts.select(F.col("row_key").alias("__key"), F.col("size").alias("__size"), upto.alias("__turns"))
+    rows = docs.withColumn("__key", _row_key(id_col, text_col, source_col)).join(take, "__key")
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    rows = rows.withColumn("__taken", F.expr("filter(__turns, x -> x.upto >= __place)[0].taken"))
     copies = F.when(F.col("__size") > 0, F.ceil(F.col("__taken") / F.col("__size")).cast("int")).otherwise(0)
     rows = rows.withColumn("__k", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     words = F.least(F.col("__size"), F.col("__taken") - (F.col("__k") - 1) * F.col("__size"))

@@ -64,3 +64,20 @@ def test_empty_and_run(spark, none):
         now = stage(spark, now, "")
     assert now.count() == 0
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_mixing_of_repeated_and_missing_ids(spark):
+    """Rows of one id or none take what is theirs, equal ones included: never n counts for each of n rows."""
+    rows = [(None, f"{'w ' * (k % 5 + 1)}n{k}", f"s{k % 2}") for k in range(40)]
+    rows += [(7, f"r{k} x y", "s0") for k in range(10)] + [(None, "the same text", "s1")] * 12 + [(8, "a b c d", None)] * 9 + [(9, None, "s0"), (9, "", "s0")]
+    rows += [(100 + k, f"t{k} u v w", f"s{k % 2}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    size, target = brute.op7_targets(collected(docs))
+    out = collected(corpus_pipeline.mix(spark, docs, ""))
+    words = lambda r: len(brute.WORD.findall(r["text"] or ""))
+    for s in size:
+        assert abs(sum(words(r) for r in out if r["source"] == s) - target[s]) <= 1
+    first = lambda text: " ".join((text or "").split())
+    for row in set(rows):
+        whole = sum(first(r["text"]) == first(row[1]) and r["doc_id"] == row[0] for r in out)
+        assert whole <= 3 * rows.count(row)

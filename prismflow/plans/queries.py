@@ -14,7 +14,7 @@ from prismflow.operators import flatten as fl
 from prismflow.operators import preprocess as pp
 from prismflow.operators import stats, tables
 from prismflow.operators.pca import PcaModel, fit_pca, prepare, q_contribution, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
-from prismflow.plans.views import EVENTS, FACTS, SPECTRA, TIMED, embedding_facts, event_points, spectra, table
+from prismflow.plans.views import EVENTS, FACTS, SPECTRA, TIMED, embedding_facts, embedding_width, event_points, spectra, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,12 +217,12 @@ _SCALES = {
 }
 for _name, (_strategy, _center, _scale) in _SCALES.items():
 
-    @query(f"""WITH {FACTS} SELECT feature_id, round(coalesce({_center}, 0), 6) AS center, round(coalesce(nullif({_scale}, 0), 1), 6) AS scale FROM facts GROUP BY feature_id""", f"scale_{_name}")
+    @query(f"""WITH {FACTS} SELECT feature_id, round(coalesce({_center}, 0), 6) AS center, round(coalesce(nullif({_scale}, 0), 1), 6) AS scale FROM facts GROUP BY feature_id""", f"scale_{_name}", part=True)
     def _scaling(spark, sf_dir, strategy=_strategy):
         return stats.fit_scaling(embedding_facts(spark, sf_dir), strategy).select("feature_id", _r("center"), _r("scale"))
 
 
-@query(f"""WITH {FACTS}, s AS (SELECT feature_id, avg(value) AS c, stddev_samp(value) AS d FROM facts GROUP BY 1) SELECT source, feature_id, round((value - c) / d, 6) AS value FROM facts JOIN s USING (feature_id)""")
+@query(f"""WITH {FACTS}, s AS (SELECT feature_id, avg(value) AS c, stddev_samp(value) AS d FROM facts GROUP BY 1) SELECT source, feature_id, round((value - c) / d, 6) AS value FROM facts JOIN s USING (feature_id)""", part=True)
 def scale_apply(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     return stats.apply_scaling(facts, stats.fit_scaling(facts, "z-score")).select("source", "feature_id", _r("value"))
@@ -233,39 +233,39 @@ _BOUNDS = f"""q AS (SELECT feature_id, {_near(0.25)} AS q1, {_near(0.75)} AS q3,
     flagged AS (SELECT DISTINCT source FROM facts JOIN bounds USING (feature_id) WHERE value < lower OR value > upper)"""
 
 
-@query(f"""WITH {FACTS} SELECT feature_id, {_near(0.1)} AS q10, {_near(0.9)} AS q90 FROM facts GROUP BY feature_id""")
+@query(f"""WITH {FACTS} SELECT feature_id, {_near(0.1)} AS q10, {_near(0.9)} AS q90 FROM facts GROUP BY feature_id""", part=True)
 def nearest_quantiles(spark, sf_dir):
     return stats.clean(embedding_facts(spark, sf_dir)).groupBy("feature_id").agg(nearest_quantile("value", 0.1).alias("q10"), nearest_quantile("value", 0.9).alias("q90"))
 
 
-@query(f"""WITH {FACTS}, {_BOUNDS} SELECT feature_id, round(lower, 6) AS lower, round(upper, 6) AS upper, p1, p99 FROM bounds""")
+@query(f"""WITH {FACTS}, {_BOUNDS} SELECT feature_id, round(lower, 6) AS lower, round(upper, 6) AS upper, p1, p99 FROM bounds""", part=True)
 def iqr_bounds(spark, sf_dir):
     return stats.fit_outliers(embedding_facts(spark, sf_dir)).select("feature_id", _r("lower"), _r("upper"), "p1", "p99")
 
 
 @query(f"""WITH {FACTS}, {_BOUNDS} SELECT f.source, feature_id, CASE WHEN f.source IN (SELECT source FROM flagged) AND value IS NOT NULL THEN greatest(least(value, p99), p1) ELSE value END AS value
-FROM facts f JOIN bounds USING (feature_id)""")
+FROM facts f JOIN bounds USING (feature_id)""", part=True)
 def winsorize(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     return stats.winsorize(facts, stats.fit_outliers(facts))
 
 
-@query(f"""WITH {FACTS}, {_BOUNDS} SELECT * FROM facts WHERE source NOT IN (SELECT source FROM flagged)""")
+@query(f"""WITH {FACTS}, {_BOUNDS} SELECT * FROM facts WHERE source NOT IN (SELECT source FROM flagged)""", part=True)
 def outlier_drop(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     return stats.drop_outliers(facts, stats.fit_outliers(facts)).select("source", "feature_id", "value")
 
 
-@query(f"""WITH {FACTS}, m AS (SELECT feature_id, median(value) AS fill FROM facts GROUP BY 1) SELECT source, feature_id, round(coalesce(value, fill), 9) AS value FROM facts JOIN m USING (feature_id)""")
+@query(f"""WITH {FACTS}, m AS (SELECT feature_id, median(value) AS fill FROM facts GROUP BY 1) SELECT source, feature_id, round(coalesce(value, fill), 9) AS value FROM facts JOIN m USING (feature_id)""", part=True)
 def median_impute(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     medians = stats.fit_medians(facts, facts.select("feature_id").distinct())
     return stats.fill_missing(facts, medians, facts.select("source").distinct()).select("source", "feature_id", _r("value", 9))
 
 
-@query(f"""WITH {FACTS} SELECT * FROM facts WHERE source NOT IN (SELECT source FROM facts WHERE value IS NULL)""")
+@query(f"""WITH {FACTS} SELECT * FROM facts WHERE source NOT IN (SELECT source FROM facts WHERE value IS NULL)""", part=True)
 def drop_missing(spark, sf_dir):
-    return stats.drop_missing(embedding_facts(spark, sf_dir), 8).select("source", "feature_id", "value")
+    return stats.drop_missing(embedding_facts(spark, sf_dir), embedding_width(spark, sf_dir)).select("source", "feature_id", "value")
 
 
 _CENTROIDS = ", ".join(f"({c}, {f}, {((c * 5 + f * 3) % 7 - 3) / 10})" for c in range(3) for f in range(1, 9))
@@ -274,10 +274,11 @@ _CENTROIDS = ", ".join(f"({c}, {f}, {((c * 5 + f * 3) % 7 - 3) / 10})" for c in
 @query(f"""WITH {FACTS}, c(cluster, feature_id, center) AS (VALUES {_CENTROIDS}),
     d AS (SELECT source, cluster, sum((value - CAST(center AS DOUBLE)) ** 2) AS d FROM facts JOIN c USING (feature_id) WHERE value IS NOT NULL GROUP BY ALL),
     n AS (SELECT source, arg_min(cluster, (round(d, 12), cluster)) AS cluster FROM d GROUP BY 1)
-    SELECT source, f.feature_id, coalesce(f.value, CAST(center AS DOUBLE)) AS value FROM facts f JOIN n USING (source) JOIN c ON c.cluster = n.cluster AND c.feature_id = f.feature_id""")
+    SELECT source, f.feature_id, coalesce(f.value, CAST(center AS DOUBLE)) AS value FROM facts f JOIN n USING (source) JOIN c ON c.cluster = n.cluster AND c.feature_id = f.feature_id""", part=True)
 def centroid_fill(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
-    centroids = spark.sql(f"SELECT cluster, cast(feature_id as bigint) feature_id, cast(center as double) center FROM VALUES {_CENTROIDS} AS t(cluster, feature_id, center)")
+    rows = [(c, f, ((c * 5 + f * 3) % 7 - 3) / 10) for c in range(3) for f in range(1, embedding_width(spark, sf_dir) + 1)]
+    centroids = spark.createDataFrame(rows, "cluster int, feature_id long, center double")
     return stats.fill_from_centroids(facts, centroids, facts.select("source").distinct())
 
 
@@ -285,29 +286,36 @@ _CENTERED = f"""{FACTS}, whole AS (SELECT * FROM facts WHERE source NOT IN (SELE
     centered AS (SELECT source, feature_id, value - avg(value) OVER (PARTITION BY feature_id) AS c, count(*) OVER (PARTITION BY feature_id) AS n FROM whole)"""
 
 
-@query(f"""WITH {_CENTERED} SELECT x.feature_id AS a, y.feature_id AS b, round(sum(x.c * y.c) / (any_value(x.n) - 1), 9) AS covariance FROM centered x JOIN centered y ON x.source = y.source AND x.feature_id <= y.feature_id GROUP BY ALL""")
+@query(f"""WITH {_CENTERED} SELECT x.feature_id AS a, y.feature_id AS b, round(sum(x.c * y.c) / (any_value(x.n) - 1), 9) AS covariance FROM centered x JOIN centered y ON x.source = y.source AND x.feature_id <= y.feature_id GROUP BY ALL""", part=True)
 def covariance(spark, sf_dir):
-    return stats.covariance(stats.drop_missing(embedding_facts(spark, sf_dir), 8)).select("a", "b", _r("covariance", 9))
+    return stats.covariance(stats.drop_missing(embedding_facts(spark, sf_dir), embedding_width(spark, sf_dir))).select("a", "b", _r("covariance", 9))
 
 
 @query(f"""WITH {_CENTERED}, few AS (SELECT * FROM centered) SELECT x.source AS a, y.source AS b, round(sum(x.c * y.c), 9) AS product FROM few x JOIN few y ON x.feature_id = y.feature_id AND x.source <= y.source AND x.source % 25 = 1 AND y.source % 25 = 1 GROUP BY ALL""", part=True)
 def gram(spark, sf_dir):
-    facts = stats.drop_missing(embedding_facts(spark, sf_dir), 8)
+    facts = stats.drop_missing(embedding_facts(spark, sf_dir), embedding_width(spark, sf_dir))
     return stats.gram(facts).select("a", "b", _r("product", 9))
 
 
 # -- model operators with literal arrays, so that both engines hold the same numbers ---------------------
-def _literal_model() -> PcaModel:
-    """Three orthonormal components over eight features, with round-number state."""
-    basis = np.zeros((3, 8))
-    basis[0, [0, 1]], basis[1, [2, 3]], basis[2, [4, 5]] = (0.6, 0.8), (0.8, -0.6), (0.6, 0.8)
+def _literal_model(n: int = 8) -> PcaModel:
+    """Three orthonormal components over n features (8 or more), with round-number state; each run of six features has the same loadings."""
+    runs = (n - 2) // 6
+    basis = np.zeros((3, n))
+    for at in range(0, 6 * runs, 6):
+        basis[0, [at, at + 1]], basis[1, [at + 2, at + 3]], basis[2, [at + 4, at + 5]] = (0.6, 0.8), (0.8, -0.6), (0.6, 0.8)
+    basis /= np.sqrt(runs)
     lam = np.array([4.0, 2.0, 1.0])
     return PcaModel(
-        columns=[f"f{k}" for k in range(1, 9)], components=basis, mean=np.arange(8) / 100, explained_variance=lam, explained_variance_ratio=lam / 8, singular_values=np.sqrt(lam * 99),
-        n_samples=100, noise_variance=0.2, scaling="z-score", centers=np.arange(8) / 50, scales=1 + np.arange(8) / 10,
+        columns=[f"f{k}" for k in range(1, n + 1)], components=basis, mean=np.arange(n) / 100, explained_variance=lam, explained_variance_ratio=lam / 8, singular_values=np.sqrt(lam * 99),
+        n_samples=100, noise_variance=0.2, scaling="z-score", centers=np.arange(n) / 50, scales=1 + np.arange(n) / 10,
     )
 
 
+def _model(spark: SparkSession, sf_dir: str) -> PcaModel:
+    return _literal_model(embedding_width(spark, sf_dir))
+
+
 def _values() -> str:
     m = _literal_model()
     w = ", ".join(f"({j + 1}, {f + 1}, {m.components[j, f]})" for j in range(3) for f in range(8))
@@ -325,54 +333,54 @@ def _values() -> str:
 _MODEL = _values()
 
 
-@query(f"""WITH {_MODEL} SELECT source, CAST(component AS BIGINT) AS component, round(score, 6) AS score FROM scores""")
+@query(f"""WITH {_MODEL} SELECT source, CAST(component AS BIGINT) AS component, round(score, 6) AS score FROM scores""", part=True)
 def scores_literal(spark, sf_dir):
-    model = _literal_model()
+    model = _model(spark, sf_dir)
     return scores_long(model, prepare(model, embedding_facts(spark, sf_dir))).select("source", "component", _r("score"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, round(sum(score * score / v), 6) AS t2 FROM scores JOIN lam USING (component) GROUP BY source""")
+@query(f"""WITH {_MODEL} SELECT source, round(sum(score * score / v), 6) AS t2 FROM scores JOIN lam USING (component) GROUP BY source""", part=True)
 def t2_literal(spark, sf_dir):
-    model = _literal_model()
+    model = _model(spark, sf_dir)
     lam = spark.createDataFrame([(j + 1, float(v)) for j, v in enumerate(model.explained_variance)], "component long, variance double")
     return t_squared(scores_long(model, prepare(model, embedding_facts(spark, sf_dir))), lam).select("source", _r("t2"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, round(sum((z - zhat) ** 2), 6) AS spe FROM z JOIN back USING (source, feature_id) GROUP BY source""")
+@query(f"""WITH {_MODEL} SELECT source, round(sum((z - zhat) ** 2), 6) AS spe FROM z JOIN back USING (source, feature_id) GROUP BY source""", part=True)
 def spe_literal(spark, sf_dir):
-    model = _literal_model()
+    model = _model(spark, sf_dir)
     return q_contribution(model, prepare(model, embedding_facts(spark, sf_dir)), 3).groupBy("source").agg(F.sum("contribution").alias("spe")).select("source", _r("spe"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, feature_id, round((z - zhat) ** 2, 6) AS contribution FROM z JOIN back USING (source, feature_id)""")
+@query(f"""WITH {_MODEL} SELECT source, feature_id, round((z - zhat) ** 2, 6) AS contribution FROM z JOIN back USING (source, feature_id)""", part=True)
 def q_contribution_literal(spark, sf_dir):
-    model = _literal_model()
+    model = _model(spark, sf_dir)
     return q_contribution(model, prepare(model, embedding_facts(spark, sf_dir)), 3).select("source", "feature_id", _r("contribution"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, CAST(feature_id AS BIGINT) AS feature_id, round(fitted, 6) AS value FROM recon""")
+@query(f"""WITH {_MODEL} SELECT source, CAST(feature_id AS BIGINT) AS feature_id, round(fitted, 6) AS value FROM recon""", part=True)
 def reconstruct_literal(spark, sf_dir):
-    model = _literal_model()
+    model = _model(spark, sf_dir)
     return reconstruct(model, scores_long(model, prepare(model, embedding_facts(spark, sf_dir)))).select("source", "feature_id", _r("value"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, feature_id, round(value - fitted, 6) AS value FROM z JOIN recon USING (source, feature_id)""")
+@query(f"""WITH {_MODEL} SELECT source, feature_id, round(value - fitted, 6) AS value FROM z JOIN recon USING (source, feature_id)""", part=True)
 def residual_literal(spark, sf_dir):
-    model = _literal_model()
+    model = _model(spark, sf_dir)
     return residual(model, prepare(model, embedding_facts(spark, sf_dir)), 3).select("source", "feature_id", _r("value"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, CAST(feature_id AS BIGINT) AS feature_id, round(score * c * scale, 6) AS value FROM scores JOIN w USING (component) JOIN st USING (feature_id) WHERE component = 2""")
+@query(f"""WITH {_MODEL} SELECT source, CAST(feature_id AS BIGINT) AS feature_id, round(score * c * scale, 6) AS value FROM scores JOIN w USING (component) JOIN st USING (feature_id) WHERE component = 2""", part=True)
 def component_contribution_literal(spark, sf_dir):
-    model = _literal_model()
+    model = _model(spark, sf_dir)
     return component_contribution(model, scores_long(model, prepare(model, embedding_facts(spark, sf_dir))), 2).select("source", "feature_id", _r("value"))
 
 
 @query(f"""WITH {_MODEL}, part AS (SELECT source, component, CAST((feature_id - 1) // 2 AS DOUBLE) AS "StepTime", sum((z - mean) * c) AS p FROM z JOIN w USING (feature_id) WHERE component <= 2 GROUP BY ALL)
-SELECT source, CAST(component AS BIGINT) AS component, "StepTime", round(sum(p) OVER (PARTITION BY source, component ORDER BY "StepTime" ROWS UNBOUNDED PRECEDING), 6) AS score FROM part""")
+SELECT source, CAST(component AS BIGINT) AS component, "StepTime", round(sum(p) OVER (PARTITION BY source, component ORDER BY "StepTime" ROWS UNBOUNDED PRECEDING), 6) AS score FROM part""", part=True)
 def partial_scores_literal(spark, sf_dir):
-    model = _literal_model()
-    axes = spark.createDataFrame([(f + 1, 1, 1, float(f // 2)) for f in range(8)], "feature_id long, Step long, Sequence long, StepTime double")
+    model = _model(spark, sf_dir)
+    axes = spark.createDataFrame([(f + 1, 1, 1, float(f // 2)) for f in range(len(model.columns))], "feature_id long, Step long, Sequence long, StepTime double")
     return partial_scores(model, prepare(model, embedding_facts(spark, sf_dir)), axes, [1, 2]).select("source", "component", "StepTime", _r("score"))
 
 
@@ -399,7 +407,7 @@ for _method, _agg in (("mean", "avg(c)"), ("rms", "sqrt(avg(c * c))"), ("abs_mea
 def fit_and_score(spark, sf_dir):
     """PCA of the embeddings; eigenvectors are beyond SQL, tests compare them with a matrix library."""
     facts = embedding_facts(spark, sf_dir)
-    model = fit_pca(facts, [f"f{k}" for k in range(1, 9)], scaling="z-score", n_component=3)
+    model = fit_pca(facts, [f"f{k}" for k in range(1, embedding_width(spark, sf_dir) + 1)], scaling="z-score", n_component=3)
     return scores_long(model, prepare(model, facts))
 
 
@@ -568,30 +576,31 @@ _T2_LIMIT = "2 * 101.0 * 99 / (100 * 98) * (98 / 2.0) * (power(0.01, -2.0 / 98)
 
 
 @query(f"""WITH {_MODEL} SELECT source, round(sum(score * score / v), 6) AS mahalanobis_sq, round({_T2_LIMIT}, 6) AS mahalanobis_ucl, sum(score * score / v) > {_T2_LIMIT} AS mahalanobis_exceeds_ucl
-FROM scores JOIN lam USING (component) WHERE component <= 2 GROUP BY source""")
+FROM scores JOIN lam USING (component) WHERE component <= 2 GROUP BY source""", part=True)
 def monitor_t2(spark, sf_dir):
     from prismflow.config import MahalanobisConfig
     from prismflow.operators.pca import transform_pca
 
     config = MahalanobisConfig(2)
-    out = transform_pca(_literal_model(), embedding_facts(spark, sf_dir), mahalanobis=config)
+    out = transform_pca(_model(spark, sf_dir), embedding_facts(spark, sf_dir), mahalanobis=config)
     return out.select("source", *[_r(c) for c in config.columns[:2]], config.columns[2])
 
 
-@query(f"""WITH {_MODEL}, q AS (SELECT source, sum((z - zhat) ** 2) AS q FROM z JOIN back USING (source, feature_id) GROUP BY source) SELECT source, true AS consistent FROM q""")
+@query(f"""WITH {_MODEL}, q AS (SELECT source, sum((z - zhat) ** 2) AS q FROM z JOIN back USING (source, feature_id) GROUP BY source) SELECT source, true AS consistent FROM q""", part=True)
 def q_consistency(spark, sf_dir):
     from prismflow.config import SpeConfig
     from prismflow.operators.pca import q_consistent, transform_pca
 
-    model, facts = _literal_model(), embedding_facts(spark, sf_dir)
+    model, facts = _model(spark, sf_dir), embedding_facts(spark, sf_dir)
     scored = transform_pca(model, facts, spe=SpeConfig(3))
     return q_consistent(q_contribution(model, prepare(model, facts), 3), scored, "spe")
 
 
-@query(f"""WITH {FACTS}, m AS (SELECT CAST(f AS BIGINT) AS feature_id FROM range(3, 12) t(f)) SELECT s.source, m.feature_id, value FROM (SELECT DISTINCT source FROM facts) s CROSS JOIN m LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = m.feature_id""")
+@query(f"""WITH {FACTS}, m AS (SELECT CAST(f AS BIGINT) AS feature_id FROM range(3, 12) t(f)) SELECT s.source, m.feature_id, value FROM (SELECT DISTINCT source FROM facts) s CROSS JOIN m LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = m.feature_id""", part=True)
 def align_features(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
-    model = spark.range(3, 12).select(F.col("id").alias("feature_id"), F.lit(None).cast("double").alias("fill"))
+    width = embedding_width(spark, sf_dir)
+    model = spark.range(3, width + 4).select(F.col("id").alias("feature_id"), F.lit(None).cast("double").alias("fill"))
     return stats.fill_missing(facts, model, facts.select("source").distinct())
 
 

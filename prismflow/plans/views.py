@@ -41,13 +41,22 @@ TIMED = (
 )
 
 
-def embedding_facts(spark: SparkSession, sf_dir: str, features: int = 8) -> DataFrame:
-    """Facts (source, feature_id, value) of the first components of each vector, some of them made missing."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source"), F.posexplode(F.slice("embedding", 1, features)).alias("p", "x"))
-    gone = (F.col("source") + F.col("p")) % 17 == 0
+def embedding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts (source, feature_id, value) of all components of each vector, some of them made missing.
+
+    The pattern of missing values comes again every 8 components, so that 9 of 17 vectors are complete at any length.
+    """
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source"), F.posexplode("embedding").alias("p", "x"))
+    gone = (F.col("source") + F.col("p") % 8) % 17 == 0
     return rows.select("source", (F.col("p") + 1).cast("long").alias("feature_id"), F.when(~gone, F.col("x").cast("double")).alias("value"))
 
 
+def embedding_width(spark: SparkSession, sf_dir: str) -> int:
+    """Components of the longest vector: the number of features of embedding_facts()."""
+    return table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
+#: States facts of the first 8 components only, which is all of a table of such vectors; see queries.PART_ORACLES.
 FACTS = """
     facts AS (
         SELECT vec_id AS source, CAST(p AS BIGINT) AS feature_id, CASE WHEN (vec_id + p - 1) % 17 <> 0 THEN CAST(embedding[p] AS DOUBLE) END AS value

@@ -1,12 +1,15 @@
 """Queries over the whole of their table, against brute force and against SQL that states a part of them."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from prismflow.operators import stats
 from prismflow.plans.queries import PART_ORACLES, QUERIES
 from prismflow.plans.views import embedding_facts
-from test_oracles import SF, duck, tidy_rows  # noqa: F401
+from test_oracles import SF, tidy_rows
 
 
 def matrix_of(facts):
@@ -43,7 +46,61 @@ def test_gram_blocks(spark, monkeypatch):
     assert all(abs(v - c[int(a[1:])] @ c[int(b[1:])]) < 1e-6 for (a, b), v in got.items())
 
 
-def test_gram_part_in_sql(spark, duck):  # noqa: F811
-    ours = QUERIES["gram"](spark, SF).filter("a % 25 = 1 and b % 25 = 1").toPandas()
-    twin = duck.sql(PART_ORACLES["gram"]).df()
-    assert len(ours) and tidy_rows(ours[["a", "b", "product"]]) == tidy_rows(twin[["a", "b", "product"]])
+@pytest.fixture(scope="module")
+def short(tmp_path_factory):
+    """The embeddings' table with vectors of 8 components: all that FACTS in SQL states."""
+    folder, t = tmp_path_factory.mktemp("short"), pq.read_table(f"{SF}/embeddings.parquet")
+    vectors = pa.array([v[:8] for v in t["embedding"].to_pylist()], pa.list_(pa.float32()))
+    pq.write_table(t.set_column(t.schema.get_field_index("embedding"), "embedding", vectors), str(folder / "embeddings.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(k for k, sql in PART_ORACLES.items() if "FROM embeddings" in sql))
+def test_part_in_sql(spark, short, name):
+    ours = QUERIES[name](spark, short)
+    if name == "gram":
+        ours = ours.filter("a % 25 = 1 and b % 25 = 1")
+    ours, c = ours.toPandas(), duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{short}/embeddings.parquet'")
+    twin, columns = c.sql(PART_ORACLES[name]).df(), sorted(ours.columns)
+    assert len(ours) and sorted(twin.columns) == columns
+    assert tidy_rows(ours[columns]) == tidy_rows(twin[columns])
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    sources, features, x = matrix_of(embedding_facts(spark, SF))
+    assert features == list(range(1, 65)) and np.isnan(x[:, 8:]).any(axis=0).all()
+    return sources, x
+
+
+def by_feature(df, *columns):
+    rows = {r["feature_id"]: [r[c] for c in columns] for r in df.collect()}
+    return np.array([rows[k] for k in sorted(rows)]).T
+
+
+def test_statistics_of_all_components(spark, whole):
+    sources, x = whole
+    center, scale = by_feature(QUERIES["scale_z"](spark, SF), "center", "scale")
+    assert len(center) == 64 and np.allclose(center, np.nanmean(x, axis=0), atol=1e-6) and np.allclose(scale, np.nanstd(x, axis=0, ddof=1), atol=1e-6)
+    low, high = by_feature(QUERIES["iqr_bounds"](spark, SF), "lower", "upper")
+    gone = ((x < low - 1e-6) | (x > high + 1e-6)).any(axis=1)
+    assert {r[0] for r in QUERIES["outlier_drop"](spark, SF).select("source").distinct().collect()} == {s for s, g in zip(sources, gone) if not g}
+    filled = matrix_of(QUERIES["median_impute"](spark, SF))[2]
+    assert filled.shape == x.shape and np.allclose(filled, np.where(np.isnan(x), np.nanmedian(x, axis=0), x))
+    full = x[~np.isnan(x).any(axis=1)]
+    assert QUERIES["drop_missing"](spark, SF).count() == full.size > 0
+    got = {(r["a"], r["b"]): r["covariance"] for r in QUERIES["covariance"](spark, SF).collect()}
+    want = np.cov(full.T)
+    assert len(got) == 64 * 65 // 2 and all(abs(v - want[a - 1, b - 1]) < 1e-8 for (a, b), v in got.items())
+
+
+def test_pca_of_all_components(spark, whole):
+    sources, x = whole
+    keep = ~np.isnan(x).any(axis=1)
+    z = (x[keep] - x[keep].mean(axis=0)) / x[keep].std(axis=0, ddof=1)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    got = {(r["source"], r["component"]): r["score"] for r in QUERIES["fit_and_score"](spark, SF).collect()}
+    names = [n for n, k in zip(sources, keep) if k]
+    assert len(got) == 3 * len(names)
+    assert np.allclose(np.abs([[got[n, c] for c in (1, 2, 3)] for n in names]), np.abs(u[:, :3] * s[:3]), atol=1e-6)

@@ -175,11 +175,11 @@ def dup_keep_last(spark, sf_dir):
     return fl.last_of_duplicates(pp.step_times(spectra(spark, sf_dir)))
 
 
-@query(f"""WITH {_FLAT} SELECT source, max(value) FILTER (feature_id = 1) AS f1, max(value) FILTER (feature_id = 2) AS f2, max(value) FILTER (feature_id = 3) AS f3 FROM facts GROUP BY source""")
+@query(f"""WITH {_FLAT} SELECT source, max(value) FILTER (feature_id = 1) AS f1, max(value) FILTER (feature_id = 2) AS f2, max(value) FILTER (feature_id = 3) AS f3 FROM facts GROUP BY source""", part=True)
 def flatten_wide(spark, sf_dir):
     facts, features, sources = _flattened(spark, sf_dir)
-    wide = fl.to_wide(facts.filter("feature_id <= 3"), features.filter("feature_id <= 3"), sources)
-    return wide.toDF("source", "f1", "f2", "f3")
+    wide = fl.to_wide(facts, features, sources)
+    return wide.toDF("source", *[f"f{k}" for k in range(1, len(wide.columns))])
 
 
 @query(f"""WITH {_FLAT} SELECT source, feature_id, value FROM facts WHERE feature_id IN (SELECT feature_id FROM facts WHERE value IS NOT NULL GROUP BY 1 HAVING (10 - count(*)) / 10 <= 0.1)""")
@@ -188,20 +188,18 @@ def null_prune(spark, sf_dir):
 
 
 @query(f"""WITH {_FLAT} SELECT s.source, "Step", "Sequence", "StepTime", wavelength, value AS intensity
-FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id WHERE f.feature_id <= 40""")
+FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id WHERE f.feature_id <= 40""", part=True)
 def unflatten_long(spark, sf_dir):
     facts, features, sources = _flattened(spark, sf_dir)
-    wide = fl.to_wide(facts.filter("feature_id <= 40"), features.filter("feature_id <= 40"), sources)
-    return fl.flatten_to_long(wide)
+    return fl.flatten_to_long(fl.to_wide(facts, features, sources))
 
 
 @query(f"""WITH {_FLAT} SELECT s.source, "Step", "Sequence", "StepTime", max(value) FILTER (wavelength = 401) AS w401, max(value) FILTER (wavelength = 402) AS w402
-FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id WHERE wavelength <= 402 GROUP BY ALL""")
+FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id WHERE wavelength <= 402 GROUP BY ALL""", part=True)
 def unflatten_wide(spark, sf_dir):
     facts, features, sources = _flattened(spark, sf_dir)
-    few = features.filter("wavelength <= 402")
-    wide = fl.flatten_to_wide(fl.to_wide(facts.join(few, "feature_id", "left_semi"), few, sources))
-    return wide.toDF("source", "Step", "Sequence", "StepTime", "w401", "w402")
+    wide = fl.flatten_to_wide(fl.to_wide(facts, features, sources))
+    return wide.toDF(*[f"w{float(c[:-2]):g}" if c.endswith("nm") else c for c in wide.columns])
 
 
 # -- statistics before PCA ----------------------------------------------------------------------------
@@ -464,9 +462,9 @@ def merge_indicator(spark, sf_dir):
 
 
 # -- table layer ------------------------------------------------------------------------------------------
-@query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderstatus IN ('F', 'O') AND o_totalprice >= 50000 AND o_orderkey <= 4000""")
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderstatus IN ('F', 'O') AND o_totalprice >= 50000 AND o_orderkey <= 4000""", part=True)
 def table_filter(spark, sf_dir):
-    state = tables.TableState(text={"o_orderpriority": "URGENT"}, values={"o_orderstatus": ["F", "O"]}, lower={"o_totalprice": 50000}, upper={"o_orderkey": 4000})
+    state = tables.TableState(text={"o_orderpriority": "URGENT"}, values={"o_orderstatus": ["F", "O"]}, lower={"o_totalprice": 50000}, upper={"o_totalprice": 300000})
     return tables.filter_table(table(spark, sf_dir, "orders"), state).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 

@@ -104,3 +104,46 @@ def test_pca_of_all_components(spark, whole):
     names = [n for n, k in zip(sources, keep) if k]
     assert len(got) == 3 * len(names)
     assert np.allclose(np.abs([[got[n, c] for c in (1, 2, 3)] for n in names]), np.abs(u[:, :3] * s[:3]), atol=1e-6)
+
+
+def in_sql(name, folder, *tables):
+    c = duckdb.connect()
+    for t in tables:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return c.sql(PART_ORACLES[name]).df()
+
+
+def test_wide_and_long_of_all_features(spark):
+    features = {r["feature_id"]: (r["wavelength"], r["Step"], r["Sequence"], r["StepTime"]) for r in QUERIES["feature_table"](spark, SF).collect()}
+    value = {(r["source"], r["feature_id"]): r["value"] for r in QUERIES["flatten_long"](spark, SF).collect()}
+    sources = sorted({s for s, _ in value})
+    cell = {(s, *at): value.get((s, k)) for s in sources for k, at in features.items()}
+    wide = QUERIES["flatten_wide"](spark, SF).toPandas()
+    assert tidy_rows(wide) == sorted((s, *[value.get((s, k)) for k in sorted(features)]) for s in sources)
+    long = QUERIES["unflatten_long"](spark, SF).collect()
+    assert len(long) == len(cell) and {(r["source"], r["wavelength"], r["Step"], r["Sequence"], r["StepTime"]): r["intensity"] for r in long} == cell
+    back = QUERIES["unflatten_wide"](spark, SF).toPandas()
+    waves = sorted({at[0] for at in features.values()})
+    assert list(back.columns) == ["source", "Step", "Sequence", "StepTime", *[f"w{w:g}" for w in waves]] and len(waves) == 7
+    points = {(s, *at[1:]) for s in sources for at in features.values()}
+    key = lambda row: row[:4]
+    assert sorted(tidy_rows(back), key=key) == sorted(((*p, *[cell[p[0], w, *p[1:]] for w in waves]) for p in points), key=key)
+
+    twin = in_sql("flatten_wide", SF, "lineitem")
+    assert tidy_rows(wide[list(twin.columns)]) == tidy_rows(twin)
+    twin = in_sql("unflatten_wide", SF, "lineitem")
+    assert tidy_rows(back[list(twin.columns)]) == tidy_rows(twin)
+    twin, few = in_sql("unflatten_long", SF, "lineitem"), {features[k] for k in features if k <= 40}
+    ours = [tuple(r[c] for c in twin.columns) for r in long if (r["wavelength"], r["Step"], r["Sequence"], r["StepTime"]) in few]
+    assert sorted(ours, key=str) == sorted(tidy_rows(twin), key=str)
+
+
+def test_filter_of_all_orders(spark):
+    folder = SF.replace("0.001", "0.01")
+    ours = QUERIES["table_filter"](spark, folder).toPandas()
+    orders = pq.read_table(f"{folder}/orders.parquet").to_pandas()
+    urgent = orders["o_orderpriority"].str.lower().str.contains("urgent") & orders["o_orderstatus"].isin(["F", "O"])
+    want = orders[urgent & orders["o_totalprice"].between(50000, 300000)]
+    assert tidy_rows(ours) == tidy_rows(want[list(ours.columns)]) and ours["o_orderkey"].max() > 4000
+    twin = in_sql("table_filter", folder, "orders")
+    assert tidy_rows(ours[ours["o_orderkey"] <= 4000]) == tidy_rows(twin[twin["o_totalprice"] <= 300000][list(ours.columns)])

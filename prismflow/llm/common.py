@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,41 @@ WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows' text taken together in one numpy step; bounds a Python worker's memory.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 750_000
+#: Bytes of an Arrow batch that Spark hands to a Python worker, at most; a longer row comes alone.
+BATCH_BYTES = 2_000_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def in_batches(df: DataFrame, function: Batches, schema: str) -> DataFrame:
+    """mapInArrow over batches of bounded bytes, in workers that give memory back when their task ends.
+
+    Plans run when their result is asked for, so the bound stays set in the session; a smaller one that the
+    session has already is left alone.
+    """
+    spark = df.sparkSession
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING))
+    if most <= 0 or most > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -55,9 +90,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it does when the driver's garbage is collected."""
-    spark.sparkContext._jvm.System.gc()
+def new_names(n: int) -> list[str]:
+    """Column names that no table has, for columns that stand beside a caller's."""
+    return [f"prismflow_{uuid.uuid4().hex}" for _ in range(n)]
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, of: list[Column]) -> DataFrame:
+    """The rows of docs, with its columns, that have none of the keys; `of` are the key's parts as expressions on docs."""
+    mine, theirs = new_names(len(of)), new_names(len(of))
+    gone = keys.toDF(*theirs)
+    tagged = docs.select("*", *[c.alias(n) for c, n in zip(of, mine)])
+    condition = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(mine, theirs)]
+    return tagged.join(gone, condition, "left_anti").select(*[docs_column(c) for c in docs.columns])
+
+
+def docs_column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -88,30 +137,80 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-class WordHashes:
-    """64-bit hashes of words, kept for words that come again; the store is emptied at a fixed size."""
+def _white() -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[[0x20, *range(0x09, 0x0E)]] = True
+    return out
+
+
+_WHITE_BYTE = _white()
+_VALUES = np.random.default_rng(20250301).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWERED = np.concatenate([_VALUES[:65], _VALUES[97:123], _VALUES[91:]])
+#: A factor for each place in a text, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_SEGMENT = 1 << 17
+
 
-    def __init__(self, most: int = 200_000):
-        import xxhash
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-        self.known: dict[bytes, int] = {}
-        self.most, self.digest = most, xxhash.xxh3_64_intdigest
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, digest = self.known, self.digest
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts one after another (null: none), and where each begins and the last ends."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return (np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, dtype=np.uint8)), ends - ends[0]
 
 
-def hashed_words(texts: list[str | None], hashes: WordHashes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts one after another, and the number of words of each. lower: A-Z only."""
-    parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    parts = [p.lower().split() if lower else p.split() for p in parts]
-    counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    return hashes([w for p in parts for w in p]), counts
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit word hashes of all texts one after another, and the number of words of each. lower: A-Z only.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over the text, so no word becomes a
+    Python object. Long input is worked through in segments that end between words.
+    """
+    raw, ends = _text_bytes(texts)
+    begins = np.zeros(len(raw) + 1, dtype=bool)
+    begins[ends] = True
+    values, found, counts = _LOWERED if lower else _VALUES, [], np.zeros(len(texts), dtype=np.int64)
+    lo = 0
+    while lo < len(raw):
+        hi = min(lo + _SEGMENT, len(raw))
+        while hi < len(raw):  # not inside a word, however long
+            gaps = np.flatnonzero(_WHITE_BYTE[raw[lo:hi]] | begins[lo + 1 : hi + 1])
+            if len(gaps):
+                hi = lo + int(gaps[-1]) + 1
+                break
+            hi = min(hi + _SEGMENT, len(raw))
+        part = raw[lo:hi]
+        word = ~_WHITE_BYTE[part]
+        start = word.copy()
+        start[1:] &= ~word[:-1] | begins[lo + 1 : hi]
+        stop = word
+        stop[:-1] &= ~word[1:] | begins[lo + 1 : hi]
+        starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(values[part] * _up(len(part)), out=sums[1:])
+            # the factor of a word's first byte is taken out again, so its place does not matter
+            found.append(mix((sums[stops] - sums[starts]) * _down(len(part))[starts], 2))
+        counts += np.diff(np.searchsorted(starts + lo, ends))
+        lo = hi
+    return (np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)), counts
+
+
+def _table(base: int):
+    kept = _powers(base, _SEGMENT)
+
+    def of(n: int) -> np.ndarray:
+        return kept[:n] if n <= len(kept) else _powers(base, n)
+
+    return of
+
+
+_up, _down = _table(_BASE), _table(pow(_BASE, -1, 2**64))
 
 
 def rolled(words: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -132,13 +231,22 @@ def rolled(words: np.ndarray, width: int, seed: int) -> np.ndarray:
             m *= 2
 
 
-def bitmap_of(df: DataFrame, key: Column, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits that has the bit of every key's hash set; its size does not grow with the data.
+#: Smallest and largest bitmaps, as powers of two of their bits: 8 kB to 32 MB.
+LEAST_BITS, MOST_BITS = 16, 28
+
+
+def fitting_bits(keys: int) -> int:
+    """Bits, as a power of two, of a bitmap with sixteen bits or more for each key, up to a bound."""
+    return min(MOST_BITS, max(LEAST_BITS, (16 * max(1, keys) - 1).bit_length()))
+
+
+def bitmap_of(df: DataFrame, hashes: Column, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits that has the bit of every hash set, by the hash's top bits.
 
     Used to leave out early what an exact join or count later would leave out anyhow: a bit set by
-    chance only lets a row pass. Hashes are xxhash64 in Spark; see hit().
+    chance only lets a row pass. See hit().
     """
-    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+    slot = F.shiftrightunsigned(hashes, 64 - bits)
     rows = df.select(slot.alias("s")).groupBy(F.shiftrightunsigned("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b"))
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
     table = rows.toArrow()
@@ -146,7 +254,7 @@ def bitmap_of(df: DataFrame, key: Column, bits: int) -> np.ndarray:
     return out
 
 
-def hit(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Which of the xxhash64 values have their bit set."""
-    slot = hashes.view(np.uint64) >> np.uint64(64 - bits)
+def hit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes have their bit set."""
+    slot = hashes.view(np.uint64) >> np.uint64(64 - (64 * len(bitmap)).bit_length() + 1)
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (slot & np.uint64(63))) & np.uint64(1) == 1

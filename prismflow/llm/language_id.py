@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismflow.llm.common import materialize, slices
+from prismflow.llm.common import in_batches, materialize, slices
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
@@ -99,7 +99,7 @@ def train_text_model(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_c
             values, n = np.unique(pair[slots < SLOTS], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(langs[values // (SLOTS + 1)].astype(object), pa.string()), pa.array((values % (SLOTS + 1)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "slot", "n"])
 
-    found = sample.select("lang", "text").mapInArrow(counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    found = in_batches(sample.select("lang", "text"), counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
     table = np.full((len(languages) + 1, SLOTS + 1), 0.5)
     table[[languages.index(x) for x in found["lang"]], found["slot"]] += found["n"]
@@ -174,7 +174,7 @@ def identify(rows: DataFrame, model: TextModel, accept: float = ACCEPT, strength
     n = len(names)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = "kind string, id long, digest binary, declared string, suffix string, host string, domain string, text_log array<double>"
-    scored = rows.mapInArrow(_scored(shared), schema)
+    scored = in_batches(rows, _scored(shared), schema)
     post = _softmax(F.col("text_log"))
     best = F.array_position(F.col("post"), F.array_max("post")).cast("int") - 1
     scored = scored.withColumn("post", post).withColumn("vote", F.when(F.array_max("post") >= CONFIDENT, best)).drop("post")

@@ -1,23 +1,25 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. Every whole text gives its set of word shingles (64-bit hashes), a signature of PERMS minima and an
-   order-free 128-bit digest of the set. Documents of equal sets form a class; its smallest id stands for it.
+   order-free 128-bit digest of the set. Documents of equal sets form a class, which goes on as one node.
 2. Signatures are banded. Only buckets with two classes or more go on.
 3. Candidates are compared a batch of minima at a time and left as soon as the posterior probability
    (uniform prior) that their similarity reaches the threshold is below `miss`; survivors are verified
    exactly on full sets. What is asked for are components, so members of one need no comparison:
-   a. each class meets the smallest id of its buckets,
-   b. in buckets that still hold several components every class meets the bucket's smallest id,
+   a. each class meets the smallest node of its buckets,
+   b. in buckets that still hold several components every class meets the bucket's smallest node,
    c. in buckets that then still do, all pairs across components are compared, in blocks of bounded size
       joined two by two; blocks of the bucket's largest component are not compared with each other. Each
       pair is handled in its first common band, and a block pair gives at most a spanning forest of links.
-   So links are found as if all pairs of each bucket were compared, but rows stay in proportion to members.
+   So links are found as if all pairs of each bucket were compared. Step c grows with the square of the
+   members that lie outside a bucket's largest component; a and b leave few of these.
 
 A pair of similarity s shares no bucket with probability (1 - s^ROWS)^BANDS: 5e-7 at 0.8.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; a
-text of fewer words than a shingle has one shingle, the whole sequence; rows of equal id count as linked;
-null ids take no part and are left out; other columns are ignored; an empty table gives an empty result.
+text of fewer words than a shingle has one shingle, the whole sequence; rows that repeat an id are documents
+of their own; null ids are documents too, whose component has the smallest id there is, or none; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,27 +29,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismflow.llm.common import WordHashes, bitmap_of, hashed_words, hit, materialize, mix, release_shuffles, rolled, slices
+from prismflow.llm.common import bitmap_of, fitting_bits, hashed_words, hit, in_batches, materialize, mix, rolled, slices, without_rows
 from prismflow.llm.components import components
 
 BANDS, ROWS = 48, 6
 PERMS = BANDS * ROWS
 #: Minima compared at once, and the chance at which a true pair may be left.
 BATCH, MISS = 48, 1e-9
-#: Members and bytes of sets of a block in step c, and bits of the bitmap of candidates' ids.
-GROUP, GROUP_BYTES, BITS = 128, 8 << 20, 23
+#: Members and bytes of sets of a block in step c; a set that is larger itself is a block of its own, on average.
+GROUP, GROUP_BYTES = 128, 2 << 20
 
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 2**31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, PERMS, dtype=np.uint32)
 
 
-def shingles(texts: list[str | None], width: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after another, and the number of each."""
-    words, counts = hashed_words(texts, hashes, lower=True)
+    words, counts = hashed_words(texts, lower=True)
     runs = rolled(words, width, 1)
     out, sizes, at = [], np.zeros(len(counts), dtype=np.int64), 0
     for k, n in enumerate(counts.tolist()):
@@ -121,43 +123,60 @@ def _binary_rows(column: pa.Array, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
 
 
+def digests(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free 64-bit digests of each set; 0 for empty ones."""
+    full = sizes > 0
+    one, two = np.zeros(len(sizes), dtype=np.uint64), np.zeros(len(sizes), dtype=np.uint64)
+    if full.any():
+        starts = (np.cumsum(sizes) - sizes)[full]
+        one[full], two[full] = np.add.reduceat(mix(sets, 11), starts), np.add.reduceat(mix(sets, 23), starts)
+    return one.view(np.int64), two.view(np.int64)
+
+
+DESCRIBED = "doc_id long, tag long, n_shingles long, d1 long, d2 long, sig binary"
+
+
 def _described(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in slices(batches):
-            sets, sizes = shingles(part.column("text").to_pylist(), width, hashes)
+            sets, sizes = shingles(part.column("text"), width)
             full = sizes > 0
-            one, two = np.zeros(len(sizes), dtype=np.uint64), np.zeros(len(sizes), dtype=np.uint64)
             sig: list[bytes | None] = [None] * len(sizes)
             if full.any():
-                starts = (np.cumsum(sizes) - sizes)[full]
-                one[full], two[full] = np.add.reduceat(mix(sets, 11), starts), np.add.reduceat(mix(sets, 23), starts)
                 for k, s in zip(np.flatnonzero(full).tolist(), signatures(sets, sizes[full])):
                     sig[k] = s.tobytes()
-            columns = [part.column("doc_id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+            columns = [part.column("doc_id"), part.column("tag"), pa.array(sizes), *map(pa.array, digests(sets, sizes)), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in DESCRIBED.split(", ")])
 
     return run
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            keys = band_keys(_binary_rows(batch.column("sig"), np.uint16, PERMS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], names=["bucket", "id"])
+def _banded(bitmap=None):
+    """Buckets and nodes of signatures; with a bitmap, of buckets that may hold several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_binary_rows(batch.column("sig"), np.uint16, PERMS)).reshape(-1)
+                nodes = np.repeat(batch.column("id").to_numpy(), BANDS)
+                if bitmap is not None:
+                    on = hit(bitmap.value, keys)
+                    keys, nodes = keys[on], nodes[on]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], names=["bucket", "id"])
+
+    return run
 
 
 def _sets_of(width: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in slices(batches):
-            wanted = hit(bitmap.value, part.column("h").to_numpy(), BITS)
-            part = part.filter(pa.array(wanted))
-            sets, sizes = shingles(part.column("text").to_pylist(), width, hashes)
-            ends = np.cumsum(sizes)
-            data = [sets[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
-            if data:
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary())], names=["id", "items"])
+            part = part.filter(pa.array(hit(bitmap.value, part.column("tag").to_numpy())))
+            if not part.num_rows:
+                continue
+            sets, sizes = shingles(part.column("text"), width)
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * 8
+            items = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(sets)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), items], names=["doc_id", "tag", "items"])
 
     return run
 
@@ -172,11 +191,14 @@ def _pruned(least: list[int]):
     return run
 
 
+def _set(items: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(items.as_buffer(), dtype=np.uint64)
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("ia"), batch.column("ib"))
-            ok = [linked(*(np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in p), percent) for p in pairs]
+            ok = [linked(_set(a), _set(b), percent) for a, b in zip(batch.column("ia"), batch.column("ib"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -185,22 +207,23 @@ def _verified(percent: int):
 def _block_links(percent: int, least: list[int]):
     """Links between components in pairs of blocks of one bucket."""
 
-    def unpack(members) -> tuple:
-        sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint16).reshape(-1, PERMS)
-        return [m["id"] for m in members], np.array([m["component"] for m in members]), sig, [np.frombuffer(m["items"], dtype=np.uint64) for m in members], band_keys(sig)
+    def unpack(blocks: pa.ListArray, row: int) -> tuple:
+        members = blocks[row].values
+        sig, items = _binary_rows(members.field("sig"), np.uint16, PERMS), members.field("items")
+        return members.field("id").to_numpy(), members.field("component").to_numpy(), sig, items, band_keys(sig)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for row in range(batch.num_rows):
                 band = batch.column("bucket")[row].as_py() & 63
-                left = unpack(batch.column("left")[row].as_py())
-                other = batch.column("right")[row].as_py()
-                right = left if other is None else unpack(other)
+                left = unpack(batch.column("left"), row)
+                alone = not batch.column("right")[row].is_valid
+                right = left if alone else unpack(batch.column("right"), row)
                 fresh = left[1][:, None] != right[1]
                 for earlier in range(band):
                     fresh &= left[4][:, earlier, None] != right[4][:, earlier]
-                if other is None:
+                if alone:
                     fresh = np.triu(fresh, 1)
                 i, j = np.nonzero(fresh)
                 root: dict[int, int] = {}
@@ -215,9 +238,9 @@ def _block_links(percent: int, least: list[int]):
                     for k in survive(left[2][a], right[2][b], least).tolist():
                         p, q = int(a[k]), int(b[k])
                         x, y = find(int(left[1][p])), find(int(right[1][q]))
-                        if x != y and linked(left[3][p], right[3][q], percent):
+                        if x != y and linked(_set(left[3][p]), _set(right[3][q]), percent):
                             root[max(x, y)] = min(x, y)
-                            found.append((left[0][p], right[0][q]))
+                            found.append((int(left[0][p]), int(right[0][q])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
@@ -237,9 +260,9 @@ class _Verifier:
         return pairs
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        left = self._beside(pairs, self.sigs, "sig", "s").select("a", "b", "sa", "sb").mapInArrow(_pruned(self.least), "a long, b long")
+        left = in_batches(self._beside(pairs, self.sigs, "sig", "s").select("a", "b", "sa", "sb"), _pruned(self.least), "a long, b long")
         full = self._beside(materialize(left, "survivors"), self.sets, "items", "i").select("a", "b", "ia", "ib")
-        return materialize(full.mapInArrow(_verified(self.percent), "a long, b long"), "links")
+        return materialize(in_batches(full, _verified(self.percent), "a long, b long"), "links")
 
 
 def _mixed(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -273,22 +296,32 @@ def _blocks(mixed: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     return alone.unionByName(two.join(packed.select("bucket", "block", F.col("left").alias("right")), ["bucket", "block"]).select("bucket", "left", "right"))
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
+def _text_tag(text_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """A row per document: doc_id, tag, n_shingles, component_id, and keep: whether it is the one that stays."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
-    described = materialize(texts.mapInArrow(_described(width), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signatures")
-    full = described.filter("n_shingles > 0")
-    classes = materialize(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    sigs = full.join(classes, ["d1", "d2", "n_shingles"]).filter("doc_id = id").select("id", "sig").dropDuplicates(["id", "sig"])
-    banded = sigs.mapInArrow(_banded, "bucket long, id long")
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("bucket", "first")
-    members = materialize(banded.join(shared, "bucket"), "buckets")
-    release_shuffles(spark)  # the bands of all classes were shuffled; the buckets that hold several are few
-    active = members.select("id").distinct()
-    bitmap = spark.sparkContext.broadcast(bitmap_of(active, F.col("id"), BITS))
-    sigs = materialize(full.select(F.col("doc_id").alias("id"), "sig", "n_shingles").join(active, "id", "left_semi"), "active")
-    sets = materialize(texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets_of(width, bitmap), "id long, items binary").join(active, "id", "left_semi"), "sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_tag(text_col).alias("tag"))
+    described = in_batches(texts, _described(width), DESCRIBED).withColumn("node", F.monotonically_increasing_id())
+    described = materialize(described, "signatures")
+    # equal sets have equal signatures; a class is the node of one of its rows, and its first document stands for it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag")).alias("first")
+    classes = described.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("node").alias("id"), first, F.any_value("sig").alias("sig"))
+    classes = materialize(classes.select("id", "first", "d1", "d2", "n_shingles", "sig"), "classes")
+    banded = in_batches(classes.select("id", "sig"), _banded(), "bucket long, id long")
+    shared = materialize(banded.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("bucket", "first"), "shared")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(shared, F.col("bucket"), fitting_bits(shared.count())))
+    members = in_batches(classes.select("id", "sig"), _banded(bitmap), "bucket long, id long")
+    members = materialize(members.join(shared, "bucket"), "buckets")
+    sigs = materialize(classes.join(members.select("id").distinct(), "id", "left_semi"), "active")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(sigs, F.col("first.tag"), fitting_bits(sigs.count())))
+    wanted = sigs.select("id", F.col("first.doc_id").alias("of"), F.col("first.tag").alias("of_tag"))
+    sets = in_batches(texts, _sets_of(width, bitmap), "doc_id long, tag long, items binary")
+    sets = sets.join(wanted, sets["doc_id"].eqNullSafe(wanted["of"]) & (sets["tag"] == wanted["of_tag"])).select("id", "items")
+    sets = materialize(sets.dropDuplicates(["id"]), "sets")  # repeated rows
     verifier = _Verifier(sigs, sets, percent)
     nearest = members.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).filter("a <> b")
     edges = verifier.links(nearest.select("a", "b"))
@@ -297,14 +330,28 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     again = mixed.join(of_first, "bucket").filter("component <> c").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     edges = edges.unionByName(verifier.links(again))
     mixed = _mixed(mixed.drop("component"), edges)
-    rest = _blocks(mixed, sigs, sets).mapInArrow(_block_links(percent, verifier.least), "a long, b long")
+    rest = in_batches(_blocks(mixed, sigs, sets), _block_links(percent, verifier.least), "a long, b long")
     edges = edges.unionByName(materialize(rest, "links"))
     label = components(edges).select(F.col("node").alias("id"), "component")
-    whole = classes.join(label, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return described.drop("sig").join(whole, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    whole = classes.select("id", "first", "d1", "d2", "n_shingles").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    leaders = whole.groupBy("component").agg(F.min("first").alias("leader"))
+    whole = materialize(whole.join(leaders, "component").select("d1", "d2", "n_shingles", "leader"), "labels")
+    rows = described.drop("sig", "node")
+    found = rows.filter("n_shingles > 0").join(whole, ["d1", "d2", "n_shingles"])
+    keep = F.col("doc_id").eqNullSafe(F.col("leader.doc_id")) & (F.col("tag") == F.col("leader.tag"))
+    found = found.select("doc_id", "tag", "n_shingles", F.col("leader.doc_id").alias("component_id"), keep.alias("keep"))
+    return found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "tag", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("keep")))
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
+    return _grouped(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", F.col("keep").alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, one document left of each group; rows without id stay."""
-    gone = near_groups(docs, width, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The input's rows and columns, one document left of each group: the one of smallest id (null last), then of least text hash.
+
+    Rows that repeat its id and text stay with it; exact dedup takes care of these.
+    """
+    gone = _grouped(docs, width, percent, id_col, text_col).filter("not keep").select("doc_id", "tag").distinct()
+    return without_rows(docs, gone, [F.col(id_col).cast("long"), _text_tag(text_col)])

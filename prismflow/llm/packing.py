@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismflow.llm.common import slices
+from prismflow.llm.common import in_batches, slices
 from prismflow.llm.tokens import TOKEN_BYTES, encoder
 
 CONTEXT = 1024
 TIERS = (1024, 512, 256, 128)
-#: Ids packed together (16 MB), and ids of a step group.
-POOL = 1 << 22
+#: Ids packed together (8 MB), and ids of a step group.
+POOL = 1 << 21
 STEP = 1 << 16
 
 Piece = tuple[int, int, int]  # document, start, length
@@ -157,7 +157,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tiers: tuple[int
     doc_id, start (the document's ids before it), length, doc_tokens, sequence_id, offset (in the sequence),
     tier (the sequence's size), step_group, ids.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packed(path, end_id, tiers, pool, step), SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return in_batches(rows, _packed(path, end_id, tiers, pool, step), SCHEMA)
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:

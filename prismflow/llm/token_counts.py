@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismflow.llm.common import scratch_path, slices
+from prismflow.llm.common import in_batches, scratch_path, slices
 from prismflow.llm.tokens import TOKEN_BYTES, encoder
 
 LEDGER = "doc_id long, version string, source string, lang string, n_tokens long, batch long, live boolean"
@@ -37,7 +37,7 @@ def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("lang"), pa.array(counts.astype(np.int64))], names=["doc_id", "source", "lang", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text")
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long").withColumn("version", F.lit(version))
+    return in_batches(rows, run, "doc_id long, source string, lang string, n_tokens long").withColumn("version", F.lit(version))
 
 
 class TokenRollup:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismflow.llm import simple8b
-from prismflow.llm.common import scratch_path, slices
+from prismflow.llm.common import in_batches, scratch_path, slices
 from prismflow.llm.tokens import TOKEN_BYTES, encoder
 
 SEGMENT = "part int, segment int, before long, n_ids long, first_id long, doc_ids array<long>, lengths array<long>, coded binary"
@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_last()]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
-    rows.mapInArrow(_segments(path, end_id), SEGMENT).write.option("compression", "uncompressed").parquet(folder)
+    in_batches(rows, _segments(path, end_id), SEGMENT).write.option("compression", "uncompressed").parquet(folder)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min(F.struct("segment", "first_id")).alias("first"))
     earlier = Window.orderBy(F.col("first.first_id").asc_nulls_last(), "part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     base = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    rows = stored.select("part", "before", "doc_ids", "lengths", "coded").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary, part int")
+    rows = in_batches(stored.select("part", "before", "doc_ids", "lengths", "coded"), _documents, "doc_id long, start long, n_tokens long, ids binary, part int")
     return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 

@@ -16,7 +16,7 @@ _ODD_SPACE = r" ([\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 
 _NOTHING, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 #: Text encoded at once; more at once means fewer distinct pieces to look up.
-TOKEN_BYTES = 4_000_000
+TOKEN_BYTES = 2_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,20 +26,34 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _splits_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file is a byte-level BPE whose pattern puts a space before the word that follows it."""
+    import json
+
+    with open(path) as f:
+        parts = json.load(f)
+    first = parts.get("pre_tokenizer") or {}
+    plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+    return bool(plain and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout") and not parts.get("normalizer"))
+
+
 class Encoder:
     """Ids of many texts at once by a byte-level BPE of the tokenizers library.
 
     In such a tokenizer a single space before a visible character always begins a pre-token, so the ids
     of a text are those of its pieces cut there. Each distinct piece is encoded once by the library and
     kept; at a fixed size half of the store is dropped. Texts where a space is followed by white space or by the
-    end are encoded whole.
+    end are encoded whole, and so are all texts where the file's tokenizer is not such a one.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.by_piece = _splits_at_spaces(path)
+        if self.by_piece:
+            self.tokenizer.model._resize_cache(0)  # pieces are kept here
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.begins = np.zeros(size, dtype=bool)  # tokens that begin with a space
@@ -74,6 +88,12 @@ class Encoder:
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         self._append(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes)
 
+    def _library(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        end = [] if end_id is None else [end_id]
+        found = [e.ids + end for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
+
     def _shrink(self) -> None:
         """Keep the half of the pieces that came first: common ones come early."""
         n = self.n // 2
@@ -85,6 +105,8 @@ class Encoder:
         if self.n > self.most:
             self._shrink()
         texts = texts.fill_null("").cast(pa.large_string())
+        if not self.by_piece:
+            return self._library(texts, end_id)
         odd = pc.match_substring_regex(texts, _ODD_SPACE)
         for token in self.added:
             odd = pc.or_(odd, pc.match_substring(texts, token))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismflow.llm.common import materialize
+from prismflow.llm.common import in_batches, materialize
 
 #: Queries whose vectors are broadcast together.
 QUERY_BLOCK = 16_384
@@ -136,7 +136,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
         matrix = _matrix(table["q"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int64())), width) if table.num_rows else np.zeros((0, width), dtype=np.int64)
         block = spark.sparkContext.broadcast((ids, matrix))
         schema = "query_id long, list int, vec_id long, part long"
-        heads = candidates.mapInArrow(_scan(block, lists, width, None, k), schema)
+        heads = in_batches(candidates, _scan(block, lists, width, None, k), schema)
         place = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id"))
         gathered = heads.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "vec_id").distinct()
         ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -145,7 +145,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
         t = dict(cutoff.toPandas().itertuples(index=False))  # at most QUERY_BLOCK rows
         none = -(2**62)  # fewer than k candidates: all are collected
         at_least = np.array([-((-t[q]) // lists) if q in t else none for q in ids.tolist()], dtype=np.int64)
-        parts = candidates.mapInArrow(_scan(block, lists, width, at_least, k), schema)
+        parts = in_batches(candidates, _scan(block, lists, width, at_least, k), schema)
         known = parts.groupBy("query_id", "vec_id").agg(F.sum("part").alias("known"), F.count(F.lit(1)).alias("n"))
         bound = F.col("known") + (lists - F.col("n")) * (F.ceil(F.col("t") / lists) - 1)
         left = known.join(F.broadcast(cutoff), "query_id", "left").filter(F.col("t").isNull() | (F.col("n") == lists) & (F.col("known") >= F.col("t")) | (F.col("n") < lists) & (bound >= F.col("t")))

@@ -43,6 +43,9 @@ def feature_of(name: str) -> tuple[float, int, int, float]:
 
 
 def natural_key(text: Column | str) -> Column:
-    """Sort key in which runs of digits compare as numbers (run-2 before run-10)."""
+    """Sort key in which runs of digits, however long, compare as numbers (run-2 before run-10)."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 40, "0")).otherwise(p))
+    # of two numbers without leading zeros the longer one is greater; lengths have ten digits at most
+    bare = lambda p: F.regexp_replace(p, "^0+", "")
+    number = lambda p: F.concat(F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p))
+    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), number(p)).otherwise(p))

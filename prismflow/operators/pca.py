@@ -1,24 +1,37 @@
 """PCA over facts: fit from partial aggregates, model, scores, T2, Q, contributions, reconstruction.
 
 Fitting never gathers the data: Spark reduces facts to a covariance matrix (few features) or a matrix of
-inner products of sources (few sources), whose size is checked before it comes to the driver.
+inner products of sources (few sources). Where both are many, leading components come from subspace
+iteration: each round is one pass of the sources' vectors past a thin basis, summed in Spark.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismflow.config import IMPUTATIONS, OUTLIERS, MahalanobisConfig, SpeConfig, count, one_of, significance
 from prismflow.functions.distributions import chi2_upper, f_upper, normal_upper
+from prismflow.functions.lineage import cut
 from prismflow.operators import stats
 
-#: Largest order of the matrix that is solved on the driver (8 bytes * order ** 2).
+#: Largest order of the matrix that is solved on the driver (8 bytes * order ** 2); beyond it components are iterated.
 MAX_ORDER = 4000
+#: Directions beside those asked for, most rounds, and the relative change of variances at which rounds end.
+SPARE, ROUNDS, SETTLED = 20, 200, 1e-10
+#: Values of the sample from which k-means takes its first centers, at most; rounds, at most.
+SEED_VALUES, KMEANS_ROUNDS = 5_000_000, 100
+#: Bytes of a model's table that is broadcast, at most; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Components whose scores are summed side by side; values of a part of a matrix that is summed in Spark.
+TOGETHER, PART = 64, 4096
 _NEAR_ZERO = 1e-12
 _FENCES = {"lower": "outlier_lower_bounds", "upper": "outlier_upper_bounds", "p1": "winsor_lower_bounds", "p99": "winsor_upper_bounds"}
 
@@ -70,15 +83,20 @@ class PcaModel:
 
     # -- tables of the fitted state -------------------------------------------------------------
     def component_table(self, spark: SparkSession, used: int | None = None) -> DataFrame:
-        k = self.n_component if used is None else used
-        rows = [(j + 1, f + 1, float(self.components[j, f])) for j in range(k) for f in range(len(self.columns))]
-        return spark.createDataFrame(rows, "component long, feature_id long, coefficient double")
+        """component, feature_id, coefficient."""
+        w = self.components if used is None else self.components[:used]
+        j, f = np.indices(w.shape).reshape(2, -1)
+        return sized(spark, {"component": j + 1, "feature_id": f + 1, "coefficient": w.reshape(-1)})
+
+    def coefficient_table(self, spark: SparkSession, first: int, stop: int) -> DataFrame:
+        """feature_id and w, its coefficients of components first to stop - 1, counted from 0."""
+        w = np.ascontiguousarray(self.components[first:stop].T)
+        return sized(spark, {"feature_id": np.arange(1, len(w) + 1), "w": _lists(w)})
 
     def feature_state(self, spark: SparkSession) -> DataFrame:
-        one, zero = np.ones(len(self.columns)), np.zeros(len(self.columns))
-        parts = (self.mean, zero if self.centers is None else self.centers, one if self.scales is None else self.scales)
-        rows = [(f + 1, *(float(p[f]) for p in parts)) for f in range(len(self.columns))]
-        return spark.createDataFrame(rows, "feature_id long, mean double, center double, scale double")
+        n = len(self.columns)
+        centers, scales = np.zeros(n) if self.centers is None else self.centers, np.ones(n) if self.scales is None else self.scales
+        return sized(spark, {"feature_id": np.arange(1, n + 1), "mean": self.mean, "center": centers, "scale": scales})
 
     def explained_variance_table(self, spark: SparkSession) -> DataFrame:
         total = np.cumsum(self.explained_variance_ratio)
@@ -187,40 +205,142 @@ class PcaModel:
         return cls.from_payload(json.loads(text))
 
 
+def sized(spark: SparkSession, columns: dict) -> DataFrame:
+    """A table of arrays, with a hint to broadcast it in joins if its bytes are few."""
+    table = pa.table(columns)
+    frame = spark.createDataFrame(table)
+    return F.broadcast(frame) if table.nbytes <= BROADCAST_BYTES else frame
+
+
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as a list column."""
+    ends = np.arange(len(matrix) + 1) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(matrix.reshape(-1)))
+
+
 def _arrays(table: DataFrame, names: tuple[str, ...], n: int) -> dict[str, np.ndarray]:
     """Columns of a small per-feature table as arrays in feature order."""
-    out = {c: np.zeros(n) for c in names}
-    for r in table.collect():
-        for c in names:
-            out[c][r["feature_id"] - 1] = r[c]
+    found = table.select("feature_id", *[F.col(c).cast("double").alias(c) for c in names]).toArrow()
+    at, out = found["feature_id"].to_numpy() - 1, {}
+    for c in names:
+        out[c] = np.zeros(n)
+        out[c][at] = found[c].to_numpy()
     return out
 
 
-def _kmeans(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
-    """Centroids of a checked number of complete rows, seeded far apart with a fixed seed."""
+def _vectors(facts: DataFrame) -> DataFrame:
+    """source and x, the values of complete facts in feature order; stored, as rounds read it again and again."""
+    rows = facts.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("x"))
+    return cut(rows.select("source", F.transform("x", lambda e: e.value).alias("x")))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _summed(vectors: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all tasks of a matrix that partial(matrices of rows) makes in each; its parts are added up in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = partial(_matrix(b.column("x")) for b in batches if b.num_rows)
+        if total is not None:
+            flat = np.ascontiguousarray(total, dtype=float).reshape(-1)
+            for at in range(0, len(flat), PART):
+                yield pa.RecordBatch.from_arrays([pa.array([at // PART]), pa.array([flat[at : at + PART].tobytes()], pa.binary())], names=["part", "values"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v) for v in rows["values"].to_pylist())
+        return pa.table({"part": rows["part"][:1], "values": pa.array([total.tobytes()], pa.binary())})
+
+    found = vectors.select("x").mapInArrow(run, "part long, values binary").groupBy("part").applyInArrow(add, "part long, values binary").toArrow()
+    out = np.zeros(shape[0] * shape[1])
+    for part, values in zip(found["part"].to_pylist(), found["values"].to_pylist()):
+        piece = np.frombuffer(values)
+        out[part * PART : part * PART + len(piece)] = piece
+    return out.reshape(shape)
+
+
+def _first_centers(points: np.ndarray, k: int) -> np.ndarray:
+    """k rows of a bounded sample, far apart, by a fixed seed."""
     rng = np.random.default_rng(0)
     centers = points[[int(rng.integers(len(points)))]]
     while len(centers) < k:
         gap = ((points[:, None] - centers) ** 2).sum(axis=2).min(axis=1)
         centers = np.vstack([centers, points[rng.choice(len(points), p=gap / gap.sum()) if gap.sum() > 0 else len(centers)]])
-    for _ in range(rounds):
-        label = ((points[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
-        new = np.array([points[label == j].mean(axis=0) if (label == j).any() else centers[j] for j in range(k)])
+    return centers
+
+
+def fit_centroids(facts: DataFrame, features: int, k: int) -> np.ndarray:
+    """K-means over complete facts at any size: first centers from a bounded sample, then rounds of assignment and means in Spark."""
+    vectors = _vectors(facts)
+    n = vectors.count()
+    if not n:
+        raise ValueError("k-means needs a complete sample")
+    k = min(k, n)
+    few = vectors.orderBy(F.xxhash64("source"), "source").limit(max(k, SEED_VALUES // max(1, features)))
+    centers = _first_centers(_matrix(few.select("x").toArrow()["x"].combine_chunks()), k)
+    for _ in range(KMEANS_ROUNDS):
+        shared = facts.sparkSession.sparkContext.broadcast(centers)
+
+        def partial(matrices, shared=shared):
+            old, total = shared.value, None
+            half = (old**2).sum(axis=1) / 2
+            for x in matrices:
+                label = (half - x @ old.T).argmin(axis=1)
+                sums = np.zeros((len(old), x.shape[1] + 1))
+                np.add.at(sums, label, np.hstack([x, np.ones((len(x), 1))]))
+                total = sums if total is None else total + sums
+            return total
+
+        sums = _summed(vectors, partial, (k, features + 1))
+        shared.unpersist()
+        new = np.where(sums[:, -1:] > 0, sums[:, :-1] / np.maximum(sums[:, -1:], 1), centers)
         if np.allclose(new, centers, rtol=0, atol=1e-12):
             break
         centers = new
     return centers
 
 
-def _symmetric(entries: DataFrame, value: str, index: dict, order: int) -> np.ndarray:
-    out = np.zeros((order, order))
-    for r in entries.collect():
-        out[index[r["a"]], index[r["b"]]] = out[index[r["b"]], index[r["a"]]] = r[value]
+def _leading(facts: DataFrame, mean: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Variances and directions of the k leading components by subspace iteration, and the variance of all."""
+    features, spark = len(mean), facts.sparkSession
+    width = min(k + SPARE, n, features)
+    vectors = _vectors(facts)
+    total = float(facts.groupBy("feature_id").agg(F.var_samp("value").alias("v")).agg(F.sum("v")).first()[0] or 0.0)
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(features, width)))[0]
+    values = np.zeros(width)
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((mean, basis))
+
+        def partial(matrices, shared=shared):
+            (center, q), sums = shared.value, None
+            for x in matrices:
+                c = x - center
+                image = c.T @ (c @ q)
+                sums = image if sums is None else sums + image
+            return sums
+
+        image = _summed(vectors, partial, (features, width)) / max(1, n - 1)
+        shared.unpersist()
+        before, (values, turn) = values, np.linalg.eigh(basis.T @ image)
+        values, turn = values[::-1], turn[:, ::-1]
+        found = basis @ turn
+        if np.allclose(values[:k], before[:k], rtol=SETTLED, atol=SETTLED * max(values[0], 1e-300)):
+            break
+        basis = np.linalg.qr(image)[0]
+    return np.maximum(values[:k], 0), found[:, :k].T, total
+
+
+def _symmetric(entries: DataFrame, value: str, place, order: int) -> np.ndarray:
+    """A matrix from its upper triangle (a, b, value); place gives the rows of names."""
+    found, out = entries.select("a", "b", value).toArrow(), np.zeros((order, order))
+    a, b = (place(found[c].to_numpy()) for c in ("a", "b"))
+    out[a, b] = out[b, a] = found[value].to_numpy()
     return out
 
 
 def fit_components(facts: DataFrame, n_features: int, n_component: int | None) -> dict:
-    """Exact components of complete facts by the smaller of the two matrices, its order checked."""
+    """Components of complete facts, by the smaller of the two matrices, or iterated where both are large."""
     n = facts.select("source").distinct().count()
     most = min(n, n_features)
     if n == 0:
@@ -228,23 +348,24 @@ def fit_components(facts: DataFrame, n_features: int, n_component: int | None) -
     k = most if n_component is None else n_component
     if k > most:
         raise ValueError(f"n_component must not exceed {most}")
-    if most > MAX_ORDER:
-        raise ValueError(f"min(samples, features) = {most} exceeds {MAX_ORDER}")
     mean = _arrays(facts.groupBy("feature_id").agg(F.avg("value").alias("m")), ("m",), n_features)["m"]
-    if n_features <= n:
-        matrix = _symmetric(stats.covariance(facts), "covariance", {f + 1: f for f in range(n_features)}, n_features) if n > 1 else np.zeros((n_features, n_features))
+    total = None
+    if most > MAX_ORDER:
+        values, components, total = _leading(facts, mean, n, k)
+    elif n_features <= n:
+        matrix = _symmetric(stats.covariance(facts), "covariance", lambda a: a - 1, n_features) if n > 1 else np.zeros((n_features, n_features))
         values, vectors = np.linalg.eigh(matrix)
         values, components = np.maximum(values[::-1], 0), vectors[:, ::-1].T
     else:
         names = [r[0] for r in facts.select("source").distinct().orderBy("source").collect()]
         at = {s: i for i, s in enumerate(names)}
-        values, vectors = np.linalg.eigh(_symmetric(stats.gram(facts), "product", at, n))
+        values, vectors = np.linalg.eigh(_symmetric(stats.gram(facts), "product", lambda a: np.array([at[s] for s in a.tolist()], dtype=int), n))
         values = np.maximum(values[::-1], 0) / max(1, n - 1)
         weights = vectors[:, ::-1].T
         spark = facts.sparkSession
-        table = spark.createDataFrame([(s, [float(x) for x in weights[:k, at[s]]]) for s in names], "source string, u array<double>")
-        means = spark.createDataFrame([(f + 1, float(m)) for f, m in enumerate(mean)], "feature_id long, m double")
-        parts = facts.join(F.broadcast(table), facts["source"].cast("string") == table["source"]).join(means, "feature_id")
+        table = sized(spark, {"name": pa.array([str(s) for s in names]), "u": _lists(np.ascontiguousarray(weights[:k].T))})
+        means = sized(spark, {"feature_id": np.arange(1, n_features + 1), "m": mean})
+        parts = facts.join(table, F.col("source").cast("string") == F.col("name")).join(means, "feature_id")
         sums = parts.groupBy("feature_id").agg(*[F.sum(F.get("u", F.lit(j)) * (F.col("value") - F.col("m"))).alias(f"c{j}") for j in range(k)])
         raw = np.stack(list(_arrays(sums, tuple(f"c{j}" for j in range(k)), n_features).values()))
         norms = np.linalg.norm(raw, axis=1, keepdims=True)
@@ -255,12 +376,13 @@ def fit_components(facts: DataFrame, n_features: int, n_component: int | None) -
                 row = row - components[:j].T @ (components[:j] @ row)
                 row = row / np.linalg.norm(row)
             components[j] = row
-    total, values = values.sum(), values[:most]
+    everything = float(values.sum()) if total is None else total
+    left = float(values[k:most].sum()) if total is None else max(0.0, everything - float(values[:k].sum()))
     largest = np.abs(components).argmax(axis=1)
     components = components * np.sign(components[np.arange(len(components)), largest])[:, None]
     return {
-        "components": components[:k], "mean": mean, "explained_variance": values[:k], "explained_variance_ratio": values[:k] / total if total > 0 else np.zeros(k),
-        "singular_values": np.sqrt(values[:k] * max(1, n - 1)), "n_samples": n, "noise_variance": float(values[k:].mean()) if k < most else 0.0,
+        "components": components[:k], "mean": mean, "explained_variance": values[:k], "explained_variance_ratio": values[:k] / everything if everything > 0 else np.zeros(k),
+        "singular_values": np.sqrt(values[:k] * max(1, n - 1)), "n_samples": n, "noise_variance": left / (most - k) if k < most else 0.0,
     }
 
 
@@ -287,42 +409,32 @@ def fit_pca(
         state["fills"] = _arrays(fills, ("fill",), n)["fill"]
         now = stats.fill_missing(now, fills, sources)
     else:
-        whole = stats.drop_missing(now, n).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("x"))
-        rows = whole.count()
-        if not rows:
-            raise ValueError("k-means needs a complete sample")
-        if rows * n > 50_000_000:
-            raise ValueError("too many complete values for k-means on the driver")
-        points = np.array([r[0] for r in whole.orderBy("source").select(F.transform("x", lambda s: s.value)).collect()])
-        state["centroids"] = _kmeans(points, min(8 if kmeans_n_clusters is None else count(kmeans_n_clusters, "kmeans_n_clusters"), rows))
+        clusters = 8 if kmeans_n_clusters is None else count(kmeans_n_clusters, "kmeans_n_clusters")
+        state["centroids"] = fit_centroids(stats.drop_missing(now, n), n, clusters)
         now = stats.fill_from_centroids(now, centroid_table(spark, state["centroids"]), sources)
     if outlier:
-        bounds = stats.fit_outliers(now, iqr_multiplier).cache()
+        bounds = cut(stats.fit_outliers(now, iqr_multiplier))
         state["fences"] = _arrays(bounds, ("lower", "upper", "p1", "p99"), n)
         now = stats.winsorize(now, bounds) if outlier == "winsorize" else stats.drop_outliers(now, bounds)
     if scaling != "none":
-        fitted = stats.fit_scaling(now, scaling).cache()
+        fitted = cut(stats.fit_scaling(now, scaling))
         arrays = _arrays(fitted, ("center", "scale"), n)
         state |= {"centers": arrays["center"], "scales": arrays["scale"]}
         now = stats.apply_scaling(now, fitted)
-    now = now.cache()
-    try:
-        samples = now.select("source").distinct().count()
-        limit = min(samples, n, max_n_component or n)
-        return PcaModel(**state, **fit_components(now, n, limit if n_component is None else n_component))
-    finally:
-        now.unpersist()
+    now = cut(now)
+    samples = now.select("source").distinct().count()
+    limit = min(samples, n, max_n_component or n)
+    return PcaModel(**state, **fit_components(now, n, limit if n_component is None else n_component))
 
 
 def centroid_table(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
-    rows = [(c, f + 1, float(v)) for c, row in enumerate(centroids) for f, v in enumerate(row)]
-    return spark.createDataFrame(rows, "cluster int, feature_id long, center double")
+    c, f = np.indices(centroids.shape).reshape(2, -1)
+    return sized(spark, {"cluster": pa.array(c, pa.int32()), "feature_id": f + 1, "center": centroids.reshape(-1)})
 
 
 def _feature_rows(spark: SparkSession, **arrays: np.ndarray) -> DataFrame:
-    names = list(arrays)
-    rows = [(f + 1, *(float(arrays[a][f]) for a in names)) for f in range(len(arrays[names[0]]))]
-    return spark.createDataFrame(rows, "feature_id long, " + ", ".join(f"{a} double" for a in names))
+    n = len(next(iter(arrays.values())))
+    return sized(spark, {"feature_id": np.arange(1, n + 1), **{a: np.asarray(v, dtype=float) for a, v in arrays.items()}})
 
 
 def prepare(model: PcaModel, facts: DataFrame) -> DataFrame:
@@ -344,14 +456,19 @@ def prepare(model: PcaModel, facts: DataFrame) -> DataFrame:
 
 def scaled(model: PcaModel, prepared: DataFrame) -> DataFrame:
     """Prepared facts in the space of the components, with the feature's mean, center and scale."""
-    state = F.broadcast(model.feature_state(prepared.sparkSession))  # a row per feature of the model
-    return prepared.join(state, "feature_id").withColumn("z", (F.col("value") - F.col("center")) / F.col("scale"))
+    return prepared.join(model.feature_state(prepared.sparkSession), "feature_id").withColumn("z", (F.col("value") - F.col("center")) / F.col("scale"))
 
 
 def scores_long(model: PcaModel, prepared: DataFrame, used: int | None = None) -> DataFrame:
     """source, component, score."""
-    z = scaled(model, prepared)
-    scores = z.join(F.broadcast(model.component_table(prepared.sparkSession, used)), "feature_id").groupBy("source", "component").agg(F.sum((F.col("z") - F.col("mean")) * F.col("coefficient")).alias("score"))
+    z, k, parts = scaled(model, prepared), model.n_component if used is None else used, []
+    for first in range(0, k, TOGETHER):
+        stop = min(first + TOGETHER, k)
+        sums = [F.sum((F.col("z") - F.col("mean")) * F.get("w", F.lit(j))).alias(f"s{j}") for j in range(stop - first)]
+        rows = z.join(model.coefficient_table(prepared.sparkSession, first, stop), "feature_id").groupBy("source").agg(*sums)
+        named = F.array(*[F.struct(F.lit(first + j + 1).cast("long").alias("component"), F.col(f"s{j}").alias("score")) for j in range(stop - first)])
+        parts.append(rows.select("source", F.inline(named)))
+    scores = reduce(DataFrame.unionByName, parts)
     if not model.whiten:
         return scores
     lam = F.array(*[F.lit(float(np.sqrt(v))) for v in model.explained_variance])
@@ -369,16 +486,16 @@ def reconstruct(model: PcaModel, scores: DataFrame, selector=None) -> DataFrame:
     k = resolve_used_components(model.explained_variance_ratio, selector)
     stretch = np.sqrt(model.explained_variance) if model.whiten else np.ones(model.n_component)
     factor = F.array(*[F.lit(float(x)) for x in stretch])
-    parts = scores.filter(F.col("component") <= k).join(F.broadcast(model.component_table(spark, k)), "component")
+    parts = scores.filter(F.col("component") <= k).join(model.component_table(spark, k), "component")
     term = F.coalesce("score", F.lit(float("nan"))) * F.get(factor, (F.col("component") - 1).cast("int")) * F.col("coefficient")
     sums = parts.groupBy("source", "feature_id").agg(F.sum(term).alias("s"))
-    return sums.join(F.broadcast(model.feature_state(spark)), "feature_id").select("source", "feature_id", ((F.col("s") + F.col("mean")) * F.col("scale") + F.col("center")).alias("value"))
+    return sums.join(model.feature_state(spark), "feature_id").select("source", "feature_id", ((F.col("s") + F.col("mean")) * F.col("scale") + F.col("center")).alias("value"))
 
 
 def component_contribution(model: PcaModel, scores: DataFrame, component: int) -> DataFrame:
     """source, feature_id, value: a component's part of the reconstruction, scaled back without its center."""
     spark = scores.sparkSession
-    parts = scores.filter(F.col("component") == component).join(F.broadcast(model.component_table(spark)), "component").join(F.broadcast(model.feature_state(spark)), "feature_id")
+    parts = scores.filter(F.col("component") == component).join(model.component_table(spark), "component").join(model.feature_state(spark), "feature_id")
     stretch = float(np.sqrt(model.explained_variance[component - 1])) if model.whiten else 1.0
     return parts.select("source", "feature_id", (F.col("score") * stretch * F.col("coefficient") * F.col("scale")).alias("value"))
 
@@ -410,24 +527,33 @@ def partial_scores(model: PcaModel, prepared: DataFrame, features: DataFrame, co
     spark = prepared.sparkSession
     if any(not 1 <= c <= model.n_component for c in components):
         raise ValueError("no such component")
+    whole = stats.complete_sources(prepared, len(model.columns))
+    if prepared.join(whole, "source", "left_anti").limit(1).count():
+        raise ValueError("partial scores need a value for every feature")
     w = model.component_table(spark).filter(F.col("component").isin(components))
-    z = scaled(model, prepared).join(F.broadcast(w), "feature_id").join(F.broadcast(features), "feature_id")
+    z = scaled(model, prepared).join(w, "feature_id").join(features, "feature_id")
     keys = ["source", "component", "Step", "Sequence", "StepTime"]
     at = z.groupBy(*keys).agg(F.sum((F.col("z") - F.col("mean")) * F.col("coefficient")).alias("part"))
     line = Window.partitionBy("source", "component").orderBy("Step", "Sequence", "StepTime").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return at.withColumn("score", F.sum("part").over(line)).drop("part")
 
 
-def transform_pca(model: PcaModel, facts: DataFrame, mahalanobis: MahalanobisConfig | None = None, spe: SpeConfig | None = None) -> DataFrame:
-    """source, pca-1 to pca-k and, if asked for, the T2 and Q blocks (value, limit, exceeds)."""
+def transform_pca(model: PcaModel, facts: DataFrame, mahalanobis: MahalanobisConfig | None = None, spe: SpeConfig | None = None, with_features: bool = False) -> DataFrame:
+    """source, the prepared features if asked for, pca-1 to pca-k and, if asked for, the T2 and Q blocks (value, limit, exceeds)."""
     spark = facts.sparkSession
     extra = [c for config in (mahalanobis, spe) if config for c in config.columns]
     if len({*extra, "source", *model.score_columns, *model.columns}) < len(extra) + 1 + model.n_component + len(model.columns):
         raise ValueError("output columns collide")
-    prepared = prepare(model, facts).cache()
+    prepared = cut(prepare(model, facts))
+    if not prepared.limit(1).count():
+        raise ValueError("no row is left to score")
     long = scores_long(model, prepared)
     out = long.groupBy("source").pivot("component", list(range(1, model.n_component + 1))).agg(F.first("score"))
     out = out.select("source", *[F.col(f"`{k + 1}`").alias(n) for k, n in enumerate(model.score_columns)])
+    if with_features:
+        places = list(range(1, len(model.columns) + 1))
+        wide = prepared.groupBy("source").pivot("feature_id", places).agg(F.first("value"))
+        out = wide.select("source", *[F.col(f"`{p}`").alias(c) for p, c in zip(places, model.columns)]).join(out, "source")
     if mahalanobis:
         k = resolve_used_components(model.explained_variance_ratio, mahalanobis.cumulative_explained_variance)
         limit = model.mahalanobis_threshold(mahalanobis.alpha, k)
@@ -440,3 +566,9 @@ def transform_pca(model: PcaModel, facts: DataFrame, mahalanobis: MahalanobisCon
         q = q_contribution(model, prepared, k).groupBy("source").agg(F.sum("contribution").alias(spe.spe_column))
         out = out.join(q, "source").withColumn(spe.ucl_column, F.lit(limit)).withColumn(spe.exceeds_ucl_column, F.col(spe.spe_column) > limit)
     return out
+
+
+def fit_and_transform_pca(facts: DataFrame, features: list[str], mahalanobis: MahalanobisConfig | None = None, spe: SpeConfig | None = None, with_features: bool = False, **fit) -> tuple[PcaModel, DataFrame]:
+    """A model of facts, and their scores by it."""
+    model = fit_pca(facts, features, **fit)
+    return model, transform_pca(model, facts, mahalanobis, spe, with_features)

@@ -5,8 +5,13 @@ Each declares a DataFrame plan over all sources at once; nothing loops over file
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prismflow.config import PreprocessConfig
 from prismflow.functions.lineage import cut
@@ -54,31 +59,70 @@ def edge_trim(frame: DataFrame, bounds: tuple[float, float] | None, action: str
     raise ValueError("action must be drop or null")
 
 
-def _neighbours(frame: DataFrame, window: float) -> DataFrame:
-    """(source, row_index, near): time points of one (source, Step, Sequence) at most `window` apart.
-
-    Time is cut into cells of the window's width, so that points meet only those of three cells.
+def _means_within(axis: np.ndarray, value: np.ndarray, known: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the mean of known values at most `window` away on the axis, and whether there is one."""
+    order = np.argsort(axis, kind="stable")
+    x, v, k = axis[order], value[order], known[order]
+    first, stop = np.searchsorted(x, x - window, side="left"), np.searchsorted(x, x + window, side="right")
+    # rounding of x -/+ window may take a point wrongly in or out: the distance itself decides
+    last = len(x) - 1
+    while (wrong := np.abs(x[first] - x) > window).any():
+        first = first + wrong
+    while (more := (first > 0) & (np.abs(x[np.maximum(first - 1, 0)] - x) <= window)).any():
+        first = first - more
+    while (wrong := np.abs(x[stop - 1] - x) > window).any():
+        stop = stop - wrong
+    while (more := (stop <= last) & (np.abs(x[np.minimum(stop, last)] - x) <= window)).any():
+        stop = stop + more
+    finite = k & np.isfinite(v)
+    sums = np.concatenate([[0.0], np.cumsum(np.where(finite, v, 0.0))])
+    counts, odd = (np.concatenate([[0], np.cumsum(m)]) for m in (k, k & ~finite))
+    n = counts[stop] - counts[first]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = (sums[stop] - sums[first]) / n
+    for i in np.flatnonzero(odd[stop] > odd[first]):  # windows that hold NaN or infinite values
+        mean[i] = v[first[i] : stop[i]][k[first[i] : stop[i]]].mean()
+    out, there = np.empty_like(mean), np.empty(len(n), dtype=bool)
+    out[order], there[order] = mean, n > 0
+    return out, there
+
+
+def _smoothed(frame: DataFrame, keys: list[str], axis: str, window: float) -> DataFrame:
+    """Each value becomes the mean over points of its keys at most `window` apart on the axis.
+
+    The points of a key come together as one array, which is averaged in one pass over its sorted axis.
     """
-    points = frame.select(*ROW).distinct().withColumn("cell", F.floor(F.col("Time") / window))
-    left = points.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    right = points.select("source", "Step", "Sequence", "cell", F.col("row_index").alias("near"), F.col("Time").alias("near_time"))
-    both = left.join(right, ["source", "Step", "Sequence", "cell"])
-    return both.filter(F.abs(F.col("near_time") - F.col("Time")) <= window).select("source", "row_index", "near")
+    rest = [c for c in frame.columns if c not in keys]
+    rows = frame.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("row")
+            points, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            x = points.field(axis).to_numpy(zero_copy_only=False).astype(float)
+            v, known = points.field("value"), points.field("value").is_valid().to_numpy(zero_copy_only=False)
+            v = v.fill_null(0.0).to_numpy(zero_copy_only=False)
+            mean, there = np.zeros(len(x)), np.zeros(len(x), dtype=bool)
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                mean[lo:hi], there[lo:hi] = _means_within(x[lo:hi], v[lo:hi], known[lo:hi], window)
+            means = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(mean, mask=~there))
+            yield pa.RecordBatch.from_arrays([*batch.columns, means], names=[*batch.schema.names, "means"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("means", T.ArrayType(T.DoubleType()))])
+    each = rows.mapInArrow(run, schema).select(*keys, F.explode(F.arrays_zip("row", "means")).alias("x"))
+    value = {"value": F.col("x.means").alias("value")}
+    return each.select(*[F.col(c) if c in keys else value.get(c, F.col(f"x.row.{c}").alias(c)) for c in frame.columns])
 
 
 def smooth_time(frame: DataFrame, window: float | None, keep: DataFrame | None = None) -> DataFrame:
     """Each value becomes the mean over points of its (source, Step, Sequence, wavelength) within `window` in Time.
 
-    keep (source, row_index) restricts which rows are computed, not which are averaged over.
+    keep (source, row_index) restricts which rows are returned, not which are averaged over.
     """
     if window is None:
         return frame
-    pairs = _neighbours(frame, window)
-    if keep is not None:
-        pairs = pairs.join(keep, ["source", "row_index"], "left_semi")
-    values = frame.select("source", F.col("row_index").alias("near"), "wavelength", "value")
-    means = pairs.join(values, ["source", "near"]).groupBy("source", "row_index", "wavelength").agg(F.avg("value").alias("value"))
-    return frame.drop("value").join(means, ["source", "row_index", "wavelength"])
+    out = _smoothed(frame, ["source", "Step", "Sequence", "wavelength"], "Time", window)
+    return out if keep is None else out.join(keep, ["source", "row_index"], "left_semi")
 
 
 def smooth_wavelength(frame: DataFrame, window: float | None) -> DataFrame:
@@ -88,15 +132,7 @@ def smooth_wavelength(frame: DataFrame, window: float | None) -> DataFrame:
     """
     if window is None:
         return frame
-    meta = [c for c in frame.columns if c not in ("wavelength", "value")]
-    rows = frame.groupBy(*meta).agg(F.collect_list(F.struct("wavelength", "value")).alias("row"))
-
-    def mean(point):
-        near = F.filter("row", lambda x: (F.abs(x.wavelength - point.wavelength) <= window) & x.value.isNotNull())
-        total = F.aggregate(near, F.lit(0.0), lambda s, x: s + x.value)
-        return F.struct(point.wavelength.alias("wavelength"), F.try_divide(total, F.size(near).cast("double")).alias("value"))
-
-    return rows.withColumn("x", F.explode(F.transform("row", mean))).select(*meta, "x.wavelength", "x.value")
+    return _smoothed(frame, [c for c in frame.columns if c not in ("wavelength", "value")], "wavelength", window)
 
 
 def _divided(frame: DataFrame, keys: list[str], inside, what: str, check: bool) -> DataFrame:

@@ -16,6 +16,8 @@ from prismflow.functions.quantiles import missing, nearest_quantile
 
 #: Sources of a block and features of a run, whose dense matrix (8 bytes a cell) gram() multiplies in a task; at most about.
 GRAM_SOURCES, GRAM_FEATURES = 256, 1024
+#: The same for covariance().
+COVARIANCE_SOURCES, COVARIANCE_FEATURES = 1024, 512
 
 
 def clean(facts: DataFrame) -> DataFrame:
@@ -106,12 +108,64 @@ def fill_from_centroids(facts: DataFrame, centroids: DataFrame, sources: DataFra
 
 
 def covariance(facts: DataFrame) -> DataFrame:
-    """Upper triangle (a <= b) of the sample covariance matrix of complete facts."""
+    """Upper triangle (a <= b) of the sample covariance matrix of complete facts.
+
+    Blocks of sources are dense matrices over runs of features; tasks multiply run by run and add up what they
+    have of a pair of runs before it is shuffled.
+    """
     means = facts.groupBy("feature_id").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
-    centered = facts.join(means, "feature_id").select("source", "feature_id", (F.col("value") - F.col("m")).alias("c"), "n")
-    left = centered.select("source", F.col("feature_id").alias("a"), F.col("c").alias("x"), "n")
-    right = centered.select("source", F.col("feature_id").alias("b"), F.col("c").alias("y"))
-    return left.join(right, "source").filter("a <= b").groupBy("a", "b").agg((F.sum(F.col("x") * F.col("y")) / (F.first("n") - 1)).alias("covariance"))
+    centered = facts.join(means, "feature_id").select("source", "feature_id", (F.col("value") - F.col("m")).alias("c"))
+    sizes = facts.agg(F.approx_count_distinct("source").alias("sources"), F.max("feature_id").alias("last")).first()
+    runs, blocks = (sizes["last"] or 0) // COVARIANCE_FEATURES + 1, max(1, -(-sizes["sources"] // COVARIANCE_SOURCES))
+    cells = centered.withColumn("block", F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")).withColumn("run", F.floor(F.col("feature_id") / COVARIANCE_FEATURES).cast("long"))
+    kind = facts.schema["source"].dataType.simpleString()
+    packed = cells.groupBy("block", "run").applyInArrow(lambda t: _dense_block(t, COVARIANCE_FEATURES), f"block int, run long, sources array<{kind}>, matrix binary")
+    right = packed.select("block", F.col("run").alias("j"), F.col("sources").alias("b"), F.col("matrix").alias("y"))
+    left = packed.select("block", F.col("run").alias("i"), F.col("sources").alias("a"), F.col("matrix").alias("x"))
+    if runs > 1:
+        partner = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("j")
+        pairs = left.select("*", partner).filter("j >= i").join(right, ["block", "j"])
+    else:
+        pairs = left.select("block", "i", F.col("i").alias("j"), "a", "x", F.col("a").alias("b"), F.col("x").alias("y"))
+    sums = pairs.mapInArrow(_feature_products, "a long, b long, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+    sums = sums.join(means.select(F.col("feature_id").alias("b")), "b")
+    return sums.join(means.select(F.col("feature_id").alias("a"), "n"), "a").select("a", "b", (F.col("s") / (F.col("n") - 1)).alias("covariance"))
+
+
+def _feature_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of products of features of two runs over the sources of all blocks that a task meets."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+
+    def rows(i: int, j: int) -> pa.RecordBatch:
+        sums = held[i, j]
+        a, b = np.indices(sums.shape).reshape(2, -1)
+        a, b = a + i * COVARIANCE_FEATURES, b + j * COVARIANCE_FEATURES
+        on = (a <= b) & (a > 0) & ~np.isnan(sums.reshape(-1))
+        return pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.array(sums.reshape(-1)[on])], names=["a", "b", "s"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            i, j = (batch.column(c)[k].as_py() for c in ("i", "j"))
+            names = [batch.column(c)[k].values for c in ("a", "b")]
+            x, y = (np.frombuffer(batch.column(c)[k].as_buffer()).reshape(len(n), -1) for c, n in zip(("x", "y"), names))
+            if not names[0].equals(names[1]):  # the same sources, which each run may have met in another order
+                at = {s: r for r, s in enumerate(names[1].to_pylist())}
+                take = [at.get(s, -1) for s in names[0].to_pylist()]
+                y = np.vstack([y, np.zeros((1, y.shape[1]))])[take]
+            product = x.T @ y
+            if (i, j) in held:
+                old = held[i, j]
+                if old.shape != product.shape:
+                    shape = tuple(np.maximum(old.shape, product.shape))
+                    old, product = (np.pad(m, [(0, s - n) for s, n in zip(shape, m.shape)]) for m in (old, product))
+                product = old + product
+            held[i, j] = product
+            if len(held) > 16:  # 2 MB each
+                first = next(iter(held))
+                yield rows(*first)
+                del held[first]
+    for i, j in held:
+        yield rows(i, j)
 
 
 def gram(facts: DataFrame) -> DataFrame:
@@ -127,7 +181,7 @@ def gram(facts: DataFrame) -> DataFrame:
     blocks = max(1, -(-sizes["sources"] // GRAM_SOURCES))
     kind = facts.schema["source"].dataType.simpleString()
     cells = centered.withColumn("block", F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")).withColumn("run", F.floor(F.col("feature_id") / GRAM_FEATURES).cast("long"))
-    packed = cells.groupBy("block", "run").applyInArrow(_dense_block, f"block int, run long, sources array<{kind}>, matrix binary")
+    packed = cells.groupBy("block", "run").applyInArrow(lambda t: _dense_block(t, GRAM_FEATURES), f"block int, run long, sources array<{kind}>, matrix binary")
     partner = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     left = packed.select("run", F.col("block").alias("i"), partner, F.col("sources").alias("a"), F.col("matrix").alias("x")).filter("other >= i").withColumnRenamed("other", "j")
     right = packed.select("run", F.col("block").alias("j"), partner, F.col("sources").alias("b"), F.col("matrix").alias("y")).filter("other <= j").withColumnRenamed("other", "i")
@@ -136,10 +190,10 @@ def gram(facts: DataFrame) -> DataFrame:
     return products if sizes["runs"] <= 1 else products.groupBy("a", "b").agg(F.sum("product").alias("product"))
 
 
-def _dense_block(cells: pa.Table) -> pa.Table:
+def _dense_block(cells: pa.Table, run: int) -> pa.Table:
     """One row: the block's sources, and their values in the run's features as a dense matrix."""
     sources = cells.column("source").combine_chunks().dictionary_encode()
-    at = cells.column("feature_id").to_numpy() % GRAM_FEATURES
+    at = cells.column("feature_id").to_numpy() % run
     matrix = np.zeros((len(sources.dictionary), int(at.max()) + 1))
     np.add.at(matrix, (sources.indices.to_numpy(), at), np.nan_to_num(cells.column("c").to_numpy().astype(float), nan=0.0))
     names = pa.ListArray.from_arrays(pa.array([0, len(sources.dictionary)], pa.int32()), sources.dictionary)

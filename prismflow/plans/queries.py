@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -14,32 +15,44 @@ from prismflow.operators import flatten as fl
 from prismflow.operators import preprocess as pp
 from prismflow.operators import stats, tables
 from prismflow.operators.pca import PcaModel, fit_pca, prepare, q_contribution, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
-from prismflow.plans.views import EVENTS, FACTS, SPECTRA, TIMED, embedding_facts, embedding_width, event_points, spectra, table
+from prismflow.plans.views import EVENTS, FACTS, SHORT, SPECTRA, TIMED, WHOLE_FACTS, WIDTH, embedding_facts, facts_sql, embedding_width, event_points, spectra, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: SQL of less than the whole query: tests hold it against the part that it states, beside a brute force of all.
+#: The same SQL for vectors of SHORT components; tests run it on such a table.
 PART_ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None, name: str | None = None, part: bool = False) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL of its twin; part: that SQL states a part only."""
+def query(oracle: str | None = None, name: str | None = None, short: bool = False) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL of its twin; short: that SQL is for vectors of SHORT components, and a twin for WIDTH is made from it."""
 
     def keep(f: Query) -> Query:
         key = name or f.__name__
         QUERIES[key] = f
-        if oracle:
-            (PART_ORACLES if part else ORACLES)[key] = oracle
+        if short:
+            PART_ORACLES[key] = oracle
+        elif oracle:
+            ORACLES[key] = oracle
         return f
 
     return keep
 
 
+def _widened(sql: str) -> str:
+    """SQL for vectors of SHORT components as SQL for WIDTH components."""
+    for narrow, wide in ((_values(SHORT), _values(WIDTH)), (_centroids(SHORT), _centroids(WIDTH)), (FACTS, WHOLE_FACTS), (f"range(3, {SHORT + 4})", f"range(3, {WIDTH + 4})")):
+        sql = sql.replace(narrow, wide)
+    return sql
+
+
 def _r(column: str, places: int = 6) -> F.Column:
     return F.round(column, places).alias(column)
 
 
+#: Features of the given tables' spectra.
+FEATURES = 196
+
 LONG = ["source", "Time", "Step", "Sequence", "wavelength"]
 _LONG = 'source, "Time", "Step", "Sequence", wavelength'
 
@@ -175,7 +188,12 @@ def dup_keep_last(spark, sf_dir):
     return fl.last_of_duplicates(pp.step_times(spectra(spark, sf_dir)))
 
 
-@query(f"""WITH {_FLAT} SELECT source, max(value) FILTER (feature_id = 1) AS f1, max(value) FILTER (feature_id = 2) AS f2, max(value) FILTER (feature_id = 3) AS f3 FROM facts GROUP BY source""", part=True)
+def _wide_columns() -> str:
+    """A column for each feature; the given tables have seven wavelengths at each of FEATURES / 7 places of the grid."""
+    return ", ".join(f"max(value) FILTER (feature_id = {k}) AS f{k}" for k in range(1, FEATURES + 1))
+
+
+@query(f"""WITH {_FLAT} SELECT source, {_wide_columns()} FROM facts GROUP BY source""")
 def flatten_wide(spark, sf_dir):
     facts, features, sources = _flattened(spark, sf_dir)
     wide = fl.to_wide(facts, features, sources)
@@ -188,14 +206,14 @@ def null_prune(spark, sf_dir):
 
 
 @query(f"""WITH {_FLAT} SELECT s.source, "Step", "Sequence", "StepTime", wavelength, value AS intensity
-FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id WHERE f.feature_id <= 40""", part=True)
+FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id""")
 def unflatten_long(spark, sf_dir):
     facts, features, sources = _flattened(spark, sf_dir)
     return fl.flatten_to_long(fl.to_wide(facts, features, sources))
 
 
-@query(f"""WITH {_FLAT} SELECT s.source, "Step", "Sequence", "StepTime", max(value) FILTER (wavelength = 401) AS w401, max(value) FILTER (wavelength = 402) AS w402
-FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id WHERE wavelength <= 402 GROUP BY ALL""", part=True)
+@query(f"""WITH {_FLAT} SELECT s.source, "Step", "Sequence", "StepTime", {", ".join(f"max(value) FILTER (wavelength = {w}) AS w{w}" for w in range(401, 408))}
+FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id GROUP BY ALL""")
 def unflatten_wide(spark, sf_dir):
     facts, features, sources = _flattened(spark, sf_dir)
     wide = fl.flatten_to_wide(fl.to_wide(facts, features, sources))
@@ -215,12 +233,12 @@ _SCALES = {
 }
 for _name, (_strategy, _center, _scale) in _SCALES.items():
 
-    @query(f"""WITH {FACTS} SELECT feature_id, round(coalesce({_center}, 0), 6) AS center, round(coalesce(nullif({_scale}, 0), 1), 6) AS scale FROM facts GROUP BY feature_id""", f"scale_{_name}", part=True)
+    @query(f"""WITH {FACTS} SELECT feature_id, round(coalesce({_center}, 0), 6) AS center, round(coalesce(nullif({_scale}, 0), 1), 6) AS scale FROM facts GROUP BY feature_id""", f"scale_{_name}", short=True)
     def _scaling(spark, sf_dir, strategy=_strategy):
         return stats.fit_scaling(embedding_facts(spark, sf_dir), strategy).select("feature_id", _r("center"), _r("scale"))
 
 
-@query(f"""WITH {FACTS}, s AS (SELECT feature_id, avg(value) AS c, stddev_samp(value) AS d FROM facts GROUP BY 1) SELECT source, feature_id, round((value - c) / d, 6) AS value FROM facts JOIN s USING (feature_id)""", part=True)
+@query(f"""WITH {FACTS}, s AS (SELECT feature_id, avg(value) AS c, stddev_samp(value) AS d FROM facts GROUP BY 1) SELECT source, feature_id, round((value - c) / d, 6) AS value FROM facts JOIN s USING (feature_id)""", short=True)
 def scale_apply(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     return stats.apply_scaling(facts, stats.fit_scaling(facts, "z-score")).select("source", "feature_id", _r("value"))
@@ -231,48 +249,49 @@ _BOUNDS = f"""q AS (SELECT feature_id, {_near(0.25)} AS q1, {_near(0.75)} AS q3,
     flagged AS (SELECT DISTINCT source FROM facts JOIN bounds USING (feature_id) WHERE value < lower OR value > upper)"""
 
 
-@query(f"""WITH {FACTS} SELECT feature_id, {_near(0.1)} AS q10, {_near(0.9)} AS q90 FROM facts GROUP BY feature_id""", part=True)
+@query(f"""WITH {FACTS} SELECT feature_id, {_near(0.1)} AS q10, {_near(0.9)} AS q90 FROM facts GROUP BY feature_id""", short=True)
 def nearest_quantiles(spark, sf_dir):
     return stats.clean(embedding_facts(spark, sf_dir)).groupBy("feature_id").agg(nearest_quantile("value", 0.1).alias("q10"), nearest_quantile("value", 0.9).alias("q90"))
 
 
-@query(f"""WITH {FACTS}, {_BOUNDS} SELECT feature_id, round(lower, 6) AS lower, round(upper, 6) AS upper, p1, p99 FROM bounds""", part=True)
+@query(f"""WITH {FACTS}, {_BOUNDS} SELECT feature_id, round(lower, 6) AS lower, round(upper, 6) AS upper, p1, p99 FROM bounds""", short=True)
 def iqr_bounds(spark, sf_dir):
     return stats.fit_outliers(embedding_facts(spark, sf_dir)).select("feature_id", _r("lower"), _r("upper"), "p1", "p99")
 
 
 @query(f"""WITH {FACTS}, {_BOUNDS} SELECT f.source, feature_id, CASE WHEN f.source IN (SELECT source FROM flagged) AND value IS NOT NULL THEN greatest(least(value, p99), p1) ELSE value END AS value
-FROM facts f JOIN bounds USING (feature_id)""", part=True)
+FROM facts f JOIN bounds USING (feature_id)""", short=True)
 def winsorize(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     return stats.winsorize(facts, stats.fit_outliers(facts))
 
 
-@query(f"""WITH {FACTS}, {_BOUNDS} SELECT * FROM facts WHERE source NOT IN (SELECT source FROM flagged)""", part=True)
+@query(f"""WITH {FACTS}, {_BOUNDS} SELECT * FROM facts WHERE source NOT IN (SELECT source FROM flagged)""", short=True)
 def outlier_drop(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     return stats.drop_outliers(facts, stats.fit_outliers(facts)).select("source", "feature_id", "value")
 
 
-@query(f"""WITH {FACTS}, m AS (SELECT feature_id, median(value) AS fill FROM facts GROUP BY 1) SELECT source, feature_id, round(coalesce(value, fill), 9) AS value FROM facts JOIN m USING (feature_id)""", part=True)
+@query(f"""WITH {FACTS}, m AS (SELECT feature_id, median(value) AS fill FROM facts GROUP BY 1) SELECT source, feature_id, round(coalesce(value, fill), 9) AS value FROM facts JOIN m USING (feature_id)""", short=True)
 def median_impute(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     medians = stats.fit_medians(facts, facts.select("feature_id").distinct())
     return stats.fill_missing(facts, medians, facts.select("source").distinct()).select("source", "feature_id", _r("value", 9))
 
 
-@query(f"""WITH {FACTS} SELECT * FROM facts WHERE source NOT IN (SELECT source FROM facts WHERE value IS NULL)""", part=True)
+@query(f"""WITH {FACTS} SELECT * FROM facts WHERE source NOT IN (SELECT source FROM facts WHERE value IS NULL)""", short=True)
 def drop_missing(spark, sf_dir):
     return stats.drop_missing(embedding_facts(spark, sf_dir), embedding_width(spark, sf_dir)).select("source", "feature_id", "value")
 
 
-_CENTROIDS = ", ".join(f"({c}, {f}, {((c * 5 + f * 3) % 7 - 3) / 10})" for c in range(3) for f in range(1, 9))
+def _centroids(n: int) -> str:
+    return "VALUES " + ", ".join(f"({c}, {f}, {((c * 5 + f * 3) % 7 - 3) / 10})" for c in range(3) for f in range(1, n + 1))
 
 
-@query(f"""WITH {FACTS}, c(cluster, feature_id, center) AS (VALUES {_CENTROIDS}),
+@query(f"""WITH {FACTS}, c(cluster, feature_id, center) AS ({_centroids(SHORT)}),
     d AS (SELECT source, cluster, sum((value - CAST(center AS DOUBLE)) ** 2) AS d FROM facts JOIN c USING (feature_id) WHERE value IS NOT NULL GROUP BY ALL),
     n AS (SELECT source, arg_min(cluster, (round(d, 12), cluster)) AS cluster FROM d GROUP BY 1)
-    SELECT source, f.feature_id, coalesce(f.value, CAST(center AS DOUBLE)) AS value FROM facts f JOIN n USING (source) JOIN c ON c.cluster = n.cluster AND c.feature_id = f.feature_id""", part=True)
+    SELECT source, f.feature_id, coalesce(f.value, CAST(center AS DOUBLE)) AS value FROM facts f JOIN n USING (source) JOIN c ON c.cluster = n.cluster AND c.feature_id = f.feature_id""", short=True)
 def centroid_fill(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     rows = [(c, f, ((c * 5 + f * 3) % 7 - 3) / 10) for c in range(3) for f in range(1, embedding_width(spark, sf_dir) + 1)]
@@ -284,12 +303,12 @@ _CENTERED = f"""{FACTS}, whole AS (SELECT * FROM facts WHERE source NOT IN (SELE
     centered AS (SELECT source, feature_id, value - avg(value) OVER (PARTITION BY feature_id) AS c, count(*) OVER (PARTITION BY feature_id) AS n FROM whole)"""
 
 
-@query(f"""WITH {_CENTERED} SELECT x.feature_id AS a, y.feature_id AS b, round(sum(x.c * y.c) / (any_value(x.n) - 1), 9) AS covariance FROM centered x JOIN centered y ON x.source = y.source AND x.feature_id <= y.feature_id GROUP BY ALL""", part=True)
+@query(f"""WITH {_CENTERED} SELECT x.feature_id AS a, y.feature_id AS b, round(sum(x.c * y.c) / (any_value(x.n) - 1), 9) AS covariance FROM centered x JOIN centered y ON x.source = y.source AND x.feature_id <= y.feature_id GROUP BY ALL""", short=True)
 def covariance(spark, sf_dir):
     return stats.covariance(stats.drop_missing(embedding_facts(spark, sf_dir), embedding_width(spark, sf_dir))).select("a", "b", _r("covariance", 9))
 
 
-@query(f"""WITH {_CENTERED}, few AS (SELECT * FROM centered) SELECT x.source AS a, y.source AS b, round(sum(x.c * y.c), 9) AS product FROM few x JOIN few y ON x.feature_id = y.feature_id AND x.source <= y.source AND x.source % 25 = 1 AND y.source % 25 = 1 GROUP BY ALL""", part=True)
+@query(f"""WITH {_CENTERED}, few AS (SELECT * FROM centered) SELECT x.source AS a, y.source AS b, round(sum(x.c * y.c), 9) AS product FROM few x JOIN few y ON x.feature_id = y.feature_id AND x.source <= y.source GROUP BY ALL""", short=True)
 def gram(spark, sf_dir):
     facts = stats.drop_missing(embedding_facts(spark, sf_dir), embedding_width(spark, sf_dir))
     return stats.gram(facts).select("a", "b", _r("product", 9))
@@ -314,12 +333,14 @@ def _model(spark: SparkSession, sf_dir: str) -> PcaModel:
     return _literal_model(embedding_width(spark, sf_dir))
 
 
-def _values() -> str:
-    m = _literal_model()
-    w = ", ".join(f"({j + 1}, {f + 1}, {m.components[j, f]})" for j in range(3) for f in range(8))
-    s = ", ".join(f"({f + 1}, {m.mean[f]}, {m.centers[f]}, {m.scales[f]})" for f in range(8))
+@functools.cache
+def _values(n: int) -> str:
+    """SQL of the facts of n components and of the literal model over them."""
+    m = _literal_model(n)
+    w = ", ".join(f"({j + 1}, {f + 1}, {m.components[j, f]})" for j in range(3) for f in range(n))
+    s = ", ".join(f"({f + 1}, {m.mean[f]}, {m.centers[f]}, {m.scales[f]})" for f in range(n))
     lam = ", ".join(f"({j + 1}, {v})" for j, v in enumerate(m.explained_variance))
-    return f"""{_CENTERED}, w AS (SELECT component, feature_id, CAST(c AS DOUBLE) AS c FROM (VALUES {w}) t(component, feature_id, c)),
+    return f"""{_CENTERED.replace(FACTS, facts_sql(n))}, w AS (SELECT component, feature_id, CAST(c AS DOUBLE) AS c FROM (VALUES {w}) t(component, feature_id, c)),
     st AS (SELECT feature_id, CAST(mean AS DOUBLE) AS mean, CAST(center AS DOUBLE) AS center, CAST(scale AS DOUBLE) AS scale FROM (VALUES {s}) t(feature_id, mean, center, scale)),
     lam AS (SELECT component, CAST(v AS DOUBLE) AS v FROM (VALUES {lam}) t(component, v)),
     z AS (SELECT source, feature_id, value, (value - center) / scale AS z, mean, center, scale FROM whole JOIN st USING (feature_id)),
@@ -328,54 +349,54 @@ def _values() -> str:
     recon AS (SELECT source, feature_id, zhat, zhat * scale + center AS fitted FROM back JOIN st USING (feature_id))"""
 
 
-_MODEL = _values()
+_MODEL = _values(SHORT)
 
 
-@query(f"""WITH {_MODEL} SELECT source, CAST(component AS BIGINT) AS component, round(score, 6) AS score FROM scores""", part=True)
+@query(f"""WITH {_MODEL} SELECT source, CAST(component AS BIGINT) AS component, round(score, 6) AS score FROM scores""", short=True)
 def scores_literal(spark, sf_dir):
     model = _model(spark, sf_dir)
     return scores_long(model, prepare(model, embedding_facts(spark, sf_dir))).select("source", "component", _r("score"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, round(sum(score * score / v), 6) AS t2 FROM scores JOIN lam USING (component) GROUP BY source""", part=True)
+@query(f"""WITH {_MODEL} SELECT source, round(sum(score * score / v), 6) AS t2 FROM scores JOIN lam USING (component) GROUP BY source""", short=True)
 def t2_literal(spark, sf_dir):
     model = _model(spark, sf_dir)
     lam = spark.createDataFrame([(j + 1, float(v)) for j, v in enumerate(model.explained_variance)], "component long, variance double")
     return t_squared(scores_long(model, prepare(model, embedding_facts(spark, sf_dir))), lam).select("source", _r("t2"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, round(sum((z - zhat) ** 2), 6) AS spe FROM z JOIN back USING (source, feature_id) GROUP BY source""", part=True)
+@query(f"""WITH {_MODEL} SELECT source, round(sum((z - zhat) ** 2), 6) AS spe FROM z JOIN back USING (source, feature_id) GROUP BY source""", short=True)
 def spe_literal(spark, sf_dir):
     model = _model(spark, sf_dir)
     return q_contribution(model, prepare(model, embedding_facts(spark, sf_dir)), 3).groupBy("source").agg(F.sum("contribution").alias("spe")).select("source", _r("spe"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, feature_id, round((z - zhat) ** 2, 6) AS contribution FROM z JOIN back USING (source, feature_id)""", part=True)
+@query(f"""WITH {_MODEL} SELECT source, feature_id, round((z - zhat) ** 2, 6) AS contribution FROM z JOIN back USING (source, feature_id)""", short=True)
 def q_contribution_literal(spark, sf_dir):
     model = _model(spark, sf_dir)
     return q_contribution(model, prepare(model, embedding_facts(spark, sf_dir)), 3).select("source", "feature_id", _r("contribution"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, CAST(feature_id AS BIGINT) AS feature_id, round(fitted, 6) AS value FROM recon""", part=True)
+@query(f"""WITH {_MODEL} SELECT source, CAST(feature_id AS BIGINT) AS feature_id, round(fitted, 6) AS value FROM recon""", short=True)
 def reconstruct_literal(spark, sf_dir):
     model = _model(spark, sf_dir)
     return reconstruct(model, scores_long(model, prepare(model, embedding_facts(spark, sf_dir)))).select("source", "feature_id", _r("value"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, feature_id, round(value - fitted, 6) AS value FROM z JOIN recon USING (source, feature_id)""", part=True)
+@query(f"""WITH {_MODEL} SELECT source, feature_id, round(value - fitted, 6) AS value FROM z JOIN recon USING (source, feature_id)""", short=True)
 def residual_literal(spark, sf_dir):
     model = _model(spark, sf_dir)
     return residual(model, prepare(model, embedding_facts(spark, sf_dir)), 3).select("source", "feature_id", _r("value"))
 
 
-@query(f"""WITH {_MODEL} SELECT source, CAST(feature_id AS BIGINT) AS feature_id, round(score * c * scale, 6) AS value FROM scores JOIN w USING (component) JOIN st USING (feature_id) WHERE component = 2""", part=True)
+@query(f"""WITH {_MODEL} SELECT source, CAST(feature_id AS BIGINT) AS feature_id, round(score * c * scale, 6) AS value FROM scores JOIN w USING (component) JOIN st USING (feature_id) WHERE component = 2""", short=True)
 def component_contribution_literal(spark, sf_dir):
     model = _model(spark, sf_dir)
     return component_contribution(model, scores_long(model, prepare(model, embedding_facts(spark, sf_dir))), 2).select("source", "feature_id", _r("value"))
 
 
 @query(f"""WITH {_MODEL}, part AS (SELECT source, component, CAST((feature_id - 1) // 2 AS DOUBLE) AS "StepTime", sum((z - mean) * c) AS p FROM z JOIN w USING (feature_id) WHERE component <= 2 GROUP BY ALL)
-SELECT source, CAST(component AS BIGINT) AS component, "StepTime", round(sum(p) OVER (PARTITION BY source, component ORDER BY "StepTime" ROWS UNBOUNDED PRECEDING), 6) AS score FROM part""", part=True)
+SELECT source, CAST(component AS BIGINT) AS component, "StepTime", round(sum(p) OVER (PARTITION BY source, component ORDER BY "StepTime" ROWS UNBOUNDED PRECEDING), 6) AS score FROM part""", short=True)
 def partial_scores_literal(spark, sf_dir):
     model = _model(spark, sf_dir)
     axes = spark.createDataFrame([(f + 1, 1, 1, float(f // 2)) for f in range(len(model.columns))], "feature_id long, Step long, Sequence long, StepTime double")
@@ -462,7 +483,7 @@ def merge_indicator(spark, sf_dir):
 
 
 # -- table layer ------------------------------------------------------------------------------------------
-@query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderstatus IN ('F', 'O') AND o_totalprice >= 50000 AND o_orderkey <= 4000""", part=True)
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 50000 AND 300000""")
 def table_filter(spark, sf_dir):
     state = tables.TableState(text={"o_orderpriority": "URGENT"}, values={"o_orderstatus": ["F", "O"]}, lower={"o_totalprice": 50000}, upper={"o_totalprice": 300000})
     return tables.filter_table(table(spark, sf_dir, "orders"), state).select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -574,7 +595,7 @@ _T2_LIMIT = "2 * 101.0 * 99 / (100 * 98) * (98 / 2.0) * (power(0.01, -2.0 / 98)
 
 
 @query(f"""WITH {_MODEL} SELECT source, round(sum(score * score / v), 6) AS mahalanobis_sq, round({_T2_LIMIT}, 6) AS mahalanobis_ucl, sum(score * score / v) > {_T2_LIMIT} AS mahalanobis_exceeds_ucl
-FROM scores JOIN lam USING (component) WHERE component <= 2 GROUP BY source""", part=True)
+FROM scores JOIN lam USING (component) WHERE component <= 2 GROUP BY source""", short=True)
 def monitor_t2(spark, sf_dir):
     from prismflow.config import MahalanobisConfig
     from prismflow.operators.pca import transform_pca
@@ -584,7 +605,7 @@ def monitor_t2(spark, sf_dir):
     return out.select("source", *[_r(c) for c in config.columns[:2]], config.columns[2])
 
 
-@query(f"""WITH {_MODEL}, q AS (SELECT source, sum((z - zhat) ** 2) AS q FROM z JOIN back USING (source, feature_id) GROUP BY source) SELECT source, true AS consistent FROM q""", part=True)
+@query(f"""WITH {_MODEL}, q AS (SELECT source, sum((z - zhat) ** 2) AS q FROM z JOIN back USING (source, feature_id) GROUP BY source) SELECT source, true AS consistent FROM q""", short=True)
 def q_consistency(spark, sf_dir):
     from prismflow.config import SpeConfig
     from prismflow.operators.pca import q_consistent, transform_pca
@@ -594,7 +615,7 @@ def q_consistency(spark, sf_dir):
     return q_consistent(q_contribution(model, prepare(model, facts), 3), scored, "spe")
 
 
-@query(f"""WITH {FACTS}, m AS (SELECT CAST(f AS BIGINT) AS feature_id FROM range(3, 12) t(f)) SELECT s.source, m.feature_id, value FROM (SELECT DISTINCT source FROM facts) s CROSS JOIN m LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = m.feature_id""", part=True)
+@query(f"""WITH {FACTS}, m AS (SELECT CAST(f AS BIGINT) AS feature_id FROM range(3, 12) t(f)) SELECT s.source, m.feature_id, value FROM (SELECT DISTINCT source FROM facts) s CROSS JOIN m LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = m.feature_id""", short=True)
 def align_features(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
     width = embedding_width(spark, sf_dir)
@@ -616,3 +637,6 @@ def fit_size(spark, sf_dir):
 
     segments = segment_summary(pp.step_times(spectra(spark, sf_dir)))
     return spark.createDataFrame([(fit_bytes(segments, 10, 7, 2, 2),)], "bytes long")
+
+
+ORACLES |= {name: _widened(sql) for name, sql in PART_ORACLES.items()}

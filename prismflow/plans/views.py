@@ -56,11 +56,17 @@ def embedding_width(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
 
 
-#: States facts of the first 8 components only, which is all of a table of such vectors; see queries.PART_ORACLES.
-FACTS = """
+def facts_sql(width: int) -> str:
+    """The facts of vectors of so many components."""
+    return f"""
     facts AS (
-        SELECT vec_id AS source, CAST(p AS BIGINT) AS feature_id, CASE WHEN (vec_id + p - 1) % 17 <> 0 THEN CAST(embedding[p] AS DOUBLE) END AS value
-        FROM embeddings, range(1, 9) t(p))"""
+        SELECT vec_id AS source, CAST(p AS BIGINT) AS feature_id, CASE WHEN (vec_id + (p - 1) % 8) % 17 <> 0 THEN CAST(embedding[p] AS DOUBLE) END AS value
+        FROM embeddings, range(1, {width + 1}) t(p))"""
+
+
+#: Facts of short vectors, and of those of the given tables; see queries.PART_ORACLES.
+SHORT, WIDTH = 8, 64
+FACTS, WHOLE_FACTS = facts_sql(SHORT), facts_sql(WIDTH)
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
 import tomllib
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
-_VARIABLE = re.compile(r"\$\{(\w+)\}|%(\w+)%")
+#: Ways to write a name in a path: what opens it and what closes it.
+_MARKS = (("${", "}"), ("%", "%"), ("{", "}"))
 
 
 @dataclass(frozen=True)
@@ -34,21 +34,29 @@ class Settings:
 
 
 def expand(text: str, base: Path, root: Path | None = None) -> Path:
-    """A path with ${NAME}, %NAME%, {root} and ~ filled in, relative to the file's folder; unknown names are a ValueError."""
-
-    def value(m: re.Match) -> str:
-        name = m[1] or m[2]
-        if name not in os.environ:
-            raise ValueError(f"environment variable {name} is not set")
-        return os.environ[name]
-
-    text = _VARIABLE.sub(value, text)
-    if "{root}" in text:
-        if root is None:
-            raise ValueError("{root} has no meaning here")
-        text = text.replace("{root}", str(root))
-    path = Path(text).expanduser()
-    return path if path.is_absolute() else (base / path).resolve()
+    """A path with ${NAME}, %NAME%, {root} and ~ filled in, relative to the file's folder; unknown names are a ValueError.
+
+    The text is read once from left to right; a mark that names nothing by its form stands for itself.
+    """
+    out, at = [], 0
+    while at < len(text):
+        for opening, closing in _MARKS:
+            stop = text.find(closing, at + len(opening)) if text.startswith(opening, at) else -1
+            name = text[at + len(opening) : stop]
+            if stop > 0 and name.isidentifier() and (opening != "{" or name == "root"):
+                out.append(_named(name, root if opening == "{" else os.environ.get(name)))
+                at = stop + len(closing)
+                break
+        else:
+            out.append(text[at])
+            at += 1
+    return base.joinpath(Path("".join(out)).expanduser()).resolve()
+
+
+def _named(name: str, value: object) -> str:
+    if value is None:
+        raise ValueError(f"nothing is known by the name {name} here")
+    return str(value)
 
 
 def _merged(a: dict, b: dict) -> dict:

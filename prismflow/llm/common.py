@@ -96,17 +96,29 @@ def new_names(n: int) -> list[str]:
 
 
 def without_rows(docs: DataFrame, keys: DataFrame, of: list[Column]) -> DataFrame:
-    """The rows of docs, with its columns, that have none of the keys; `of` are the key's parts as expressions on docs."""
+    """The rows of docs, with its columns, that have none of the keys; `of` are the key's parts as expressions on docs.
+
+    The keys are stored first: as their size is known then, Spark broadcasts them only where they are few.
+    """
+    return _by_keys(docs, keys, of, "left_anti")
+
+
+def with_rows(docs: DataFrame, keys: DataFrame, of: list[Column]) -> DataFrame:
+    """The rows of docs, with its columns, that have one of the keys; see without_rows()."""
+    return _by_keys(docs, keys, of, "left_semi")
+
+
+def _by_keys(docs: DataFrame, keys: DataFrame, of: list[Column], how: str) -> DataFrame:
     mine, theirs = new_names(len(of)), new_names(len(of))
-    gone = keys.toDF(*theirs)
+    stored = materialize(keys.toDF(*theirs), "keys")
     tagged = docs.select("*", *[c.alias(n) for c, n in zip(of, mine)])
     condition = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(mine, theirs)]
-    return tagged.join(gone, condition, "left_anti").select(*[docs_column(c) for c in docs.columns])
+    return tagged.join(stored, condition, how).select(*[named(c) for c in docs.columns])
 
 
-def docs_column(name: str) -> Column:
+def named(column: str) -> Column:
     """A column by its exact name, dots and all."""
-    return F.col(f"`{name.replace('`', '``')}`")
+    return F.col(f"`{column.replace('`', '``')}`")
 
 
 def clear_scratch(spark: SparkSession) -> None:

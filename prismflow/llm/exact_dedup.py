@@ -6,8 +6,9 @@ text): both groupings hold the full content among their keys, so equal digests n
 equal texts. A group of copies of any size reaches the last stage as one row a salt at most.
 
 Defined results: null text counts as empty, empty texts are copies of each other; rows that repeat
-both id and text are one document (counted in group_size); null ids sort last; other columns of the
-input are ignored, whatever their names; an empty table gives an empty result.
+both id and text are one document (counted in group_size); null ids come after all others, and a group without
+any other keeps one of its rows; other columns of the input are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismflow.llm.common import WHITE, materialize, text_or_empty
+from prismflow.llm.common import WHITE, materialize, new_names, text_or_empty, with_rows, without_rows
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,10 +42,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """The input's rows and columns, one row left of each group of equal texts."""
-    groups = exact_groups(docs, id_col, text_col, salts)
-    stay = groups.select(F.col("keep_id").alias("__stay_id"), F.col("digest").alias("__stay_digest"))
-    digest = F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), WHITE, " "), 256))
-    tagged = docs.withColumn("__digest", digest)
-    kept = tagged.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__digest") == F.col("__stay_digest")), "left_semi")
-    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    """The input's rows and columns, one row left of each group of equal texts.
+
+    Keys (id, digest) of rows that go, and of rows that repeat the one that stays, are found first; so whole
+    rows are met by keys once, and only repeats, if there are any, are told apart as rows.
+    """
+    of = [F.col(id_col), F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), WHITE, " "), 256))]
+    several = exact_groups(docs, id_col, text_col, salts).filter("group_size > 1")
+    keys = docs.select(of[0].alias("doc_id"), of[1].alias("digest")).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    members = keys.join(several.select("digest", "keep_id"), "digest")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    leave = materialize(members.filter(~stays | (F.col("n") > 1)).select("doc_id", "digest", stays.alias("repeats")), "leave")
+    left = without_rows(docs, leave.select("doc_id", "digest"), of)
+    repeats = leave.filter("repeats").select("doc_id", "digest")
+    if not repeats.limit(1).count():
+        return left
+    place = new_names(2)
+    again = with_rows(docs, repeats, of).select("*", *[c.alias(n) for c, n in zip(of, place)]).dropDuplicates(place).drop(*place)
+    return left.unionByName(again)

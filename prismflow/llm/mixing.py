@@ -9,9 +9,11 @@ seeded order: documents come in the order of md5(seed, id), those that fit below
 more whole repetition, and the one document at the cut gets the fraction that is left. The cut is found
 by three rounds of counting in 256 buckets of the md5, so that no source is ever gathered in one task.
 
+Documents without id are drawn by their source and text, so that they too spread over the buckets.
+
 Defined results: null text has size 0; null sources form one source, last in code-point order; a source
 of size 0 has target 0; repeated rows are documents of their own whose order among themselves is free;
-other columns are ignored; an empty table gives an empty result.
+other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismflow.llm.common import materialize, word_count
+from prismflow.llm.common import materialize, named, new_names, word_count
 
 #: Weights that repeat over the sources, and the largest number of epochs.
 WEIGHTS = (5, 2, 1)
@@ -58,8 +60,8 @@ def _small(plan: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words), whole (repetitions), row_key."""
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    """One row per document: doc_id, source, size, source_size, target, taken (words), whole (repetitions), row_key, draw, cut."""
+    drawn = _draw(seed, id_col, text_col, source_col)
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), drawn.alias("draw"), _row_key(id_col, text_col, source_col).alias("row_key")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = water_fill(cycled_weights(totals, weights), epochs)
@@ -76,7 +78,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     inside = inside.withColumn("extra", partial)
     outside = here.filter(head != F.col("cut")).withColumn("extra", F.when(head < F.col("cut"), F.col("size")).otherwise(0))
     both = outside.unionByName(inside)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "whole", "row_key")
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "whole", "row_key", "draw", "cut")
 
 
 def _narrowed(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -103,22 +105,40 @@ def _row_key(id_col: str, text_col: str, source_col: str) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _draw(seed: int, id_col: str, text_col: str, source_col: str) -> Column:
+    """A document's place in the seeded order, as hexadecimal digits."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.hex(_row_key(id_col, text_col, source_col))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
+
+
+def mixed_documents(docs: DataFrame, mixed: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows that the mix takes, with the input's columns: whole repetitions, then the cut one, if any.
 
-    A row is looked up by its key. Rows of one key are alike but for what they take (all, a part or nothing
-    of a last repetition, as the cut may lie among them), and it is theirs by turns, so that each row meets
-    one count. The cut repetition has the document's first words, white space kept.
+    What a row takes follows from its source's plan and its own draw; only rows in the bucket of their source's
+    cut are looked up by their key. Rows of one key there are alike but for what they take (all, a part or
+    nothing of a last repetition), and it is theirs by turns, so that each row meets one count. The cut
+    repetition has the document's first words, white space kept. seed is that of the mix.
     """
-    counts = mixed.groupBy("row_key", "size", "taken").agg(F.count(F.lit(1)).alias("n")).groupBy("row_key", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "n"))).alias("turns"))
-    upto = F.expr("transform(turns, (x, i) -> struct(x.taken AS taken, aggregate(slice(turns, 1, i + 1), 0L, (s, y) -> s + y.n) AS upto))")
-    take = counts.select(F.col("row_key").alias("__key"), F.col("size").alias("__size"), upto.alias("__turns"))
-    rows = docs.withColumn("__key", _row_key(id_col, text_col, source_col)).join(take, "__key")
-    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
-    rows = rows.withColumn("__taken", F.expr("filter(__turns, x -> x.upto >= __place)[0].taken"))
-    copies = F.when(F.col("__size") > 0, F.ceil(F.col("__taken") / F.col("__size")).cast("int")).otherwise(0)
-    rows = rows.withColumn("__k", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__k") - 1) * F.col("__size"))
+    at_cut = F.substring("draw", 1, 6) == F.col("cut")
+    plan = materialize(mixed.groupBy("source").agg(F.first("whole").alias("whole"), F.first("cut").alias("cut")), "plan")
+    counts = mixed.filter(at_cut).groupBy("row_key", "taken").agg(F.count(F.lit(1)).alias("n")).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("taken", "n"))).alias("turns"))
+    turns = materialize(counts, "turns")
+    head, size, key, whole, cut, turn, taken, k, source, of_key = new_names(10)
+    plan = plan.select(F.col("source").alias(source), F.col("whole").alias(whole), F.col("cut").alias(cut))
+    keyed = turns.select(F.col("row_key").alias(of_key), F.col("turns").alias(turn))
+    rows = docs.select("*", F.substring(_draw(seed, id_col, text_col, source_col), 1, 6).alias(head), word_count(text_col).alias(size), _row_key(id_col, text_col, source_col).alias(key))
+    rows = rows.join(plan, F.col(source_col).eqNullSafe(F.col(source))).join(keyed, F.col(key) == F.col(of_key), "left")
+    base = F.col(whole) * F.col(size)
+    plain = F.when(F.col(head) < F.col(cut), base + F.col(size)).otherwise(base)
+    alike = rows.filter(F.coalesce(F.size(turn), F.lit(0)) < 2).withColumn(taken, F.coalesce(F.get(F.col(turn), F.lit(0))["taken"], plain))
+    if turns.filter(F.size("turns") > 1).limit(1).count():
+        place = F.row_number().over(Window.partitionBy(key).orderBy(key))  # repeated rows at a cut
+        upto = f"transform({turn}, (x, i) -> struct(x.taken AS taken, aggregate(slice({turn}, 1, i + 1), 0L, (s, y) -> s + y.n) AS upto))"
+        by_turns = rows.filter(F.size(turn) > 1).withColumn(taken, place)
+        alike = alike.unionByName(by_turns.withColumn(taken, F.expr(f"filter({upto}, x -> x.upto >= {taken})[0].taken")))
+    copies = F.when(F.col(size) > 0, F.ceil(F.col(taken) / F.col(size)).cast("int")).otherwise(0)
+    rows = alike.withColumn(k, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    words = F.least(F.col(size), F.col(taken) - (F.col(k) - 1) * F.col(size))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    text = F.when(words < F.col("__size"), first).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    text = F.when(words < F.col(size), first).otherwise(F.col(text_col))
+    return rows.select(*[(text if c == text_col else named(c)).alias(c) for c in docs.columns])

@@ -312,7 +312,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     classes = described.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("node").alias("id"), first, F.any_value("sig").alias("sig"))
     classes = materialize(classes.select("id", "first", "d1", "d2", "n_shingles", "sig"), "classes")
     banded = in_batches(classes.select("id", "sig"), _banded(), "bucket long, id long")
-    shared = materialize(banded.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("bucket", "first"), "shared")
+    shared = materialize(banded.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "first"), "shared")
     bitmap = spark.sparkContext.broadcast(bitmap_of(shared, F.col("bucket"), fitting_bits(shared.count())))
     members = in_batches(classes.select("id", "sig"), _banded(bitmap), "bucket long, id long")
     members = materialize(members.join(shared, "bucket"), "buckets")
@@ -334,7 +334,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     edges = edges.unionByName(materialize(rest, "links"))
     label = components(edges).select(F.col("node").alias("id"), "component")
     whole = classes.select("id", "first", "d1", "d2", "n_shingles").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    leaders = whole.groupBy("component").agg(F.min("first").alias("leader"))
+    # stored apart, so that the join deals its rows out anew and a large component can be split
+    leaders = materialize(whole.groupBy("component").agg(F.min("first").alias("leader")), "leaders")
     whole = materialize(whole.join(leaders, "component").select("d1", "d2", "n_shingles", "leader"), "labels")
     rows = described.drop("sig", "node")
     found = rows.filter("n_shingles > 0").join(whole, ["d1", "d2", "n_shingles"])

@@ -5,10 +5,13 @@ batch's new ledger rows and then its signed deltas by (source, lang, tokenizer v
 plain sum of all deltas, so no batch reads earlier text. A batch counts once its delta run is whole; one
 that is committed again under the same id does nothing, one that failed midway is written again.
 
-Defined results: null text counts 0 tokens; null source or language form groups of their own; rows of one
-batch with the same id are one document, the one with most tokens (then greatest source, lang) stays; null
-ids are one document; deleting an unknown id changes nothing; other columns are ignored; an empty batch
-changes nothing. Groups whose documents all went disappear from the totals.
+A document is known by its id, one without id by its text. Rows of one batch that are known by the same name
+all count, and together replace what earlier batches gave under that name.
+
+Defined results: null text counts 0 tokens; null source or language form groups of their own; deleting what
+is unknown changes nothing; what one batch both gives and deletes stays; deletes without id need a text; other
+columns are ignored, whatever their names; an empty batch changes nothing. Groups whose documents all went
+disappear from the totals.
 """
 
 from __future__ import annotations
@@ -17,27 +20,34 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismflow.llm.common import in_batches, scratch_path, slices
 from prismflow.llm.tokens import TOKEN_BYTES, encoder
 
-LEDGER = "doc_id long, version string, source string, lang string, n_tokens long, batch long, live boolean"
+LEDGER = "doc_id long, digest binary, version string, source string, lang string, n_docs long, n_tokens long, batch long"
+KEY = ["doc_id", "digest", "version"]
 DELTAS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
+def _digest() -> Column:
+    """Stands for a document without id; null where there is one."""
+    return F.when(F.col("doc_id").isNull(), F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
 def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
-    """doc_id, source, lang, version, n_tokens of every whole text."""
+    """doc_id, digest, source, lang, version, n_tokens of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for part in slices(batches, most=TOKEN_BYTES):
             _, counts = encode(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("lang"), pa.array(counts.astype(np.int64))], names=["doc_id", "source", "lang", "n_tokens"])
+            names = ["doc_id", "digest", "source", "lang"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(counts.astype(np.int64))], names=[*names, "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text")
-    return in_batches(rows, run, "doc_id long, source string, lang string, n_tokens long").withColumn("version", F.lit(version))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text").withColumn("digest", _digest())
+    return in_batches(rows, run, "doc_id long, digest binary, source string, lang string, n_tokens long").withColumn("version", F.lit(version))
 
 
 class TokenRollup:
@@ -59,10 +69,14 @@ class TokenRollup:
         runs = [f"{self.folder}/{kind}/{n:09d}-{b}" for b, n in self._committed().items()]
         return self.spark.read.schema(schema).parquet(*runs) if runs else self.spark.createDataFrame([], schema)
 
-    def _current(self) -> DataFrame:
-        """The latest ledger row of each document and tokenizer version."""
-        rest = F.struct("batch", "live", "source", "lang", "n_tokens")
-        return self._read("ledger", LEDGER).groupBy("doc_id", "version").agg(F.max(rest).alias("x")).select("doc_id", "version", "x.*")
+    def _before(self, keys: DataFrame) -> DataFrame:
+        """What the ledger's latest batches hold under these keys (doc_id, digest, version). Rows of other keys are left before any shuffle, where the keys are few."""
+        of = [k.eqNullSafe(F.col(f"of_{c}")) for c, k in ((c, F.col(c)) for c in KEY)]
+        mine = self._read("ledger", LEDGER).join(keys.toDF(*[f"of_{c}" for c in KEY]), of, "left_semi")
+        rows = F.collect_list(F.struct("source", "lang", "n_docs", "n_tokens"))
+        runs = mine.groupBy(*KEY, "batch").agg(rows.alias("rows"))  # sources and languages of one document
+        latest = runs.groupBy(*KEY).agg(F.max_by("rows", "batch").alias("rows"))
+        return latest.select("version", F.explode("rows").alias("r")).select("version", "r.*")
 
     def commit(self, batch_id: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Apply a batch: upserts (doc_id, text, source, lang) and deletes (doc_id). False if it was applied before."""
@@ -72,11 +86,12 @@ class TokenRollup:
         place = 1 + max(done.values(), default=0)
         new = []
         if upserts is not None:
-            last = F.max(F.struct("n_tokens", "source", "lang")).alias("x")
-            new.append(self.counter(upserts).groupBy("doc_id", "version").agg(last).select("doc_id", "version", "x.source", "x.lang", "x.n_tokens", F.lit(True).alias("live")))
+            sums = self.counter(upserts).groupBy(*KEY, "source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            new.append(sums)
         if deletes is not None:
-            gone = deletes.select(F.col("doc_id").cast("long")).distinct().withColumn("version", F.lit(self.version))
-            new.append(gone.selectExpr("doc_id", "version", "cast(null as string) source", "cast(null as string) lang", "0L n_tokens", "false live"))
+            text = F.col("text") if "text" in deletes.columns else F.lit(None).cast("string")
+            gone = deletes.select(F.col("doc_id").cast("long"), text.alias("text")).filter("doc_id is not null or text is not null").select("doc_id", _digest().alias("digest")).distinct()
+            new.append(gone.selectExpr("doc_id", "digest", f"'{self.version}' version", "cast(null as string) source", "cast(null as string) lang", "0L n_docs", "0L n_tokens"))
         if not new:
             return True
         rows = new[0] if len(new) == 1 else new[0].unionByName(new[1])
@@ -84,12 +99,9 @@ class TokenRollup:
         ledger = f"{self.folder}/ledger/{run}"
         rows.withColumn("batch", F.lit(place).cast("long")).select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("overwrite").parquet(ledger)
         fresh = self.spark.read.schema(LEDGER).parquet(ledger)
-        signed = fresh.filter("live").selectExpr("source", "lang", "version", "1L d", "n_tokens t")
+        signed = fresh.selectExpr("source", "lang", "version", "n_docs d", "n_tokens t")
         if done:
-            touched = fresh.select("doc_id", "version").distinct()
-            old = self._current().filter("live")
-            before = old.join(touched, old["doc_id"].eqNullSafe(touched["doc_id"]) & (old["version"] == touched["version"]), "left_semi")
-            signed = signed.unionByName(before.selectExpr("source", "lang", "version", "-1L d", "-n_tokens t"))
+            signed = signed.unionByName(self._before(fresh.select(*KEY).distinct()).selectExpr("source", "lang", "version", "-n_docs d", "-n_tokens t"))
         deltas = signed.groupBy("source", "lang", F.col("version").alias("tokenizer_version")).agg(F.sum("d").alias("n_docs"), F.sum("t").alias("n_tokens"))
         deltas.write.mode("overwrite").parquet(f"{self.folder}/deltas/{run}")
         return True
@@ -101,9 +113,19 @@ class TokenRollup:
 
 
 def corpus_token_counts(docs: DataFrame, path: str, version: str) -> DataFrame:
-    """Totals of a corpus that came in two batches, the first of them delivered twice."""
+    """Totals of a corpus that came in batches, the first of them delivered twice.
+
+    Some documents came as drafts without text and were revised, some drafts under a provisional id and were
+    deleted when the document came; so the totals are those of the documents as they are.
+    """
     rollup = TokenRollup(docs.sparkSession, lambda d: counted(d, path, version), version)
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    for batch, part in (("a", docs.filter(half)), ("b", docs.filter(~half)), ("a", docs.filter(half))):
-        rollup.commit(batch, part)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    first, second, drafts = docs.filter(part < 8), docs.filter((part >= 8) & (part < 14)), docs.filter(part >= 14)
+    provisional = F.when(part == 15, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    untexted = drafts.select(provisional.alias("doc_id"), F.lit(None).cast("string").alias("text"), "source", "lang")
+    rollup.commit("a", first)
+    rollup.commit("b", second.unionByName(untexted))
+    rollup.commit("a", first)
+    rollup.commit("c", drafts, untexted.filter("doc_id < 0").select("doc_id"))
     return rollup.totals()

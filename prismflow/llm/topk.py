@@ -5,18 +5,19 @@ cuts of the components. Queries come in blocks of a bounded number; for each blo
 
 1. every task gathers, for each query and list, the k candidates of highest partial score; the few that
    lead a list are scored in full, and the k-th best of these, t, is a safe lower bound of the k-th score;
-2. t is broadcast; every task collects each (query, candidate) with a partial score of t / lists or more.
-   A candidate without one scores less than t and can't be in the result. Bounds from the collected
-   parts (a missing part is below t / lists) leave out more;
-3. what is left is scored exactly and ranked.
+2. t is broadcast; every task collects the parts of t / lists or more. A candidate without one scores less
+   than t and can't be in the result. As a candidate's parts lie in one row, its collected parts and the
+   bound of the others (a missing part is below t / lists) are summed in the task, and only pairs that can
+   still reach t leave it;
+3. pairs with missing parts are scored exactly, and all are ranked.
 
 Of candidates with equal components only the k + 1 of smallest id can be in any result (ties go to the
 smaller id, and a query leaves out at most itself), so the others are set aside before.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows without
-id, take no part; shorter vectors count as padded with 0; of rows with the same id one is kept, the one
-with the greatest components; scores beyond 64 bits raise an error; other columns are ignored; an empty
-table gives an empty result.
+id, take no part; shorter vectors count as padded with 0; rows that repeat an id are candidates and queries
+of their own, so a query leaves out its own row only; scores beyond 64 bits raise an OverflowError; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,8 +43,7 @@ def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
     sound = (F.size(vec_col) > 0) & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col), x.alias("x")).filter(F.col("vec_id").isNotNull() & sound)
-    whole = rows.select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
-    return whole.groupBy("vec_id").agg(F.max("v").alias("v"))
+    return rows.select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -59,49 +59,73 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact integer products of rows; floats where these are exact, as BLAS is fast."""
-    if q.size and v.size and float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] < 2.0**53:
+    most = int(np.abs(q).max()) * int(np.abs(v).max()) * q.shape[1] if q.size and v.size else 0
+    if most < 2**53:
         return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
-    return q @ v.T
+    if most < 2**63:
+        return q @ v.T
+    whole = q.astype(object) @ v.T.astype(object)
+    if any(abs(x) >= 2**63 for x in whole.flat):
+        raise OverflowError("a score is beyond 64 bits")
+    return whole.astype(np.int64)
 
 
-def _scan(block, lists: int, width: int, at_least: np.ndarray | None, k: int):
-    """A task of phase 1 (at_least None: leaders of each list) or phase 2 (all parts that reach a bound)."""
+def _scan(block, lists: int, width: int, k: int):
+    """Phase 1: the leaders of each list, for each query, among a task's candidates (row, v)."""
     cuts = np.linspace(0, width, lists + 1).astype(int)
-    names = ["query_id", "list", "vec_id", "part"]
     low = np.iinfo(np.int64).min
 
-    def rows_of(q, c, ids, part):
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), c, dtype=np.int32)), pa.array(ids), pa.array(part)], names=names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = block.value
-        n = len(query_ids)
+        query_rows, queries = block.value
+        n = len(query_rows)
         lead = np.full((lists, n, k), low, dtype=np.int64)
-        lead_ids = np.full((lists, n, k), -1, dtype=np.int64)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, ROW_STEP):
-                rows = batch.slice(begin, ROW_STEP)
-                ids, v = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), width)
-                for lo in range(0, n, QUERY_STEP):
-                    mine = slice(lo, lo + QUERY_STEP)
-                    own = query_ids[mine, None] == ids
-                    for c in range(lists):
-                        part = _products(queries[mine, cuts[c] : cuts[c + 1]], v[:, cuts[c] : cuts[c + 1]])
-                        if at_least is None:
-                            part[own] = low
-                            both = np.concatenate([lead[c, mine], part], axis=1)
-                            both_ids = np.concatenate([lead_ids[c, mine], np.broadcast_to(ids, part.shape)], axis=1)
-                            best = np.argpartition(both, both.shape[1] - k, axis=1)[:, -k:]
-                            lead[c, mine], lead_ids[c, mine] = np.take_along_axis(both, best, 1), np.take_along_axis(both_ids, best, 1)
-                        else:
-                            a, b = np.nonzero((part >= at_least[mine, None]) & ~own)
-                            if len(a):
-                                yield rows_of(query_ids[mine][a], c, ids[b], part[a, b])
-        if at_least is None:
+        lead_rows = np.full((lists, n, k), -1, dtype=np.int64)
+        for rows, v, mine, own in _steps(batches, query_rows, width):
+            for c in range(lists):
+                part = _products(queries[mine, cuts[c] : cuts[c + 1]], v[:, cuts[c] : cuts[c + 1]])
+                part[own] = low
+                both = np.concatenate([lead[c, mine], part], axis=1)
+                both_rows = np.concatenate([lead_rows[c, mine], np.broadcast_to(rows, part.shape)], axis=1)
+                best = np.argpartition(both, both.shape[1] - k, axis=1)[:, -k:]
+                lead[c, mine], lead_rows[c, mine] = np.take_along_axis(both, best, 1), np.take_along_axis(both_rows, best, 1)
+        for c in range(lists):
+            a, b = np.nonzero(lead[c] > low)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(query_rows[a]), pa.array(np.full(len(a), c, dtype=np.int32)), pa.array(lead_rows[c, a, b]), pa.array(lead[c, a, b])], names=["query", "list", "row", "part"])
+
+    return run
+
+
+def _steps(batches: Iterator[pa.RecordBatch], query_rows: np.ndarray, width: int):
+    """Candidates (rows, components) and a slice of the queries at a time, and which pairs are a query and itself."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROW_STEP):
+            part = batch.slice(begin, ROW_STEP)
+            rows, v = part.column("row").to_numpy(), _matrix(part.column("v"), width)
+            for lo in range(0, len(query_rows), QUERY_STEP):
+                mine = slice(lo, lo + QUERY_STEP)
+                yield rows, v, mine, query_rows[mine, None] == rows
+
+
+def _collect(block, lists: int, width: int, cutoff: np.ndarray, known_k: np.ndarray):
+    """Phase 2: pairs that can reach their query's cutoff, with the sum of their collected parts and the number of these."""
+    cuts = np.linspace(0, width, lists + 1).astype(int)
+    at_least = -((-cutoff) // lists)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_rows, queries = block.value
+        for rows, v, mine, own in _steps(batches, query_rows, width):
+            known = np.zeros(own.shape, dtype=np.int64)
+            n = np.zeros(own.shape, dtype=np.int32)
             for c in range(lists):
-                a, b = np.nonzero(lead[c] > low)
-                if len(a):
-                    yield rows_of(query_ids[a], c, lead_ids[c, a, b], lead[c, a, b])
+                part = _products(queries[mine, cuts[c] : cuts[c + 1]], v[:, cuts[c] : cuts[c + 1]])
+                on = (part >= at_least[mine, None]) | ~known_k[mine, None]
+                known += np.where(on, part, 0)
+                n += on
+            bound = known + (lists - n) * (at_least[mine, None] - 1)
+            a, b = np.nonzero((n > 0) & (~known_k[mine, None] | (bound >= cutoff[mine, None])) & ~own)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(query_rows[mine][a]), pa.array(rows[b]), pa.array(known[a, b]), pa.array(n[a, b])], names=["query", "row", "known", "n"])
 
     return run
 
@@ -112,8 +136,8 @@ def _dot(a: str, b: str) -> Column:
 
 
 def _scored(pairs: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataFrame:
-    both = pairs.join(candidates, "vec_id").join(queries, "query_id")
-    return both.select("query_id", "vec_id", _dot("q", "v").alias("score"))
+    both = pairs.join(candidates, "row").join(queries, "query")
+    return both.select("query", "row", _dot("q", "v").alias("score"))
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, lists: int = 2, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -122,36 +146,33 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     is_query is a condition on vec_id. Every other row, queries too, is a candidate.
     """
     spark = vectors.sparkSession
-    rows = materialize(quantized(vectors, id_col, vec_col, scale), "vectors")
-    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    rows = materialize(quantized(vectors, id_col, vec_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))
     candidates = materialize(rows.withColumn("copy", first).filter(F.col("copy") <= k + 1).drop("copy"), "candidates")
-    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = rows.filter(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     facts = rows.agg(F.max(F.size("v")).alias("width"), F.count_if(is_query).alias("n")).first()
     width, blocks = facts["width"] or 1, max(1, -(-facts["n"] // QUERY_BLOCK))
     found = []
     for number in range(blocks):
-        mine = materialize(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number), "queries")
-        table = mine.toArrow().combine_chunks()
-        ids = table["query_id"].to_numpy()
-        matrix = _matrix(table["q"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int64())), width) if table.num_rows else np.zeros((0, width), dtype=np.int64)
-        block = spark.sparkContext.broadcast((ids, matrix))
-        schema = "query_id long, list int, vec_id long, part long"
-        heads = in_batches(candidates, _scan(block, lists, width, None, k), schema)
-        place = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id"))
-        gathered = heads.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "vec_id").distinct()
-        ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        cutoff = _scored(gathered, candidates, mine).withColumn("r", ranked).filter(F.col("r") == k).select("query_id", F.col("score").alias("t"))
-        cutoff = materialize(cutoff, "cutoff")
+        mine = materialize(queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number), "queries")
+        table = mine.select("query", "q").toArrow().combine_chunks()
+        matrix = _matrix(table["q"].combine_chunks(), width) if table.num_rows else np.zeros((0, width), dtype=np.int64)
+        query_rows = table["query"].to_numpy()
+        block = spark.sparkContext.broadcast((query_rows, matrix))
+        heads = in_batches(candidates.select("row", "v"), _scan(block, lists, width, k), "query long, list int, row long, part long")
+        place = F.row_number().over(Window.partitionBy("query", "list").orderBy(F.desc("part"), "row"))
+        gathered = heads.withColumn("place", place).filter(F.col("place") <= k).select("query", "row").distinct()
+        ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "row"))
+        cutoff = _scored(gathered, candidates, mine).withColumn("r", ranked).filter(F.col("r") == k).select("query", F.col("score").alias("t"))
         t = dict(cutoff.toPandas().itertuples(index=False))  # at most QUERY_BLOCK rows
-        none = -(2**62)  # fewer than k candidates: all are collected
-        at_least = np.array([-((-t[q]) // lists) if q in t else none for q in ids.tolist()], dtype=np.int64)
-        parts = in_batches(candidates, _scan(block, lists, width, at_least, k), schema)
-        known = parts.groupBy("query_id", "vec_id").agg(F.sum("part").alias("known"), F.count(F.lit(1)).alias("n"))
-        bound = F.col("known") + (lists - F.col("n")) * (F.ceil(F.col("t") / lists) - 1)
-        left = known.join(F.broadcast(cutoff), "query_id", "left").filter(F.col("t").isNull() | (F.col("n") == lists) & (F.col("known") >= F.col("t")) | (F.col("n") < lists) & (bound >= F.col("t")))
-        whole = left.filter(F.col("n") == lists).select("query_id", "vec_id", F.col("known").alias("score"))
-        open_ = _scored(left.filter(F.col("n") < lists).select("query_id", "vec_id"), candidates, mine)
-        best = whole.unionByName(open_).withColumn("rank", ranked).filter(F.col("rank") <= k)
+        # a query of fewer than k candidates has no cutoff: all are collected
+        at, known = (np.array([f(q) for q in query_rows.tolist()], dtype=d) for f, d in ((lambda q: t.get(q, 0), np.int64), (lambda q: q in t, bool)))
+        left = materialize(in_batches(candidates.select("row", "v"), _collect(block, lists, width, at, known), "query long, row long, known long, n int"), "left")
+        whole = left.filter(F.col("n") == lists).select("query", "row", F.col("known").alias("score"))
+        open_ = _scored(left.filter(F.col("n") < lists).select("query", "row"), candidates.select("row", "v"), mine.select("query", "q"))
+        named = whole.unionByName(open_).join(candidates.select("row", "vec_id"), "row").join(mine.select("query", "query_id"), "query")
+        order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+        best = named.withColumn("rank", order).filter(F.col("rank") <= k)
         found.append(materialize(best.select("query_id", "rank", "vec_id", "score"), "top"))
         block.unpersist()
     return reduce(DataFrame.unionByName, found)

@@ -45,7 +45,7 @@ def preprocess_and_flatten(spark: SparkSession, paths, **settings) -> Flattened:
     sources = frame.select("source").distinct()
     facts, features = fl.flatten(cut(preprocess(frame, config)))
     if config.materialize_once:
-        facts, features = facts.cache(), features.cache()
+        facts, features = cut(facts), cut(features)
     if config.max_null_ratio < 1:  # the bound is inclusive: 1 drops nothing
         facts, features = _renumbered(*fl.prune_sparse(facts, features, sources, config.max_null_ratio))
     return Flattened(facts, features, sources)
@@ -59,11 +59,18 @@ def flatten_pca(spark: SparkSession, paths=None, *, flattened: Flattened | None
     return fit_pca(data.facts, data.names(), max_n_component=None, impute=impute_strategy, kmeans_n_clusters=impute_kmeans_n_clusters, scaling=scaling_strategy, n_component=n_component)
 
 
-def append_pca_scores(model: PcaModel, flattened: Flattened, *, mahalanobis: MahalanobisConfig | None = None, spe: SpeConfig | None = None) -> DataFrame:
-    """Scores of each source, with the T2 and Q blocks that are asked for."""
+def append_pca_scores(model: PcaModel, flattened: Flattened, *, mahalanobis: MahalanobisConfig | None = None, spe: SpeConfig | None = None, with_features: bool = False) -> DataFrame:
+    """Scores of each source, with the T2 and Q blocks, and the prepared features before them, that are asked for."""
     if flattened.features.count() != len(model.columns):
         raise ValueError("the model has another number of features")
-    return transform_pca(model, flattened.facts, mahalanobis, spe)
+    return transform_pca(model, flattened.facts, mahalanobis, spe, with_features)
+
+
+def reshape_pca_components(model: PcaModel, flattened: Flattened) -> DataFrame:
+    """A model's coefficients at the coordinates of the features: StepTime, Step, Sequence, wavelength, component, coefficient."""
+    if flattened.features.count() != len(model.columns):
+        raise ValueError("the model has another number of features")
+    return fl.reshape_components(model.component_table(flattened.features.sparkSession), flattened.features)
 
 
 def align_features(flattened: Flattened, model: PcaModel) -> Flattened:

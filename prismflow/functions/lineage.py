@@ -3,8 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster names in spark.checkpoint.dir (a temporary one in local sessions)."""
+    return f"{_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def _root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="prismflow-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -12,10 +28,5 @@ def cut(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="prismflow-")
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(_root(spark))
     return frame.checkpoint()

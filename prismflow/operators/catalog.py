@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismflow.functions.lineage import cut
 from prismflow.operators.preprocess import step_times
 from prismflow.sources.spectra import scan, to_long
 
@@ -51,6 +52,11 @@ def catalog_diff(old: DataFrame, new: DataFrame, key: str, identity: list[str])
     return a.join(b, key, "full").select(key, state.alias("state"))
 
 
+def existing_stems(files: DataFrame, stems) -> DataFrame:
+    """Those of the given stems that the catalog has."""
+    return files.filter(F.col("stem").isin(list(stems))).select("stem").distinct()
+
+
 def segment_rows(timed: DataFrame, step: int, sequence: int) -> DataFrame:
     """Rows of one (Step, Sequence) in StepTime order; ValueError where there is none."""
     rows = timed.filter((F.col("Step") == step) & (F.col("Sequence") == sequence))
@@ -105,7 +111,7 @@ class Catalog:
         if fresh:
             ids = self.spark.createDataFrame([(now[s][0], s, *now[s][1:]) for s in fresh], "source string, stem string, size long, mtime_ns long")
             wide, waves = scan(self.spark, [found[s] for s in fresh])
-            timed = step_times(to_long(wide, waves)).cache()
+            timed = cut(step_times(to_long(wide, waves)))
             columns = [c.split()[0] for c in FILES.split(", ")]
             files = files.unionByName(file_summary(timed).join(ids, "source").withColumnRenamed("source", "path").select(*columns))
             parts = segment_summary(timed).join(ids.select("source", "stem"), "source")
@@ -149,11 +155,24 @@ class Catalog:
         return log.groupBy("run_id").agg(state, first, F.max("kind").alias("kind")).select("run_id", "kind", "f.created_at", "s.status", "f.config_json", "s.error").orderBy(F.desc("created_at"))
 
     def find_run(self, kind: str, config: dict) -> str | None:
-        """A succeeded run of the same kind and settings, the newest, or None."""
+        """A succeeded run of the same kind and settings, the newest, or None. Settings of a transform run hold the identities of its files, see identities()."""
         same = self.runs().filter((F.col("kind") == kind) & (F.col("config_json") == json.dumps(config)) & (F.col("status") == "succeeded"))
         row = same.orderBy(F.desc("created_at")).first()
         return row["run_id"] if row else None
 
+    def identities(self, stems) -> list[list]:
+        """Path, size and time of change of catalogued files in stem order: what a run over them depends on."""
+        rows = self.files.join(existing_stems(self.files, stems), "stem", "left_semi").orderBy("stem").collect()
+        return [[r["path"], r["size"], r["mtime_ns"]] for r in rows]
+
+    def find_transform(self, fit_run: str, stems, settings: dict) -> str | None:
+        """A succeeded transform of the same fit run, settings and files as these are now, or None."""
+        return self.find_run("transform", self.transform_config(fit_run, stems, settings))
+
+    def transform_config(self, fit_run: str, stems, settings: dict) -> dict:
+        """What to record with a transform run, so that find_transform() finds it."""
+        return {"fit_run": fit_run, "files": self.identities(stems), "settings": settings}
+
     def fail_interrupted(self) -> int:
         """Runs that were left running are failed; their number."""
         left = [r["run_id"] for r in self.runs().filter(F.col("status").isin("running", "queued")).collect()]

@@ -572,3 +572,24 @@ def fit_and_transform_pca(facts: DataFrame, features: list[str], mahalanobis: Ma
     """A model of facts, and their scores by it."""
     model = fit_pca(facts, features, **fit)
     return model, transform_pca(model, facts, mahalanobis, spe, with_features)
+
+
+def loading_pairs(components: DataFrame, m: int, n: int, key: str = "feature_id") -> DataFrame:
+    """Coefficients of two components side by side: key, pc_m, pc_n."""
+    of = lambda c, name: components.filter(F.col("component") == c).select(key, F.col("coefficient").alias(name))
+    return of(m, "pc_m").join(of(n, "pc_n"), key)
+
+
+def parameter_table(model: PcaModel, features: DataFrame) -> DataFrame:
+    """The fitted state of each feature at its coordinates: mean, center, scale, and fill and fences where the model has these."""
+    found = {k: v for k, v in (("fill", model.fills), *model.fences.items()) if v is not None}
+    state = model.feature_state(features.sparkSession)
+    if found:
+        state = state.join(_feature_rows(features.sparkSession, **found), "feature_id")
+    return features.join(state, "feature_id")
+
+
+def score_points(scores: DataFrame, listing: DataFrame, x: int, y: int, key: str = "source") -> DataFrame:
+    """A point per source: its scores of two components beside its listing's columns, if it has any."""
+    two = scores.filter(F.col("component").isin(x, y)).groupBy(key).pivot("component", [x, y]).agg(F.first("score"))
+    return two.select(key, F.col(f"`{x}`").alias("x"), F.col(f"`{y}`").alias("y")).join(listing, key, "left")

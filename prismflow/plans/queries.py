@@ -9,13 +9,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismflow.api import append_pca_scores, flatten_pca, preprocess_and_flatten, reshape_pca_components, Flattened
+from prismflow.config import MahalanobisConfig, SpeConfig
 from prismflow.functions.names import natural_key
 from prismflow.functions.quantiles import nearest_quantile
 from prismflow.operators import flatten as fl
 from prismflow.operators import preprocess as pp
 from prismflow.operators import stats, tables
-from prismflow.operators.pca import PcaModel, fit_pca, prepare, q_contribution, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
-from prismflow.plans.views import EVENTS, FACTS, SHORT, SPECTRA, TIMED, WHOLE_FACTS, WIDTH, embedding_facts, facts_sql, embedding_width, event_points, spectra, table
+from prismflow.operators.pca import PcaModel, loading_pairs, parameter_table, score_points, fit_pca, prepare, q_contribution, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
+from prismflow.plans.views import EVENTS, FACTS, FILLED, SHORT, SPECTRA, TIMED, WHOLE_FACTS, WIDTH, embedding_facts, facts_sql, embedding_width, event_points, source_name, spectra, spectral_files, table
+from prismflow.sources.spectra import bad_values, load, repeated_keys, resolve_paths, scan, unaligned_keys
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,22 +60,60 @@ LONG = ["source", "Time", "Step", "Sequence", "wavelength"]
 _LONG = 'source, "Time", "Step", "Sequence", wavelength'
 
 
-# -- scan, projection, filter -----------------------------------------------------------------------
-@query(f"""WITH {SPECTRA} SELECT source, count(*) AS n_rows, CAST(sum(CASE WHEN value IS NULL OR isnan(value) OR isinf(value) THEN 1 ELSE 0 END) AS BIGINT) AS n_bad FROM spectra GROUP BY source""")
+_FLAT = f"""{TIMED}, flat AS (
+    SELECT source, wavelength, "Step", "Sequence", "StepTime", arg_max(value, ("Time", row_index)) AS value FROM timed GROUP BY ALL),
+    grid AS (SELECT DISTINCT "Step", "Sequence", "StepTime" FROM timed), waves AS (SELECT DISTINCT wavelength FROM timed),
+    features AS (SELECT row_number() OVER (ORDER BY wavelength, "Step", "Sequence", "StepTime") AS feature_id, wavelength, "Step", "Sequence", "StepTime" FROM grid, waves),
+    facts AS (SELECT source, feature_id, value FROM flat JOIN features USING (wavelength, "Step", "Sequence", "StepTime"))"""
+
+
+# -- files, checks, projection, filter ---------------------------------------------------------------
+@query(f"""WITH {FILLED} SELECT {_LONG}, value FROM spectra""")
+def file_scan(spark, sf_dir):
+    return load(spark, spectral_files(spark, sf_dir)).select(source_name(), *LONG[1:], "value")
+
+
+@query(f"""WITH {FILLED} SELECT source, count(DISTINCT row_index) AS n_rows, CAST(0 AS BIGINT) AS n_bad FROM spectra GROUP BY source""")
+def file_validate(spark, sf_dir):
+    wide, waves = scan(spark, resolve_paths(spectral_files(spark, sf_dir)))
+    return bad_values(wide, waves).select(source_name(), "n_rows", "n_bad")
+
+
+@query(f"""WITH {_FLAT.replace(SPECTRA, FILLED).replace("FROM timed GROUP BY ALL)", 'FROM timed WHERE NOT ("StepTime" < 1 OR "ReverseStepTime" < 1) GROUP BY ALL)').replace("FROM timed), waves", 'FROM timed WHERE NOT ("StepTime" < 1 OR "ReverseStepTime" < 1)), waves')}
+SELECT source, feature_id, value FROM facts""")
+def file_flatten(spark, sf_dir):
+    data = preprocess_and_flatten(spark, spectral_files(spark, sf_dir), edge_trim=(1.0, 1.0), max_null_ratio=1.0)
+    return data.facts.select(source_name(), "feature_id", "value")
+
+
+@query()
+def file_fit_and_score(spark, sf_dir):
+    """Files to scores with limits; eigenvectors are beyond SQL, tests compare them with a matrix library."""
+    data = preprocess_and_flatten(spark, spectral_files(spark, sf_dir), t_smoothing_window=1.0, max_null_ratio=0.0)
+    model = flatten_pca(spark, flattened=data, n_component=3, scaling_strategy="z-score")
+    return append_pca_scores(model, data, mahalanobis=MahalanobisConfig(2), spe=SpeConfig(2)).withColumn("source", source_name())
+
+
+@query(f"""WITH {SPECTRA}, p AS (SELECT DISTINCT source, row_index, "Time", "Step", "Sequence" FROM spectra),
+w AS (SELECT p.source, p.row_index, max(CASE WHEN value IS NULL OR isnan(value) OR isinf(value) THEN 1 WHEN value IS NOT NULL THEN 0 END) AS bad, count(value) AS n FROM p LEFT JOIN spectra s ON s.source = p.source AND s.row_index = p.row_index GROUP BY ALL)
+SELECT source, count(*) AS n_rows, count(*) FILTER (bad = 1 OR n < 7) AS n_bad FROM w GROUP BY source""")
 def scan_validate(spark, sf_dir):
-    bad = F.count_if(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf")))
-    return spectra(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), bad.alias("n_bad"))
+    waves = [401.0 + k for k in range(7)]
+    wide = spectra(spark, sf_dir).groupBy("source", "Time", "Step", "Sequence").pivot("wavelength", waves).agg(F.first("value"))
+    return bad_values(wide, [str(w) for w in waves])
 
 
-@query(f"""WITH {SPECTRA} SELECT "Step", "Sequence", "Time", count(DISTINCT source) AS n_sources FROM spectra GROUP BY ALL HAVING count(DISTINCT source) < 10 OR "Time" >= 20""")
+@query(f"""WITH {SPECTRA}, early AS (SELECT * FROM spectra WHERE source <> 's3' OR "Time" < 20) SELECT "Step", "Sequence", "Time", count(DISTINCT source) AS n_sources FROM early GROUP BY ALL HAVING count(DISTINCT source) <> 10""")
 def metadata_alignment(spark, sf_dir):
-    keys = spectra(spark, sf_dir).select("source", "Step", "Sequence", "Time").distinct().groupBy("Step", "Sequence", "Time").agg(F.count(F.lit(1)).alias("n_sources"))
-    return keys.filter("n_sources < 10 or Time >= 20")
+    early = spectra(spark, sf_dir).filter("source <> 's3' or Time < 20")  # a file that ends early
+    return unaligned_keys(early, 10)
 
 
-@query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
+@query("""SELECT l_orderkey AS source, CAST(l_linenumber AS DOUBLE) AS "Time", CAST(l_quantity AS BIGINT) % 5 AS "Step", CAST(1 AS BIGINT) AS "Sequence", count(*) AS n FROM (SELECT l_suppkey AS l_orderkey, l_linenumber, l_quantity FROM lineitem) GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_keys(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = table(spark, sf_dir, "lineitem")
+    keys = rows.select(F.col("l_suppkey").alias("source"), F.col("l_linenumber").cast("double").alias("Time"), (F.col("l_quantity").cast("long") % 5).alias("Step"), F.lit(1).cast("long").alias("Sequence"))
+    return repeated_keys(keys)
 
 
 @query(f"""WITH {SPECTRA} SELECT {_LONG}, value FROM spectra WHERE "Step" IN (0, 2)""")
@@ -156,13 +197,6 @@ for _kind, _sql in (("sqrt", "sign(x) * sqrt(abs(x))"), ("log1p", "ln(1 + x / 2)
 
 
 # -- flatten ------------------------------------------------------------------------------------------
-_FLAT = f"""{TIMED}, flat AS (
-    SELECT source, wavelength, "Step", "Sequence", "StepTime", arg_max(value, ("Time", row_index)) AS value FROM timed GROUP BY ALL),
-    grid AS (SELECT DISTINCT "Step", "Sequence", "StepTime" FROM timed), waves AS (SELECT DISTINCT wavelength FROM timed),
-    features AS (SELECT row_number() OVER (ORDER BY wavelength, "Step", "Sequence", "StepTime") AS feature_id, wavelength, "Step", "Sequence", "StepTime" FROM grid, waves),
-    facts AS (SELECT source, feature_id, value FROM flat JOIN features USING (wavelength, "Step", "Sequence", "StepTime"))"""
-
-
 def _flattened(spark, sf_dir):
     frame = pp.step_times(spectra(spark, sf_dir))
     return (*fl.flatten(frame), frame.select("source").distinct())
@@ -430,6 +464,61 @@ def fit_and_score(spark, sf_dir):
     return scores_long(model, prepare(model, facts))
 
 
+def _grid_model(spark, sf_dir, steps: list[int] | None = None) -> tuple[PcaModel, Flattened]:
+    """Two components of round numbers over the features of the flattened spectra."""
+    frame = pp.step_times(pp.filter_steps(spectra(spark, sf_dir), steps))
+    data = Flattened(*fl.flatten(frame), frame.select("source").distinct())
+    n = data.features.count()
+    w = np.array([[((c * 7 + f * 3) % 11 - 5) / 10 for f in range(1, n + 1)] for c in (1, 2)])
+    lam, k = np.array([2.0, 1.0]), np.arange(1, n + 1)
+    model = PcaModel(columns=[f"f{f}" for f in k], components=w, mean=k / 100, explained_variance=lam, explained_variance_ratio=lam / 4, singular_values=np.sqrt(lam * 9), n_samples=10, noise_variance=0.1, impute="median", fills=k / 10, scaling="z-score", centers=k / 50, scales=1 + k / 10)
+    return model, data
+
+
+_COEFFICIENTS = 'w AS (SELECT CAST(c AS BIGINT) AS component, f.*, ((c * 7 + feature_id * 3) % 11 - 5) / 10 AS coefficient FROM features f, range(1, 3) t(c))'
+
+
+@query(f"""WITH {_FLAT.replace("FROM spectra)", 'FROM spectra WHERE "Step" = 0)')}, {_COEFFICIENTS} SELECT "StepTime", "Step", "Sequence", wavelength, component, CAST(coefficient AS DOUBLE) AS coefficient FROM w""")
+def reshape_components(spark, sf_dir):
+    return reshape_pca_components(*_grid_model(spark, sf_dir, [0]))  # the axes of one step form a full product
+
+
+@query(f"""WITH {_FLAT}, {_COEFFICIENTS} SELECT feature_id, CAST(max(coefficient) FILTER (component = 1) AS DOUBLE) AS pc_m, CAST(max(coefficient) FILTER (component = 2) AS DOUBLE) AS pc_n FROM w GROUP BY feature_id""")
+def loading_scatter(spark, sf_dir):
+    model, _ = _grid_model(spark, sf_dir)
+    return loading_pairs(model.component_table(spark), 1, 2)
+
+
+@query(f"""WITH {_FLAT} SELECT f.*, round(feature_id / 100, 9) AS mean, round(feature_id / 50, 9) AS center, round(1 + feature_id / 10, 9) AS scale, round(feature_id / 10, 9) AS fill FROM features f""")
+def model_parameters(spark, sf_dir):
+    return parameter_table(*(x if k == 0 else x.features for k, x in enumerate(_grid_model(spark, sf_dir)))).select("feature_id", *fl.AXES, *[_r(c, 9) for c in ("mean", "center", "scale", "fill")])
+
+
+@query(f"""WITH {_MODEL}, n AS (SELECT DISTINCT vec_id AS source, CAST(vec_id % 7 AS BIGINT) AS lot FROM embeddings WHERE vec_id % 3 <> 0)
+SELECT source, round(max(score) FILTER (component = 1), 6) AS x, round(max(score) FILTER (component = 3), 6) AS y, any_value(lot) AS lot FROM scores LEFT JOIN n USING (source) GROUP BY source""", short=True)
+def score_scatter(spark, sf_dir):
+    model = _model(spark, sf_dir)
+    listing = table(spark, sf_dir, "embeddings").filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("source"), (F.col("vec_id") % 7).cast("long").alias("lot")).distinct()
+    return score_points(scores_long(model, prepare(model, embedding_facts(spark, sf_dir))), listing, 1, 3).select("source", _r("x"), _r("y"), "lot")
+
+
+@query("""SELECT DISTINCT c_name AS stem FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 100""")
+def known_stems(spark, sf_dir):
+    from prismflow.operators.catalog import existing_stems
+
+    files = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_name").alias("stem"))
+    asked = [r[0] for r in table(spark, sf_dir, "customer").filter("c_custkey < 100").select("c_name").collect()]
+    return existing_stems(files, [*asked, "no such stem"])
+
+
+@query("""SELECT o_orderkey, o_custkey, c_name, CASE WHEN c_custkey IS NULL THEN 'left_only' WHEN o_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS _merge
+FROM (SELECT * FROM orders WHERE o_custkey % 2 = 0) o FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON o_custkey = c_custkey""".replace("o_orderkey, o_custkey, c_name", "o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_name"))
+def merge_named_keys(spark, sf_dir):
+    left = table(spark, sf_dir, "orders").filter("o_custkey % 2 = 0").select("o_orderkey", "o_custkey")
+    right = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name")
+    return tables.merge(left, right, left_on=["o_custkey"], right_on=["c_custkey"], how="full", indicator=True)
+
+
 # -- catalog --------------------------------------------------------------------------------------------
 @query(f"""WITH {TIMED} SELECT source, "Step", "Sequence", count(*) AS n_rows, max("StepTime") AS step_time_max FROM (SELECT DISTINCT source, row_index, "Step", "Sequence", "StepTime" FROM timed) GROUP BY ALL""")
 def segments_summary(spark, sf_dir):

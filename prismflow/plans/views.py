@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismflow.functions.lineage import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,6 +23,22 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select("source", F.col("q").alias("row_index"), F.col("q").cast("double").alias("Time"), F.expr("q div 10").alias("Step"), F.expr("1 + (q div 5) % 2").alias("Sequence"), "wavelength", "value")
 
 
+def spectral_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The spectra written as the files that an instrument leaves: a file per source, a column per wavelength, 0 where there was no value."""
+    root, waves = scratch(spark, "spectra"), [401.0 + k for k in range(7)]
+    wide = spectra(spark, sf_dir).groupBy("source", "Time", "Step", "Sequence").pivot("wavelength", waves).agg(F.first("value"))
+    wide = wide.select("source", "Time", "Step", "Sequence", *[F.coalesce(F.col(f"`{w}`"), F.lit(0.0)).alias(f"{w:.1f}nm") for w in waves])
+    wide.repartition("source").sortWithinPartitions("source", "Time").write.partitionBy("source").parquet(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/part-*.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [re.sub("^file:/+", "/", x.getPath().toString()) for x in found]
+
+
+def source_name(column: str = "source") -> F.Column:
+    """The source that a file of spectral_files() was written for."""
+    return F.regexp_extract(column, "source=([^/]+)/", 1).alias("source")
+
+
 SPECTRA = """
     spectra AS (
         SELECT source, q AS row_index, CAST(q AS DOUBLE) AS "Time", q // 10 AS "Step", 1 + (q // 5) % 2 AS "Sequence", wavelength, avg(l_quantity) AS value
@@ -26,6 +46,13 @@ SPECTRA = """
                      CAST(400 + l_linenumber AS DOUBLE) AS wavelength, l_quantity FROM lineitem)
         GROUP BY ALL)"""
 
+#: What is in spectral_files(): a value for every wavelength of every time point.
+FILLED = SPECTRA.replace("spectra AS", "given AS") + """,
+    spectra AS (
+        SELECT p.*, CAST(400 + w AS DOUBLE) AS wavelength, coalesce(value, 0) AS value
+        FROM (SELECT DISTINCT source, row_index, "Time", "Step", "Sequence" FROM given) p CROSS JOIN range(1, 8) t(w)
+        LEFT JOIN given g ON g.source = p.source AND g.row_index = p.row_index AND g.wavelength = 400 + w)"""
+
 TIMED = (
     SPECTRA
     + """,

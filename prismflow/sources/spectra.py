@@ -10,7 +10,8 @@ import re
 import warnings
 from collections import Counter
 from collections.abc import Iterable
-from pathlib import Path
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +24,28 @@ from prismflow.functions.quantiles import missing
 LONG = ("source", "row_index", "Time", "Step", "Sequence", "wavelength", "value")
 
 
-def resolve_paths(paths: Iterable[str | Path], stem_uniqueness: str = "skip") -> list[Path]:
-    """Absolute paths in text order; each must be a readable file."""
+#: Footers of remote files that are read at a time.
+FOOTERS = 16
+
+
+def _is_remote(path: str | Path) -> bool:
+    return "://" in str(path)
+
+
+def resolve_paths(paths: Iterable[str | Path], stem_uniqueness: str = "skip") -> list[str | Path]:
+    """Absolute local paths and URIs in text order; each local one must be a readable file, Spark opens the others."""
     if isinstance(paths, (str, bytes, Path)):
         raise ValueError("paths must be a collection of paths")
-    found = sorted({Path(p).resolve() for p in paths}, key=str)
+    found = sorted({p if _is_remote(p) else Path(p).resolve() for p in paths}, key=str)
     if not found:
         raise ValueError("no input paths")
     for p in found:
-        if not p.exists():
-            raise FileNotFoundError(str(p))
-        if not p.is_file():
-            raise ValueError(f"not a file: {p}")
-    twice = [s for s, n in Counter(p.stem for p in found).items() if n > 1]
+        if not _is_remote(p):
+            if not p.exists():
+                raise FileNotFoundError(str(p))
+            if not p.is_file():
+                raise ValueError(f"not a file: {p}")
+    twice = [s for s, n in Counter(PurePosixPath(str(p)).stem for p in found).items() if n > 1]
     if twice and stem_uniqueness != "skip":
         text = f"file stems occur more than once: {', '.join(sorted(twice))}"
         if stem_uniqueness == "error":
@@ -60,21 +70,30 @@ def check_schema(schema: T.StructType, path: object = "input") -> list[str]:
     return ordered
 
 
-def scan(spark: SparkSession, paths: list[Path]) -> tuple[DataFrame, list[str]]:
+def _readable(path: str | Path) -> str:
+    """A path for Spark's reader, in which no name is a pattern."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", str(path) if _is_remote(path) else f"file://{path.as_posix()}")
+
+
+def scan(spark: SparkSession, paths: list[str | Path]) -> tuple[DataFrame, list[str]]:
     """The wide rows of all files with source and row_index, and the wavelength columns that all share."""
     import pyarrow.parquet as pq
     from pyspark.sql.pandas.types import from_arrow_schema
 
+    def schema_of(path: str | Path) -> T.StructType:  # footers only
+        return spark.read.parquet(_readable(path)).schema if _is_remote(path) else from_arrow_schema(pq.read_schema(path))
+
     waves: list[str] | None = None
-    for p in paths:  # footers only
-        own = check_schema(from_arrow_schema(pq.read_schema(p)), p)
-        if waves is not None and own != waves:
-            raise ValueError(f"{p}: its wavelengths differ from those of {paths[0]}")
-        waves = own
-    names = spark.createDataFrame([(p.as_uri(), p.as_posix()) for p in paths], "uri string, source string")
-    rows = spark.read.parquet(*["file://" + re.sub(r"([][{}*?\\])", r"\\\1", p.as_posix()) for p in paths])  # names are no patterns
-    # Spark writes file:/x where as_uri() has file:///x
-    uri = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///")
+    with ThreadPoolExecutor(FOOTERS) as pool:
+        for p, schema in zip(paths, pool.map(schema_of, paths)):
+            own = check_schema(schema, p)
+            if waves is not None and own != waves:
+                raise ValueError(f"{p}: its wavelengths differ from those of {paths[0]}")
+            waves = own
+    names = spark.createDataFrame([(str(p), str(p)) if _is_remote(p) else (f"file://{p.as_posix()}", p.as_posix()) for p in paths], "uri string, source string")
+    rows = spark.read.parquet(*map(_readable, paths))
+    # Spark gives a URI, with some characters escaped, and one slash or three
+    uri = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
     rows = rows.select("*", uri.alias("uri"), F.col("_metadata.row_index").alias("row_index"))
     return rows.join(F.broadcast(names), "uri").drop("uri"), waves or []
 
@@ -93,27 +112,40 @@ def in_range(waves: list[str], bounds: tuple[float, float] | None) -> list[str]:
     return kept
 
 
+def bad_values(wide: DataFrame, waves: list[str]) -> DataFrame:
+    """source, n_rows and n_bad: rows of each file, and those of them with a null, NaN or infinite value in checked columns."""
+    values = F.array(*[F.col(f"`{n}`").cast("double") for n in (*META, *waves)])
+    bad = F.exists(values, lambda v: missing(v) | (F.abs(v) == float("inf")))
+    return wide.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_bad"))
+
+
 def check_values(wide: DataFrame, waves: list[str]) -> None:
     """ValueError naming the first file, in text order, with a null, NaN or infinite value in checked columns."""
-    names = [*META, *waves]
-    values = F.array(*[F.col(f"`{n}`").cast("double") for n in names])
-    bad = F.exists(values, lambda v: missing(v) | (F.abs(v) == float("inf")))
-    first = wide.filter(bad).agg(F.min("source")).first()[0]
+    first = bad_values(wide, waves).filter("n_bad > 0").agg(F.min("source")).first()[0]
     if first is not None:
         raise ValueError(f"{first}: there are null, NaN or infinite values")
 
 
+def repeated_keys(wide: DataFrame) -> DataFrame:
+    """source, Time, Step, Sequence and n, where a file repeats these."""
+    return wide.groupBy("source", *META).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def check_unique_keys(wide: DataFrame) -> None:
     """ValueError where a file repeats (Time, Step, Sequence)."""
-    twice = wide.groupBy("source", *META).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.min("source")).first()[0]
+    twice = repeated_keys(wide).agg(F.min("source")).first()[0]
     if twice is not None:
         raise ValueError(f"{twice}: (Time, Step, Sequence) repeats")
 
 
+def unaligned_keys(wide: DataFrame, sources: int) -> DataFrame:
+    """Time, Step, Sequence and n_sources, where not all of so many files have these."""
+    return wide.select("source", *META).distinct().groupBy(*META).agg(F.count(F.lit(1)).alias("n_sources")).filter(F.col("n_sources") != sources)
+
+
 def check_alignment(wide: DataFrame, sources: int) -> None:
     """ValueError where files have different sets of (Time, Step, Sequence)."""
-    keys = wide.select("source", *META).distinct().groupBy(*META).agg(F.count(F.lit(1)).alias("n"))
-    if keys.filter(F.col("n") != sources).limit(1).count():
+    if unaligned_keys(wide, sources).limit(1).count():
         raise ValueError("files have different (Time, Step, Sequence) sets")
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismflow.llm.common import scratch_path, text_or_empty
+from prismflow.llm.common import materialize, scratch_path, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,9 @@ class BlobLedger:
         known = self.entries()
         if known is not None:
             seen = known.filter(F.col("rule_version") == self.rule_version).select("blob")
-            keyed = keyed.join(seen, "blob", "left_anti")
+            # found by digests alone, and stored: where unseen blobs are few, texts meet them without a shuffle
+            unseen = materialize(keyed.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
+            keyed = keyed.join(unseen, "blob", "left_semi")
         blobs = keyed.groupBy("blob", "content").agg(F.count(F.lit(1)).alias("n"))
         run = scan_blobs(blobs, self.rules).withColumn("rule_version", F.lit(self.rule_version))
         run.write.mode("overwrite").parquet(f"{self.folder}/run={commit_id}")

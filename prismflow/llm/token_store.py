@@ -1,14 +1,14 @@
 """Token ids on disk, Simple-8b coded, in ascending document order.
 
-Documents are range-partitioned by id and sorted inside each partition; each task encodes its documents
+Documents are range-partitioned by id, those of one id by a hash of their text, and sorted inside each partition; each task encodes its documents
 slice by slice. A stored row is a segment: part and segment number, the ids and lengths of its documents,
 ids before it in its part, and the coded ids as one self-contained run of bytes (see simple8b). Segments
 lie in Parquet files, so any file system that Spark writes will do, and Spark's commit protocol makes
 lost executors and repeated tasks harmless.
 
 Defined results: null or empty text is the end id alone; null ids come last; repeated rows are documents
-of their own, those of equal id ordered by text; other columns are ignored; an empty table gives an empty
-store and an empty result.
+of their own, those of equal id ordered by a hash of their text, then by text; other columns are ignored; an
+empty table gives an empty store and an empty result.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def _segments(path: str, end_id: int):
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all documents and write the store to a folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = [F.col("doc_id").asc_nulls_last()]
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]  # an id that many rows have is spread by its texts
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     in_batches(rows, _segments(path, end_id), SEGMENT).write.option("compression", "uncompressed").parquet(folder)
 

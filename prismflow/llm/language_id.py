@@ -274,5 +274,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     Rows alike in these have the same evidence, so they have one verdict.
     """
-    found = identify(document_evidence(docs, _row_digest()), train_text_model(docs))
+    found = identify(document_evidence(docs, _row_digest()), train_text_model(docs)).select("id", "digest", "kept")
+    found = materialize(found, "verdicts")  # a filter on what is computed here would compute it again and again
     return without_rows(docs, found.filter("not kept").select("id", "digest").distinct(), [F.col("doc_id").cast("long"), _row_digest()])

@@ -7,9 +7,8 @@ cuts of the components. Queries come in blocks of a bounded number; for each blo
    lead a list are scored in full, and the k-th best of these, t, is a safe lower bound of the k-th score;
 2. t is broadcast; every task collects the parts of t / lists or more. A candidate without one scores less
    than t and can't be in the result. As a candidate's parts lie in one row, its collected parts and the
-   bound of the others (a missing part is below t / lists) are summed in the task, and only pairs that can
-   still reach t leave it;
-3. pairs with missing parts are scored exactly, and all are ranked.
+   bound of the others (a missing part is below t / lists) are summed in the task, which leaves few pairs;
+3. these are scored exactly in the same task, those that reach t leave it, and they are ranked.
 
 Of candidates with equal components only the k + 1 of smallest id can be in any result (ties go to the
 smaller id, and a query leaves out at most itself), so the others are set aside before.
@@ -35,7 +34,7 @@ from prismflow.llm.common import in_batches, materialize
 #: Queries whose vectors are broadcast together.
 QUERY_BLOCK = 16_384
 #: Queries and candidates whose scores are held at once in a task.
-QUERY_STEP, ROW_STEP = 512, 2048
+QUERY_STEP, ROW_STEP = 512, 1024
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -108,24 +107,28 @@ def _steps(batches: Iterator[pa.RecordBatch], query_rows: np.ndarray, width: int
 
 
 def _collect(block, lists: int, width: int, cutoff: np.ndarray, known_k: np.ndarray):
-    """Phase 2: pairs that can reach their query's cutoff, with the sum of their collected parts and the number of these."""
+    """Phases 2 and 3: pairs that can reach their query's cutoff by their collected parts, and do by their whole score."""
     cuts = np.linspace(0, width, lists + 1).astype(int)
     at_least = -((-cutoff) // lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_rows, queries = block.value
         for rows, v, mine, own in _steps(batches, query_rows, width):
-            known = np.zeros(own.shape, dtype=np.int64)
+            known, score = np.zeros(own.shape, dtype=np.int64), np.zeros(own.shape, dtype=np.int64)
             n = np.zeros(own.shape, dtype=np.int32)
             for c in range(lists):
                 part = _products(queries[mine, cuts[c] : cuts[c + 1]], v[:, cuts[c] : cuts[c + 1]])
                 on = (part >= at_least[mine, None]) | ~known_k[mine, None]
                 known += np.where(on, part, 0)
+                score += part
                 n += on
             bound = known + (lists - n) * (at_least[mine, None] - 1)
-            a, b = np.nonzero((n > 0) & (~known_k[mine, None] | (bound >= cutoff[mine, None])) & ~own)
+            collected = (n > 0) & (bound >= cutoff[mine, None]) | ~known_k[mine, None]
+            a, b = np.nonzero(collected & ~own)
+            on = ~known_k[mine][a] | (score[a, b] >= cutoff[mine][a])
+            a, b = a[on], b[on]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(query_rows[mine][a]), pa.array(rows[b]), pa.array(known[a, b]), pa.array(n[a, b])], names=["query", "row", "known", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(query_rows[mine][a]), pa.array(rows[b]), pa.array(score[a, b])], names=["query", "row", "score"])
 
     return run
 
@@ -167,10 +170,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
         t = dict(cutoff.toPandas().itertuples(index=False))  # at most QUERY_BLOCK rows
         # a query of fewer than k candidates has no cutoff: all are collected
         at, known = (np.array([f(q) for q in query_rows.tolist()], dtype=d) for f, d in ((lambda q: t.get(q, 0), np.int64), (lambda q: q in t, bool)))
-        left = materialize(in_batches(candidates.select("row", "v"), _collect(block, lists, width, at, known), "query long, row long, known long, n int"), "left")
-        whole = left.filter(F.col("n") == lists).select("query", "row", F.col("known").alias("score"))
-        open_ = _scored(left.filter(F.col("n") < lists).select("query", "row"), candidates.select("row", "v"), mine.select("query", "q"))
-        named = whole.unionByName(open_).join(candidates.select("row", "vec_id"), "row").join(mine.select("query", "query_id"), "query")
+        scored = in_batches(candidates.select("row", "v"), _collect(block, lists, width, at, known), "query long, row long, score long")
+        named = scored.join(candidates.select("row", "vec_id"), "row").join(mine.select("query", "query_id"), "query")
         order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
         best = named.withColumn("rank", order).filter(F.col("rank") <= k)
         found.append(materialize(best.select("query_id", "rank", "vec_id", "score"), "top"))

@@ -38,7 +38,7 @@ def test_odd_rows(spark, docs, none):
     assert keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
 
 
-@pytest.mark.parametrize("url,host,domain,suffix", [("https://u:p@a.b.example.org:80/x?q#f", "a.b.example.org", "example.org", "org"), ("src0", "src0", "src0", "none"), (None, "", "", "none"), ("HTTP://X.MUSEUM", "x.museum", "x.museum", "other")])
+@pytest.mark.parametrize("url,host,domain,suffix", [("https://u:p@a.b.example.org:80/x?q#f", "a.b.example.org", "example.org", "org"), ("src0", "src0", "src0", "none"), (None, "", "", "none"), ("HTTP://X.MUSEUM", "x.museum", "x.museum", "museum")])
 def test_addresses(spark, url, host, domain, suffix):
     row = evidence(spark.createDataFrame([(1, url)], "id long, url string"), "p", F.col("id"), F.lit(""), F.lit("EN-us"), F.col("url")).first()
     assert (row["host"], row["domain"], row["suffix"], row["declared"]) == (host, domain, suffix, "en")

@@ -16,7 +16,7 @@ _ODD_SPACE = r" ([\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 
 _NOTHING, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 #: Text encoded at once; more at once means fewer distinct pieces to look up.
-TOKEN_BYTES = 2_000_000
+TOKEN_BYTES = 3_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -46,7 +46,7 @@ class Encoder:
     end are encoded whole, and so are all texts where the file's tokenizer is not such a one.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

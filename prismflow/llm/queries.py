@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismflow.llm.divergence import source_divergence
 from prismflow.llm.exact_dedup import exact_dedup
+from prismflow.llm.hard_negatives import hard_negatives
 from prismflow.llm.language_id import identify_corpus
+from prismflow.llm.line_dedup import LOWER, UPPER, line_dedup, with_line_digest
 from prismflow.llm.mixing import mix_sources
 from prismflow.llm.near_dedup import near_groups
 from prismflow.llm.packing import pack_documents, with_crc
@@ -64,6 +67,19 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_line_digest(line_dedup(_table(spark, sf_dir, "documents")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -72,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: The white-space and word rules as DuckDB regular expressions.
 _WS = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_UPPER, _LOWER = UPPER, LOWER
 
 
 def _matches(kind: str, place: int, pattern: str, group: int, least: int) -> str:
@@ -154,6 +170,51 @@ _ORACLES = {
         SELECT doc_id, size, source_size, target,
                CAST(whole * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS taken
         FROM c""",
+    "op11_line_dedup": rf"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        x AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS line FROM d),
+        y AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM x),
+        c AS (SELECT key, min(doc_id) AS first FROM y WHERE len(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        z AS (SELECT y.*, coalesce(doc_id <> first, false) AS gone FROM y LEFT JOIN c USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+        FROM z GROUP BY doc_id""",
+    "op12_source_divergence": rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        o AS (SELECT lang, source, doc_id, unnest(w) AS term FROM d),
+        v AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN v USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        sizes AS (SELECT lang, count(*) AS v FROM v GROUP BY 1),
+        n AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 1)) // (n + sizes.v) AS p
+            FROM n JOIN v USING (lang) JOIN sizes USING (lang) LEFT JOIN c USING (lang, source, term)),
+        q AS (
+            SELECT lang, term, 1 + (1000000000 * (t + 1)) // (m + sizes.v) AS q
+            FROM (SELECT lang, term, sum(c) AS t FROM c GROUP BY ALL) JOIN (SELECT lang, sum(n) AS m FROM n GROUP BY 1) USING (lang) JOIN sizes USING (lang)),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op13_hard_negatives": """
+        WITH x AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(e AS DOUBLE)) FOR e IN embedding] AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM x a JOIN x b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
 
 

@@ -37,12 +37,12 @@ QUERY_BLOCK = 16_384
 QUERY_STEP, ROW_STEP = 512, 1024
 
 
-def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """vec_id, v (array of long), for the vectors that take part."""
+def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int, *more: Column) -> DataFrame:
+    """vec_id, v (array of long) and more columns, for the vectors that take part."""
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
     sound = (F.size(vec_col) > 0) & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col), x.alias("x")).filter(F.col("vec_id").isNotNull() & sound)
-    return rows.select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col), x.alias("x"), *more).filter(F.col("vec_id").isNotNull() & sound)
+    return rows.select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"), *rows.columns[3:])
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:

@@ -138,3 +138,73 @@ def check_op5(docs, pieces, path, context=1024):
         bad.append("documents")
     lengths = [sum(n for _, n in s) for s in used.values()]
     return bad, sum(0 if n & (n - 1) == 0 else context - n for n in lengths) / max(1, sum(lengths))
+
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def op11(docs, least=10, documents=2):
+    """By place in docs; documents are known by id and text, null ids come last, of one id the smaller digest first."""
+    order = lambda d: (d["doc_id"] is None, d["doc_id"] or 0, hashlib.sha256((d["text"] or "").encode()).digest())
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(UPPER)
+    held = defaultdict(set)
+    for d in docs:
+        for line in (d["text"] or "").split("\n"):
+            if len(key(line)) >= least:
+                held[key(line)].add(order(d))
+    out = []
+    for d in docs:
+        lines = (d["text"] or "").split("\n")
+        stay = [x for x in lines if len(held[key(x)]) < documents or order(d) == min(held[key(x)])]
+        out.append((d["doc_id"], len(lines), len(lines) - len(stay), "\n".join(stay)))
+    return out
+
+
+def op12(docs, least_docs=3, top=200):
+    words = [(d["lang"] or "", d["source"] or "", [t.translate(UPPER) for t in TERM.findall(d["text"] or "")]) for d in docs]
+    df, count, groups = Counter(), defaultdict(Counter), defaultdict(set)
+    for lang, source, w in words:
+        df.update((lang, t) for t in set(w))
+        count[lang, source].update(w)
+        groups[lang].add(source)
+    out = []
+    for lang, sources in groups.items():
+        kept = sorted(t for (g, t), n in df.items() if g == lang and n >= least_docs)
+
+        def weight(counts, kept=kept):
+            n = sum(counts[t] for t in kept)
+            return {t: 1 + 10**9 * (counts[t] + 1) // (n + len(kept)) for t in kept}
+
+        p = {s: weight(count[lang, s]) for s in sources}
+        q = weight(sum((count[lang, s] for s in sources), Counter()))
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in sources:
+            pairs = [(o, sum(f(p[s][t], p[o][t]) for t in kept)) for o in sources if o != s]
+            terms = [(t, f(p[s][t], q[t])) for t in kept if count[lang, s][t] and p[s][t] > q[t]]
+            for part, items in (("pair", pairs), ("term", terms)):
+                ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, i, v, k + 1) for k, (i, v) in enumerate(ranked) if part == "pair" or k < top]
+    return out
+
+
+def op13(rows, positives=5, negatives=10, scale=256, low=30, high=90):
+    """rows: (id, label, vector). Counts rows of (anchor, positive, rank, negative, scores), as ids may repeat."""
+    import math
+
+    whole = []
+    for i, label, v in rows:
+        if i is not None and label is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            whole.append((i, label, [math.floor(scale * x) for x in v]))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = Counter()
+    for k, (i, label, v) in enumerate(whole):
+        if i % 100:
+            continue
+        scored = sorted((-dot(v, w), j, n) for n, (j, _, w) in enumerate(whole) if n != k)
+        near = [(s, j) for s, j, n in scored if whole[n][1] == label][:positives]
+        for s, j in near:
+            far = [(t, m) for t, m, n in scored if whole[n][1] != label and low * -s <= 100 * -t <= high * -s][:negatives]
+            for rank, (t, m) in enumerate(far):
+                out[i, j, rank + 1, m, -s, -t] += 1
+    return out

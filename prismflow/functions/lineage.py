@@ -24,9 +24,7 @@ def _root(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame as checkpointed rows in the folder that the cluster names in spark.checkpoint.dir (a temporary one in local sessions)."""
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_root(spark))
-    return frame.checkpoint()
+    """The frame written as Parquet to the folder that all executors share, and read again by columns."""
+    spark, path = frame.sparkSession, scratch(frame.sparkSession, "cut")
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Quantiles by nearest rank index, as aggregate columns."""
+"""What counts as a missing value; quantiles are in operators/ranks.py."""
 
 from __future__ import annotations
 
@@ -6,16 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def nearest_quantile(values: Column | str, q: float) -> Column:
-    """The value at index round-half-up((n - 1) * q) of the sorted non-null values of a group.
-
-    Exact; holds a group's values (one per source) while it sorts them. Null for an empty group.
-    """
-    ordered = F.sort_array(F.collect_list(values))
-    place = F.floor((F.size(ordered) - 1) * F.lit(q) + 0.5).cast("int")
-    return F.get(ordered, F.when(F.size(ordered) > 0, place).otherwise(0))
-
-
 def missing(value: Column | str) -> Column:
     """Null or NaN."""
     column = F.col(value) if isinstance(value, str) else value

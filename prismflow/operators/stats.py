@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismflow.functions.quantiles import missing, nearest_quantile
+from prismflow.functions.quantiles import missing
+from prismflow.operators import ranks
 
 #: Sources of a block and features of a run, whose dense matrix (8 bytes a cell) gram() multiplies in a task; at most about.
 GRAM_SOURCES, GRAM_FEATURES = 256, 1024
@@ -33,23 +34,37 @@ def fit_scaling(facts: DataFrame, strategy: str) -> DataFrame:
         "z-score": (F.avg(x), F.stddev_samp(x)),
         "pareto": (F.avg(x), F.sqrt(F.stddev_samp(x))),
         "minmax": (F.min(x), F.max(x) - F.min(x)),
-        "robust": (F.median(x), nearest_quantile(x, 0.75) - nearest_quantile(x, 0.25)),
     }
-    if strategy not in ways:
+    if strategy == "robust":
+        fitted = _robust(facts)
+    elif strategy in ways:
+        center, scale = ways[strategy]
+        fitted = clean(facts).groupBy("feature_id").agg(center.alias("center"), scale.alias("scale"))
+    else:
         raise ValueError(f"unknown scaling strategy: {strategy}")
-    center, scale = ways[strategy]
-    fitted = clean(facts).groupBy("feature_id").agg(center.alias("center"), scale.alias("scale"))
     sound = F.when((F.col("scale") != 0) & ~F.isnan("scale"), F.col("scale"))
     return fitted.select("feature_id", F.coalesce("center", F.lit(0.0)).alias("center"), F.coalesce(sound, F.lit(1.0)).alias("scale"))
 
 
+def _robust(facts: DataFrame) -> DataFrame:
+    """Median and distance of the quartiles of every feature, null where it has no value."""
+    places = {"below": F.floor((F.col("n") - 1) / 2), "above": F.floor(F.col("n") / 2), "q1": ranks.nearest_place(0.25), "q3": ranks.nearest_place(0.75)}
+    found = _of_features(facts, ranks.quantiles(facts, places))
+    return found.select("feature_id", (F.col("below") / 2 + F.col("above") / 2).alias("center"), (F.col("q3") - F.col("q1")).alias("scale"))
+
+
+def _of_features(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for every feature of the facts, also those without any value."""
+    return facts.select("feature_id").distinct().join(found, "feature_id", "left")
+
+
 def apply_scaling(facts: DataFrame, scaling: DataFrame) -> DataFrame:
     return facts.join(scaling, "feature_id").select("source", "feature_id", ((F.col("value") - F.col("center")) / F.col("scale")).alias("value"))
 
 
 def fit_outliers(facts: DataFrame, multiplier: float = 1.5) -> DataFrame:
     """feature_id, lower and upper fence (quartiles -/+ multiplier * range), p1 and p99."""
-    q = clean(facts).groupBy("feature_id").agg(*[nearest_quantile("value", p).alias(n) for n, p in (("q1", 0.25), ("q3", 0.75), ("p1", 0.01), ("p99", 0.99))])
+    q = _of_features(facts, ranks.nearest_quantiles(facts, {"q1": 0.25, "q3": 0.75, "p1": 0.01, "p99": 0.99}))
     spread = F.col("q3") - F.col("q1")
     return q.select("feature_id", (F.col("q1") - multiplier * spread).alias("lower"), (F.col("q3") + multiplier * spread).alias("upper"), "p1", "p99")
 
@@ -85,13 +100,12 @@ def drop_missing(facts: DataFrame, features: int) -> DataFrame:
 
 def fit_medians(facts: DataFrame, features: DataFrame) -> DataFrame:
     """feature_id and its median; 0 where a feature has no value."""
-    medians = clean(facts).groupBy("feature_id").agg(F.median("value").alias("fill"))
-    return features.select("feature_id").join(medians, "feature_id", "left").select("feature_id", F.coalesce("fill", F.lit(0.0)).alias("fill"))
+    return features.select("feature_id").join(ranks.medians(facts), "feature_id", "left").select("feature_id", F.coalesce("median", F.lit(0.0)).alias("fill"))
 
 
 def fill_missing(facts: DataFrame, fills: DataFrame, sources: DataFrame) -> DataFrame:
     """A value for every (source, feature): its own, or the feature's fill."""
-    grid = sources.select("source").join(F.broadcast(fills), F.lit(True))  # every source has every feature in the result
+    grid = sources.select("source").join(fills, F.lit(True))  # every source has every feature in the result
     return grid.join(clean(facts), ["source", "feature_id"], "left").select("source", "feature_id", F.coalesce("value", "fill").alias("value"))
 
 
@@ -99,11 +113,11 @@ def fill_from_centroids(facts: DataFrame, centroids: DataFrame, sources: DataFra
     """Missing values from the nearest centroid (cluster, feature_id, center) over a source's present features; first on ties."""
     present = clean(facts).filter("value is not null")
     gap = F.col("value") - F.col("center")
-    distance = present.join(F.broadcast(centroids), "feature_id").groupBy("source", "cluster").agg(F.sum(gap * gap).alias("d"))
+    distance = present.join(centroids, "feature_id").groupBy("source", "cluster").agg(F.sum(gap * gap).alias("d"))
     nearest = distance.groupBy("source").agg(F.min_by("cluster", F.struct("d", "cluster")).alias("cluster"))
     first = centroids.agg(F.min("cluster").alias("first"))
     chosen = sources.select("source").join(nearest, "source", "left").join(F.broadcast(first), F.lit(True)).select("source", F.coalesce("cluster", "first").alias("cluster"))
-    grid = chosen.join(F.broadcast(centroids), "cluster")
+    grid = chosen.join(centroids, "cluster")
     return grid.join(present, ["source", "feature_id"], "left").select("source", "feature_id", F.coalesce("value", "center").alias("value"))
 
 

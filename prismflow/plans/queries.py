@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from prismflow.api import append_pca_scores, flatten_pca, preprocess_and_flatten, reshape_pca_components, Flattened
 from prismflow.config import MahalanobisConfig, SpeConfig
 from prismflow.functions.names import natural_key
-from prismflow.functions.quantiles import nearest_quantile
 from prismflow.operators import flatten as fl
 from prismflow.operators import preprocess as pp
-from prismflow.operators import stats, tables
+from prismflow.operators import ranks, stats, tables
 from prismflow.operators.pca import PcaModel, loading_pairs, parameter_table, score_points, fit_pca, prepare, q_contribution, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
 from prismflow.plans.views import EVENTS, FACTS, FILLED, SHORT, SPECTRA, TIMED, WHOLE_FACTS, WIDTH, embedding_facts, facts_sql, embedding_width, event_points, source_name, spectra, spectral_files, table
 from prismflow.sources.spectra import bad_values, load, repeated_keys, resolve_paths, scan, unaligned_keys
@@ -285,7 +284,7 @@ _BOUNDS = f"""q AS (SELECT feature_id, {_near(0.25)} AS q1, {_near(0.75)} AS q3,
 
 @query(f"""WITH {FACTS} SELECT feature_id, {_near(0.1)} AS q10, {_near(0.9)} AS q90 FROM facts GROUP BY feature_id""", short=True)
 def nearest_quantiles(spark, sf_dir):
-    return stats.clean(embedding_facts(spark, sf_dir)).groupBy("feature_id").agg(nearest_quantile("value", 0.1).alias("q10"), nearest_quantile("value", 0.9).alias("q90"))
+    return ranks.nearest_quantiles(embedding_facts(spark, sf_dir), {"q10": 0.1, "q90": 0.9})
 
 
 @query(f"""WITH {FACTS}, {_BOUNDS} SELECT feature_id, round(lower, 6) AS lower, round(upper, 6) AS upper, p1, p99 FROM bounds""", short=True)

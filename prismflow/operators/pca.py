@@ -8,6 +8,7 @@ iteration: each round is one pass of the sources' vectors past a thin basis, sum
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -32,6 +33,10 @@ SEED_VALUES, KMEANS_ROUNDS = 5_000_000, 100
 BROADCAST_BYTES = 32 << 20
 #: Components whose scores are summed side by side; values of a part of a matrix that is summed in Spark.
 TOGETHER, PART = 64, 4096
+#: Features of a block of loadings; sources that meet one block as a group; values that a task makes at once.
+BLOCK, GROUP, VALUES = 512, 4096, 1 << 18
+#: A Q below this share of a source's norm is summed from its residuals, as a difference would lose its digits.
+SMALL_Q = 1e-7
 _NEAR_ZERO = 1e-12
 _FENCES = {"lower": "outlier_lower_bounds", "upper": "outlier_upper_bounds", "p1": "winsor_lower_bounds", "p99": "winsor_upper_bounds"}
 
@@ -150,8 +155,9 @@ class PcaModel:
         return float(theta[0] * inner ** (1 / h))
 
     def truncated(self, k: int) -> PcaModel:
-        """The model of the leading k components."""
-        k = min(count(k, "components"), self.n_component)
+        """The model of the leading k components; more than there are is a ValueError."""
+        if count(k, "components") > self.n_component:
+            raise ValueError(f"the model has {self.n_component} components")
         unfitted = max(0, min(self.n_samples, len(self.columns)) - self.n_component)
         left = self.n_component - k + unfitted
         noise = float(self.explained_variance[k:].sum() + unfitted * self.noise_variance) / left if left else 0.0
@@ -298,6 +304,8 @@ def fit_centroids(facts: DataFrame, features: int, k: int) -> np.ndarray:
         if np.allclose(new, centers, rtol=0, atol=1e-12):
             break
         centers = new
+    else:
+        warnings.warn(f"k-means did not settle in {KMEANS_ROUNDS} rounds", stacklevel=2)
     return centers
 
 
@@ -459,54 +467,184 @@ def scaled(model: PcaModel, prepared: DataFrame) -> DataFrame:
     return prepared.join(model.feature_state(prepared.sparkSession), "feature_id").withColumn("z", (F.col("value") - F.col("center")) / F.col("scale"))
 
 
-def scores_long(model: PcaModel, prepared: DataFrame, used: int | None = None) -> DataFrame:
-    """source, component, score."""
+def _sums(model: PcaModel, prepared: DataFrame, used: int | None) -> DataFrame:
+    """source, s (scores of the used components, not whitened) and norm (squared distance from the mean in the scaled space)."""
     z, k, parts = scaled(model, prepared), model.n_component if used is None else used, []
+    gap = F.col("z") - F.col("mean")
     for first in range(0, k, TOGETHER):
         stop = min(first + TOGETHER, k)
-        sums = [F.sum((F.col("z") - F.col("mean")) * F.get("w", F.lit(j))).alias(f"s{j}") for j in range(stop - first)]
-        rows = z.join(model.coefficient_table(prepared.sparkSession, first, stop), "feature_id").groupBy("source").agg(*sums)
-        named = F.array(*[F.struct(F.lit(first + j + 1).cast("long").alias("component"), F.col(f"s{j}").alias("score")) for j in range(stop - first)])
-        parts.append(rows.select("source", F.inline(named)))
-    scores = reduce(DataFrame.unionByName, parts)
+        sums = [F.sum(gap * F.get("w", F.lit(j))).alias(f"s{j}") for j in range(stop - first)]
+        rows = z.join(model.coefficient_table(prepared.sparkSession, first, stop), "feature_id").groupBy("source").agg(F.sum(gap * gap).alias("norm"), *sums)
+        parts.append(rows.select("source", "norm", F.lit(first).alias("first"), F.array(*[F.col(f"s{j}") for j in range(stop - first)]).alias("s")))
+    if len(parts) == 1:
+        return parts[0].select("source", "norm", "s")
+    every = reduce(DataFrame.unionByName, parts).groupBy("source").agg(F.first("norm").alias("norm"), F.sort_array(F.collect_list(F.struct("first", "s"))).alias("s"))
+    return every.select("source", "norm", F.flatten(F.transform("s", lambda x: x.s)).alias("s"))
+
+
+def score_vectors(model: PcaModel, prepared: DataFrame, used: int | None = None) -> DataFrame:
+    """source and s, its scores as an array."""
+    found = _sums(model, prepared, used).select("source", "s")
     if not model.whiten:
-        return scores
-    lam = F.array(*[F.lit(float(np.sqrt(v))) for v in model.explained_variance])
-    return scores.withColumn("score", F.col("score") / F.get(lam, (F.col("component") - 1).cast("int")))
+        return found
+    deviations = F.array(*[F.lit(float(np.sqrt(v))) for v in model.explained_variance[:used]])
+    return found.select("source", F.zip_with("s", deviations, lambda x, d: x / d).alias("s"))
+
+
+def scores_long(model: PcaModel, prepared: DataFrame, used: int | None = None) -> DataFrame:
+    """source, component, score."""
+    each = score_vectors(model, prepared, used).select("source", F.posexplode("s").alias("place", "score"))
+    return each.select("source", (F.col("place") + 1).cast("long").alias("component"), "score")
 
 
 def t_squared(scores: DataFrame, variances: DataFrame) -> DataFrame:
     """source, t2: squared scores over variances (component, variance), summed."""
-    return scores.join(F.broadcast(variances), "component").groupBy("source").agg(F.sum(F.col("score") * F.col("score") / F.col("variance")).alias("t2"))
+    return scores.join(variances, "component").groupBy("source").agg(F.sum(F.col("score") * F.col("score") / F.col("variance")).alias("t2"))
+
+
+@dataclass
+class _Image:
+    """What takes score vectors to features: value = (s @ weights + mean) * scale + center, at the places of `ids`."""
+
+    ids: np.ndarray
+    weights: np.ndarray
+    mean: np.ndarray
+    scale: np.ndarray
+    center: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        return self.weights.nbytes + 4 * self.mean.nbytes
+
+    def part(self, some: slice) -> _Image:
+        return _Image(self.ids[some], np.ascontiguousarray(self.weights[:, some]), self.mean[some], self.scale[some], self.center[some])
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return (s @ self.weights + self.mean) * self.scale + self.center
 
+    @staticmethod
+    def made(model: PcaModel, first: int, stop: int, only: np.ndarray | None) -> _Image:
+        at = np.arange(len(model.columns)) if only is None else np.sort(np.asarray(only)) - 1
+        stretch = np.sqrt(model.explained_variance[first:stop]) if model.whiten else np.ones(stop - first)
+        state = [np.zeros(len(model.columns)) if x is None else x for x in (model.mean, model.centers)]
+        scales = np.ones(len(model.columns)) if model.scales is None else model.scales
+        return _Image(at + 1, (model.components[first:stop] * stretch[:, None])[:, at], state[0][at], scales[at], state[1][at])
 
-def reconstruct(model: PcaModel, scores: DataFrame, selector=None) -> DataFrame:
-    """source, feature_id, value in the original scale, from scores (source, component, score); NaN where a used score is missing."""
-    spark = scores.sparkSession
+
+def _rows_of(sources: pa.Array, ids: np.ndarray, values: np.ndarray) -> list[pa.Array]:
+    """A matrix of sources by features as columns of its cells."""
+    n, m = values.shape
+    return [sources.take(pa.array(np.repeat(np.arange(n), m))), pa.array(np.tile(ids, n)), pa.array(values.reshape(-1))]
+
+
+def _imaged(vectors: DataFrame, image: _Image) -> DataFrame:
+    """source, feature_id, value of all sources and the image's features, from vectors (source, s).
+
+    Tasks multiply blocks of vectors by blocks of loadings, so there are never more rows than values. An image of
+    few bytes is broadcast; of a larger one each block meets the vectors in groups of sources of a bounded number.
+    """
+    spark, kind = vectors.sparkSession, vectors.schema["source"].dataType.simpleString()
+    schema, names = f"source {kind}, feature_id long, value double", ["source", "feature_id", "value"]
+    starts = range(0, len(image.ids), BLOCK)
+    if image.nbytes <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast([image.part(slice(at, at + BLOCK)) for at in starts])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                s = _matrix(batch.column("s")) if batch.num_rows else None
+                for lo in range(0, batch.num_rows, VALUES // BLOCK):
+                    some = slice(lo, lo + VALUES // BLOCK)
+                    for part in shared.value:
+                        yield pa.RecordBatch.from_arrays(_rows_of(batch.column("source")[some], part.ids, part.of(s[some])), names=names)
+
+        return vectors.select("source", "s").mapInArrow(run, schema)
+    rows = [image.part(slice(at, at + BLOCK)) for at in starts]
+    binary = lambda x: np.ascontiguousarray(x).tobytes()
+    table = pa.table({"block": pa.array(range(len(rows)), pa.int32())} | {n: pa.array([binary(getattr(r, n)) for r in rows], pa.binary()) for n in ("ids", "weights", "mean", "scale", "center")})
+    groups = max(1, -(-vectors.count() // GROUP))
+    blocks = spark.createDataFrame(table).select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    spread = vectors.select("source", "s", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("block"))
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], left.schema.field("source").type), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        of = lambda n, kind=float: np.frombuffer(right[n][0].as_py(), dtype=kind)
+        ids = of("ids", np.int64)
+        part = _Image(ids, of("weights").reshape(-1, len(ids)), of("mean"), of("scale"), of("center"))
+        return pa.table(_rows_of(left["source"].combine_chunks(), ids, part.of(_matrix(left["s"].combine_chunks()))), names=names)
+
+    return spread.groupBy("block", "part").cogroup(blocks.groupBy("block", "part")).applyInArrow(multiply, schema)
+
+
+def _gathered(scores: DataFrame, first: int, stop: int) -> DataFrame:
+    """source and s, its scores of components first to stop - 1 (from 0) as an array; NaN where one is missing."""
+    mine = scores.filter(F.col("component").between(first + 1, stop))
+    by = F.map_from_entries(F.collect_list(F.struct(F.col("component").cast("long").alias("c"), "score")))
+    each = F.transform(F.sequence(F.lit(first + 1).cast("long"), F.lit(stop).cast("long")), lambda j: F.coalesce(F.try_element_at("by", j), F.lit(float("nan"))))
+    return mine.groupBy("source").agg(by.alias("by")).select("source", each.alias("s"))
+
+
+def reconstruct(model: PcaModel, scores: DataFrame, selector=None, only: np.ndarray | None = None) -> DataFrame:
+    """source, feature_id, value in the original scale, from scores (source, component, score); NaN where a used score is missing.
+
+    only, if given, are the ids of the features that are made; no others are read.
+    """
     k = resolve_used_components(model.explained_variance_ratio, selector)
-    stretch = np.sqrt(model.explained_variance) if model.whiten else np.ones(model.n_component)
-    factor = F.array(*[F.lit(float(x)) for x in stretch])
-    parts = scores.filter(F.col("component") <= k).join(model.component_table(spark, k), "component")
-    term = F.coalesce("score", F.lit(float("nan"))) * F.get(factor, (F.col("component") - 1).cast("int")) * F.col("coefficient")
-    sums = parts.groupBy("source", "feature_id").agg(F.sum(term).alias("s"))
-    return sums.join(model.feature_state(spark), "feature_id").select("source", "feature_id", ((F.col("s") + F.col("mean")) * F.col("scale") + F.col("center")).alias("value"))
+    return _imaged(_gathered(scores, 0, k), _Image.made(model, 0, k, only))
 
 
-def component_contribution(model: PcaModel, scores: DataFrame, component: int) -> DataFrame:
+def component_contribution(model: PcaModel, scores: DataFrame, component: int, only: np.ndarray | None = None) -> DataFrame:
     """source, feature_id, value: a component's part of the reconstruction, scaled back without its center."""
-    spark = scores.sparkSession
-    parts = scores.filter(F.col("component") == component).join(model.component_table(spark), "component").join(model.feature_state(spark), "feature_id")
-    stretch = float(np.sqrt(model.explained_variance[component - 1])) if model.whiten else 1.0
-    return parts.select("source", "feature_id", (F.col("score") * stretch * F.col("coefficient") * F.col("scale")).alias("value"))
+    image = _Image.made(model, component - 1, component, only)
+    image.mean, image.center = np.zeros(len(image.ids)), np.zeros(len(image.ids))
+    return _imaged(_gathered(scores, component - 1, component), image)
+
+
+def _beside_fitted(model: PcaModel, prepared: DataFrame, k: int, only: np.ndarray | None) -> DataFrame:
+    """Prepared facts (of some features) with mean, center, scale, z and zhat, their place on the used components' plane."""
+    spark = prepared.sparkSession
+    some = prepared if only is None else prepared.join(sized(spark, {"feature_id": np.sort(np.asarray(only))}), "feature_id")
+    facts = scaled(model, some)
+    if 8 * k * len(model.columns) > BROADCAST_BYTES:
+        back = reconstruct(model, scores_long(model, prepared, k), k, only).withColumnRenamed("value", "fitted")
+        return facts.join(back, ["source", "feature_id"]).withColumn("zhat", (F.col("fitted") - F.col("center")) / F.col("scale"))
+    both = facts.join(model.coefficient_table(spark, 0, k), "feature_id").join(_sums(model, prepared, k).select("source", "s"), "source")
+    dot = F.aggregate(F.zip_with("s", "w", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    return both.withColumn("zhat", dot + F.col("mean"))
 
 
-def q_contribution(model: PcaModel, prepared: DataFrame, selector=0.9) -> DataFrame:
+def q_contribution(model: PcaModel, prepared: DataFrame, selector=0.9, only: np.ndarray | None = None) -> DataFrame:
     """source, feature_id, contribution: squared residual in the scaled space; their sum over features is Q."""
     k = resolve_used_components(model.explained_variance_ratio, selector)
-    back = reconstruct(model, scores_long(model, prepared, k), k).withColumnRenamed("value", "fitted")
-    z = scaled(model, prepared).join(back, ["source", "feature_id"])
-    gap = F.col("z") - (F.col("fitted") - F.col("center")) / F.col("scale")
-    return z.select("source", "feature_id", (gap * gap).alias("contribution"))
+    gap = F.col("z") - F.col("zhat")
+    return _beside_fitted(model, prepared, k, only).select("source", "feature_id", (gap * gap).alias("contribution"))
+
+
+def q_statistic(model: PcaModel, prepared: DataFrame, selector=0.9) -> DataFrame:
+    """source, q: the sum of its squared residuals, from its norm and scores, without a row for each residual.
+
+    With scores s = W c of a centered row c, |c - W's|^2 = |c|^2 - s'(2 - WW')s, whether or not the components are
+    orthonormal. Where that is a small difference of large numbers the residuals themselves are summed.
+    """
+    k = resolve_used_components(model.explained_variance_ratio, selector)
+    w = model.components[:k]
+    inner = 2 * np.eye(k) - w @ w.T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s, norm = _matrix(b.column("s")), b.column("norm").to_numpy(zero_copy_only=False)
+                q = norm - ((s @ inner) * s).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("source"), pa.array(q), pa.array(q <= SMALL_Q * norm)], names=["source", "q", "small"])
+
+    kind = prepared.schema["source"].dataType.simpleString()
+    found = cut(_sums(model, prepared, k).mapInArrow(run, f"source {kind}, q double, small boolean"))
+    small = found.filter("small").select("source")
+    sound = found.filter("not small").select("source", "q")
+    if not small.limit(1).count():
+        return sound
+    again = q_contribution(model, prepared.join(small, "source", "left_semi"), k).groupBy("source").agg(F.sum("contribution").alias("q"))
+    return sound.unionByName(again)
 
 
 def q_consistent(contributions: DataFrame, scores: DataFrame, q_column: str, tolerance: float = 0.01) -> DataFrame:
@@ -515,11 +653,11 @@ def q_consistent(contributions: DataFrame, scores: DataFrame, q_column: str, tol
     return sums.join(scores.select("source", F.col(q_column).alias("q")), "source").select("source", (F.abs(F.col("s") - F.col("q")) <= tolerance * F.abs("q")).alias("consistent"))
 
 
-def residual(model: PcaModel, prepared: DataFrame, selector=0.9) -> DataFrame:
+def residual(model: PcaModel, prepared: DataFrame, selector=0.9, only: np.ndarray | None = None) -> DataFrame:
     """source, feature_id, value: prepared minus reconstructed, in the original scale."""
     k = resolve_used_components(model.explained_variance_ratio, selector)
-    back = reconstruct(model, scores_long(model, prepared, k), k).withColumnRenamed("value", "fitted")
-    return prepared.join(back, ["source", "feature_id"]).select("source", "feature_id", (F.col("value") - F.col("fitted")).alias("value"))
+    fitted = F.col("zhat") * F.col("scale") + F.col("center")
+    return _beside_fitted(model, prepared, k, only).select("source", "feature_id", (F.col("value") - fitted).alias("value"))
 
 
 def partial_scores(model: PcaModel, prepared: DataFrame, features: DataFrame, components: list[int]) -> DataFrame:
@@ -563,7 +701,7 @@ def transform_pca(model: PcaModel, facts: DataFrame, mahalanobis: MahalanobisCon
     if spe:
         k = resolve_used_components(model.explained_variance_ratio, spe.cumulative_explained_variance)
         limit = model.spe_threshold(spe.alpha, k)
-        q = q_contribution(model, prepared, k).groupBy("source").agg(F.sum("contribution").alias(spe.spe_column))
+        q = q_statistic(model, prepared, k).withColumnRenamed("q", spe.spe_column)
         out = out.join(q, "source").withColumn(spe.ucl_column, F.lit(limit)).withColumn(spe.exceeds_ucl_column, F.col(spe.spe_column) > limit)
     return out
 

@@ -15,7 +15,7 @@ from prismflow.functions.names import natural_key
 from prismflow.operators import flatten as fl
 from prismflow.operators import preprocess as pp
 from prismflow.operators import ranks, stats, tables
-from prismflow.operators.pca import PcaModel, loading_pairs, parameter_table, score_points, fit_pca, prepare, q_contribution, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
+from prismflow.operators.pca import PcaModel, loading_pairs, parameter_table, score_points, fit_pca, prepare, q_contribution, q_statistic, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
 from prismflow.plans.views import EVENTS, FACTS, FILLED, SHORT, SPECTRA, TIMED, WHOLE_FACTS, WIDTH, embedding_facts, facts_sql, embedding_width, event_points, source_name, spectra, spectral_files, table
 from prismflow.sources.spectra import bad_values, load, repeated_keys, resolve_paths, scan, unaligned_keys
 
@@ -401,7 +401,7 @@ def t2_literal(spark, sf_dir):
 @query(f"""WITH {_MODEL} SELECT source, round(sum((z - zhat) ** 2), 6) AS spe FROM z JOIN back USING (source, feature_id) GROUP BY source""", short=True)
 def spe_literal(spark, sf_dir):
     model = _model(spark, sf_dir)
-    return q_contribution(model, prepare(model, embedding_facts(spark, sf_dir)), 3).groupBy("source").agg(F.sum("contribution").alias("spe")).select("source", _r("spe"))
+    return q_statistic(model, prepare(model, embedding_facts(spark, sf_dir)), 3).select("source", F.round("q", 6).alias("spe"))
 
 
 @query(f"""WITH {_MODEL} SELECT source, feature_id, round((z - zhat) ** 2, 6) AS contribution FROM z JOIN back USING (source, feature_id)""", short=True)

@@ -2,21 +2,26 @@
 
 A batch inserts, revises or deletes documents. Commit looks up what the ledger holds of them, writes the
 batch's new ledger rows and then its signed deltas by (source, lang, tokenizer version). Totals are the
-plain sum of all deltas, so no batch reads earlier text. A batch counts once its delta run is whole; one
+plain sum of all deltas, so no batch reads earlier text. A batch counts once a manifest names its runs; one
 that is committed again under the same id does nothing, one that failed midway is written again.
 
+The ledger lies in buckets of documents, and a commit reads those that its batch touches. When runs are many,
+they are merged to one that holds each document's latest rows, and deltas to one sum.
+
 A document is known by its id, one without id by its text. Rows of one batch that are known by the same name
 all count, and together replace what earlier batches gave under that name.
 
 Defined results: null text counts 0 tokens; null source or language form groups of their own; deleting what
-is unknown changes nothing; what one batch both gives and deletes stays; deletes without id need a text; other
-columns are ignored, whatever their names; an empty batch changes nothing. Groups whose documents all went
-disappear from the totals.
+is unknown changes nothing; what one batch both gives and deletes stays; deletes without id need a text; batch
+ids and versions may be any text; other columns are ignored, whatever their names; an empty batch changes
+nothing, and its id is taken like any other. Groups whose documents all went disappear from the totals.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismflow.llm.common import in_batches, scratch_path, slices
+from prismflow.llm.manifest import Manifest
 from prismflow.llm.tokens import TOKEN_BYTES, encoder
 
-LEDGER = "doc_id long, digest binary, version string, source string, lang string, n_docs long, n_tokens long, batch long"
+LEDGER = "doc_id long, digest binary, version string, source string, lang string, n_docs long, n_tokens long, batch long, bucket int"
 KEY = ["doc_id", "digest", "version"]
 DELTAS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
+#: Buckets of a new ledger; runs that are merged when there are more.
+BUCKETS, MOST_RUNS = 64, 8
 
 
 def _digest() -> Column:
@@ -51,65 +59,83 @@ def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
 
 
 class TokenRollup:
-    """Ledger and deltas as Parquet runs, one of each for a batch, in a folder that all executors share."""
+    """Ledger and deltas as Parquet runs in a folder that all executors share, and a manifest of those that count."""
 
-    def __init__(self, spark: SparkSession, counter: Callable[[DataFrame], DataFrame], version: str, folder: str | None = None):
+    def __init__(self, spark: SparkSession, counter: Callable[[DataFrame], DataFrame], version: str, folder: str | None = None, buckets: int = BUCKETS):
         self.spark, self.counter, self.version = spark, counter, version
         self.folder = folder or scratch_path(spark, "token-rollup")
-
-    def _committed(self) -> dict[str, int]:
-        """Batch ids whose deltas were written whole, with their place in the order of commits."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/deltas")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
-        done = [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/deltas/{n}/_SUCCESS"))]
-        return {n.split("-", 1)[1]: int(n.split("-", 1)[0]) for n in done}
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        runs = [f"{self.folder}/{kind}/{n:09d}-{b}" for b, n in self._committed().items()]
-        return self.spark.read.schema(schema).parquet(*runs) if runs else self.spark.createDataFrame([], schema)
-
-    def _before(self, keys: DataFrame) -> DataFrame:
-        """What the ledger's latest batches hold under these keys (doc_id, digest, version). Rows of other keys are left before any shuffle, where the keys are few."""
-        of = [k.eqNullSafe(F.col(f"of_{c}")) for c, k in ((c, F.col(c)) for c in KEY)]
-        mine = self._read("ledger", LEDGER).join(keys.toDF(*[f"of_{c}" for c in KEY]), of, "left_semi")
-        rows = F.collect_list(F.struct("source", "lang", "n_docs", "n_tokens"))
-        runs = mine.groupBy(*KEY, "batch").agg(rows.alias("rows"))  # sources and languages of one document
-        latest = runs.groupBy(*KEY).agg(F.max_by("rows", "batch").alias("rows"))
-        return latest.select("version", F.explode("rows").alias("r")).select("version", "r.*")
+        self.manifest = Manifest(spark, self.folder, {"batches": {}, "ledger": [], "deltas": [], "buckets": buckets})
+
+    def _read(self, runs: list[str], schema: str) -> DataFrame:
+        """The rows of all runs; at most MOST_RUNS + 1 of them."""
+        frames = [self.spark.read.schema(schema).parquet(f"{self.folder}/{r}") for r in runs]
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema)
+
+    def _write(self, kind: str, rows: DataFrame) -> str:
+        run = f"{kind}/{uuid.uuid4().hex}"
+        if kind == "ledger":
+            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{run}")
+        else:
+            rows.write.parquet(f"{self.folder}/{run}")
+        return run
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        """Of ledger rows those of each document's latest batch."""
+        last = rows.groupBy(*KEY, "bucket", "batch").agg(F.collect_list(F.struct("source", "lang", "n_docs", "n_tokens")).alias("rows"))  # sources and languages of one document
+        last = last.groupBy(*KEY, "bucket").agg(F.max(F.struct("batch", "rows")).alias("x"))
+        return last.select(*KEY, "bucket", F.col("x.batch").alias("batch"), F.explode("x.rows").alias("r")).select(*KEY, "r.*", "batch", "bucket")
+
+    def _before(self, state: dict, fresh: DataFrame) -> DataFrame:
+        """What the ledger holds of a batch's documents, from the buckets that the batch touches."""
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most one for each bucket
+        keys = fresh.select(*KEY).distinct().toDF(*[f"of_{c}" for c in KEY])
+        of = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in KEY]
+        mine = self._read(state["ledger"], LEDGER).filter(F.col("bucket").isin(touched)).join(keys, of, "left_semi")
+        return self._latest(mine)
 
     def commit(self, batch_id: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
-        """Apply a batch: upserts (doc_id, text, source, lang) and deletes (doc_id). False if it was applied before."""
-        done = self._committed()
-        if batch_id in done:
+        """Apply a batch: upserts (doc_id, text, source, lang) and deletes (doc_id, text where it has no id). False if it was applied before."""
+        state = self.manifest.read()
+        if batch_id in state["batches"]:
             return False
-        place = 1 + max(done.values(), default=0)
-        new = []
+        place, new = 1 + len(state["batches"]), []
         if upserts is not None:
-            sums = self.counter(upserts).groupBy(*KEY, "source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-            new.append(sums)
+            new.append(self.counter(upserts).groupBy(*KEY, "source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
         if deletes is not None:
             text = F.col("text") if "text" in deletes.columns else F.lit(None).cast("string")
             gone = deletes.select(F.col("doc_id").cast("long"), text.alias("text")).filter("doc_id is not null or text is not null").select("doc_id", _digest().alias("digest")).distinct()
-            new.append(gone.selectExpr("doc_id", "digest", f"'{self.version}' version", "cast(null as string) source", "cast(null as string) lang", "0L n_docs", "0L n_tokens"))
-        if not new:
-            return True
-        rows = new[0] if len(new) == 1 else new[0].unionByName(new[1])
-        run = f"{place:09d}-{batch_id}"
-        ledger = f"{self.folder}/ledger/{run}"
-        rows.withColumn("batch", F.lit(place).cast("long")).select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("overwrite").parquet(ledger)
-        fresh = self.spark.read.schema(LEDGER).parquet(ledger)
-        signed = fresh.selectExpr("source", "lang", "version", "n_docs d", "n_tokens t")
-        if done:
-            signed = signed.unionByName(self._before(fresh.select(*KEY).distinct()).selectExpr("source", "lang", "version", "-n_docs d", "-n_tokens t"))
-        deltas = signed.groupBy("source", "lang", F.col("version").alias("tokenizer_version")).agg(F.sum("d").alias("n_docs"), F.sum("t").alias("n_tokens"))
-        deltas.write.mode("overwrite").parquet(f"{self.folder}/deltas/{run}")
+            nothing = [F.lit(None).cast("string").alias(c) for c in ("source", "lang")] + [F.lit(0).cast("long").alias(c) for c in ("n_docs", "n_tokens")]
+            new.append(gone.select("doc_id", "digest", F.lit(self.version).alias("version"), *nothing))
+        ledger, deltas = list(state["ledger"]), list(state["deltas"])
+        if new:
+            bucket = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(state["buckets"])).cast("int")
+            rows = reduce(DataFrame.unionByName, new).withColumn("batch", F.lit(place).cast("long")).withColumn("bucket", bucket)
+            run = self._write("ledger", rows.select(*[c.split()[0] for c in LEDGER.split(", ")]))
+            fresh = self._read([run], LEDGER)
+            signed = fresh.selectExpr("source", "lang", "version", "n_docs d", "n_tokens t")
+            if ledger:
+                signed = signed.unionByName(self._before(state, fresh).selectExpr("source", "lang", "version", "-n_docs d", "-n_tokens t"))
+            ledger.append(run)
+            deltas.append(self._write("deltas", self._sums(signed.selectExpr("source", "lang", "version tokenizer_version", "d n_docs", "t n_tokens"))))
+        state = self.manifest.commit(state, batches=state["batches"] | {batch_id: place}, ledger=ledger, deltas=deltas)
+        if len(ledger) > MOST_RUNS:
+            self._compact(state)
         return True
 
+    def _compact(self, state: dict) -> None:
+        """One run of each kind in place of all; documents that went leave the ledger, groups that went the deltas."""
+        ledger = self._write("ledger", self._latest(self._read(state["ledger"], LEDGER)).filter("n_docs != 0").select(*[c.split()[0] for c in LEDGER.split(", ")]))
+        deltas = self._write("deltas", self.totals())
+        self.manifest.commit(state, ledger=[ledger], deltas=[deltas])
+        self.manifest.delete([*state["ledger"], *state["deltas"]])
+
+    @staticmethod
+    def _sums(deltas: DataFrame) -> DataFrame:
+        return deltas.groupBy("source", "lang", "tokenizer_version").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
     def totals(self) -> DataFrame:
         """n_docs and n_tokens by source, lang and tokenizer version."""
-        sums = self._read("deltas", DELTAS).groupBy("source", "lang", "tokenizer_version").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.filter("n_docs != 0")
+        return self._sums(self._read(self.manifest.read()["deltas"], DELTAS)).filter("n_docs != 0")
 
 
 def corpus_token_counts(docs: DataFrame, path: str, version: str) -> DataFrame:

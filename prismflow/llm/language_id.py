@@ -88,17 +88,20 @@ def _slot_bits(languages: int) -> int:
 
 
 def train_text_model(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextModel:
-    """The model of a bounded sample: in each language the per_language rows of least hashed id, among a share of them that is twice as large."""
-    rows = labelled.select(F.xxhash64(id_col).alias("draw"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    totals = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")), "labels")
+    """The model of a bounded sample: in each language the per_language rows of least draw, a hash of id, language and text.
+
+    Rows alike in all three count once; null ids and ids that repeat are drawn like any other.
+    """
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(lang_col).alias("lang")).filter("lang is not null and text is not null")
+    rows = rows.select(F.xxhash64("id", "lang", "text").alias("draw"), "lang", "text")
+    totals = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("of_lang")), "labels")
     bits = _slot_bits(totals.count())
     # first by a share that leaves about twice as many, so that no language is gathered to be ranked
     part = F.hash("draw").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) / 2.0**32
-    few = rows.select("lang", "draw", "id", part.alias("part")).join(totals, "lang").filter(F.col("part") < 2.0 * per_language / F.col("of_lang"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("part", "draw", "id"))
-    sample = materialize(few.withColumn("place", place).filter(F.col("place") <= per_language).select("lang", "draw", "id"), "sample")
-    sample = rows.join(sample, ["lang", "draw", "id"], "left_semi")  # at most per_language keys a language
-    sample = sample.dropDuplicates(["lang", "draw", "id"])  # rows that repeat an id count once
+    few = rows.withColumn("part", part).join(totals, "lang").filter(F.col("part") < 2.0 * per_language / F.col("of_lang"))
+    few = few.select("lang", "draw", "part", "text").dropDuplicates(["lang", "draw"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("part", "draw"))
+    sample = few.withColumn("place", place).filter(F.col("place") <= per_language)
 
     none = 1 << bits
 

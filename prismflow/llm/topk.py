@@ -8,7 +8,8 @@ cuts of the components. Queries come in blocks of a bounded number; for each blo
 2. t is broadcast; every task collects the parts of t / lists or more. A candidate without one scores less
    than t and can't be in the result. As a candidate's parts lie in one row, its collected parts and the
    bound of the others (a missing part is below t / lists) are summed in the task, which leaves few pairs;
-3. these are scored exactly in the same task, those that reach t leave it, and they are ranked.
+3. only these pairs are resolved: the task multiplies their whole vectors, those that reach t leave it, and
+   they are ranked. Parts that were not collected are never moved or added up for any other pair.
 
 Of candidates with equal components only the k + 1 of smallest id can be in any result (ties go to the
 smaller id, and a query leaves out at most itself), so the others are set aside before.
@@ -35,6 +36,8 @@ from prismflow.llm.common import in_batches, materialize
 QUERY_BLOCK = 16_384
 #: Queries and candidates whose scores are held at once in a task.
 QUERY_STEP, ROW_STEP = 512, 1024
+#: Pairs whose vectors are multiplied at once in the last phase.
+PAIR_STEP = 16_384
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int, *more: Column) -> DataFrame:
@@ -106,7 +109,18 @@ def _steps(batches: Iterator[pa.RecordBatch], query_rows: np.ndarray, width: int
                 yield rows, v, mine, query_rows[mine, None] == rows
 
 
-def _collect(block, lists: int, width: int, cutoff: np.ndarray, known_k: np.ndarray):
+def _resolved(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Exact inner products of pairs of rows."""
+    most = int(np.abs(q).max()) * int(np.abs(v).max()) * q.shape[1] if q.size else 0
+    if most < 2**63:
+        return np.einsum("ij,ij->i", q, v)
+    whole = (q.astype(object) * v.astype(object)).sum(axis=1)
+    if any(abs(x) >= 2**63 for x in whole):
+        raise OverflowError("a score is beyond 64 bits")
+    return whole.astype(np.int64)
+
+
+def _collect(block, lists: int, width: int, cutoff: np.ndarray, known_k: np.ndarray, resolved=None):
     """Phases 2 and 3: pairs that can reach their query's cutoff by their collected parts, and do by their whole score."""
     cuts = np.linspace(0, width, lists + 1).astype(int)
     at_least = -((-cutoff) // lists)
@@ -114,21 +128,23 @@ def _collect(block, lists: int, width: int, cutoff: np.ndarray, known_k: np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_rows, queries = block.value
         for rows, v, mine, own in _steps(batches, query_rows, width):
-            known, score = np.zeros(own.shape, dtype=np.int64), np.zeros(own.shape, dtype=np.int64)
-            n = np.zeros(own.shape, dtype=np.int32)
+            known, n = np.zeros(own.shape, dtype=np.int64), np.zeros(own.shape, dtype=np.int32)
             for c in range(lists):
                 part = _products(queries[mine, cuts[c] : cuts[c + 1]], v[:, cuts[c] : cuts[c + 1]])
                 on = (part >= at_least[mine, None]) | ~known_k[mine, None]
                 known += np.where(on, part, 0)
-                score += part
                 n += on
             bound = known + (lists - n) * (at_least[mine, None] - 1)
             collected = (n > 0) & (bound >= cutoff[mine, None]) | ~known_k[mine, None]
             a, b = np.nonzero(collected & ~own)
-            on = ~known_k[mine][a] | (score[a, b] >= cutoff[mine][a])
-            a, b = a[on], b[on]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(query_rows[mine][a]), pa.array(rows[b]), pa.array(score[a, b])], names=["query", "row", "score"])
+            if resolved is not None:
+                resolved.add(len(a))
+            for lo in range(0, len(a), PAIR_STEP):
+                x, y = a[lo : lo + PAIR_STEP], b[lo : lo + PAIR_STEP]
+                score = _resolved(queries[mine][x], v[y])
+                on = ~known_k[mine][x] | (score >= cutoff[mine][x])
+                if on.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(query_rows[mine][x[on]]), pa.array(rows[y[on]]), pa.array(score[on])], names=["query", "row", "score"])
 
     return run
 
@@ -143,10 +159,11 @@ def _scored(pairs: DataFrame, candidates: DataFrame, queries: DataFrame) -> Data
     return both.select("query", "row", _dot("q", "v").alias("score"))
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, lists: int = 2, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, lists: int = 2, id_col: str = "vec_id", vec_col: str = "embedding", resolved=None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query, itself left out.
 
-    is_query is a condition on vec_id. Every other row, queries too, is a candidate.
+    is_query is a condition on vec_id. Every other row, queries too, is a candidate. resolved, if given, is an
+    accumulator that counts the pairs whose whole vectors the last phase multiplies.
     """
     spark = vectors.sparkSession
     rows = materialize(quantized(vectors, id_col, vec_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
@@ -170,7 +187,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
         t = dict(cutoff.toPandas().itertuples(index=False))  # at most QUERY_BLOCK rows
         # a query of fewer than k candidates has no cutoff: all are collected
         at, known = (np.array([f(q) for q in query_rows.tolist()], dtype=d) for f, d in ((lambda q: t.get(q, 0), np.int64), (lambda q: q in t, bool)))
-        scored = in_batches(candidates.select("row", "v"), _collect(block, lists, width, at, known), "query long, row long, score long")
+        scored = in_batches(candidates.select("row", "v"), _collect(block, lists, width, at, known, resolved), "query long, row long, score long")
         named = scored.join(candidates.select("row", "vec_id"), "row").join(mine.select("query", "query_id"), "query")
         order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
         best = named.withColumn("rank", order).filter(F.col("rank") <= k)

@@ -43,16 +43,21 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
 
 def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, documents: int = 2) -> DataFrame:
     """One row for each key that enough documents hold: line (hash), n_documents, first (the document that keeps it)."""
-    held = _lines(docs, id_col, text_col, least).select("line", "doc_id", "digest").distinct()
+    return _common(_lines(docs, id_col, text_col, least), documents)
+
+
+def _common(lines: DataFrame, documents: int) -> DataFrame:
+    held = lines.select("line", "doc_id", "digest").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")).alias("first")
     return held.groupBy("line").agg(F.count(F.lit(1)).alias("n_documents"), first).filter(F.col("n_documents") >= documents)
 
 
 def _dropped(docs: DataFrame, id_col: str, text_col: str, least: int, documents: int) -> DataFrame:
     """doc_id, digest, positions: what each document that loses lines loses."""
-    common = materialize(common_lines(docs, id_col, text_col, least, documents), "common-lines")
+    lines = materialize(_lines(docs, id_col, text_col, least), "lines")  # read twice; hashes, not texts
+    common = materialize(_common(lines, documents), "common-lines")
     keeper = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    lost = _lines(docs, id_col, text_col, least).join(common.select("line", "first"), "line").filter(~keeper)
+    lost = lines.join(common.select("line", "first"), "line").filter(~keeper)
     return materialize(lost.groupBy("doc_id", "digest").agg(F.collect_set("position").alias("positions")), "dropped-lines")
 
 

@@ -90,7 +90,7 @@ def reported(spans: Column, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -
     """Columns of an array of spans (null: none): a count per base kind, base_sha256 and spans as text."""
     base, kinds = len(BASE_RULES), [r.kind for r in rules]
     spans = F.coalesce(spans, F.array().cast("array<struct<start:int,kind:int,stop:int>>"))
-    counts = [F.size(F.filter(spans, _is(k))).cast("long").alias(f"n_{kinds[k]}") for k in range(base)]
+    counts = [F.size(F.filter(spans, _is(k))).cast("long").alias(f"n_{kinds[k]}") for k in range(min(base, len(kinds)))]
     return [*counts, F.sha2(_listed(F.filter(spans, lambda s: s.kind < base), kinds), 256).alias("base_sha256"), _listed(spans, kinds).alias("spans")]
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from prismflow.config import MahalanobisConfig, PreprocessConfig, SpeConfig
 from prismflow.functions.lineage import cut
+from prismflow.functions.order import numbered
 from prismflow.operators import flatten as fl
 from prismflow.operators.pca import PcaModel, fit_pca, transform_pca
-from prismflow.operators.preprocess import preprocess
-from prismflow.sources.spectra import load
+from prismflow.operators.rows import preprocess
+from prismflow.sources.spectra import load_rows
 
 
 @dataclass
@@ -31,24 +32,40 @@ class Flattened:
 
 
 def _renumbered(facts: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    ids = features.withColumn("new_id", F.row_number().over(Window.orderBy(*fl.AXES)).cast("long"))
-    facts = facts.join(ids.select("feature_id", "new_id"), "feature_id").select("source", F.col("new_id").alias("feature_id"), "value")
-    return facts, ids.select(F.col("new_id").alias("feature_id"), *fl.AXES)
+    """Features numbered anew, without gaps, in axis order."""
+    ids = numbered(features, *fl.AXES, name="new_id")
+    rest = [c for c in facts.columns if c not in ("source", "feature_id")]
+    facts = facts.join(ids.select("feature_id", "new_id"), "feature_id").select("source", F.col("new_id").alias("feature_id"), *rest)
+    return facts, ids.select(F.col("new_id").alias("feature_id"), *[c for c in features.columns if c != "feature_id"])
 
 
 def preprocess_and_flatten(spark: SparkSession, paths, **settings) -> Flattened:
-    """Scan, check, preprocess and flatten files; features missing in too many sources are left out."""
+    """Scan, check, preprocess and flatten files; features missing in too many sources are left out.
+
+    Facts of files with whole numbers or decimals, which no stage has changed, also hold the exact value.
+    """
     config = PreprocessConfig(**settings)
-    frame = load(spark, paths, config)
-    sources = frame.select("source").distinct()
-    facts, features = fl.flatten(cut(preprocess(frame, config)))
-    if config.materialize_once:
-        facts, features = cut(facts), cut(features)
+    rows = load_rows(spark, paths, config)
+    sources = rows.frame.select("source").distinct()
+    data = Flattened(*fl.flatten_rows(preprocess(rows, config)), sources)
     if config.max_null_ratio < 1:  # the bound is inclusive: 1 drops nothing
-        facts, features = _renumbered(*fl.prune_sparse(facts, features, sources, config.max_null_ratio))
-    return Flattened(facts, features, sources)
+        return materialize_and_drop_sparse(data, config.max_null_ratio) if config.materialize_once else drop_sparse(data, config.max_null_ratio)
+    return materialize_flattened(data) if config.materialize_once else data
+
+
+def materialize_flattened(data: Flattened) -> Flattened:
+    """The same facts and features, stored, so that later stages read them instead of the files."""
+    return Flattened(cut(data.facts), cut(data.features), data.sources)
+
+
+def drop_sparse(data: Flattened, max_null_ratio: float) -> Flattened:
+    """Features of which at most the given share of sources is missing, numbered anew."""
+    return Flattened(*_renumbered(*fl.prune_sparse(data.facts, data.features, data.sources, max_null_ratio)), data.sources)
+
+
+def materialize_and_drop_sparse(data: Flattened, max_null_ratio: float) -> Flattened:
+    """Stored facts without sparse features: read once to count, once to keep."""
+    return drop_sparse(materialize_flattened(data), max_null_ratio)
 
 
 def flatten_pca(spark: SparkSession, paths=None, *, flattened: Flattened | None = None, n_component: int | None = None, impute_strategy: str = "drop", impute_kmeans_n_clusters: int | None = None, scaling_strategy: str = "none", **settings) -> PcaModel:
@@ -76,10 +93,10 @@ def reshape_pca_components(model: PcaModel, flattened: Flattened) -> DataFrame:
 def align_features(flattened: Flattened, model: PcaModel) -> Flattened:
     """Facts of new files on the model's features; features they lack are missing, none in common is a ValueError."""
     spark = flattened.facts.sparkSession
-    mine = spark.createDataFrame(fl.named_features(flattened.features), "old long, feature string")
+    mine = fl.name_table(flattened.features).withColumnRenamed("feature_id", "old")
     theirs = fl.feature_frame(spark, model.columns)
     ids = theirs.select("feature_id", "feature").join(mine, "feature").select(F.col("feature_id").alias("new_id"), "old")
     if not ids.limit(1).count():
         raise ValueError("no feature of the model is present")
-    facts = flattened.facts.join(F.broadcast(ids), F.col("feature_id") == F.col("old")).select("source", F.col("new_id").alias("feature_id"), "value")
+    facts = flattened.facts.join(ids, F.col("feature_id") == F.col("old")).select("source", F.col("new_id").alias("feature_id"), "value")
     return Flattened(facts, theirs.drop("feature"), flattened.sources)

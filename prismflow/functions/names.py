@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 META = ("Time", "Step", "Sequence")
 
 
+def new_name() -> str:
+    """A column name that no table has."""
+    return f"prismflow_{uuid.uuid4().hex}"
+
+
 def wavelength_name(value: float) -> str:
     return f"{value:.1f}nm"
 

@@ -6,11 +6,17 @@ feature_id, value) in which absence means missing. Wide frames are made at the e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismflow.functions.lineage import cut
 from prismflow.functions.names import feature_name, feature_of
+from prismflow.functions.order import numbered
 from prismflow.functions.quantiles import missing
+from prismflow.operators.rows import Rows
 
 AXES = ("wavelength", "Step", "Sequence", "StepTime")
 #: Widest frame that to_wide() makes unless told otherwise.
@@ -32,30 +38,52 @@ def feature_grid(frame: DataFrame) -> DataFrame:
     return frame.select("Step", "Sequence", "StepTime").distinct()
 
 
-def _axes(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The grid's points with place and number of them, and the wavelengths with place: axes, not data."""
-    grid = feature_grid(frame).withColumn("place", F.row_number().over(Window.orderBy("Step", "Sequence", "StepTime"))).withColumn("points", F.count(F.lit(1)).over(Window.partitionBy()))
-    waves = frame.select("wavelength").distinct().withColumn("band", F.row_number().over(Window.orderBy("wavelength")))
-    return grid, waves
+def _axes(frame: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The grid's points with their place, the wavelengths with theirs, and the number of points: axes, not data."""
+    grid = numbered(feature_grid(frame), "Step", "Sequence", "StepTime")
+    return grid, numbered(frame.select("wavelength").distinct(), "wavelength", name="band"), grid.count()
 
 
-def _feature_id():
+def _feature_id(points: int):
     # places in (wavelength, Step, Sequence, StepTime) order
-    return ((F.col("band") - 1).cast("long") * F.col("points") + F.col("place")).alias("feature_id")
+    return ((F.col("band") - 1).cast("long") * points + F.col("place")).alias("feature_id")
 
 
 def feature_table(frame: DataFrame) -> DataFrame:
     """feature_id (from 1, in axis order) and coordinates of all features: the grid times the wavelengths."""
-    grid, waves = _axes(frame)
-    return grid.join(waves, F.lit(True)).select(_feature_id(), *AXES)
+    grid, waves, points = _axes(frame)
+    return grid.join(waves, F.lit(True)).select(_feature_id(points), *AXES)
 
 
 def flatten(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts (source, feature_id, value; NaN becomes null) and the feature table of a preprocessed long table."""
-    grid, waves = _axes(frame)
+    grid, waves, points = _axes(frame)
     rows = last_of_duplicates(frame).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    facts = rows.join(grid, ["Step", "Sequence", "StepTime"]).join(waves, "wavelength").select("source", _feature_id(), "value")
-    return facts, feature_table(frame)
+    facts = rows.join(grid, ["Step", "Sequence", "StepTime"]).join(waves, "wavelength").select("source", _feature_id(points), "value")
+    return facts, grid.join(waves, F.lit(True)).select(_feature_id(points), *AXES)
+
+
+def flatten_rows(rows: Rows) -> tuple[DataFrame, DataFrame]:
+    """Facts (source, feature_id, value, and exact where the rows have it) and the feature table of preprocessed rows.
+
+    Duplicates and the grid are settled among time points; each row then meets its place in the grid once, and its
+    values leave it as facts, whose wavelength is their place in the row.
+    """
+    points = rows.frame.select("source", "row_index", "Time", "Step", "Sequence", "StepTime")
+    grid = numbered(feature_grid(points), "Step", "Sequence", "StepTime")
+    n = grid.count()
+    last = points.groupBy("source", "Step", "Sequence", "StepTime").agg(F.max_by("row_index", F.struct("Time", "row_index")).alias("row_index"))
+    place = cut(last.join(grid, ["Step", "Sequence", "StepTime"]).select("source", "row_index", "place"))
+    cells = [F.col("values")] + ([F.col("exact")] if rows.exact else [])
+    missing_row = F.transform(F.sequence(F.lit(1), F.lit(len(rows.waves))), lambda _: F.lit(None).cast("double"))
+    zipped = F.arrays_zip(F.coalesce("values", missing_row).alias("values"), *cells[1:])
+    each = rows.frame.join(place, ["source", "row_index"]).select("source", "place", F.posexplode(zipped).alias("band", "x"))
+    value = F.when(~F.isnan("x.values"), F.col("x.values")).alias("value")
+    facts = each.select("source", (F.col("band").cast("long") * n + F.col("place")).alias("feature_id"), value, *([F.col("x.exact").alias("exact")] if rows.exact else []))
+    spark = rows.frame.sparkSession
+    waves = spark.createDataFrame([(k, w, kind) for k, (w, kind) in enumerate(zip(rows.waves, rows.kinds))], "band long, wavelength double, kind string")
+    features = grid.join(waves, F.lit(True)).select((F.col("band") * n + F.col("place")).alias("feature_id"), *AXES, *(["kind"] if rows.exact else []))
+    return facts, features
 
 
 def null_ratios(facts: DataFrame, features: DataFrame, sources: DataFrame) -> DataFrame:
@@ -72,13 +100,25 @@ def prune_sparse(facts: DataFrame, features: DataFrame, sources: DataFrame, max_
     return facts.join(kept, "feature_id", "left_semi"), features.join(kept, "feature_id", "left_semi")
 
 
-def named_features(features: DataFrame) -> list[tuple[int, str]]:
-    """(feature_id, name) in feature order; ValueError where two features get one name. Driver-side: for wide frames and models."""
-    rows = features.orderBy(*AXES).collect()
-    names = [(r["feature_id"], feature_name(r["wavelength"], r["Step"], r["Sequence"], r["StepTime"])) for r in rows]
-    if len({n for _, n in names}) < len(names):
+def name_table(features: DataFrame) -> DataFrame:
+    """feature_id and feature, its name, made in tasks; ValueError where two features get one name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in AXES))
+            yield pa.RecordBatch.from_arrays([b.column("feature_id"), pa.array([feature_name(*r) for r in rows], pa.string())], names=["feature_id", "feature"])
+
+    kind = features.schema["feature_id"].dataType.simpleString()
+    named = cut(features.select("feature_id", *AXES).mapInArrow(run, f"feature_id {kind}, feature string"))
+    if named.groupBy("feature").count().filter("count > 1").limit(1).count():
         raise ValueError("duplicate flattened feature names")
-    return names
+    return named
+
+
+def named_features(features: DataFrame) -> list[tuple[int, str]]:
+    """(feature_id, name) in feature order. Driver-side: for wide frames and models, which hold arrays by feature."""
+    found = name_table(features).toArrow().sort_by("feature_id")
+    return list(zip(found["feature_id"].to_pylist(), found["feature"].to_pylist()))
 
 
 def to_wide(facts: DataFrame, features: DataFrame, sources: DataFrame, limit: int = MAX_WIDE) -> DataFrame:
@@ -88,8 +128,12 @@ def to_wide(facts: DataFrame, features: DataFrame, sources: DataFrame, limit: in
         raise ValueError(f"{len(names)} features; a wide frame of more than {limit} columns must be asked for")
     if not names:
         return sources.select("source").orderBy("source")
-    wide = sources.select("source").join(facts, "source", "left").groupBy("source").pivot("feature_id", [k for k, _ in names]).agg(F.first("value"))
-    return wide.select("source", *[F.col(f"`{k}`").alias(n) for k, n in names]).orderBy("source")
+    exact = "exact" in facts.columns
+    cell = F.first(F.struct("value", "exact")) if exact else F.first("value")
+    wide = sources.select("source").join(facts, "source", "left").groupBy("source").pivot("feature_id", [k for k, _ in names]).agg(cell)
+    kinds = dict(features.select("feature_id", "kind").collect()) if exact else {}
+    column = lambda k: F.col(f"`{k}`") if not exact else F.col(f"`{k}`.value") if kinds[k] == "double" else F.col(f"`{k}`.exact").cast(kinds[k])
+    return wide.select("source", *[column(k).alias(n) for k, n in names]).orderBy("source")
 
 
 def from_wide(wide: DataFrame, index: tuple[str, ...] = ("source",)) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +156,7 @@ def flatten_to_long(wide: DataFrame, value_name: str = "intensity", index: tuple
     if len(reserved) < 6 or reserved & set(index):
         raise ValueError("value and index names must differ from the coordinates")
     facts, features = from_wide(wide, ("source", *index))
-    return facts.join(F.broadcast(features), "feature_id").select("source", *index, "Step", "Sequence", "StepTime", "wavelength", F.col("value").alias(value_name))
+    return facts.join(features, "feature_id").select("source", *index, "Step", "Sequence", "StepTime", "wavelength", F.col("value").alias(value_name))
 
 
 def flatten_to_wide(wide: DataFrame, drop_all_null_rows: bool = False, index: tuple[str, ...] = ()) -> DataFrame:

@@ -676,14 +676,17 @@ def partial_scores(model: PcaModel, prepared: DataFrame, features: DataFrame, co
     return at.withColumn("score", F.sum("part").over(line)).drop("part")
 
 
-def transform_pca(model: PcaModel, facts: DataFrame, mahalanobis: MahalanobisConfig | None = None, spe: SpeConfig | None = None, with_features: bool = False) -> DataFrame:
-    """source, the prepared features if asked for, pca-1 to pca-k and, if asked for, the T2 and Q blocks (value, limit, exceeds)."""
+def transform_pca(model: PcaModel, facts: DataFrame, mahalanobis: MahalanobisConfig | None = None, spe: SpeConfig | None = None, with_features: bool = False, allow_empty: bool = False) -> DataFrame:
+    """source, the prepared features if asked for, pca-1 to pca-k and, if asked for, the T2 and Q blocks (value, limit, exceeds).
+
+    Where no source is left to score that is a ValueError, or an empty table if that is allowed.
+    """
     spark = facts.sparkSession
     extra = [c for config in (mahalanobis, spe) if config for c in config.columns]
     if len({*extra, "source", *model.score_columns, *model.columns}) < len(extra) + 1 + model.n_component + len(model.columns):
         raise ValueError("output columns collide")
     prepared = cut(prepare(model, facts))
-    if not prepared.limit(1).count():
+    if not allow_empty and not prepared.limit(1).count():
         raise ValueError("no row is left to score")
     long = scores_long(model, prepared)
     out = long.groupBy("source").pivot("component", list(range(1, model.n_component + 1))).agg(F.first("score"))

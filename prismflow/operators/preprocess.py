@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismflow.config import PreprocessConfig
 from prismflow.functions.lineage import cut
+from prismflow.functions.names import new_name
+from prismflow.functions.order import numbered
 from prismflow.functions.quantiles import missing
 from prismflow.functions.transforms import intensity
 
 ROW = ("source", "row_index", "Time", "Step", "Sequence")
+#: Points of a series that are smoothed together, about; a longer one is cut in ranges that overlap by a window.
+SERIES = 65_536
 
 
 def filter_steps(frame: DataFrame, steps) -> DataFrame:
@@ -59,10 +62,8 @@ def edge_trim(frame: DataFrame, bounds: tuple[float, float] | None, action: str
     raise ValueError("action must be drop or null")
 
 
-def _means_within(axis: np.ndarray, value: np.ndarray, known: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each point the mean of known values at most `window` away on the axis, and whether there is one."""
-    order = np.argsort(axis, kind="stable")
-    x, v, k = axis[order], value[order], known[order]
+def window_bounds(x: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each point of a sorted axis the first point at most `window` away, and the one after the last."""
     first, stop = np.searchsorted(x, x - window, side="left"), np.searchsorted(x, x + window, side="right")
     # rounding of x -/+ window may take a point wrongly in or out: the distance itself decides
     last = len(x) - 1
@@ -74,26 +75,70 @@ def _means_within(axis: np.ndarray, value: np.ndarray, known: np.ndarray, window
         stop = stop - wrong
     while (more := (stop <= last) & (np.abs(x[np.minimum(stop, last)] - x) <= window)).any():
         stop = stop + more
-    finite = k & np.isfinite(v)
-    sums = np.concatenate([[0.0], np.cumsum(np.where(finite, v, 0.0))])
-    counts, odd = (np.concatenate([[0], np.cumsum(m)]) for m in (k, k & ~finite))
+    return first, stop
+
+
+def window_means(value: np.ndarray, known: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of known values over rows first to stop - 1 of a matrix, column by column, and where there is one."""
+    finite = known & np.isfinite(value)
+    edge = np.zeros((1, value.shape[1]))
+    sums = np.concatenate([edge, np.cumsum(np.where(finite, value, 0.0), axis=0)])
+    if finite.all():
+        return (sums[stop] - sums[first]) / (stop - first)[:, None], np.ones(value.shape, dtype=bool)
+    counts, odd = (np.concatenate([edge.astype(np.int64), np.cumsum(m, axis=0)]) for m in (known, known & ~finite))
     n = counts[stop] - counts[first]
     with np.errstate(invalid="ignore", divide="ignore"):
         mean = (sums[stop] - sums[first]) / n
-    for i in np.flatnonzero(odd[stop] > odd[first]):  # windows that hold NaN or infinite values
-        mean[i] = v[first[i] : stop[i]][k[first[i] : stop[i]]].mean()
-    out, there = np.empty_like(mean), np.empty(len(n), dtype=bool)
-    out[order], there[order] = mean, n > 0
-    return out, there
+    for i, j in zip(*np.nonzero(odd[stop] > odd[first])):  # windows that hold NaN or infinite values
+        some = slice(first[i], stop[i])
+        mean[i, j] = value[some, j][known[some, j]].mean()
+    return mean, n > 0
+
+
+def _means_within(axis: np.ndarray, value: np.ndarray, known: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the mean of known values at most `window` away on the axis, and whether there is one."""
+    order = np.argsort(axis, kind="stable")
+    mean, there = window_means(value[order, None], known[order, None], *window_bounds(axis[order], window))
+    out, found = np.empty(len(order)), np.empty(len(order), dtype=bool)
+    out[order], found[order] = mean[:, 0], there[:, 0]
+    return out, found
+
 
+def in_pieces(frame: DataFrame, keys: list[str], axis: str, window: float, most: int) -> DataFrame:
+    """The rows with `piece`, a range of the axis within their keys, and `own`; rows near a range's end also stand, not own, in the next.
 
-def _smoothed(frame: DataFrame, keys: list[str], axis: str, window: float) -> DataFrame:
+    Ranges hold about `most` rows or four windows, whichever is longer, so that a series of any length is many
+    groups, of which each has all that its own rows' windows reach.
+    """
+    lo, hi, n = new_name(), new_name(), new_name()
+    sizes = frame.groupBy(*keys).agg(F.min(axis).alias(lo), F.max(axis).alias(hi), F.count(F.lit(1)).alias(n))
+    sizes = cut(sizes)
+    if not sizes.filter(F.col(n) > most).limit(1).count():
+        return frame.withColumn("piece", F.lit(0).cast("long")).withColumn("own", F.lit(True))
+    names = [new_name() for _ in keys]
+    sizes = sizes.select(*[F.col(c).alias(m) for c, m in zip(keys, names)], lo, hi, n)
+    joined = frame.join(sizes, [F.col(c).eqNullSafe(F.col(m)) for c, m in zip(keys, names)])
+    x, span = F.col(axis).cast("double"), (F.col(hi) - F.col(lo)).cast("double")
+    length = F.greatest(span / F.ceil(F.col(n) / most), F.lit(4.0 * window))
+    pieces = F.greatest(F.lit(1), F.ceil(span / length))
+    at = F.least(F.floor((x - F.col(lo)) / length), pieces - 1)
+    reach = F.lit(window * (1 + 1e-9)) + F.abs(x) * 1e-12  # a row too many in a piece changes nothing
+    one = lambda piece, own: F.struct(piece.cast("long").alias("piece"), F.lit(own).alias("own"))
+    before = F.when((at > 0) & (x - (F.col(lo) + at * length) <= reach), one(at - 1, False))
+    after = F.when((at < pieces - 1) & (F.col(lo) + (at + 1) * length - x <= reach), one(at + 1, False))
+    each = F.inline(F.filter(F.array(one(at, True), before, after), lambda p: p.isNotNull()))
+    return joined.select(*frame.columns, each)
+
+
+def _smoothed(frame: DataFrame, keys: list[str], axis: str, window: float, most: int | None = None) -> DataFrame:
     """Each value becomes the mean over points of its keys at most `window` apart on the axis.
 
-    The points of a key come together as one array, which is averaged in one pass over its sorted axis.
+    The points of a key, or of a piece of it where there are more than `most`, come together as one array, which is
+    averaged in one pass over its sorted axis.
     """
     rest = [c for c in frame.columns if c not in keys]
-    rows = frame.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("row"))
+    pieces = frame.withColumn("piece", F.lit(0).cast("long")).withColumn("own", F.lit(True)) if most is None else in_pieces(frame, keys, axis, window, most)
+    rows = pieces.groupBy(*keys, "piece").agg(F.collect_list(F.struct(*rest, "own")).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +154,7 @@ def _smoothed(frame: DataFrame, keys: list[str], axis: str, window: float) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, means], names=[*batch.schema.names, "means"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("means", T.ArrayType(T.DoubleType()))])
-    each = rows.mapInArrow(run, schema).select(*keys, F.explode(F.arrays_zip("row", "means")).alias("x"))
+    each = rows.mapInArrow(run, schema).select(*keys, F.explode(F.arrays_zip("row", "means")).alias("x")).filter("x.row.own")
     value = {"value": F.col("x.means").alias("value")}
     return each.select(*[F.col(c) if c in keys else value.get(c, F.col(f"x.row.{c}").alias(c)) for c in frame.columns])
 
@@ -121,7 +166,7 @@ def smooth_time(frame: DataFrame, window: float | None, keep: DataFrame | None =
     """
     if window is None:
         return frame
-    out = _smoothed(frame, ["source", "Step", "Sequence", "wavelength"], "Time", window)
+    out = _smoothed(frame, ["source", "Step", "Sequence", "wavelength"], "Time", window, SERIES)
     return out if keep is None else out.join(keep, ["source", "row_index"], "left_semi")
 
 
@@ -161,8 +206,7 @@ def normalize_wavelength(frame: DataFrame, bounds: tuple[float, float] | None, c
 
 def _strided(values: DataFrame, name: str, stride: int) -> DataFrame:
     """Every stride-th of the sorted distinct values; these are grid axes, not data rows."""
-    place = F.row_number().over(Window.orderBy(name)) - 1
-    return values.select(name).distinct().withColumn("place", place).filter(F.col("place") % stride == 0).select(name)
+    return numbered(values.select(name).distinct(), name).filter((F.col("place") - 1) % stride == 0).select(name)
 
 
 def downsample_time(frame: DataFrame, stride: int, times: DataFrame | None = None) -> DataFrame:
@@ -182,19 +226,3 @@ def transform_intensity(frame: DataFrame, kind: str = "none", scale: float = 1.0
         if least is not None and least <= -1:
             raise ValueError("log1p needs value / scale above -1")
     return frame.withColumn("value", intensity(F.col("value"), kind, scale))
-
-
-def preprocess(frame: DataFrame, config: PreprocessConfig) -> DataFrame:
-    """All stages in their fixed order, on a table that load() checked and filtered by step and wavelength."""
-    frame = edge_trim(step_times(frame), config.edge_trim)
-    if config.t_smoothing_window is not None or config.t_normalization_range or config.w_normalization_range or config.t_downsampling_stride > 1:
-        frame = cut(frame)  # read for the times, the windows, the checks and the values
-    times = frame.select("Time").distinct()
-    if config.t_smoothing_window is not None:
-        frame = cut(smooth_time(frame, config.t_smoothing_window))
-    frame = smooth_wavelength(frame, config.w_smoothing_window)
-    frame = normalize_time(frame, config.t_normalization_range)
-    frame = normalize_wavelength(frame, config.w_normalization_range)
-    frame = downsample_time(frame, config.t_downsampling_stride, times)
-    frame = downsample_wavelength(frame, config.w_downsampling_stride)
-    return transform_intensity(frame, config.intensity_transform, config.intensity_transform_scale)

@@ -26,6 +26,12 @@ def clean(facts: DataFrame) -> DataFrame:
     return facts.withColumn("value", F.when(~missing("value"), F.col("value")))
 
 
+def exact_sums(facts: DataFrame) -> DataFrame:
+    """feature_id, n and sum of the exact values of facts that have them; a sum beyond 38 digits is an error."""
+    known = facts.filter("exact is not null")
+    return known.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.sum("exact").alias("sum"))
+
+
 def fit_scaling(facts: DataFrame, strategy: str) -> DataFrame:
     """feature_id, center, scale. A null center is 0; a null or zero scale is 1."""
     x = F.col("value")

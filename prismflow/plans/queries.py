@@ -16,7 +16,7 @@ from prismflow.operators import flatten as fl
 from prismflow.operators import preprocess as pp
 from prismflow.operators import ranks, stats, tables
 from prismflow.operators.pca import PcaModel, loading_pairs, parameter_table, score_points, fit_pca, prepare, q_contribution, q_statistic, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
-from prismflow.plans.views import EVENTS, FACTS, FILLED, SHORT, SPECTRA, TIMED, WHOLE_FACTS, WIDTH, embedding_facts, facts_sql, embedding_width, event_points, source_name, spectra, spectral_files, table
+from prismflow.plans.views import BEYOND, EVENTS, FACTS, FILLED, SHORT, SPECTRA, TIMED, WHOLE_FACTS, WIDTH, embedding_facts, facts_sql, embedding_width, event_points, source_name, spectra, spectral_files, table
 from prismflow.sources.spectra import bad_values, load, repeated_keys, resolve_paths, scan, unaligned_keys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,24 @@ def file_flatten(spark, sf_dir):
     return data.facts.select(source_name(), "feature_id", "value")
 
 
+_WHOLE = f"""{_FLAT.replace(SPECTRA, FILLED.replace("avg(l_quantity)", f"CAST(sum(l_orderkey) + {BEYOND} AS BIGINT)").replace("wavelength, l_quantity", "wavelength, l_orderkey"))}"""
+
+
+@query(f"""WITH {_WHOLE} SELECT source, feature_id, value AS exact FROM facts""")
+def file_flatten_exact(spark, sf_dir):
+    """Whole numbers beyond 2 ** 53, from files to facts unchanged."""
+    data = preprocess_and_flatten(spark, spectral_files(spark, sf_dir, whole_numbers=True), max_null_ratio=1.0)
+    return data.facts.select(source_name(), "feature_id", F.col("exact").cast("long").alias("exact"))
+
+
+@query(f"""WITH {_WHOLE} SELECT feature_id, count(*) AS n, CAST(sum(CAST(value AS HUGEINT) * 1000000007) AS VARCHAR) AS sum FROM facts GROUP BY feature_id""")
+def file_sums_exact(spark, sf_dir):
+    """Sums of whole numbers beyond 2 ** 63."""
+    data = preprocess_and_flatten(spark, spectral_files(spark, sf_dir, whole_numbers=True), max_null_ratio=1.0)
+    scaled = data.facts.withColumn("exact", (F.col("exact").cast("decimal(20,0)") * F.lit(1000000007).cast("decimal(10,0)")).cast("decimal(38,0)"))
+    return stats.exact_sums(scaled).select("feature_id", "n", F.col("sum").cast("string").alias("sum"))
+
+
 @query()
 def file_fit_and_score(spark, sf_dir):
     """Files to scores with limits; eigenvectors are beyond SQL, tests compare them with a matrix library."""

@@ -23,8 +23,7 @@ BYTES = {"plain": 10 * 8, "stages": 16 * 8, "kmeans": 24 * 8}
 def fit_run(spark: SparkSession, paths, folder: str | Path, n_component: int | None = None, impute: str = "drop", scaling: str = "none", mahalanobis: MahalanobisConfig = MahalanobisConfig(), spe: SpeConfig = SpeConfig(), **settings) -> PcaModel:
     """Flatten, fit and score files; features, samples, scores and the model go to a folder."""
     data = preprocess_and_flatten(spark, paths, **settings)
-    names = fl.named_features(data.features)
-    model = fit_pca(data.facts, [n for _, n in names], max_n_component=MOST_COMPONENTS, impute=impute, scaling=scaling, n_component=n_component)
+    model = fit_pca(data.facts, data.names(), max_n_component=MOST_COMPONENTS, impute=impute, scaling=scaling, n_component=n_component)
     if n_component is None:
         model = model.truncated(resolve_used_components(model.explained_variance_ratio, KEEP_VARIANCE))
     folder = Path(folder)

@@ -14,20 +14,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _axes() -> list[F.Column]:
+    """Source, quarter and wavelength of a line item."""
+    quarter = ((F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1).cast("long")
+    return [F.concat(F.lit("s"), (F.col("l_suppkey") % 10).cast("string")).alias("source"), quarter.alias("q"), (400.0 + F.col("l_linenumber")).alias("wavelength")]
+
+
+def _points() -> list[F.Column]:
+    """A quarter as a time point."""
+    return [F.col("q").alias("row_index"), F.col("q").cast("double").alias("Time"), F.expr("q div 10").alias("Step"), F.expr("1 + (q div 5) % 2").alias("Sequence")]
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long spectral table: 10 sources, quarters as Time, line numbers as wavelengths, mean quantities as values."""
-    items = table(spark, sf_dir, "lineitem")
-    quarter = ((F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1).cast("long")
-    cells = items.select(F.concat(F.lit("s"), (F.col("l_suppkey") % 10).cast("string")).alias("source"), quarter.alias("q"), (400.0 + F.col("l_linenumber")).alias("wavelength"), "l_quantity")
+    cells = table(spark, sf_dir, "lineitem").select(*_axes(), "l_quantity")
     mean = cells.groupBy("source", "q", "wavelength").agg(F.avg("l_quantity").alias("value"))
-    return mean.select("source", F.col("q").alias("row_index"), F.col("q").cast("double").alias("Time"), F.expr("q div 10").alias("Step"), F.expr("1 + (q div 5) % 2").alias("Sequence"), "wavelength", "value")
+    return mean.select("source", *_points(), "wavelength", "value")
+
+
+#: Added to sums of order keys, so that they are whole numbers which doubles do not hold.
+BEYOND = 2**53 + 1
 
 
-def spectral_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The spectra written as the files that an instrument leaves: a file per source, a column per wavelength, 0 where there was no value."""
+def spectral_files(spark: SparkSession, sf_dir: str, whole_numbers: bool = False) -> list[str]:
+    """The spectra written as the files that an instrument leaves: a file per source, a column per wavelength, 0 where there was no value.
+
+    With whole numbers the values are sums of order keys beyond 2 ** 53, in columns of 64-bit integers.
+    """
     root, waves = scratch(spark, "spectra"), [401.0 + k for k in range(7)]
-    wide = spectra(spark, sf_dir).groupBy("source", "Time", "Step", "Sequence").pivot("wavelength", waves).agg(F.first("value"))
-    wide = wide.select("source", "Time", "Step", "Sequence", *[F.coalesce(F.col(f"`{w}`"), F.lit(0.0)).alias(f"{w:.1f}nm") for w in waves])
+    rows = spectra(spark, sf_dir)
+    if whole_numbers:
+        items = table(spark, sf_dir, "lineitem").select(*_axes(), "l_orderkey").groupBy("source", "q", "wavelength")
+        rows = items.agg((F.sum("l_orderkey") + BEYOND).alias("value")).select("source", *_points(), "wavelength", "value")
+    wide = rows.groupBy("source", "Time", "Step", "Sequence").pivot("wavelength", waves).agg(F.first("value"))
+    zero = F.lit(0).cast("long") if whole_numbers else F.lit(0.0)
+    wide = wide.select("source", "Time", "Step", "Sequence", *[F.coalesce(F.col(f"`{w}`"), zero).alias(f"{w:.1f}nm") for w in waves])
     wide.repartition("source").sortWithinPartitions("source", "Time").write.partitionBy("source").parquet(root)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/part-*.parquet")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)

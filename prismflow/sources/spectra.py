@@ -1,7 +1,8 @@
 """Scan many spectral Parquet files as one long table.
 
-A file has a row per time point (Time, Step, Sequence and a column per wavelength). All files are read
-in one scan; the long table has a row per (source, row_index, wavelength).
+A file has a row per time point (Time, Step, Sequence and a column per wavelength). Files of equal column types are
+read in one scan; where types differ between files a column gets the type that holds them all. The rows keep
+their values as one array; the long table has a row per (source, row_index, wavelength).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import warnings
 from collections import Counter
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 from prismflow.config import PreprocessConfig
 from prismflow.functions.names import META, wavelength_of
 from prismflow.functions.quantiles import missing
+from prismflow.operators.rows import Rows
 
 LONG = ("source", "row_index", "Time", "Step", "Sequence", "wavelength", "value")
 
@@ -75,27 +78,52 @@ def _readable(path: str | Path) -> str:
     return re.sub(r"([][{}*?\\])", r"\\\1", str(path) if _is_remote(path) else f"file://{path.as_posix()}")
 
 
+def common_type(types: Iterable[T.DataType]) -> T.DataType:
+    """The numeric type that holds the values of all: double if one is floating, long for whole numbers, else a decimal wide enough (double if there is none)."""
+    kinds = set(types)
+    if any(isinstance(t, T.FractionalType) and not isinstance(t, T.DecimalType) for t in kinds):
+        return T.DoubleType()
+    decimals = [t for t in kinds if isinstance(t, T.DecimalType)]
+    if not decimals:
+        return T.LongType()
+    whole = max([t.precision - t.scale for t in decimals] + [19 for t in kinds if not isinstance(t, T.DecimalType)])
+    scale = max(t.scale for t in decimals)
+    return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+
+
 def scan(spark: SparkSession, paths: list[str | Path]) -> tuple[DataFrame, list[str]]:
     """The wide rows of all files with source and row_index, and the wavelength columns that all share."""
+    import pyarrow as pa
     import pyarrow.parquet as pq
     from pyspark.sql.pandas.types import from_arrow_schema
 
+    signed = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0)}  # as Spark reads them
+
     def schema_of(path: str | Path) -> T.StructType:  # footers only
-        return spark.read.parquet(_readable(path)).schema if _is_remote(path) else from_arrow_schema(pq.read_schema(path))
+        if _is_remote(path):
+            return spark.read.parquet(_readable(path)).schema
+        return from_arrow_schema(pa.schema([f.with_type(signed.get(f.type, f.type)) for f in pq.read_schema(path)]))
 
     waves: list[str] | None = None
+    alike: dict[tuple, list[str | Path]] = {}
     with ThreadPoolExecutor(FOOTERS) as pool:
         for p, schema in zip(paths, pool.map(schema_of, paths)):
             own = check_schema(schema, p)
             if waves is not None and own != waves:
                 raise ValueError(f"{p}: its wavelengths differ from those of {paths[0]}")
             waves = own
+            alike.setdefault(tuple(schema[c].dataType for c in (*META, *own)), []).append(p)
+    columns = [*META, *(waves or [])]
+    types = {c: common_type(kinds[k] for kinds in alike) for k, c in enumerate(columns)} if len(alike) > 1 else {}
+    named = lambda c: F.col(f"`{c}`")
+    parts = []
+    for files in alike.values():
+        rows = spark.read.parquet(*map(_readable, files))
+        # Spark gives a URI, with some characters escaped, and one slash or three
+        uri = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
+        parts.append(rows.select(*[named(c).cast(types[c]).alias(c) if c in types else named(c) for c in columns], uri.alias("uri"), F.col("_metadata.row_index").alias("row_index")))
     names = spark.createDataFrame([(str(p), str(p)) if _is_remote(p) else (f"file://{p.as_posix()}", p.as_posix()) for p in paths], "uri string, source string")
-    rows = spark.read.parquet(*map(_readable, paths))
-    # Spark gives a URI, with some characters escaped, and one slash or three
-    uri = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
-    rows = rows.select("*", uri.alias("uri"), F.col("_metadata.row_index").alias("row_index"))
-    return rows.join(F.broadcast(names), "uri").drop("uri"), waves or []
+    return reduce(DataFrame.unionByName, parts).join(names, "uri").drop("uri"), waves or []
 
 
 def to_long(wide: DataFrame, waves: list[str]) -> DataFrame:
@@ -149,8 +177,8 @@ def check_alignment(wide: DataFrame, sources: int) -> None:
         raise ValueError("files have different (Time, Step, Sequence) sets")
 
 
-def load(spark: SparkSession, paths: Iterable[str | Path], config: PreprocessConfig = PreprocessConfig()) -> DataFrame:
-    """Checked long table of the files, after the step filter and the choice of wavelengths."""
+def _checked(spark: SparkSession, paths: Iterable[str | Path], config: PreprocessConfig) -> tuple[DataFrame, list[str]]:
+    """Checked wide rows after the step filter, and the chosen wavelength columns."""
     files = resolve_paths(paths, config.stem_uniqueness)
     wide, waves = scan(spark, files)
     chosen = in_range(waves, config.wavelength_range)
@@ -162,4 +190,27 @@ def load(spark: SparkSession, paths: Iterable[str | Path], config: PreprocessCon
         wide = wide.filter(F.col("Step").isin(list(config.target_steps)))
     if config.validate_metadata_alignment:
         check_alignment(wide, len(files))
-    return to_long(wide, chosen)
+    return wide, chosen
+
+
+def load(spark: SparkSession, paths: Iterable[str | Path], config: PreprocessConfig = PreprocessConfig()) -> DataFrame:
+    """Checked long table of the files, after the step filter and the choice of wavelengths."""
+    return to_long(*_checked(spark, paths, config))
+
+
+def to_rows(wide: DataFrame, waves: list[str]) -> Rows:
+    """Rows with their values as an array; columns of whole numbers and decimals are also kept exactly."""
+    kinds = [wide.schema[w].dataType for w in waves]
+    kinds = [T.DoubleType() if isinstance(k, (T.FloatType, T.DoubleType)) else k if isinstance(k, T.DecimalType) else T.LongType() for k in kinds]
+    column = lambda w, kind: F.col(f"`{w}`").cast(kind)
+    scale = max([k.scale for k in kinds if isinstance(k, T.DecimalType)], default=0)
+    columns = [F.array(*[column(w, "double") for w in waves]).alias("values")]
+    if any(not isinstance(k, T.DoubleType) for k in kinds):
+        wide_enough = T.DecimalType(38, scale)
+        columns.append(F.array(*[F.lit(None).cast(wide_enough) if isinstance(k, T.DoubleType) else column(w, wide_enough) for w, k in zip(waves, kinds)]).alias("exact"))
+    return Rows(wide.select("source", "row_index", *META, *columns), [wavelength_of(w) for w in waves], [k.simpleString() for k in kinds])
+
+
+def load_rows(spark: SparkSession, paths: Iterable[str | Path], config: PreprocessConfig = PreprocessConfig()) -> Rows:
+    """Checked rows of the files, after the step filter and the choice of wavelengths."""
+    return to_rows(*_checked(spark, paths, config))

@@ -53,10 +53,18 @@ def catalog_diff(old: DataFrame, new: DataFrame, key: str, identity: list[str])
 
 
 def existing_stems(files: DataFrame, stems) -> DataFrame:
-    """Those of the given stems that the catalog has."""
+    """Those of the given stems, a list or a table's column stem, that the catalog has."""
+    if isinstance(stems, DataFrame):
+        return files.select("stem").distinct().join(stems.select("stem"), "stem", "left_semi")
     return files.filter(F.col("stem").isin(list(stems))).select("stem").distinct()
 
 
+def selection_ranges(frame: DataFrame) -> DataFrame:
+    """One row: the ranges of wavelengths and times of a long table, and its steps in order."""
+    ends = [f(c).alias(f"{c.lower()}_{n}") for c in ("wavelength", "Time") for n, f in (("min", F.min), ("max", F.max))]
+    return frame.agg(*ends, F.array_sort(F.collect_set("Step")).alias("steps"))
+
+
 def segment_rows(timed: DataFrame, step: int, sequence: int) -> DataFrame:
     """Rows of one (Step, Sequence) in StepTime order; ValueError where there is none."""
     rows = timed.filter((F.col("Step") == step) & (F.col("Sequence") == sequence))

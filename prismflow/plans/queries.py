@@ -14,10 +14,10 @@ from prismflow.config import MahalanobisConfig, SpeConfig
 from prismflow.functions.names import natural_key
 from prismflow.operators import flatten as fl
 from prismflow.operators import preprocess as pp
-from prismflow.operators import ranks, stats, tables
-from prismflow.operators.pca import PcaModel, loading_pairs, parameter_table, score_points, fit_pca, prepare, q_contribution, q_statistic, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
+from prismflow.operators import explore, ranks, stats, tables
+from prismflow.operators.pca import PcaModel, loading_pairs, parameter_table, score_points, fit_pca, prepare, q_contribution, q_statistic, transform_pca, reconstruct, scores_long, t_squared, partial_scores, residual, component_contribution
 from prismflow.plans.views import BEYOND, EVENTS, FACTS, FILLED, SHORT, SPECTRA, TIMED, WHOLE_FACTS, WIDTH, embedding_facts, facts_sql, embedding_width, event_points, source_name, spectra, spectral_files, table
-from prismflow.sources.spectra import bad_values, load, repeated_keys, resolve_paths, scan, unaligned_keys
+from prismflow.sources.spectra import bad_values, load, load_rows, repeated_keys, resolve_paths, scan, unaligned_keys
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -330,7 +330,7 @@ def median_impute(spark, sf_dir):
     return stats.fill_missing(facts, medians, facts.select("source").distinct()).select("source", "feature_id", _r("value", 9))
 
 
-@query(f"""WITH {FACTS} SELECT * FROM facts WHERE source NOT IN (SELECT source FROM facts WHERE value IS NULL)""", short=True)
+@query(f"""WITH {FACTS} SELECT source, feature_id, value FROM (SELECT *, count(value) OVER (PARTITION BY source) AS n, count(*) OVER (PARTITION BY source) AS m FROM facts) WHERE n = m""", short=True)
 def drop_missing(spark, sf_dir):
     return stats.drop_missing(embedding_facts(spark, sf_dir), embedding_width(spark, sf_dir)).select("source", "feature_id", "value")
 
@@ -341,7 +341,7 @@ def _centroids(n: int) -> str:
 
 @query(f"""WITH {FACTS}, c(cluster, feature_id, center) AS ({_centroids(SHORT)}),
     d AS (SELECT source, cluster, sum((value - CAST(center AS DOUBLE)) ** 2) AS d FROM facts JOIN c USING (feature_id) WHERE value IS NOT NULL GROUP BY ALL),
-    n AS (SELECT source, arg_min(cluster, (round(d, 12), cluster)) AS cluster FROM d GROUP BY 1)
+    n AS (SELECT source, cluster FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY round(d, 12), cluster) = 1)
     SELECT source, f.feature_id, coalesce(f.value, CAST(center AS DOUBLE)) AS value FROM facts f JOIN n USING (source) JOIN c ON c.cluster = n.cluster AND c.feature_id = f.feature_id""", short=True)
 def centroid_fill(spark, sf_dir):
     facts = embedding_facts(spark, sf_dir)
@@ -454,23 +454,17 @@ def partial_scores_literal(spark, sf_dir):
     return partial_scores(model, prepare(model, embedding_facts(spark, sf_dir)), axes, [1, 2]).select("source", "component", "StepTime", _r("score"))
 
 
-@query(f"""WITH {_MODEL}, s AS (SELECT feature_id, sum(v / 8 * c * c) AS k FROM w JOIN lam USING (component) GROUP BY 1)
-SELECT CAST(row_number() OVER (ORDER BY round(k, 9) DESC, feature_id) AS BIGINT) AS rank, 'f' || feature_id AS feature, round(k, 6) AS contribution FROM s""")
-def contribution_rank_literal(spark, sf_dir):
-    return _literal_model().contribution_ranking(spark).select("rank", "feature", _r("contribution"))
-
-
-@query("""SELECT CAST(c AS BIGINT) AS component, 'pca-' || c AS pca_column, CAST(v AS DOUBLE) AS explained_variance, CAST(v AS DOUBLE) / 8 AS explained_variance_ratio, sum(CAST(v AS DOUBLE) / 8) OVER (ORDER BY c) AS cumulative_explained_variance FROM (VALUES (1, 4), (2, 2), (3, 1)) t(c, v)""")
+@query(f"""WITH {_CENTERED}, v AS (SELECT feature_id, sum(c * c) / (any_value(n) - 1) AS v FROM centered GROUP BY 1),
+    r AS (SELECT row_number() OVER (ORDER BY v DESC, feature_id) AS k, v, v / sum(v) OVER () AS share FROM v)
+SELECT CAST(k AS BIGINT) AS component, 'pca-' || k AS pca_column, round(v, 9) AS explained_variance, round(share, 9) AS explained_variance_ratio, round(sum(share) OVER (ORDER BY k), 9) AS cumulative_explained_variance FROM r WHERE k <= 3""", short=True)
 def explained_variance(spark, sf_dir):
-    return _literal_model().explained_variance_table(spark)
-
-
-for _method, _agg in (("mean", "avg(c)"), ("rms", "sqrt(avg(c * c))"), ("abs_mean", "avg(abs(c))")):
-
-    @query(f"""WITH {_MODEL} SELECT CAST(component AS BIGINT) AS component, CAST((feature_id - 1) // 2 AS DOUBLE) AS wavelength, round({_agg}, 9) AS coefficient FROM w GROUP BY ALL""", f"loading_{_method}")
-    def _loading(spark, sf_dir, method=_method):
-        w = _literal_model().component_table(spark).withColumn("wavelength", F.floor((F.col("feature_id") - 1) / 2).cast("double"))
-        return fl.aggregate_loadings(w, method).select("component", "wavelength", _r("coefficient", 9))
+    """Of a model whose components are the three features that vary most."""
+    width = embedding_width(spark, sf_dir)
+    rows = stats.drop_missing(embedding_facts(spark, sf_dir), width).groupBy("feature_id").agg(F.var_samp("value").alias("v")).toPandas()
+    rows = rows.sort_values(["v", "feature_id"], ascending=[False, True])
+    lam, at = rows["v"].to_numpy()[:3], rows["feature_id"].to_numpy()[:3] - 1
+    model = PcaModel(columns=[f"f{k}" for k in range(width)], components=np.eye(width)[at], mean=np.zeros(width), explained_variance=lam, explained_variance_ratio=lam / rows["v"].sum(), singular_values=np.sqrt(lam), n_samples=1, noise_variance=0.0)
+    return model.explained_variance_table(spark).select("component", "pca_column", *[_r(c, 9) for c in ("explained_variance", "explained_variance_ratio", "cumulative_explained_variance")])
 
 
 @query()
@@ -506,36 +500,152 @@ def loading_scatter(spark, sf_dir):
     return loading_pairs(model.component_table(spark), 1, 2)
 
 
+@query(f"""WITH {_FLAT}, {_COEFFICIENTS}, s AS (SELECT feature_id, sum(coefficient * coefficient / (2 * component)) AS k FROM w GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY round(k, 9) DESC, feature_id) AS BIGINT) AS rank, 'f' || feature_id AS feature, round(k, 6) AS contribution FROM s""")
+def contribution_rank_literal(spark, sf_dir):
+    model, _ = _grid_model(spark, sf_dir)
+    return model.contribution_ranking(spark).select("rank", "feature", _r("contribution"))
+
+
+for _method, _agg in (("mean", "avg(coefficient)"), ("rms", "sqrt(avg(coefficient * coefficient))"), ("abs_mean", "avg(abs(coefficient))")):
+
+    @query(f"""WITH {_FLAT}, {_COEFFICIENTS} SELECT component, wavelength, round({_agg}, 9) AS coefficient FROM w GROUP BY ALL""", f"loading_{_method}")
+    def _loading(spark, sf_dir, method=_method):
+        model, data = _grid_model(spark, sf_dir)
+        placed = model.component_table(spark).join(data.features, "feature_id")
+        return fl.aggregate_loadings(placed, method).select("component", "wavelength", _r("coefficient", 9))
+
+
 @query(f"""WITH {_FLAT} SELECT f.*, round(feature_id / 100, 9) AS mean, round(feature_id / 50, 9) AS center, round(1 + feature_id / 10, 9) AS scale, round(feature_id / 10, 9) AS fill FROM features f""")
 def model_parameters(spark, sf_dir):
     return parameter_table(*(x if k == 0 else x.features for k, x in enumerate(_grid_model(spark, sf_dir)))).select("feature_id", *fl.AXES, *[_r(c, 9) for c in ("mean", "center", "scale", "fill")])
 
 
-@query(f"""WITH {_MODEL}, n AS (SELECT DISTINCT vec_id AS source, CAST(vec_id % 7 AS BIGINT) AS lot FROM embeddings WHERE vec_id % 3 <> 0)
+@query(f"""WITH {_MODEL}, n AS (SELECT doc_id AS source, CAST(max(quality) AS BIGINT) AS lot FROM labels GROUP BY 1)
 SELECT source, round(max(score) FILTER (component = 1), 6) AS x, round(max(score) FILTER (component = 3), 6) AS y, any_value(lot) AS lot FROM scores LEFT JOIN n USING (source) GROUP BY source""", short=True)
 def score_scatter(spark, sf_dir):
     model = _model(spark, sf_dir)
-    listing = table(spark, sf_dir, "embeddings").filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("source"), (F.col("vec_id") % 7).cast("long").alias("lot")).distinct()
+    listing = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("source")).agg(F.max("quality").cast("long").alias("lot"))
     return score_points(scores_long(model, prepare(model, embedding_facts(spark, sf_dir))), listing, 1, 3).select("source", _r("x"), _r("y"), "lot")
 
 
-@query("""SELECT DISTINCT c_name AS stem FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 100""")
+@query("""SELECT DISTINCT c_name AS stem FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
 def known_stems(spark, sf_dir):
+    """Names of customers and suppliers that are asked for; those of customers with orders are known."""
     from prismflow.operators.catalog import existing_stems
 
-    files = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_name").alias("stem"))
-    asked = [r[0] for r in table(spark, sf_dir, "customer").filter("c_custkey < 100").select("c_name").collect()]
-    return existing_stems(files, [*asked, "no such stem"])
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    files = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_semi").select(F.col("c_name").alias("stem"))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_name").alias("stem")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("stem")))
+    return existing_stems(files, asked)
 
 
-@query("""SELECT o_orderkey, o_custkey, c_name, CASE WHEN c_custkey IS NULL THEN 'left_only' WHEN o_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS _merge
-FROM (SELECT * FROM orders WHERE o_custkey % 2 = 0) o FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON o_custkey = c_custkey""".replace("o_orderkey, o_custkey, c_name", "o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_name"))
+@query("""SELECT o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_name, CASE WHEN c_custkey IS NULL THEN 'left_only' WHEN o_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS _merge
+FROM (SELECT o_orderkey, o_custkey + 7 AS o_custkey FROM orders) o FULL JOIN customer c ON o_custkey = c_custkey""")
 def merge_named_keys(spark, sf_dir):
-    left = table(spark, sf_dir, "orders").filter("o_custkey % 2 = 0").select("o_orderkey", "o_custkey")
-    right = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name")
+    """Orders under shifted customers: some have none, and customers without orders."""
+    left = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 7).alias("o_custkey"))
+    right = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return tables.merge(left, right, left_on=["o_custkey"], right_on=["c_custkey"], how="full", indicator=True)
 
 
+# -- views of one segment, score tables ---------------------------------------------------------------------
+_VIEWED = f"""{_FLAT}, {_COEFFICIENTS},
+    st AS (SELECT feature_id, feature_id / 100 AS mean, feature_id / 50 AS center, 1 + feature_id / 10 AS scale, feature_id / 10 AS fill FROM features),
+    whole AS (SELECT s.source, f.feature_id, value AS given, coalesce(value, fill) AS value FROM (SELECT DISTINCT source FROM timed) s CROSS JOIN features f JOIN st USING (feature_id) LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id),
+    z AS (SELECT source, feature_id, given, value, (value - center) / scale AS z, mean, center, scale FROM whole JOIN st USING (feature_id)),
+    scores AS (SELECT source, component, sum((z - mean) * coefficient) AS score FROM z JOIN w USING (feature_id) GROUP BY ALL),
+    part AS (SELECT source, feature_id, component, score * coefficient AS part FROM scores JOIN w USING (component)),
+    sums AS (SELECT source, feature_id, sum(part) FILTER (component = 1) AS a, sum(part) FILTER (component = 2) AS b FROM part GROUP BY ALL),
+    fit AS (SELECT z.*, mean + a AS one, mean + a + b AS two, b * scale AS second FROM z JOIN sums USING (source, feature_id)),
+    seen AS (SELECT fit.*, "StepTime", wavelength FROM fit JOIN features USING (feature_id) WHERE "Step" = 1 AND "Sequence" = 2)"""
+
+
+def _view(spark, sf_dir, view: str, **choice) -> DataFrame:
+    model, data = _grid_model(spark, sf_dir)
+    return explore.segment_view(view, data, 1, 2, model, **choice)
+
+
+@query(f"""WITH {TIMED.replace(SPECTRA, FILLED)} SELECT source, "StepTime", wavelength, value FROM timed WHERE "Step" = 1 AND "Sequence" = 2""")
+def explore_raw(spark, sf_dir):
+    rows = load_rows(spark, spectral_files(spark, sf_dir))
+    return explore.raw_view(rows, 1, 2).select(source_name(), "StepTime", "wavelength", "value")
+
+
+@query(f"""WITH {_VIEWED} SELECT source, "StepTime", wavelength, given AS value FROM seen""")
+def explore_preprocessed(spark, sf_dir):
+    return _view(spark, sf_dir, "preprocessed")
+
+
+@query(f"""WITH {_VIEWED} SELECT source, "StepTime", wavelength, round(second, 4) AS value FROM seen""")
+def explore_contribution(spark, sf_dir):
+    return _view(spark, sf_dir, "contribution", component=2).select("source", "StepTime", "wavelength", _r("value", 4))
+
+
+@query(f"""WITH {_VIEWED} SELECT source, "StepTime", wavelength, round(two * scale + center, 4) AS value, given AS preprocessed FROM seen""")
+def explore_reconstruction(spark, sf_dir):
+    return _view(spark, sf_dir, "reconstruction", component=2).select("source", "StepTime", "wavelength", _r("value", 4), "preprocessed")
+
+
+@query(f"""WITH {_VIEWED} SELECT source, "StepTime", wavelength, round(value - (one * scale + center), 4) AS value FROM seen""")
+def explore_residual(spark, sf_dir):
+    return _view(spark, sf_dir, "residual", component=1).select("source", "StepTime", "wavelength", _r("value", 4))
+
+
+@query(f"""WITH {_VIEWED} SELECT source, "StepTime", wavelength, round((z - two) * (z - two), 2) AS value FROM seen""")
+def explore_q_contribution(spark, sf_dir):
+    return _view(spark, sf_dir, "q_contribution", selector=2).select("source", "StepTime", "wavelength", _r("value", 2))
+
+
+@query(f"""WITH {_VIEWED}, steps AS (SELECT source, component, "Step", "Sequence", "StepTime", sum((z - mean) * coefficient) AS p FROM z JOIN w USING (feature_id) GROUP BY ALL),
+    run AS (SELECT source, component, "Step", "Sequence", "StepTime", sum(p) OVER (PARTITION BY source, component ORDER BY "Step", "Sequence", "StepTime" ROWS UNBOUNDED PRECEDING) AS s, dense_rank() OVER (ORDER BY "Step", "Sequence", "StepTime") AS point FROM steps)
+SELECT source, point, "Step", "Sequence", "StepTime", round(max(s) FILTER (component = 2), 4) AS x, round(max(s) FILTER (component = 1), 4) AS y FROM run GROUP BY ALL""")
+def score_trajectories(spark, sf_dir):
+    model, data = _grid_model(spark, sf_dir)
+    return explore.trajectories(model, data, 2, 1).select("source", "point", "Step", "Sequence", "StepTime", _r("x", 4), _r("y", 4))
+
+
+_NAMED = """n AS (SELECT s_name AS source, s_suppkey % 3 AS "pca-1", 's' || (s_suppkey % 10) AS file, CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS place FROM supplier)"""
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    """Suppliers as samples, each of one of the spectra's sources, with a column named like a score."""
+    named = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("source"), (F.col("s_suppkey") % 3).alias("pca-1"), F.concat(F.lit("s"), F.col("s_suppkey") % 10).alias("file"))
+    return explore.in_natural_order(named, "source")
+
+
+def _sample_scores(spark, sf_dir) -> DataFrame:
+    """Scores of suppliers, those of their source; a third has none."""
+    model, data = _grid_model(spark, sf_dir)
+    wide = transform_pca(model, data.facts)
+    named = _samples(spark, sf_dir).filter("`pca-1` <> 0").select(F.col("source").alias("name"), "file")
+    return named.join(wide, named["file"] == wide["source"]).select(F.col("name").alias("source"), "pca-1", "pca-2")
+
+
+@query(f"""WITH {_VIEWED}, {_NAMED} SELECT place, n.source, "pca-1" AS lot, round(a.score, 4) AS x, round(b.score, 4) AS y FROM n JOIN scores a ON a.source = file AND a.component = 2 JOIN scores b ON b.source = file AND b.component = 1 WHERE "pca-1" <> 0""")
+def score_listing(spark, sf_dir):
+    found = explore.score_table(_sample_scores(spark, sf_dir), _samples(spark, sf_dir), 2, 1)
+    return found.select("place", "sample.source", F.col("sample.`pca-1`").alias("lot"), _r("x", 4), _r("y", 4))
+
+
+@query(f"""WITH {_NAMED} SELECT place, source AS file, CAST("pca-1" AS VARCHAR) AS lot, CASE WHEN s_acctbal IS NULL THEN '' ELSE CAST(CAST(round(s_acctbal) AS BIGINT) AS VARCHAR) END AS balance FROM n JOIN supplier ON s_name = source""")
+def point_listing(spark, sf_dir):
+    """Cell texts; balances are whole numbers here, as SQL has no format of six digits."""
+    more = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("source"), F.round("s_acctbal").cast("long").alias("balance"))
+    return explore.point_table(_samples(spark, sf_dir).join(more, "source"), {"file": "source", "lot": "`pca-1`", "balance": "balance"})
+
+
+@query(f"""WITH {SPECTRA}, f AS (SELECT source, CAST(count(DISTINCT row_index) AS BIGINT) AS n_rows FROM spectra GROUP BY source), {_NAMED}
+SELECT place, n.file || '-' || n.source AS stem, CASE WHEN n_rows IS NULL THEN '' ELSE '/data/' || f.source END AS path, n_rows FROM n LEFT JOIN f ON f.source = n.file AND n."pca-1" = 1""")
+def shown_listing(spark, sf_dir):
+    """Suppliers as files that are shown, in their order; two thirds are not in the catalog."""
+    shown = _samples(spark, sf_dir).select("place", F.concat("file", F.lit("-"), "source").alias("stem"))
+    counts = spectra(spark, sf_dir).groupBy("source").agg(F.count_distinct("row_index").alias("n_rows"))
+    known = _samples(spark, sf_dir).filter("`pca-1` = 1").select(F.concat("file", F.lit("-"), "source").alias("stem"), "file")
+    files = known.join(counts, known["file"] == counts["source"]).select("stem", F.concat(F.lit("/data/"), counts["source"]).alias("path"), "n_rows")
+    return explore.shown_files(shown, files)
+
+
 # -- catalog --------------------------------------------------------------------------------------------
 @query(f"""WITH {TIMED} SELECT source, "Step", "Sequence", count(*) AS n_rows, max("StepTime") AS step_time_max FROM (SELECT DISTINCT source, row_index, "Step", "Sequence", "StepTime" FROM timed) GROUP BY ALL""")
 def segments_summary(spark, sf_dir):
@@ -570,21 +680,22 @@ def catalog_list(spark, sf_dir):
 
 @query(f"""WITH {SPECTRA} SELECT min(wavelength) AS wavelength_min, max(wavelength) AS wavelength_max, min("Time") AS time_min, max("Time") AS time_max, array_to_string(list_sort(list(DISTINCT "Step")), ',') AS steps FROM spectra""")
 def selection_ranges(spark, sf_dir):
-    one = spectra(spark, sf_dir).agg(*[f(c).alias(f"{c.lower()}_{n}") for c in ("wavelength", "Time") for n, f in (("min", F.min), ("max", F.max))], F.array_join(F.array_sort(F.collect_set("Step")), ",").alias("steps"))
-    return one.select("wavelength_min", "wavelength_max", "time_min", "time_max", "steps")
+    from prismflow.operators.catalog import selection_ranges as ranges
+
+    return ranges(spectra(spark, sf_dir)).withColumn("steps", F.array_join("steps", ","))
 
 
-@query("""SELECT doc_id, 'unlabelled' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unknown' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+@query("""SELECT doc_id, 'left_only' AS side FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'right_only' FROM labels ANTI JOIN documents USING (doc_id)""")
 def metadata_anti_join(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    return docs.join(labels, "doc_id", "left_anti").withColumn("side", F.lit("unlabelled")).unionByName(labels.join(docs, "doc_id", "left_anti").withColumn("side", F.lit("unknown")))
+    return tables.unmatched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("""SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, customers, suppliers, CASE WHEN c_nationkey IS NULL THEN 'right_only' WHEN s_nationkey IS NULL THEN 'left_only' ELSE 'both' END AS _merge
-FROM (SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey""")
+FROM (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey + 4 AS s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey""")
 def merge_indicator(spark, sf_dir):
-    left = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("customers"))
-    right = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
+    """Customers and, under shifted nations, suppliers."""
+    left = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    right = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") + 4).alias("nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
     return tables.merge(left, right, ["nationkey"], "full", indicator=True)
 
 
@@ -686,14 +797,14 @@ def segment_rows(spark, sf_dir):
     return rows(pp.step_times(spectra(spark, sf_dir)), 1, 2).select(*LONG, "StepTime", "value")
 
 
-@query("""WITH a AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 11 <> 0)
-SELECT c_custkey, CASE WHEN a.c_acctbal IS NULL THEN 'new' WHEN b.c_acctbal IS NULL THEN 'gone' WHEN a.c_acctbal = b.c_acctbal THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b USING (c_custkey)""")
+@query("""SELECT key, CASE WHEN c_nationkey IS NULL THEN 'new' WHEN s_nationkey IS NULL THEN 'gone' WHEN c_nationkey = s_nationkey THEN 'same' ELSE 'changed' END AS state
+FROM (SELECT c_custkey AS key, c_nationkey FROM customer) FULL JOIN (SELECT s_suppkey * 2 AS key, s_nationkey FROM supplier) USING (key)""")
 def catalog_diff(spark, sf_dir):
+    """Customers as old entries, suppliers as new ones, known by their nation."""
     from prismflow.operators.catalog import catalog_diff as diff
 
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    new = rows.filter("c_custkey % 11 <> 0").withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0))
-    return diff(rows.filter("c_custkey % 7 <> 0"), new, "c_custkey", ["c_acctbal"])
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
+    return diff(old, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("key"), F.col("s_nationkey").alias("nation")), "key", ["nation"])
 
 
 # with two components the F quantile has a closed form, so SQL can state the limit
@@ -731,8 +842,7 @@ def align_features(spark, sf_dir):
 
 @query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY event_type""")
 def event_props(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"))
+    return tables.json_counts(table(spark, sf_dir, "events"), "event_type", "props", "k").withColumnRenamed("with_value", "with_k")
 
 
 @query(f"""WITH {TIMED}, g AS (SELECT source, "Step", "Sequence", count(DISTINCT row_index) AS n FROM timed GROUP BY ALL), m AS (SELECT "Step", "Sequence", max(n) AS n FROM g GROUP BY ALL)

@@ -64,8 +64,13 @@ def monitoring(scores: DataFrame, listing: DataFrame, mahalanobis: MahalanobisCo
     return joined.select("stem", state.alias("state"), "t2_exceeds", "q_exceeds")
 
 
-def compare_models(a: PcaModel, b: PcaModel) -> dict[str, float]:
-    """Largest absolute differences of two models of the same features, components aligned in sign."""
+def compare_models(a: PcaModel, b: PcaModel, relative: bool = False) -> dict[str, float]:
+    """Largest differences of two models of the same features, components aligned in sign; relative: over the larger of both values, 0 for two zeros."""
     signs = np.sign((a.components * b.components).sum(axis=1, keepdims=True))
     signs[signs == 0] = 1
-    return {"components": float(np.abs(a.components - signs * b.components).max()), "explained_variance": float(np.abs(a.explained_variance - b.explained_variance).max()), "mean": float(np.abs(a.mean - b.mean).max())}
+
+    def gap(x: np.ndarray, y: np.ndarray) -> float:
+        off, size = np.abs(x - y), np.maximum(np.abs(x), np.abs(y))
+        return float(np.divide(off, size, out=np.zeros_like(off), where=size > 0).max() if relative else off.max())
+
+    return {"components": gap(a.components, signs * b.components), "explained_variance": gap(a.explained_variance, b.explained_variance), "mean": gap(a.mean, b.mean)}

@@ -1,8 +1,8 @@
 """PCA over facts: fit from partial aggregates, model, scores, T2, Q, contributions, reconstruction.
 
 Fitting never gathers the data: Spark reduces facts to a covariance matrix (few features) or a matrix of
-inner products of sources (few sources). Where both are many, leading components come from subspace
-iteration: each round is one pass of the sources' vectors past a thin basis, summed in Spark.
+inner products of sources (few sources). Where both are many, leading components come from a randomized range
+finder of at most six passes of the sources' vectors past a thin block, summed in Spark, with a bound of its error.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from prismflow.operators import stats
 
 #: Largest order of the matrix that is solved on the driver (8 bytes * order ** 2); beyond it components are iterated.
 MAX_ORDER = 4000
-#: Directions beside those asked for, most rounds, and the relative change of variances at which rounds end.
-SPARE, ROUNDS, SETTLED = 20, 200, 1e-10
+#: Directions beside those asked for, most passes over the data, the relative residual at which passes end, and the relative error of variances from which a warning tells.
+SPARE, PASSES, SETTLED, ACCEPTED = 20, 6, 1e-9, 1e-6
 #: Values of the sample from which k-means takes its first centers, at most; rounds, at most.
 SEED_VALUES, KMEANS_ROUNDS = 5_000_000, 100
 #: Bytes of a model's table that is broadcast, at most; a larger one is joined by shuffle.
@@ -309,16 +309,23 @@ def fit_centroids(facts: DataFrame, features: int, k: int) -> np.ndarray:
     return centers
 
 
-def _leading(facts: DataFrame, mean: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Variances and directions of the k leading components by subspace iteration, and the variance of all."""
+def _leading(facts: DataFrame, mean: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Variances and directions of the k leading components, the variance of all, and a bound of the variances' errors.
+
+    A randomized range finder: each pass takes the covariance's image of a thin block, which is summed in Spark,
+    and what is new in it, orthogonal to all before, is the next block. The best directions within all blocks
+    (Rayleigh-Ritz) come from inner products already taken; what the last image has outside bounds their error.
+    The driver holds PASSES blocks of features by (k + SPARE) numbers.
+    """
     features, spark = len(mean), facts.sparkSession
-    width = min(k + SPARE, n, features)
+    most = min(n, features)
+    width = min(k + SPARE, most)
     vectors = _vectors(facts)
     total = float(facts.groupBy("feature_id").agg(F.var_samp("value").alias("v")).agg(F.sum("v")).first()[0] or 0.0)
-    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(features, width)))[0]
-    values = np.zeros(width)
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((mean, basis))
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(features, width)))[0]
+    basis, inner = np.zeros((features, 0)), np.zeros((0, 0))
+    while True:
+        shared = spark.sparkContext.broadcast((mean, block))
 
         def partial(matrices, shared=shared):
             (center, q), sums = shared.value, None
@@ -328,15 +335,37 @@ def _leading(facts: DataFrame, mean: np.ndarray, n: int, k: int) -> tuple[np.nda
                 sums = image if sums is None else sums + image
             return sums
 
-        image = _summed(vectors, partial, (features, width)) / max(1, n - 1)
+        rest = _summed(vectors, partial, (features, block.shape[1])) / max(1, n - 1)
         shared.unpersist()
-        before, (values, turn) = values, np.linalg.eigh(basis.T @ image)
+        before, basis = basis.shape[1], np.hstack([basis, block])
+        across = np.zeros((basis.shape[1], block.shape[1]))
+        for _ in range(2):  # twice, as the first leaves rounding behind
+            part = basis.T @ rest
+            across, rest = across + part, rest - basis @ part
+        grown = np.zeros((basis.shape[1], basis.shape[1]))
+        grown[:before, :before], grown[:, before:], grown[before:, :] = inner, across, across.T
+        grown[before:, before:] = (across[before:] + across[before:].T) / 2
+        inner = grown
+        values, turn = np.linalg.eigh(inner)
         values, turn = values[::-1], turn[:, ::-1]
-        found = basis @ turn
-        if np.allclose(values[:k], before[:k], rtol=SETTLED, atol=SETTLED * max(values[0], 1e-300)):
+        left = np.linalg.norm(rest @ turn[before:, :k], axis=0)
+        scale = max(float(values[0]), 1e-300)
+        settled = (left <= SETTLED * scale).all()
+        spare = min(block.shape[1], most - basis.shape[1])
+        if settled or spare <= 0 or basis.shape[1] >= PASSES * width:
             break
-        basis = np.linalg.qr(image)[0]
-    return np.maximum(values[:k], 0), found[:, :k].T, total
+        u, size, _ = np.linalg.svd(rest, full_matrices=False)
+        block = u[:, : max(1, min(spare, int((size > 1e-14 * scale).sum())))]
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+    # an error of a variance is at most its residual, and of a well separated one the residual's square over the gap
+    others = values[None, : k + 1] - values[:k, None]
+    others[np.arange(k), np.arange(k)] = np.inf
+    gap = np.abs(others).min(axis=1)
+    with np.errstate(divide="ignore"):
+        bound = float(np.minimum(left, np.where(gap > 2 * left, left**2 / (gap - left), np.inf)).max())
+    if not settled and spare > 0 and bound > ACCEPTED * scale:
+        warnings.warn(f"leading components are known to {bound / scale:.1e} of the largest variance after {PASSES} passes", stacklevel=2)
+    return np.maximum(values[:k], 0), (basis @ turn[:, :k]).T, total, bound
 
 
 def _symmetric(entries: DataFrame, value: str, place, order: int) -> np.ndarray:
@@ -359,7 +388,7 @@ def fit_components(facts: DataFrame, n_features: int, n_component: int | None) -
     mean = _arrays(facts.groupBy("feature_id").agg(F.avg("value").alias("m")), ("m",), n_features)["m"]
     total = None
     if most > MAX_ORDER:
-        values, components, total = _leading(facts, mean, n, k)
+        values, components, total, _ = _leading(facts, mean, n, k)
     elif n_features <= n:
         matrix = _symmetric(stats.covariance(facts), "covariance", lambda a: a - 1, n_features) if n > 1 else np.zeros((n_features, n_features))
         values, vectors = np.linalg.eigh(matrix)
@@ -371,11 +400,14 @@ def fit_components(facts: DataFrame, n_features: int, n_component: int | None) -
         values = np.maximum(values[::-1], 0) / max(1, n - 1)
         weights = vectors[:, ::-1].T
         spark = facts.sparkSession
-        table = sized(spark, {"name": pa.array([str(s) for s in names]), "u": _lists(np.ascontiguousarray(weights[:k].T))})
-        means = sized(spark, {"feature_id": np.arange(1, n_features + 1), "m": mean})
-        parts = facts.join(table, F.col("source").cast("string") == F.col("name")).join(means, "feature_id")
-        sums = parts.groupBy("feature_id").agg(*[F.sum(F.get("u", F.lit(j)) * (F.col("value") - F.col("m"))).alias(f"c{j}") for j in range(k)])
-        raw = np.stack(list(_arrays(sums, tuple(f"c{j}" for j in range(k)), n_features).values()))
+        means, raw = sized(spark, {"feature_id": np.arange(1, n_features + 1), "m": mean}), []
+        for first in range(0, k, TOGETHER):  # so many sums side by side in one pass
+            some = range(min(TOGETHER, k - first))
+            table = sized(spark, {"name": pa.array([str(s) for s in names]), "u": _lists(np.ascontiguousarray(weights[first : first + len(some)].T))})
+            parts = facts.join(table, F.col("source").cast("string") == F.col("name")).join(means, "feature_id")
+            sums = parts.groupBy("feature_id").agg(*[F.sum(F.get("u", F.lit(j)) * (F.col("value") - F.col("m"))).alias(f"c{j}") for j in some])
+            raw += _arrays(sums, tuple(f"c{j}" for j in some), n_features).values()
+        raw = np.stack(raw)
         norms = np.linalg.norm(raw, axis=1, keepdims=True)
         components = np.zeros((k, n_features))
         for j in range(k):  # a direction without variance gets any orthonormal one

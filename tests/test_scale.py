@@ -135,3 +135,40 @@ def test_append_scores_takes_features(spark):
     data = preprocess_and_flatten(spark, spectral_files(spark, SF), target_steps=[0], max_null_ratio=0.0)
     model = flatten_pca(spark, flattened=data, n_component=2)
     assert len(append_pca_scores(model, data, with_features=True).columns) == 1 + len(model.columns) + 2
+
+
+@pytest.mark.parametrize("decay", ["fast", "slow", "steps"])
+def test_leading_components_in_few_passes(spark, monkeypatch, decay):
+    """Within a 1e-6 of an SVD after six passes at most, and the bound holds."""
+    monkeypatch.setattr(pca, "MAX_ORDER", 10)
+    r = np.random.default_rng(8)
+    n, f, k = 300, 240, 4
+    sizes = {"fast": 0.7 ** np.arange(f), "slow": 1 / (1 + np.arange(f)), "steps": np.where(np.arange(f) < k, 5 - np.arange(f), 0.05)}[decay]
+    x = np.linalg.qr(r.normal(size=(n, f)))[0] * sizes @ np.linalg.qr(r.normal(size=(f, f)))[0].T * 30 + r.normal(size=f)
+    facts = facts_of(spark, x).cache()
+    passes, summed = [], pca._summed
+    monkeypatch.setattr(pca, "_summed", lambda *a: passes.append(1) or summed(*a))
+    values, components, total, bound = pca._leading(facts, x.mean(axis=0), n, k)
+    _, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want = s**2 / (n - 1)
+    assert len(passes) <= 6 and np.isclose(total, want.sum())
+    assert np.abs(values - want[:k]).max() <= max(bound, 1e-12 * want[0]) * 1.01 and np.allclose(values, want[:k], rtol=1e-6)
+    assert np.allclose(np.abs((components * v[:k]).sum(axis=1)), 1, atol=1e-6) and np.allclose(components @ components.T, np.eye(k), atol=1e-9)
+
+
+def test_a_flat_spectrum_is_told(spark, monkeypatch):
+    """Where nothing leads, six passes can't tell which direction does, and a warning says so."""
+    monkeypatch.setattr(pca, "MAX_ORDER", 10)
+    monkeypatch.setattr(pca, "SPARE", 0)
+    x = np.random.default_rng(9).normal(size=(200, 150))
+    with pytest.warns(UserWarning, match="leading components"):
+        pca._leading(facts_of(spark, x), x.mean(axis=0), 200, 1)
+
+
+def test_many_components_of_few_sources(spark, monkeypatch):
+    """More components than are summed side by side."""
+    monkeypatch.setattr(pca, "TOGETHER", 3)
+    x = np.random.default_rng(10).normal(size=(9, 30))
+    model = pca.fit_pca(facts_of(spark, x), [f"f{k}" for k in range(30)], scaling="none", n_component=8)
+    _, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(model.explained_variance, s[:8] ** 2 / 8) and np.allclose(np.abs((model.components * v[:8]).sum(axis=1)), 1)

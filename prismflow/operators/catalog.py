@@ -1,13 +1,12 @@
 """Dataset catalog and run registry: summaries, incremental scan, metadata, runs.
 
-Tables are Parquet versions in a folder; a change writes a new version and then moves one small pointer
-file, so readers see either the old state or the new one.
+Tables are Parquet versions in a folder or URI; a change writes a new version and then moves one small pointer
+file. One writer at a time.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from pathlib import Path
@@ -15,9 +14,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismflow.functions.folders import exists, located, read_text, write_text
 from prismflow.functions.lineage import cut
-from prismflow.operators.preprocess import step_times
-from prismflow.sources.spectra import scan, to_long
+from prismflow.sources.listing import list_files, summaries
 
 FILES = "stem string, path string, size long, mtime_ns long, n_wavelengths long, wavelength_min double, wavelength_max double, time_min double, time_max double, n_rows long"
 SEGMENTS = "stem string, Step long, Sequence long, n_rows long, step_time_max double"
@@ -77,22 +76,18 @@ class Catalog:
     """files, segments, file_metadata and runs in a folder."""
 
     def __init__(self, spark: SparkSession, folder: str | Path):
-        self.spark, self.folder = spark, Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.spark, self.folder = spark, located(folder)
 
     def _pointer(self) -> dict:
-        at = self.folder / "current.json"
-        return json.loads(at.read_text()) if at.exists() else {}
+        return json.loads(read_text(self.spark, f"{self.folder}/current.json") or "{}")
 
     def _swap(self, changes: dict) -> None:
-        new = self.folder / f"current-{uuid.uuid4().hex}.json"
-        new.write_text(json.dumps(self._pointer() | changes))
-        os.replace(new, self.folder / "current.json")
+        write_text(self.spark, f"{self.folder}/current.json", json.dumps(self._pointer() | changes))
 
     def _write(self, df: DataFrame, name: str) -> str:
-        path = self.folder / f"{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path.as_uri() if path.is_absolute() else str(path))
-        return str(path)
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
 
     def table(self, name: str, schema: str) -> DataFrame:
         path = self._pointer().get(name)
@@ -107,25 +102,26 @@ class Catalog:
         return self.table("segments", SEGMENTS)
 
     def update(self, root: str | Path, glob: str = "**/*.parquet") -> int:
-        """Scan new and changed files under a folder, forget those that went; the number of scanned files."""
-        found = {p.stem: p.resolve() for p in sorted(Path(root).glob(glob))}
-        if len(found) < sum(1 for _ in Path(root).glob(glob)):
+        """Read new and changed files under a folder or URI, forget those that went; the number of files read."""
+        stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+        now = cut(list_files(self.spark, located(root), glob).withColumn("stem", stem))
+        if now.groupBy("stem").count().filter("count > 1").limit(1).count():
             raise ValueError("file stems must be unique")
-        now = {s: (p.as_posix(), p.stat().st_size, p.stat().st_mtime_ns) for s, p in found.items()}
-        old = {r["stem"]: (r["path"], r["size"], r["mtime_ns"]) for r in self.files.select("stem", "path", "size", "mtime_ns").collect()}
-        fresh = [s for s in now if old.get(s) != now[s]]
-        stay = self.spark.createDataFrame([(s,) for s in now if s not in set(fresh)], "stem string")
+        state = cut(catalog_diff(self.files.select("stem", "path", "size", "mtime_ns"), now, "stem", ["path", "size", "mtime_ns"]))
+        stay = state.filter("state = 'same'").select("stem")
         files, segments = self.files.join(stay, "stem", "left_semi"), self.segments.join(stay, "stem", "left_semi")
-        if fresh:
-            ids = self.spark.createDataFrame([(now[s][0], s, *now[s][1:]) for s in fresh], "source string, stem string, size long, mtime_ns long")
-            wide, waves = scan(self.spark, [found[s] for s in fresh])
-            timed = cut(step_times(to_long(wide, waves)))
-            columns = [c.split()[0] for c in FILES.split(", ")]
-            files = files.unionByName(file_summary(timed).join(ids, "source").withColumnRenamed("source", "path").select(*columns))
-            parts = segment_summary(timed).join(ids.select("source", "stem"), "source")
-            segments = segments.unionByName(parts.select("stem", F.col("Step").cast("long"), F.col("Sequence").cast("long"), "n_rows", "step_time_max"))
+        fresh = now.join(state.filter("state in ('new', 'changed')"), "stem", "left_semi")
+        paths = sorted(r["path"] for r in fresh.select("path").collect())  # of files to read, as Spark's reader takes them
+        if paths:
+            found = cut(summaries(self.spark, paths))
+            wrong = found.filter("problem is not null").agg(F.min(F.struct("path", "problem"))).first()[0]
+            if wrong:
+                raise ValueError(f"{wrong['path']}: {wrong['problem']}")
+            found = found.join(fresh, "path")
+            files = files.unionByName(found.select(*[c.split()[0] for c in FILES.split(", ")]))
+            segments = segments.unionByName(found.select("stem", F.inline("segments")))
         self._swap({"files": self._write(files, "files"), "segments": self._write(segments, "segments")})
-        return len(fresh)
+        return len(paths)
 
     def set_metadata(self, table: DataFrame) -> None:
         """Replace metadata (stem and any columns)."""
@@ -150,14 +146,14 @@ class Catalog:
         """Record a run's state; a new run gets an id."""
         run_id, now = run_id or uuid.uuid4().hex, time.time()
         row = self.spark.createDataFrame([(run_id, kind, now, status, json.dumps(config or {}), error[:200], now)], RUNS)
-        row.coalesce(1).write.mode("append").parquet(str(self.folder / "runs"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/runs")
         return run_id
 
     def runs(self) -> DataFrame:
         """The latest state of each run, newest runs first."""
-        if not (self.folder / "runs").exists():
+        if not exists(self.spark, f"{self.folder}/runs"):
             return self.spark.createDataFrame([], RUNS)
-        log = self.spark.read.schema(RUNS).parquet(str(self.folder / "runs"))
+        log = self.spark.read.schema(RUNS).parquet(f"{self.folder}/runs")
         state = F.max(F.struct("updated_at", "status", "error")).alias("s")
         first = F.min(F.struct("created_at", "config_json")).alias("f")
         return log.groupBy("run_id").agg(state, first, F.max("kind").alias("kind")).select("run_id", "kind", "f.created_at", "s.status", "f.config_json", "s.error").orderBy(F.desc("created_at"))

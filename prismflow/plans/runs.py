@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from prismflow.api import Flattened, align_features, preprocess_and_flatten
 from prismflow.config import MahalanobisConfig, SpeConfig
+from prismflow.functions.folders import located, read_text, write_text
 from prismflow.operators import flatten as fl
 from prismflow.operators.pca import PcaModel, fit_pca, resolve_used_components, transform_pca
 from prismflow.operators.preprocess import transform_intensity
@@ -26,12 +27,12 @@ def fit_run(spark: SparkSession, paths, folder: str | Path, n_component: int | N
     model = fit_pca(data.facts, data.names(), max_n_component=MOST_COMPONENTS, impute=impute, scaling=scaling, n_component=n_component)
     if n_component is None:
         model = model.truncated(resolve_used_components(model.explained_variance_ratio, KEEP_VARIANCE))
-    folder = Path(folder)
-    fl.feature_frame(spark, model.columns).select("feature", *fl.AXES).write.mode("overwrite").parquet(str(folder / "features"))
+    folder = located(folder)
+    fl.feature_frame(spark, model.columns).select("feature", *fl.AXES).write.mode("overwrite").parquet(f"{folder}/features")
     stem = F.regexp_extract("source", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    data.sources.select("source", stem.alias("stem")).write.mode("overwrite").parquet(str(folder / "samples"))
-    _scored(model, data, mahalanobis, spe).write.mode("overwrite").parquet(str(folder / "scores"))
-    (folder / "model.json").write_text(model.to_json())
+    data.sources.select("source", stem.alias("stem")).write.mode("overwrite").parquet(f"{folder}/samples")
+    _scored(model, data, mahalanobis, spe).write.mode("overwrite").parquet(f"{folder}/scores")
+    write_text(spark, f"{folder}/model.json", model.to_json())
     return model
 
 
@@ -41,11 +42,14 @@ def _scored(model: PcaModel, data: Flattened, mahalanobis: MahalanobisConfig | N
 
 def transform_run(spark: SparkSession, paths, fit_folder: str | Path, folder: str | Path, intensity_transform: str = "none", intensity_transform_scale: float = 1.0, mahalanobis: MahalanobisConfig | None = MahalanobisConfig(), spe: SpeConfig | None = SpeConfig(), **settings) -> DataFrame:
     """Score new files with a fitted run: nothing is thinned or pruned, features follow the model, the transform comes last."""
-    model = PcaModel.from_json((Path(fit_folder) / "model.json").read_text())
+    text = read_text(spark, f"{located(fit_folder)}/model.json")
+    if text is None:
+        raise FileNotFoundError(f"{fit_folder}: there is no model")
+    model = PcaModel.from_json(text)
     fixed = {"t_downsampling_stride": 1, "w_downsampling_stride": 1, "max_null_ratio": 1.0, "intensity_transform": "none"}
     data = align_features(preprocess_and_flatten(spark, paths, **(settings | fixed)), model)
     facts = transform_intensity(data.facts, intensity_transform, intensity_transform_scale)
-    path = str(Path(folder) / "scores")
+    path = f"{located(folder)}/scores"
     _scored(model, Flattened(facts, data.features, data.sources), mahalanobis, spe).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -271,6 +271,17 @@ def unflatten_wide(spark, sf_dir):
     return wide.toDF(*[f"w{float(c[:-2]):g}" if c.endswith("nm") else c for c in wide.columns])
 
 
+@query(f"""WITH {_FLAT}, s AS (SELECT source, row_number() OVER (ORDER BY source) AS row FROM (SELECT DISTINCT source FROM timed))
+SELECT s.source, f.feature_id, value FROM s CROSS JOIN features f LEFT JOIN facts ON facts.source = s.source AND facts.feature_id = f.feature_id WHERE row BETWEEN 3 AND 7""")
+def matrix_rows(spark, sf_dir):
+    """Facts stored as a dense matrix, and a range of its rows read back."""
+    from prismflow.functions.lineage import scratch
+    from prismflow.plans.matrices import write_matrix
+
+    facts, features, sources = _flattened(spark, sf_dir)
+    return write_matrix(facts, features.count(), scratch(spark, "matrix"), sources).read(3, 8)
+
+
 # -- statistics before PCA ----------------------------------------------------------------------------
 def _near(q: float) -> str:
     return f"list_sort(list(value) FILTER (value IS NOT NULL))[CAST(floor((count(value) - 1) * {q} + 0.5) AS BIGINT) + 1]"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -486,6 +487,91 @@ def fit_and_score(spark, sf_dir):
     return scores_long(model, prepare(model, facts))
 
 
+# eigenvectors are beyond SQL, but sums that do not depend on them are not: they settle variances, scores and limits
+_WHOLE_SUMS = f"""{_CENTERED}, v AS (SELECT x.feature_id AS a, y.feature_id AS b, sum(x.c * y.c) / (any_value(x.n) - 1) AS c FROM centered x JOIN centered y ON x.source = y.source GROUP BY ALL)"""
+
+
+def _fitted(spark, sf_dir, **fit) -> tuple[PcaModel, DataFrame]:
+    facts, width = embedding_facts(spark, sf_dir), embedding_width(spark, sf_dir)
+    return fit_pca(facts, [f"f{k}" for k in range(1, width + 1)], scaling="none", **fit), facts
+
+
+@query(f"""WITH {_WHOLE_SUMS}, s AS (SELECT x.a, y.b, sum(x.c * y.c) AS c FROM v x JOIN v y ON x.b = y.a GROUP BY ALL)
+SELECT any_value(n) AS n_samples, round((SELECT sum(c) FROM v WHERE a = b), 9) AS sum_1, round((SELECT sum(c * c) FROM v), 9) AS sum_2, round((SELECT sum(s.c * v.c) FROM s JOIN v ON s.a = v.b AND s.b = v.a), 9) AS sum_3 FROM centered""", short=True)
+def fit_variances(spark, sf_dir):
+    """Sums of the first three powers of a fit's variances: traces of powers of the covariance."""
+    model, _ = _fitted(spark, sf_dir)
+    lam = model.explained_variance
+    return spark.createDataFrame([(model.n_samples, *[round(float((lam**p).sum()), 9) for p in (1, 2, 3)])], "n_samples long, sum_1 double, sum_2 double, sum_3 double")
+
+
+@query(f"""WITH {_CENTERED} SELECT source, round(sum(c * c), 6) AS norm FROM centered GROUP BY source""", short=True)
+def fit_norms(spark, sf_dir):
+    """Squared scores of all components, which are a centered row's norm."""
+    model, facts = _fitted(spark, sf_dir)
+    scores = scores_long(model, prepare(model, facts))
+    return scores.groupBy("source").agg(F.round(F.sum(F.col("score") * F.col("score")), 6).alias("norm"))
+
+
+@query(f"""WITH {_CENTERED} SELECT source, feature_id, round(value, 6) AS value FROM whole""", short=True)
+def fit_reconstruction(spark, sf_dir):
+    """All components give every value back."""
+    model, facts = _fitted(spark, sf_dir)
+    return reconstruct(model, scores_long(model, prepare(model, facts))).select("source", "feature_id", _r("value"))
+
+
+@query(f"""WITH {_CENTERED} SELECT sum(c * c) > 0 AS fitted, round(sum(c * c), 5) AS total, round(sum(c * c), 5) AS kept_and_left FROM centered""", short=True)
+def fit_split(spark, sf_dir):
+    """T2 times variances and Q of five components, summed over all sources, are the sum of squares."""
+    model, facts = _fitted(spark, sf_dir)
+    prepared = prepare(model, facts)
+    kept = scores_long(model, prepared, 5).agg(F.sum(F.col("score") * F.col("score"))).first()[0]
+    left = q_statistic(model, prepared, 5).agg(F.sum("q")).first()[0]
+    total = float(model.explained_variance.sum()) * (model.n_samples - 1)
+    return spark.createDataFrame([(total > 0, round(total, 5), round(kept + left, 5))], "fitted boolean, total double, kept_and_left double")
+
+
+_FILE_FACTS = f"""{_FLAT.replace(SPECTRA, FILLED)}, every AS (SELECT feature_id FROM facts GROUP BY 1 HAVING count(*) = 10),
+    moved AS (SELECT source, feature_id, value - avg(value) OVER (PARTITION BY feature_id) AS c FROM facts SEMI JOIN every USING (feature_id))"""
+
+
+@query(f"""WITH {_FILE_FACTS} SELECT source, round(sum(c * c), 5) AS norm, count(*) AS n_features FROM moved GROUP BY source""")
+def file_fit_norms(spark, sf_dir):
+    """Files to a model of all components and back to scores."""
+    data = preprocess_and_flatten(spark, spectral_files(spark, sf_dir), max_null_ratio=0.0)
+    model = flatten_pca(spark, flattened=data)
+    scores = append_pca_scores(model, data)
+    norm = sum((F.col(f"`{c}`") * F.col(f"`{c}`") for c in model.score_columns), F.lit(0.0))
+    return scores.select(source_name(), F.round(norm, 5).alias("norm"), F.lit(len(model.columns)).cast("long").alias("n_features"))
+
+
+@query(f"""WITH {_FILE_FACTS} SELECT source, round(sum(c * c), 5) AS norm FROM moved GROUP BY source""")
+def file_runs(spark, sf_dir):
+    """A fit run over files, its artifacts in a folder, and a transform run over the same files by that folder."""
+    from prismflow.functions.lineage import scratch
+    from prismflow.plans.runs import fit_run, transform_run
+
+    paths, folder = spectral_files(spark, sf_dir), scratch(spark, "run")
+    n = len(paths)
+    model = fit_run(spark, paths, folder, n_component=n - 1, max_null_ratio=0.0, mahalanobis=MahalanobisConfig(2), spe=SpeConfig(2))
+    scores = transform_run(spark, paths, folder, f"{folder}-again", mahalanobis=MahalanobisConfig(2), spe=SpeConfig(2))
+    norm = sum((F.col(f"`{c}`") * F.col(f"`{c}`") for c in model.score_columns), F.lit(0.0))
+    return scores.select(source_name(), F.round(norm, 5).alias("norm"))
+
+
+#: With the upper one per cent point of the normal distribution, and one residual variance, 1, beside two components.
+_SPE_LIMIT = "power(2.3263478740408408 * sqrt(2.0 / 9) + 7.0 / 9, 3)"
+
+
+@query(f"""WITH {_MODEL}, r AS (SELECT source, feature_id, sum(score * c) + any_value(mean) AS zhat FROM scores JOIN w USING (component) JOIN st USING (feature_id) WHERE component <= 2 GROUP BY ALL),
+    q AS (SELECT source, sum((z - zhat) ** 2) AS q FROM z JOIN r USING (source, feature_id) GROUP BY source)
+SELECT source, round(q, 6) AS spe, round({_SPE_LIMIT}, 6) AS spe_ucl, q > {_SPE_LIMIT} AS spe_exceeds_ucl FROM q""", short=True)
+def monitor_spe(spark, sf_dir):
+    config = SpeConfig(2)
+    out = transform_pca(replace(_model(spark, sf_dir), noise_variance=0.0), embedding_facts(spark, sf_dir), spe=config)
+    return out.select("source", F.round(config.spe_column, 6).alias("spe"), F.round(config.ucl_column, 6).alias("spe_ucl"), F.col(config.exceeds_ucl_column).alias("spe_exceeds_ucl"))
+
+
 def _grid_model(spark, sf_dir, steps: list[int] | None = None) -> tuple[PcaModel, Flattened]:
     """Two components of round numbers over the features of the flattened spectra."""
     frame = pp.step_times(pp.filter_steps(spectra(spark, sf_dir), steps))
@@ -851,6 +937,31 @@ def align_features(spark, sf_dir):
     return stats.fill_missing(facts, model, facts.select("source").distinct())
 
 
+@query(f"""WITH {_FLAT.replace(SPECTRA, FILLED)}, named AS (SELECT *, row_number() OVER (ORDER BY feature_id DESC) AS place FROM features WHERE "Step" <> 1)
+SELECT source, place AS feature_id, value FROM facts JOIN named USING (feature_id)""")
+def align_to_model(spark, sf_dir):
+    """Facts of files on the features of a model that lacks a step and has the others in falling order."""
+    from prismflow.api import align_features as aligned
+
+    data = preprocess_and_flatten(spark, spectral_files(spark, sf_dir), max_null_ratio=1.0)
+    rows = fl.name_table(data.features).join(data.features, "feature_id").filter("Step <> 1").toPandas().sort_values("feature_id", ascending=False)
+    n, lam = len(rows), np.ones(1)
+    model = PcaModel(columns=list(rows["feature"]), components=np.zeros((1, n)), mean=np.zeros(n), explained_variance=lam, explained_variance_ratio=lam, singular_values=lam, n_samples=2, noise_variance=0.0)
+    return aligned(data, model).facts.select(source_name(), "feature_id", "value")
+
+
+@query("""SELECT s_name AS stem, 'x' || (s_suppkey % 3) AS lot, s_acctbal AS balance, s_nationkey AS nation FROM supplier""")
+def file_metadata(spark, sf_dir):
+    """Metadata written as CSV files with a byte-order mark and read as the columns that are asked for."""
+    from prismflow.functions.lineage import scratch
+    from prismflow.sources.metadata import read_metadata
+
+    path = scratch(spark, "metadata")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("stem"), F.concat(F.lit("x"), F.col("s_suppkey") % 3).alias("lot"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    tables.export(rows, path, "csv")
+    return read_metadata(spark, path, "stem", {"lot": "category", "balance": "number", "nation": "integer"})
+
+
 @query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY event_type""")
 def event_props(spark, sf_dir):
     return tables.json_counts(table(spark, sf_dir, "events"), "event_type", "props", "k").withColumnRenamed("with_value", "with_k")

@@ -34,6 +34,7 @@ def _typed(text: Column, kind: str, pattern: str | None) -> Column:
 def read_metadata(spark: SparkSession, path: str, key: str, columns: dict[str, str], patterns: dict[str, str] | None = None) -> DataFrame:
     """stem and the declared columns. Empty cells are null; a cell that does not fit its kind, an empty or a repeated key is a ValueError."""
     raw = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").csv(path)
+    raw = raw.toDF(*[c.removeprefix("\ufeff") for c in raw.columns])  # a byte-order mark
     lacking = [c for c in (key, *columns) if c not in raw.columns]
     if lacking:
         raise ValueError(f"columns are missing: {', '.join(lacking)}")

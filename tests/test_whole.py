@@ -52,6 +52,7 @@ def short(tmp_path_factory):
     folder, t = tmp_path_factory.mktemp("short"), pq.read_table(f"{SF}/embeddings.parquet")
     vectors = pa.array([v[:8] for v in t["embedding"].to_pylist()], pa.list_(pa.float32()))
     pq.write_table(t.set_column(t.schema.get_field_index("embedding"), "embedding", vectors), str(folder / "embeddings.parquet"))
+    pq.write_table(pq.read_table(f"{SF}/labels.parquet"), str(folder / "labels.parquet"))
     return str(folder)
 
 
@@ -59,7 +60,8 @@ def short(tmp_path_factory):
 def test_part_in_sql(spark, short, name):
     ours = QUERIES[name](spark, short)
     ours, c = ours.toPandas(), duckdb.connect()
-    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{short}/embeddings.parquet'")
+    for t in ("embeddings", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{short}/{t}.parquet'")
     twin, columns = c.sql(PART_ORACLES[name]).df(), sorted(ours.columns)
     assert len(ours) and sorted(twin.columns) == columns
     assert tidy_rows(ours[columns]) == tidy_rows(twin[columns])

@@ -17,8 +17,13 @@ where a sequence that comes twice is settled and told to the others by one row,
 passage that a third of all documents share reaches the shuffle about twice a task, not once a document.
 
 To leave out windows early, tasks get a bitmap of the hits, whose size follows their number up to 32 MB; bits
-set by chance cost some rows, never a result, as counting decides. The same holds for documents that lose
-words.
+set by chance cost some rows, never a result, as counting decides. Hits beyond what such a bitmap tells apart are
+joined instead: documents' anchors meet the hits, and each document takes its own back to its text. Documents that
+lose words are told by a bitmap too; where it fills up all meet the join behind it.
+
+For increments the index also keeps the documents of each anchor, in runs of their own. A new batch then reads
+of history only the documents that hold one of its hits: by their ids where they are few, which the reader
+pushes down, by a join beyond.
 
 Defined results: null text has no words; documents shorter than a window lose nothing; rows that repeat
 an id and text get a result each and count as places of their own; null ids are documents too; other
@@ -31,18 +36,22 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prismflow.llm.common import bitmap_of, fitting_bits, hashed_words, hit, in_batches, materialize, mix, rolled, scratch_path, slices
+from prismflow.llm import common
+from prismflow.llm.common import bitmap_of, fitting_bits, hashed_words, hit, in_batches, materialize, mix, rolled, scratch_path, slices, with_rows
 
 WIDTH, GRAM = 35, 8
 #: Sequences that a task remembers to tell each about twice; a longer memory saves rows only.
 SEEN = 1 << 19
+#: Documents of history that an increment asks for by their ids, at most.
+LISTED = 1000
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -81,17 +90,52 @@ def _anchors(width: int):
     return run
 
 
+PLACES = "anchor long, doc_id long, tag long, n long"
+
+
+def _document_anchors(width: int):
+    """The anchors of each document (doc_id, tag, text), with the numbers of their places in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words, counts = hashed_words(part.column("text"))
+            _, doc, place = anchored(words, counts, width)
+            new = np.ones(len(place), dtype=bool)
+            new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+            doc, values = doc[new], _gram_values(words, width, place[new])
+            order = np.lexsort((values, doc))
+            doc, values = doc[order], values[order]
+            first = np.ones(len(doc), dtype=bool)
+            first[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
+            at = np.flatnonzero(first)
+            n, of = np.diff(at, append=len(doc)), pa.array(doc[at])
+            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), part.column("doc_id").take(of), part.column("tag").take(of), pa.array(n.astype(np.int64))], names=["anchor", "doc_id", "tag", "n"])
+
+    return run
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of the text that tells documents of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _tag())
+
+
+def _tag() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
+
+
 class FingerprintIndex:
     """Immutable runs of anchors in a folder that all executors share, and a manifest of those that count.
 
     There are as many buckets as shuffle partitions when the index is made, so that what a shuffle by anchor
     dealt out is a bucket each and goes to one file without another shuffle. A manifest is a file of its own
-    that is put in place whole; runs that no manifest names, of a writer that failed, are never read.
+    that is put in place whole; runs that no manifest names, of a writer that failed, are never read. With
+    places, the default, documents are known by their anchors too, as increments need them.
     """
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, folder: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, width: int = WIDTH, folder: str | None = None, buckets: int | None = None, places: bool = True):
         self.spark, self.folder = spark, folder or scratch_path(spark, "fingerprints")
-        self.state = self._latest() or {"number": 0, "width": width, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "batches": {}}
+        empty = {"number": 0, "width": width, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "batches": {}, "places": [] if places else None}
+        self.state = self._latest() or empty
         if self.state["width"] != width:
             raise ValueError(f"the index holds windows of {self.state['width']} words, not {width}")
         self.width, self.buckets = width, self.state["buckets"]
@@ -120,18 +164,18 @@ class FingerprintIndex:
             raise RuntimeError("another writer has changed the index")
         self.state = state
 
-    def _write(self, rows: DataFrame) -> str:
-        run, name = f"run-{uuid.uuid4().hex}", f"prismflow_run_{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame, kind: str = "run") -> str:
+        run, name = f"{kind}-{uuid.uuid4().hex}", f"prismflow_run_{uuid.uuid4().hex}"
         rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.folder}/{run}").saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # the table's entry; its files stay
         return run
 
-    def _tables(self, runs: list[str]) -> list[tuple[str, DataFrame]]:
+    def _tables(self, runs: list[str], columns: str = "anchor BIGINT, n BIGINT") -> list[tuple[str, DataFrame]]:
         """Runs as bucketed tables: their entries in the session's catalog, to be dropped after use, and their rows."""
         out = []
         for run in runs:
             name = f"prismflow_run_{uuid.uuid4().hex}"
-            self.spark.sql(f"CREATE TABLE {name} (anchor BIGINT, n BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'")
             out.append((name, self.spark.table(name)))
         return out
 
@@ -140,13 +184,20 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def add(self, batch: DataFrame, batch_id: str | None = None) -> DataFrame:
-        """Add a batch (text) as a new run. Returns its hits: anchors that history has too or the batch itself repeats.
+        """Add a batch (doc_id, text) as a new run. Returns its hits: anchors that history has too or the batch itself repeats.
 
         A batch id that was added before adds nothing, and its hits are those of then.
         """
         batch_id = batch_id or uuid.uuid4().hex
         if batch_id not in self.state["batches"]:
-            found = in_batches(batch.select("text"), _anchors(self.width), "anchor long, n long")
+            places = self.state.get("places")
+            if places is not None:
+                found = in_batches(_tagged(batch), _document_anchors(self.width), PLACES)
+                new = self._write(found.repartition(self.buckets, "anchor"), "places")
+                places = [*places, new]
+                found = self.spark.read.schema(PLACES).parquet(f"{self.folder}/{new}").select("anchor", "n")
+            else:
+                found = in_batches(batch.select("text"), _anchors(self.width), "anchor long, n long")
             run = self._write(found.groupBy("anchor").agg(F.sum("n").alias("n")))
             tables = self._tables([run, *self.runs])
             (_, rows), *history = tables
@@ -156,7 +207,7 @@ class FingerprintIndex:
             name = f"hits-{uuid.uuid4().hex}"
             hits.write.parquet(f"{self.folder}/{name}")
             self._drop(tables)
-            self._commit(runs=[*self.runs, run], batches=self.state["batches"] | {batch_id: name})
+            self._commit(runs=[*self.runs, run], batches=self.state["batches"] | {batch_id: name}, places=places)
         return self.hits([batch_id])
 
     def hits(self, batch_ids: list[str] | None = None) -> DataFrame:
@@ -164,8 +215,25 @@ class FingerprintIndex:
         names = [n for b, n in self.state["batches"].items() if batch_ids is None or b in batch_ids]
         return self.spark.read.schema("anchor long").parquet(*[f"{self.folder}/{n}" for n in names]) if names else self.spark.createDataFrame([], "anchor long")
 
+    def documents(self, hits: DataFrame) -> DataFrame | None:
+        """doc_id and tag of all documents that hold one of these anchors; None where the index does not keep them."""
+        places = self.state.get("places")
+        if places is None:
+            return None
+        rows = [self.spark.read.schema(PLACES).parquet(f"{self.folder}/{p}") for p in places]
+        held = reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], PLACES)
+        return held.join(hits.select("anchor"), "anchor", "left_semi").select("doc_id", "tag").distinct()
+
     def compact(self) -> None:
         """Merge all runs to one, two at a time, bucket by bucket, and delete the files of those replaced."""
+        places = self.state.get("places") or []
+        if len(places) > 1:
+            rows = [self.spark.read.schema(PLACES).parquet(f"{self.folder}/{p}") for p in places]
+            merged = self._write(reduce(DataFrame.unionByName, rows).repartition(self.buckets, "anchor"), "places")
+            self._commit(places=[merged])
+            for gone in places:
+                path, fs = self._files(gone)
+                fs.delete(path, True)
         while len(self.runs) > 1:
             *rest, a, b = self.runs
             tables = self._tables([a, b])
@@ -226,7 +294,9 @@ def _windows(width: int, bitmap):
         for part in slices(batches):
             words, counts = hashed_words(part.column("text"))
             start, doc, place = anchored(words, counts, width)
-            on = hit(bitmap.value, _gram_values(words, width, place).view(np.int64))
+            anchors = _gram_values(words, width, place).view(np.int64)
+            # hits that were joined are of the slice's documents, and a hit of one is a hit of all
+            on = hit(bitmap.value, anchors) if bitmap is not None else np.isin(anchors, part.column("hits").flatten().to_numpy())
             start, doc = start[on], doc[on]
             if not len(start):
                 continue
@@ -314,9 +384,22 @@ def _shared(df: DataFrame, hashes) -> object:
     return df.sparkSession.sparkContext.broadcast(bitmap_of(df, hashes, fitting_bits(df.count())))
 
 
+def _with_hits(docs: DataFrame, nominated: DataFrame, width: int) -> DataFrame:
+    """Documents (doc_id, tag, text) that hold a nominated anchor, and their hits."""
+    anchors = in_batches(docs, _document_anchors(width), PLACES).select("anchor", "doc_id", "tag")
+    mine = anchors.join(materialize(nominated.select("anchor").distinct(), "hits"), "anchor", "left_semi")
+    own = materialize(mine.groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_set("anchor").alias("hits")), "own-hits")
+    both = docs.join(own, docs["doc_id"].eqNullSafe(own["of"]) & (docs["tag"] == own["of_tag"]))
+    return both.select("doc_id", "text", "tag", "hits")
+
+
 def repeated_spans(docs: DataFrame, nominated: DataFrame, width: int = WIDTH) -> DataFrame:
     """Verified repeats of documents (doc_id, tag, text) whose windows have nominated anchors: doc_id, tag, spans (length << 32 | place)."""
-    windows = in_batches(docs, _windows(width, _shared(nominated, F.col("anchor"))), WINDOWS)
+    n = nominated.count()
+    if 16 * n <= 1 << common.MOST_BITS:
+        windows = in_batches(docs, _windows(width, _shared(nominated, F.col("anchor"))), WINDOWS)
+    else:  # a bitmap of that size would hold most bits set
+        windows = in_batches(_with_hits(docs, nominated, width), _windows(width, None), WINDOWS)
     places = F.sum("n").over(Window.partitionBy("h1", "h2"))
     twice = windows.withColumn("places", places).filter("at >= 0 and places > 1")
     span = F.shiftleft(F.col("length").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
@@ -328,10 +411,9 @@ def remove_repeats(docs: DataFrame, nominated: DataFrame, width: int = WIDTH, on
 
     only: the documents to give results for; repeats count over all of docs.
     """
-    tagged = lambda d: d.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
-    spans = materialize(repeated_spans(tagged(docs), nominated, width), "spans")
+    spans = materialize(repeated_spans(_tagged(docs), nominated, width), "spans")
     bitmap = _shared(spans, F.col("tag"))
-    wanted = tagged(docs if only is None else only).withColumn("h", F.col("tag"))
+    wanted = _tagged(docs if only is None else only).withColumn("h", F.col("tag"))
     whole = in_batches(wanted, _kept_words(bitmap), RESULT)
     cut = in_batches(wanted, _chosen(bitmap), "doc_id long, text string, tag long")
     s = spans.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "spans")
@@ -342,16 +424,30 @@ def remove_repeats(docs: DataFrame, nominated: DataFrame, width: int = WIDTH, on
 def dedup_increment(index: FingerprintIndex, batch: DataFrame, history: DataFrame | None, batch_id: str | None = None) -> DataFrame:
     """Results for the documents (doc_id, text) of a new batch, judged against themselves and all of history.
 
-    history holds the documents of the earlier batches, as they came. Only windows that carry a hit of this
-    batch are verified, in the batch and in history.
+    history holds the documents of the earlier batches, as they came; of it only those are read that hold a hit
+    of this batch. Only windows that carry a hit are verified, in the batch and in history.
     """
     nominated = index.add(batch, batch_id)
-    known = batch if history is None else history.select("doc_id", "text").unionByName(batch.select("doc_id", "text"))
+    known = batch if history is None else _of_history(index, nominated, history).unionByName(batch.select("doc_id", "text"))
     out = remove_repeats(known, nominated, index.width, only=batch)
     index.compact()
     return out
 
 
+def _of_history(index: FingerprintIndex, nominated: DataFrame, history: DataFrame) -> DataFrame:
+    """The documents (doc_id, text) of history that hold a nominated anchor."""
+    history, held = history.select("doc_id", "text"), index.documents(nominated)
+    if held is None:
+        return history
+    held = materialize(held, "held")
+    few = held.select("doc_id").distinct().limit(LISTED + 1).collect()
+    if len(few) <= LISTED:  # pushed down to the reader of history
+        ids = [r["doc_id"] for r in few if r["doc_id"] is not None]
+        asked = F.col("doc_id").isin(ids) if ids else F.lit(False)
+        history = history.filter(asked | F.col("doc_id").isNull() if len(ids) < len(few) else asked)
+    return with_rows(history, held, [F.col("doc_id").cast("long"), _tag()])
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (its other words, joined by one space).
 
@@ -359,7 +455,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, batches: int = 2, id_co
     of those before it; the hits of all batches nominate the windows that are verified in all documents.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    index = FingerprintIndex(docs.sparkSession, width=width)
+    index = FingerprintIndex(docs.sparkSession, width=width, places=False)
     for k in range(batches):
         index.add(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), f"{k}")
     out = remove_repeats(rows, index.hits(), width)

@@ -1,4 +1,8 @@
-"""Validated settings. Every mistake is a ValueError before any file is read."""
+"""Validated settings. Every mistake is a ValueError before any file is read.
+
+Fixed values, which callers rely on: the names and defaults of settings, the names of choices, and the names of
+the columns of the two limit blocks.
+"""
 
 from __future__ import annotations
 

@@ -42,17 +42,13 @@ _FENCES = {"lower": "outlier_lower_bounds", "upper": "outlier_upper_bounds", "p1
 
 
 def resolve_used_components(ratios: np.ndarray, selector) -> int:
-    """Number of components: all for None, an integer (capped), or the first to reach a cumulative ratio."""
-    n = len(ratios)
-    if selector is None:
-        return n
-    if isinstance(selector, (bool, np.bool_)):
-        raise ValueError("the selector must not be a bool")
-    if isinstance(selector, (int, np.integer)):
-        return min(count(int(selector), "components"), n)
-    if isinstance(selector, (float, np.floating)) and 0 < selector <= 1:
-        return min(int(np.searchsorted(np.cumsum(ratios), float(selector), side="left")) + 1, n)
-    raise ValueError("the selector must be None, an integer of at least 1 or a number in (0, 1]")
+    """Number of components: as many as it takes to reach a share of the variance, of at most a cap; None for all."""
+    whole = isinstance(selector, (int, np.integer)) and not isinstance(selector, (bool, np.bool_))
+    part = isinstance(selector, (float, np.floating)) and 0 < selector <= 1
+    if not (selector is None or part or (whole and selector >= 1)):
+        raise ValueError("the selector must be None, an integer of at least 1 or a number in (0, 1]")
+    share, cap = (float(selector), len(ratios)) if part else (np.inf, int(selector) if whole else len(ratios))
+    return min(1 + int((np.cumsum(ratios) < share).sum()), cap, len(ratios))
 
 
 @dataclass

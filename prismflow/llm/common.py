@@ -141,6 +141,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             start = stop
 
 
+def merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together up to about `most` bytes; a larger one stands alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A well-spread 64-bit value for each 64-bit value."""
     with np.errstate(over="ignore"):

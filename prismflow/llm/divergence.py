@@ -38,15 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismflow.llm.common import _text_bytes, in_batches, materialize, slices
+from prismflow.llm.xx import xx64
 
 #: What the weights of a group add up to, apart from one for each term.
 UNIT_THOUSANDS = 3
 #: Entries of a block at least and at most; sources of a tile; term counts that a task holds before it hands them on.
 LEAST_ENTRIES, MOST_ENTRIES, TILE, HELD = 20_000, 500_000, 256, 400_000
 
-#: The primes of the xxHash64 function.
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
 _IN_TERM = np.zeros(256, dtype=bool)
 _IN_TERM[65:91] = _IN_TERM[97:123] = _IN_TERM[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,31 +66,6 @@ def term_slices(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return _LOWER[raw], starts, np.flatnonzero(stop) + 1, np.searchsorted(ends, starts, side="right") - 1
 
 
-def _turned(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
-
-
-def xx64(rows: np.ndarray) -> np.ndarray:
-    """xxHash64 (seed 0) of each row of a byte matrix with fewer than 32 columns."""
-    n, width = rows.shape
-    h = np.full(n, _P5 + np.uint64(width), dtype=np.uint64)
-    at = 0
-    with np.errstate(over="ignore"):
-        while width - at >= 8:
-            lane = np.ascontiguousarray(rows[:, at : at + 8]).view("<u8")[:, 0]
-            h = _turned(h ^ (_turned(lane * _P2, 31) * _P1), 27) * _P1 + _P4
-            at += 8
-        if width - at >= 4:
-            lane = np.ascontiguousarray(rows[:, at : at + 4]).view("<u4")[:, 0].astype(np.uint64)
-            h = _turned(h ^ (lane * _P1), 23) * _P2 + _P3
-            at += 4
-        for k in range(at, width):
-            h = _turned(h ^ (rows[:, k].astype(np.uint64) * _P5), 11) * _P1
-        h = (h ^ (h >> np.uint64(33))) * _P2
-        h = (h ^ (h >> np.uint64(29))) * _P3
-        return h ^ (h >> np.uint64(32))
-
-
 def _same_bytes(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First member and group number of rows that are equal, found by hash and confirmed by bytes."""
     _, first, group = np.unique(hashes, return_index=True, return_inverse=True)

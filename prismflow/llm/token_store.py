@@ -22,16 +22,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismflow.llm import simple8b
-from prismflow.llm.common import in_batches, scratch_path, slices
+from prismflow.llm.common import in_batches, merged, scratch_path, slices
 from prismflow.llm.tokens import TOKEN_BYTES, encoder
 
+#: Text of a segment, which is encoded at once, about; a longer text stands alone.
+SEGMENT_BYTES = 2 * TOKEN_BYTES
 SEGMENT = "part int, segment int, before long, n_ids long, first_id long, doc_ids array<long>, lengths array<long>, coded binary"
 
 
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        for segment, docs in enumerate(slices(batches, most=TOKEN_BYTES)):
+        for segment, docs in enumerate(slices(merged(batches, SEGMENT_BYTES), most=SEGMENT_BYTES)):
             ids, lengths = encode(docs.column("text"), end_id)
             doc_ids = docs.column("doc_id").to_pylist()
             row = (part, segment, before, len(ids), doc_ids[0], doc_ids, lengths.tolist(), simple8b.encode(ids))
@@ -52,13 +54,14 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_co
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of the segments; its ids are a cut of the segment's, which no Python object holds."""
     for batch in batches:
-        for row in batch.to_pylist():
-            ids = simple8b.decode(row["coded"]).astype("<u4")
-            lengths = np.array(row["lengths"], dtype=np.int64)
-            starts = np.cumsum(lengths) - lengths
-            data = [ids[s : s + n].tobytes() for s, n in zip(starts.tolist(), lengths.tolist())]
-            columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["before"]), pa.array(lengths), pa.array(data, pa.binary()), pa.array([row["part"]] * len(data), pa.int32())]
+        for k in range(batch.num_rows):
+            ids = simple8b.decode(batch.column("coded")[k].as_py()).astype("<u4")
+            lengths = batch.column("lengths")[k].values.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            data = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer((4 * ends).astype(np.int64)), pa.py_buffer(ids)])
+            columns = [batch.column("doc_ids")[k].values, pa.array(ends[:-1] + batch.column("before")[k].as_py()), pa.array(lengths), data.cast(pa.binary()), pa.array(np.full(len(lengths), batch.column("part")[k].as_py(), dtype=np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids", "part"])
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain, islice, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from prismflow.llm.common import _text_bytes
+from prismflow.llm.xx import string_hashes
+
 #: A space that a pre-token of the byte-level pattern does not begin with: white space or the end follows.
 _ODD_SPACE = r" ([\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 
@@ -37,6 +40,20 @@ def _splits_at_spaces(path: str) -> bool:
     return bool(plain and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout") and not parts.get("normalizer"))
 
 
+_BLANK = np.array([chr(k).isspace() for k in range(128)] + [False] * 128)
+
+
+def _visible(words: pa.LargeStringArray) -> np.ndarray:
+    """Which words are not empty and do not begin with white space."""
+    raw, ends = _text_bytes(words)
+    out = np.diff(ends) > 0
+    first = raw[ends[:-1][out]]
+    out[out] = ~_BLANK[first]
+    for k in np.flatnonzero(out)[first[~_BLANK[first]] > 127].tolist():
+        out[k] = not words[k].as_py()[0].isspace()
+    return out
+
+
 class Encoder:
     """Ids of many texts at once by a byte-level BPE of the tokenizers library.
 
@@ -58,7 +75,8 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.begins = np.zeros(size, dtype=bool)  # tokens that begin with a space
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.codes: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())  # by code
+        self.hashes, self.code_of = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # by hash
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int32), np.zeros(1 << 14, dtype=np.int32)
         self.n = 0
@@ -75,6 +93,25 @@ class Encoder:
         self.sizes[self.n : self.n + n] = sizes
         self.used, self.n = self.used + total, self.n + n
 
+    def _known(self, words: pa.LargeStringArray, hashes: np.ndarray) -> np.ndarray:
+        """Codes of words, found by hash and confirmed by their bytes; -1 for those that are not kept."""
+        out = np.full(len(words), -1, dtype=np.int32)
+        at = np.searchsorted(self.hashes, hashes)
+        found = np.flatnonzero(at < len(self.hashes))
+        found = found[self.hashes[at[found]] == hashes[found]]
+        codes = self.code_of[at[found]]
+        same = pc.equal(words.take(pa.array(found)), self.words.take(pa.array(codes))).to_numpy(zero_copy_only=False)
+        out[found[same]] = codes[same]
+        return out
+
+    def _keep(self, words: pa.LargeStringArray, hashes: np.ndarray, first: int) -> None:
+        """Keep words under the codes from `first` on, which are the next."""
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.code_of = np.insert(self.code_of, at, (first + order).astype(np.int32))
+        self.words = pa.concat_arrays([self.words, words])
+
     def _words(self, words: list[str]) -> None:
         """Encode words that follow a space, many in one text: each begins at a token that begins with a space."""
         for k in range(0, len(words), 500):
@@ -97,7 +134,8 @@ class Encoder:
     def _shrink(self) -> None:
         """Keep the half of the pieces that came first: common ones come early."""
         n = self.n // 2
-        self.codes = dict(islice(self.codes.items(), n))
+        stay = self.code_of < n
+        self.hashes, self.code_of, self.words = self.hashes[stay], self.code_of[stay], self.words.slice(0, n)
         self.n, self.used = n, int(self.starts[n])
 
     def __call__(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -117,14 +155,15 @@ class Encoder:
         firsts = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if len(last) else last
         values = pieces.flatten()
         words = values.dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        known = np.fromiter(map(self.codes.get, distinct, repeat(-1)), dtype=np.int32, count=len(distinct))
+        hashes = string_hashes(words.dictionary)
+        known = self._known(words.dictionary, hashes)
         # first pieces may begin with white space; they are encoded below, not as words
-        new = [k for k in np.flatnonzero(known < 0).tolist() if distinct[k] and not distinct[k][0].isspace()]
-        fresh, first_new = [distinct[k] for k in new], self.n
-        self._words(fresh)
+        new = np.flatnonzero(known < 0)
+        new = new[_visible(words.dictionary.take(pa.array(new)))]
+        fresh, first_new = words.dictionary.take(pa.array(new)), self.n
+        self._words(fresh.to_pylist())
         known[new] = np.arange(first_new, self.n)
-        self.codes.update(zip(fresh, range(first_new, self.n)))
+        self._keep(fresh, hashes[new], first_new)
         kept, kept_used = self.n, self.used
         self._whole(pc.if_else(odd, texts, values.take(pa.array(firsts))).to_pylist())
         end = 0 if end_id is None else 1

@@ -88,3 +88,36 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 200)] + [(5, 5), (7, 3), (3, 7), (9, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 201)} | {3: 3, 7: 3, 9: 3}
+
+
+def test_hashes_of_strings():
+    import random
+
+    import xxhash
+
+    from prismflow.llm.xx import string_hashes
+
+    r = random.Random(1)
+    words = ["".join(r.choice("abcé日x") for _ in range(r.choice([0, 1, 3, 7, 8, 9, 12, 15, 16, 31, 32, 33, 50]))) for _ in range(3000)]
+    some = pa.array(words, pa.large_string()).slice(3, 2500)
+    assert string_hashes(some).tolist() == [xxhash.xxh64_intdigest(w.encode()) for w in words[3:2503]]
+    assert string_hashes(pa.array([], pa.large_string())).tolist() == []
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_encoder_keeps_and_drops_words(monkeypatch, collide):
+    """Small stores, and hashes that say nothing: the ids are those of the library."""
+    import random
+
+    from prismflow.llm import tokens
+    from prismflow.llm.tokens import Encoder
+
+    if collide:
+        monkeypatch.setattr(tokens, "string_hashes", lambda words: np.arange(len(words), dtype=np.uint64) % np.uint64(3))
+    r = random.Random(2)
+    encode, library = Encoder(tokenizer_path(), most=50), Tokenizer.from_file(tokenizer_path())
+    for _ in range(25):
+        texts = [" ".join("".join(r.choice("abcdeé日 \x1c\x85.,") for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 60))) for _ in range(5)] + [None, "", " lead", "\ttab a"]
+        want = [i for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False) for i in [*e.ids, 9]]
+        assert encode(pa.array(texts), 9)[0].tolist() == want
+    assert encode.n <= 400 and len(encode.hashes) == len(encode.code_of) == encode.n == len(encode.words)

@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismflow.llm.common import in_batches, slices
-from prismflow.llm.tokens import TOKEN_BYTES, encoder
+from prismflow.llm.tokens import encoder
 
 CONTEXT = 1024
 TIERS = (1024, 512, 256, 128)
+#: Text encoded at once; less than elsewhere, as packing holds a pool of ids beside it.
+PACK_BYTES = 1_000_000
 #: Ids packed together (8 MB), and ids of a step group.
 POOL = 1 << 21
 STEP = 1 << 16
@@ -134,7 +136,7 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...], pool: int, step: int
             sequence, group = sequence + len(windows), group + max(steps) + 1
 
         total = 0
-        for part in slices(batches, most=TOKEN_BYTES):
+        for part in slices(batches, most=PACK_BYTES):
             ids, lengths = encode(part.column("text"), end_id)
             held.append((part.column("doc_id").to_pylist(), ids, lengths))
             total += len(ids)

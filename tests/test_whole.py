@@ -46,6 +46,45 @@ def test_gram_blocks(spark, monkeypatch):
     assert all(abs(v - c[int(a[1:])] @ c[int(b[1:])]) < 1e-6 for (a, b), v in got.items())
 
 
+def shuffled(spark, job):
+    """Bytes that a job's stages write to shuffles, and its result."""
+    status, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(found.apply(k).stageId(), found.apply(k).attemptId()): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = stages()
+    result = job()
+    return sum(n for k, n in stages().items() if k not in before), result
+
+
+def test_gram_shuffles_blocks_once(spark, monkeypatch):
+    """Four times the sources shuffle about four times the bytes; every pair is there once, whatever the number of blocks."""
+    monkeypatch.setattr(stats, "GRAM_SOURCES", 4)
+    monkeypatch.setattr(stats, "GRAM_BLOCKS", 8)
+    r, bytes_of = np.random.default_rng(5), {}
+    for n in (48, 192):
+        x = r.normal(size=(n, 1000))  # one run of features, in blocks that compression does not find again
+        names, features = np.repeat([f"s{i:03d}" for i in range(n)], 1000), np.tile(np.arange(1, 1001), n)
+        facts = spark.createDataFrame(pa.table({"source": names.tolist(), "feature_id": features, "value": x.reshape(-1)}))
+        bytes_of[n], rows = shuffled(spark, lambda: stats.gram(facts).collect())
+        c = x - x.mean(axis=0)
+        assert len(rows) == n * (n + 1) // 2 == len({(a, b) for a, b, _ in rows})
+        assert all(a <= b and abs(v - c[int(a[1:])] @ c[int(b[1:])]) < 1e-9 for a, b, v in rows)
+    assert 0 < bytes_of[192] < 6 * bytes_of[48]
+
+
+@pytest.mark.parametrize("names", [[f"s{k}" for k in range(9)], list(range(9))])
+def test_dense_block_is_the_same_in_any_order(names):
+    """Tasks that make a block once more, from cells that arrive in another order, have the same sources in the same rows."""
+    cells = pa.table({"block": pa.array([0] * 27, pa.int32()), "run": [0] * 27, "source": [s for s in names for _ in range(3)], "feature_id": [1, 2, 3] * 9, "c": np.arange(27.0)})
+    one, other = stats._dense_block(cells, 1024), stats._dense_block(cells.take(np.random.default_rng(1).permutation(27)), 1024)
+    assert one.equals(other) and one["sources"][0].as_py() == sorted(names)
+    assert np.frombuffer(one["matrix"][0].as_py()).reshape(9, 4)[:, 1:].tolist() == np.arange(27.0).reshape(9, 3).tolist()
+
+
 @pytest.fixture(scope="module")
 def short(tmp_path_factory):
     """The embeddings' table with vectors of 8 components: all that FACTS in SQL states."""

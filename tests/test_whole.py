@@ -76,6 +76,23 @@ def test_gram_shuffles_blocks_once(spark, monkeypatch):
     assert 0 < bytes_of[192] < 6 * bytes_of[48]
 
 
+def test_gram_does_not_shuffle_facts_by_feature(spark, tmp_path):
+    """Facts too large to broadcast are shuffled to their blocks, and the blocks once; the few means come to the facts."""
+    n, width = 150, 200
+    x = np.random.default_rng(6).normal(size=(n, width))
+    facts = pa.table({"source": np.repeat(np.arange(n), width), "feature_id": np.tile(np.arange(1, width + 1), n), "value": x.reshape(-1)})
+    pq.write_table(facts, tmp_path / "facts.parquet")
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # stands for tables beyond it
+    try:
+        written, rows = shuffled(spark, lambda: stats.gram(spark.read.parquet(str(tmp_path / "facts.parquet"))).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    c = x - x.mean(axis=0)
+    assert len(rows) == n * (n + 1) // 2 and all(abs(v - c[a] @ c[b]) < 1e-9 for a, b, v in rows)
+    assert 16 < written / (n * width) < 30  # a value has 8 bytes, as a fact and in its block; a shuffle by feature adds 16
+
+
 @pytest.mark.parametrize("names", [[f"s{k}" for k in range(9)], list(range(9))])
 def test_dense_block_is_the_same_in_any_order(names):
     """Tasks that make a block once more, from cells that arrive in another order, have the same sources in the same rows."""
